@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleaner import constants as K
-from gleaner.functions.text import empty_strings, col, squash, strip, words
+from gleaner.functions.text import alnum_key, col, empty_strings, let, squash, strip, words
 
 
 def _literals(values: list[str]) -> Column:
@@ -42,7 +42,8 @@ def jaccard(a: Column, b: Column) -> Column:
 def dedupe_facts(facts: Column | str, text_field: str = "text") -> Column:
     """Keep-first near-copy removal over an array of fact structs held in one row."""
     facts = col(facts)
-    keyed = F.transform(facts, lambda f: F.struct(f.alias("fact"), fact_words(f[text_field]).alias("words")))
+    def keyed() -> Column:
+        return F.transform(facts, lambda f: F.struct(f.alias("fact"), fact_words(f[text_field]).alias("words")))
 
     def step(kept: Column, item: Column) -> Column:
         repeat = F.exists(kept, lambda k: F.coalesce(
@@ -50,7 +51,7 @@ def dedupe_facts(facts: Column | str, text_field: str = "text") -> Column:
             & (jaccard(item["words"], k["words"]) > K.DUPLICATE_FACT_JACCARD), F.lit(False)))
         return F.when(repeat, kept).otherwise(F.concat(kept, F.array(item)))
 
-    kept = F.aggregate(keyed, F.slice(keyed, 1, 0), step)
+    kept = let(keyed(), lambda items: F.aggregate(items, F.slice(items, 1, 0), step))
     return F.transform(kept, lambda k: k["fact"])
 
 
@@ -113,25 +114,30 @@ def claim_keys(texts: Column | str) -> Column:
 
 def matched_pairs(left: Column | str, right: Column | str) -> Column:
     """Pairs (l, r, score) between two `claim_keys` arrays of one row; indexes from 0."""
-    left, right = col(left), col(right)
-    scored = F.flatten(F.transform(left, lambda x, i: F.transform(right, lambda y, j: F.struct(
-        i.alias("l"),
-        (-claim_score(x["words"], x["phrases"], y["words"], y["phrases"])).alias("neg"),
-        j.alias("r")))))
-    return greedy_pairs(F.filter(scored, lambda c: -c["neg"] >= K.CLAIM_MATCH_THRESHOLD))
+    def scored(y_side: Column) -> Column:
+        return F.flatten(F.transform(col(left), lambda x, i: F.filter(
+            F.transform(y_side, lambda y, j: F.struct(
+                i.alias("l"),
+                (-claim_score(x["words"], x["phrases"], y["words"], y["phrases"])).alias("neg"),
+                j.alias("r"))),
+            lambda c: -c["neg"] >= K.CLAIM_MATCH_THRESHOLD)))
+
+    return greedy_pairs(let(col(right), scored))
 
 
 def matched_diff(left: Column | str, right: Column | str, pairs: Column | str) -> Column:
     """struct(shared, only_a, only_b) of two `claim_keys` arrays and their `matched_pairs`."""
-    left, right, pairs = col(left), col(right), col(pairs)
-    shared = F.transform(pairs, lambda p: F.struct(
-        F.get(left, p["l"])["text"].alias("a"), F.get(right, p["r"])["text"].alias("b"),
-        p["score"].alias("score")))
-    only_a = F.transform(F.filter(left, lambda x, i: ~F.exists(pairs, lambda p: p["l"] == i)),
-                         lambda x: x["text"])
-    only_b = F.transform(F.filter(right, lambda y, j: ~F.exists(pairs, lambda p: p["r"] == j)),
-                         lambda y: y["text"])
-    return F.struct(shared.alias("shared"), only_a.alias("only_a"), only_b.alias("only_b"))
+    bound = F.struct(F.transform(col(left), lambda x: x["text"]).alias("a"),
+                     F.transform(col(right), lambda y: y["text"]).alias("b"), col(pairs).alias("p"))
+
+    def split(v: Column) -> Column:
+        shared = F.transform(v["p"], lambda p: F.struct(
+            F.get(v["a"], p["l"]).alias("a"), F.get(v["b"], p["r"]).alias("b"), p["score"].alias("score")))
+        only_a = F.filter(v["a"], lambda x, i: ~F.exists(v["p"], lambda p: p["l"] == i))
+        only_b = F.filter(v["b"], lambda y, j: ~F.exists(v["p"], lambda p: p["r"] == j))
+        return F.struct(shared.alias("shared"), only_a.alias("only_a"), only_b.alias("only_b"))
+
+    return let(bound, split)
 
 
 # --- overlay lines and markers -----------------------------------------------
@@ -141,24 +147,20 @@ def spoken_key(text: Column | str) -> Column:
 
 def strip_subtitles(lines: Column | str, transcript: Column | str) -> Column:
     """Drop overlay lines of two or more words that the transcript says verbatim."""
-    lines, spoken = col(lines), spoken_key(transcript)
-
-    def said(line: Column) -> Column:
-        key = strip(spoken_key(line))
+    def said(key: Column, spoken: Column) -> Column:
         return F.contains(key, F.lit(" ")) & F.contains(spoken, key)
 
-    return (F.when(F.coalesce(col(transcript), F.lit("")) == "", lines)
-            .otherwise(F.filter(lines, lambda x: ~said(x))))
+    kept = let(spoken_key(transcript), lambda spoken: F.filter(
+        col(lines), lambda x: ~let(strip(spoken_key(x)), lambda key: said(key, spoken))))
+    return F.when(F.coalesce(col(transcript), F.lit("")) == "", col(lines)).otherwise(kept)
 
 
 def exclusive_markers(markers: Column | str, elsewhere: Column | str, min_chars: int,
                       limit: int | None = None) -> Column:
     """Markers whose key is long enough, absent from `elsewhere` (a key) and not a repeat."""
-    from gleaner.functions.text import alnum_key
-
     keyed = F.transform(col(markers), lambda m: F.struct(m.alias("m"), alnum_key(m).alias("k")))
-    fit = F.filter(keyed, lambda x: (F.length(x["k"]) >= min_chars) & ~F.contains(col(elsewhere), x["k"]))
-    keys = F.transform(fit, lambda x: x["k"])
-    first = F.transform(F.array_distinct(keys), lambda k: F.element_at(
-        fit, F.array_position(keys, k).cast("int"))["m"])
+    fit = let(col(elsewhere), lambda e: F.filter(
+        keyed, lambda x: (F.length(x["k"]) >= min_chars) & ~F.contains(e, x["k"])))
+    first = let(fit, lambda items: let(F.transform(items, lambda x: x["k"]), lambda keys: F.transform(
+        F.filter(items, lambda x, i: F.array_position(keys, x["k"]) == i + 1), lambda x: x["m"])))
     return first if limit is None else F.slice(first, 1, limit)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,15 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value worked out once per row.
+
+    Inside a lambda a plain column expression is evaluated again for every array element;
+    bound as a lambda variable it is not.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def present(c: Column | str) -> Column:
     """Truthiness of a text column: neither null nor empty."""
     return F.coalesce(col(c), F.lit("")) != ""
@@ -71,19 +82,23 @@ def renamed_tags(tags: Column | str, old: str, new: str) -> Column:
     The new tag takes the first place `old` had unless `new` is already there.
     """
     old, new = old.strip().lower(), new.strip().lower()
-    tags = col(tags)
-    dropped = F.filter(tags, lambda t: t != old)
-    if not new or new == old:
-        # renaming onto itself: later copies of the tag fold into the first
-        if not new:
-            return dropped
+
+    def without(tags: Column) -> Column:
+        return F.filter(tags, lambda t: t != old)
+
+    def folded(tags: Column) -> Column:
         return F.filter(tags, lambda t, i: (t != old) | (F.array_position(tags, old) == i + 1))
-    placed = F.transform(
-        F.filter(tags, lambda t, i: (t != old) | (F.array_position(tags, old) == i + 1)),
-        lambda t: F.when(t == old, F.lit(new)).otherwise(t))
-    return (F.when(~F.array_contains(tags, old), tags)
-            .when(F.array_contains(tags, new), dropped)
-            .otherwise(placed))
+
+    def edited(tags: Column) -> Column:
+        if not new:
+            return without(tags)
+        if new == old:
+            return folded(tags)
+        placed = F.transform(folded(tags), lambda t: F.when(t == old, F.lit(new)).otherwise(t))
+        return (F.when(~F.array_contains(tags, old), tags)
+                .when(F.array_contains(tags, new), without(tags)).otherwise(placed))
+
+    return let(col(tags), edited)
 
 
 # --- captions, links, markers ------------------------------------------------

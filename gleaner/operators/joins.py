@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import empty_strings, present
+from gleaner.functions.text import empty_strings, let, present
 
 FLAGS = ("starred", "read", "archived")
 
@@ -121,7 +121,7 @@ def collection_members_from_feed(items: DataFrame, collections: DataFrame) -> Da
 
 def keep_cited(sources: Column, answer: Column, cite: Column) -> Column:
     """In-row: the cited sources when the answer cites at least one of them, else all of them."""
-    used = F.filter(sources, lambda s: F.array_contains(cite, s["id"]))
+    used = let(cite, lambda c: F.filter(sources, lambda s: F.array_contains(c, s["id"])))
     return F.when(answer.isNotNull() & (F.size(used) > 0), used).otherwise(sources)
 
 

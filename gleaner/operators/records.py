@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner import constants as K
-from gleaner.functions.text import col, empty_strings, or_else, present, renamed_tags, strip, valid_id
+from gleaner.functions.text import col, empty_strings, let, or_else, present, renamed_tags, strip, valid_id
 
 SUMMARY_COLUMNS = [
     "id", "title", "author", "genre", "tags", "url", "thumbnail_path", "likes", "views", "comments",
@@ -210,8 +210,8 @@ def missing_arms(records: DataFrame, arms: list[str]) -> DataFrame:
 
 def variants_with(old: Column | str, new: Column | str) -> Column:
     """Map union in which the new arms win."""
-    old, new = col(old), col(new)
-    return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
+    return let(col(new), lambda n: F.map_concat(
+        F.map_filter(col(old), lambda k, v: ~F.map_contains_key(n, k)), n))
 
 
 def video_item(media: Column, known_only: bool = False) -> Column:

@@ -15,7 +15,7 @@ def attempt_stats(attempts: DataFrame) -> DataFrame:
     last = latest_attempt(attempts)
     return last.groupBy("arm").agg(
         F.count_if("ok").alias("ok"), F.count_if(~F.coalesce("ok", F.lit(False))).alias("failed"),
-        (F.sum(F.coalesce("seconds", F.lit(0.0))) / F.count(F.lit(1))).alias("avg_seconds"))
+        (F.coalesce(F.sum("seconds"), F.lit(0)).cast("double") / F.count(F.lit(1))).alias("avg_seconds"))
 
 
 def attempt_notes(stats: DataFrame, scored: DataFrame, sample_size: int | Column) -> DataFrame:
@@ -65,14 +65,14 @@ def coverage_report(runs: DataFrame, elapsed_seconds: Column) -> DataFrame:
 
     Only records that did not fail count as audio; elapsed time below a second counts as one.
     """
-    audio = F.sum(F.when(F.col("status") != "failed", F.coalesce("duration", F.lit(0.0))).otherwise(0.0))
+    audio = F.coalesce(F.sum(F.when(F.col("status") != "failed", F.col("duration"))), F.lit(0)).cast("double")
     return runs.agg(
         F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "silent").alias("silent"),
         F.count_if(F.col("status") == "failed").alias("failed"),
         (audio / F.greatest(elapsed_seconds, F.lit(1.0))).alias("realtime"))
 
 
-def stage_events(lines: DataFrame, value: str = "value") -> DataFrame:
+def stage_events(lines: DataFrame, value: str = "value", keep: list[str] | None = None) -> DataFrame:
     """Log lines -> (log_time, stage, done, total); lines without a stage are dropped.
 
     Lines start with an ISO-like time; `[stage] … (i/n)` or `collection … page …` name the stage.
@@ -83,7 +83,7 @@ def stage_events(lines: DataFrame, value: str = "value") -> DataFrame:
     stage = F.when(tagged != "", tagged).when(listing, "enumerate")
     count = lambda g: F.when(tagged != "", F.try_to_number(F.regexp_extract(v, K.LOG_COUNT, g), F.lit("999999999")))
     return (lines.select(
-        F.try_to_timestamp(F.substring(v, 1, 19), F.lit("yyyy-MM-dd HH:mm:ss")).alias("log_time"),
+        *(keep or []), F.try_to_timestamp(F.substring(v, 1, 19), F.lit("yyyy-MM-dd HH:mm:ss")).alias("log_time"),
         stage.alias("stage"), count(1).cast("bigint").alias("done"), count(2).cast("bigint").alias("total"))
         .filter("stage IS NOT NULL"))
 

@@ -108,11 +108,14 @@ def ag7(spark, sf):
     return G.top_hashtags(word_tagged(spark, sf))
 
 
-@query("ag11_attempt_stats", """
+ORACLE_AG11 = """
 WITH last AS (SELECT event_type AS arm, user_id, arg_max(value, struct_pack(ts := ts, id := event_id)) AS v,
                      event_type <> 'error' AS ok FROM events GROUP BY event_type, user_id)
 SELECT arm, count(*) FILTER (ok) AS ok, count(*) FILTER (NOT ok) AS failed,
-       CAST(sum(CAST(v AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS avg_seconds FROM last GROUP BY arm""")
+       CAST(sum(CAST(v AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS avg_seconds FROM last GROUP BY arm"""
+
+
+@query("ag11_attempt_stats", ORACLE_AG11)
 def ag11(spark, sf):
     return A.attempt_stats(stage.attempts(spark, sf))
 

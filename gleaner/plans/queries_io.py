@@ -180,7 +180,11 @@ def sc11(spark, sf):
 
 
 def log_lines(spark, sf):
-    e = stage.table(spark, sf, "events")
+    return log_lines_of(stage.table(spark, sf, "events"))
+
+
+def log_lines_of(e):
+    """events as run-log lines."""
     progress = F.concat(F.lit(" ("), F.floor("value").cast("string"), F.lit("/500)"))
     body = (F.when(F.col("event_type") == "view", F.concat(F.lit("[ingest] got"), progress))
             .when(F.col("event_type") == "click", F.concat(F.lit("[process] done"), progress))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +39,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="gleaner-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def work_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder for intermediate tables, under the cluster's shared `spark.checkpoint.dir`.
+
+    Made up locally only where none is named and the master is local (tests).
+    """
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="gleaner-work-")
+    return f"{folder.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

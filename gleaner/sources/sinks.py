@@ -89,8 +89,9 @@ def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
     if not rebuild:
         try:
             return spark.read.schema(schema).json(path)
-        except AnalysisException:
-            pass
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     build().write.mode("overwrite").json(path)
     return spark.read.schema(schema).json(path)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleaner import constants as K
-from gleaner.functions.text import alnum_key, col, empty_strings, let, squash, strip, words
+from gleaner.functions.text import alnum_key, col, empty_strings, let, strip, words
 
 
 def _literals(values: list[str]) -> Column:
@@ -142,7 +142,8 @@ def matched_diff(left: Column | str, right: Column | str, pairs: Column | str) -
 
 # --- overlay lines and markers -----------------------------------------------
 def spoken_key(text: Column | str) -> Column:
-    return squash(F.regexp_replace(F.lower(F.coalesce(col(text), F.lit(""))), "[^a-z0-9 ]", " "))
+    """Lower case, every run of other characters a single blank."""
+    return F.regexp_replace(F.lower(F.coalesce(col(text), F.lit(""))), "[^a-z0-9]+", " ")
 
 
 def strip_subtitles(lines: Column | str, transcript: Column | str) -> Column:
@@ -151,16 +152,20 @@ def strip_subtitles(lines: Column | str, transcript: Column | str) -> Column:
         return F.contains(key, F.lit(" ")) & F.contains(spoken, key)
 
     kept = let(spoken_key(transcript), lambda spoken: F.filter(
-        col(lines), lambda x: ~let(strip(spoken_key(x)), lambda key: said(key, spoken))))
+        col(lines), lambda x: ~let(F.trim(spoken_key(x)), lambda key: said(key, spoken))))
     return F.when(F.coalesce(col(transcript), F.lit("")) == "", col(lines)).otherwise(kept)
 
 
 def exclusive_markers(markers: Column | str, elsewhere: Column | str, min_chars: int,
                       limit: int | None = None) -> Column:
-    """Markers whose key is long enough, absent from `elsewhere` (a key) and not a repeat."""
-    keyed = F.transform(col(markers), lambda m: F.struct(m.alias("m"), alnum_key(m).alias("k")))
-    fit = let(col(elsewhere), lambda e: F.filter(
-        keyed, lambda x: (F.length(x["k"]) >= min_chars) & ~F.contains(e, x["k"])))
-    first = let(fit, lambda items: let(F.transform(items, lambda x: x["k"]), lambda keys: F.transform(
-        F.filter(items, lambda x, i: F.array_position(keys, x["k"]) == i + 1), lambda x: x["m"])))
+    """Markers whose key is long enough, absent from `elsewhere` (a key) and not a repeat.
+
+    Repeats fall out before the search through `elsewhere`, so each distinct marker is looked for once.
+    """
+    keyed = F.filter(F.transform(col(markers), lambda m: F.struct(m.alias("m"), alnum_key(m).alias("k"))),
+                     lambda x: F.length(x["k"]) >= min_chars)
+    once = let(keyed, lambda items: let(F.transform(items, lambda x: x["k"]), lambda keys: F.filter(
+        items, lambda x, i: F.array_position(keys, x["k"]) == i + 1)))
+    first = let(col(elsewhere), lambda e: F.transform(
+        F.filter(once, lambda x: ~F.contains(e, x["k"])), lambda x: x["m"]))
     return first if limit is None else F.slice(first, 1, limit)

@@ -174,11 +174,21 @@ def named_resources(structured: Column | str, facts: Column | str) -> Column:
     return F.array_distinct(kept)
 
 
-def resource_bucket(text: Column) -> Column:
-    first, *rest = K.RESOURCE_BUCKETS
-    chosen = F.when(text.rlike(first[1]), first[0])
-    for name, pattern in rest:
-        chosen = chosen.when(text.rlike(pattern), name)
+# longer than any bucket pattern reaches into the context from the item before it
+CONTEXT_HEAD = r"(?sU)^.{0,64}\w*"
+
+
+def resource_bucket(item: Column, context_hits: Column, context_head: Column) -> Column:
+    """First bucket whose pattern is in `item context`.
+
+    The context is searched once per record (`context_hits`, one flag per bucket); per item only the item
+    and the words it touches are searched.
+    """
+    text = F.concat_ws(" ", item, context_head)
+    chosen = None
+    for i, (name, pattern) in enumerate(K.RESOURCE_BUCKETS):
+        hit = context_hits[i] | text.rlike(pattern)
+        chosen = F.when(hit, name) if chosen is None else chosen.when(hit, name)
     return chosen.otherwise(K.RESOURCE_DEFAULT_BUCKET)
 
 
@@ -186,9 +196,10 @@ def resource_digest(records: DataFrame, membership: DataFrame | None = None) ->
     """(bucket, id, pos, item, title, url[, collections]): one row per named resource."""
     context = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("title", "summary", "caption")])
     found = records.select(
-        "id", "url", strip("title").alias("title"), context.alias("_context"),
+        "id", "url", strip("title").alias("title"), F.regexp_extract(context, CONTEXT_HEAD, 0).alias("_head"),
+        F.array(*[context.rlike(pattern) for _, pattern in K.RESOURCE_BUCKETS]).alias("_hits"),
         F.posexplode(named_resources("structured", F.transform("facts", lambda f: f["text"]))).alias("pos", "item"))
-    rows = found.select(resource_bucket(F.concat_ws(" ", "item", "_context")).alias("bucket"),
+    rows = found.select(resource_bucket(F.col("item"), F.col("_hits"), F.col("_head")).alias("bucket"),
                         "id", "pos", "item", "title", "url")
     if membership is None:
         return rows

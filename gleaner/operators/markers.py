@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner import constants as K
 from gleaner.functions.facts import exclusive_markers
-from gleaner.functions.text import alnum_key, col, empty_strings, marker_kind, strip
+from gleaner.functions.text import alnum_key, col, empty_strings, marker_kind, select_where, strip
 
 
 def _text(c: Column | str) -> Column:
@@ -19,19 +19,16 @@ def caption_only_markers(records: DataFrame, pattern: str = K.MARKER) -> DataFra
     elsewhere = alnum_key(F.concat(
         _text("transcript_text"), F.array_join(F.coalesce("on_screen_text", empty_strings()), " "), _text("title")))
     found = F.regexp_extract_all(_text("caption"), F.lit(pattern), F.lit(0))
-    return (records.select(F.col("id").alias("record_id"), found.alias("_m"), elsewhere.alias("_e"))
-            .select("record_id", exclusive_markers("_m", "_e", K.CAPTION_MARKER_MIN).alias("markers"))
-            .filter(F.size("markers") > 0))
+    return select_where(records, [F.col("id").alias("record_id")],
+                        exclusive_markers(found, elsewhere, K.CAPTION_MARKER_MIN), "markers", lambda m: F.size(m) > 0)
 
 
 def ocr_only_markers(records: DataFrame) -> DataFrame:
     """(record_id, markers): read lines that neither caption, transcript nor title contain (first 40)."""
     elsewhere = alnum_key(F.concat(_text("caption"), _text("transcript_text"), _text("title")))
-    return (records.select(F.col("id").alias("record_id"),
-                           F.coalesce("ocr_text", empty_strings()).alias("_m"), elsewhere.alias("_e"))
-            .select("record_id", F.transform(
-                exclusive_markers("_m", "_e", K.OCR_MARKER_MIN, K.OCR_MARKER_MAX), strip).alias("markers"))
-            .filter(F.size("markers") > 0))
+    markers = exclusive_markers(F.coalesce("ocr_text", empty_strings()), elsewhere, K.OCR_MARKER_MIN, K.OCR_MARKER_MAX)
+    return select_where(records, [F.col("id").alias("record_id")], F.transform(markers, strip), "markers",
+                        lambda m: F.size(m) > 0)
 
 
 def variant_text() -> Column:

@@ -338,3 +338,16 @@ def ss4(spark, sf):
     """The table has no file order: the event id stands in for the line number."""
     events = A.stage_events(log_lines(spark, sf), keep=["event_id"])
     return A.newest_stage(events, ["log_time", "event_id"]).select("stage", "done", "total")
+
+
+@query("sk4_write_topic_snapshot", f"""WITH {Q.REC}
+SELECT genre AS topic, count(*) AS records, min(id) AS first_id FROM records GROUP BY genre""")
+def sk4(spark, sf):
+    """The snapshot is built once; the second load reads it although its builder would fail."""
+    from gleaner.session import work_folder
+    from gleaner.sources.sinks import load_or_build
+
+    path = work_folder(spark, "topics")
+    schema = "topic string, records bigint, first_id string, hashtags array<string>"
+    load_or_build(spark, path, lambda: G.build_topics(stage.records(spark, sf)).drop("facts"), schema)
+    return load_or_build(spark, path, lambda: spark.range(0).selectExpr("raise_error('rebuilt')"), schema).drop("hashtags")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gleaner import constants as K
 from gleaner.functions import facts as C
+from gleaner.functions.text import select_where
 from gleaner.operators import joins as J
 from gleaner.operators import markers as M
 from gleaner.operators.sync import sync_result
@@ -129,9 +130,10 @@ k AS (SELECT *, {Q.strip(f"regexp_replace(regexp_replace(lower(line), '[^a-z0-9
 SELECT id, count(*) AS kept, sum(length(line)) AS chars FROM k
 WHERE said = '' OR NOT (contains(key, ' ') AND contains(sp, key)) GROUP BY id""")
 def jn13(spark, sf):
-    r = stage.records(spark, sf).select("id", C.strip_subtitles("on_screen_text", "transcript_text").alias("kept"))
+    r = select_where(stage.records(spark, sf), ["id"], C.strip_subtitles("on_screen_text", "transcript_text"), "kept",
+                     lambda k: F.size(k) > 0)
     chars = F.aggregate("kept", F.lit(0), lambda s, x: s + F.length(x))
-    return r.filter(F.size("kept") > 0).select("id", F.size("kept").cast("bigint").alias("kept"),
+    return r.select("id", F.size("kept").cast("bigint").alias("kept"),
                                                chars.cast("bigint").alias("chars"))
 
 

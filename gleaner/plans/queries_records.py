@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import url_last_part
+from gleaner.functions.text import renamed_tags, url_last_part
 from gleaner.operators import records as R
 from gleaner.operators import sync as Y
 from gleaner.operators.joins import with_annotations, with_collections
@@ -307,20 +307,17 @@ def st4(spark, sf):
 
 
 @query("st5_rename_tag", f"""WITH {Q.TAGS},
-t AS (SELECT id, list(tag ORDER BY nth) AS tags FROM tags GROUP BY id)
+t AS (SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(list(tag ORDER BY nth) FILTER (tag IS NOT NULL), []) AS tags
+      FROM documents LEFT JOIN tags ON tags.id = CAST(doc_id AS VARCHAR) GROUP BY 1)
 SELECT id, array_to_string(CASE WHEN NOT list_contains(tags, 'the') THEN tags
          WHEN list_contains(tags, 'of') THEN list_filter(tags, lambda x: x <> 'the')
          ELSE list_transform(tags, lambda x: CASE WHEN x = 'the' THEN 'of' ELSE x END) END, ',') AS merged,
        array_to_string(list_filter(tags, lambda x: x <> 'the'), ',') AS deleted, list_contains(tags, 'the') AS changed
 FROM t""")
 def st5(spark, sf):
-    r = stage.records(spark, sf).select("id", "tags").filter(F.size("tags") > 0)
-    merged = R.rename_tag(r, "the", "of")
-    from gleaner.functions.text import renamed_tags
-
-    return (merged.withColumnRenamed("tags", "m").join(r, "id")
-            .select("id", F.array_join("m", ",").alias("merged"),
-                    F.array_join(renamed_tags("tags", "the", ""), ",").alias("deleted"), "changed"))
+    r = stage.records(spark, sf).select("id", "tags")
+    both = R.rename_tag(r.withColumn("deleted", renamed_tags("tags", "the", "")), "the", "of")
+    return both.select("id", F.array_join("tags", ",").alias("merged"), F.array_join("deleted", ",").alias("deleted"), "changed")
 
 
 @query("st6_promote_variant", f"""WITH {Q.REC}

@@ -52,3 +52,13 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="gleaner-work-")
     return f"{folder.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spreads a scan that has fewer partitions than the cluster has cores; otherwise leaves it alone.
+
+    A small file of one row group is read by one task, and text work on it would use one core. A table
+    large enough to matter has many more scan partitions than cores and is never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

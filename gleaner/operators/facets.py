@@ -116,10 +116,10 @@ def top_authors(records: DataFrame, min_saves: int = 2, limit: int = 8) -> DataF
 
 def top_hashtags(records: DataFrame, limit: int = 6, min_chars: int = 3) -> DataFrame:
     """Caption hashtags worth following: letters and digits only, no reach tags."""
-    tag = strip(F.lower(F.ltrim("tag", F.lit("#"))))
-    return (records.select(F.explode("hashtags").alias("tag")).select(tag.alias("tag"))
-            .filter(F.col("tag").rlike(r"^[\p{L}\p{N}]+\z") & (F.length("tag") >= min_chars)
-                    & ~F.col("tag").isin(K.JUNK_HASHTAGS))
+    tags = F.transform("hashtags", lambda h: strip(F.lower(F.ltrim(h, F.lit("#")))))
+    wanted = F.filter(tags, lambda t: (F.length(t) >= min_chars) & t.rlike(r"^[\p{L}\p{N}]+\z")
+                      & ~t.isin(K.JUNK_HASHTAGS))
+    return (records.select(F.explode(wanted).alias("tag"))
             .groupBy("tag").agg(F.count(F.lit(1)).alias("uses"))
             .orderBy(F.desc("uses"), "tag").limit(limit))
 

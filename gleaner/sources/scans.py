@@ -22,12 +22,19 @@ def with_corrupt(schema: str) -> str:
     return f"{schema}, {CORRUPT} string"
 
 
-def _json(spark: SparkSession, path: str, schema: str, strict: bool, multi_line: bool) -> DataFrame:
-    reader = spark.read.option("multiLine", multi_line)
+def _json(spark: SparkSession, path: str, schema: str, strict: bool, whole_files: bool) -> DataFrame:
+    """Parsed documents with `_file`; one per file or one per line.
+
+    The text is parsed by `from_json` rather than by the JSON reader, which refuses to look at
+    malformed rows alone and does not parse at all when no column is asked for.
+    """
+    text = spark.read.text(path, wholetext=whole_files).select("value", F.col("_metadata.file_name").alias("_file"))
+    text = text.filter(F.trim("value") != "")
     if strict:
-        return reader.schema(schema).option("mode", "FAILFAST").json(path)
-    return (reader.schema(with_corrupt(schema)).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", CORRUPT).json(path))
+        parsed = F.from_json("value", schema, {"mode": "FAILFAST"})
+    else:
+        parsed = F.from_json("value", with_corrupt(schema), {"mode": "PERMISSIVE"})
+    return text.select(parsed.alias("r"), "_file").select("r.*", "_file")
 
 
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -40,15 +47,15 @@ def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def scan_records(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """One JSON document per file; the file stem is the id."""
-    df = _json(spark, path, S.RECORD, strict, multi_line=True)
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
+    df = _json(spark, path, S.RECORD, strict, whole_files=True)
+    stem = F.regexp_replace("_file", r"\.json$", "")
     df = df.withColumn("id", F.when(present("id"), F.col("id")).otherwise(F.url_decode(stem)))
-    return split_corrupt(df)[0]
+    return split_corrupt(df)[0].drop("_file")
 
 
 def scan_manifests(spark: SparkSession, path: str) -> DataFrame:
-    df = _json(spark, path, S.MANIFEST, strict=False, multi_line=True)
-    return split_corrupt(df)[0].filter(F.col("slug").isNotNull())
+    df = _json(spark, path, S.MANIFEST, strict=False, whole_files=True)
+    return split_corrupt(df)[0].filter(F.col("slug").isNotNull()).drop("_file")
 
 
 def membership(manifests: DataFrame) -> DataFrame:
@@ -58,7 +65,7 @@ def membership(manifests: DataFrame) -> DataFrame:
 
 def scan_attempt_log(spark: SparkSession, path: str) -> DataFrame:
     """Append-only JSON lines; lines that do not parse are skipped."""
-    return split_corrupt(_json(spark, path, S.ATTEMPT, strict=False, multi_line=False))[0]
+    return split_corrupt(_json(spark, path, S.ATTEMPT, strict=False, whole_files=False))[0].drop("_file")
 
 
 def attempts_from_log(log: DataFrame) -> DataFrame:
@@ -93,7 +100,7 @@ def report_outcomes(reports: DataFrame) -> DataFrame:
 
 
 def scan_run_report(spark: SparkSession, path: str) -> DataFrame:
-    return report_outcomes(split_corrupt(_json(spark, path, S.RUN_REPORT, strict=False, multi_line=True))[0])
+    return report_outcomes(split_corrupt(_json(spark, path, S.RUN_REPORT, strict=False, whole_files=True))[0])
 
 
 def url_lines(lines: DataFrame, value: str = "value", pattern: str = K.PERMALINK) -> tuple[DataFrame, DataFrame]:

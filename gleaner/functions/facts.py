@@ -15,14 +15,15 @@ def _literals(values: list[str]) -> Column:
 
 def is_fragment(text: Column | str) -> Column:
     """A sentence caught half way: too short, dangling at the end, or opening on a function word."""
-    t = F.rtrim(strip(col(text)), F.lit("."))
-    parts = words(t)
-    lowered = F.lower(t)
-    dangling = F.lit(False)
-    for tail in K.FRAGMENT_TAILS:
-        dangling = dangling | lowered.endswith(tail)
-    opens_low = t.rlike(r"^\p{Ll}") & F.lower(F.try_element_at(parts, F.lit(1))).isin(K.FRAGMENT_HEADS)
-    return (F.size(parts) < K.FRAGMENT_MIN_WORDS) | dangling | F.coalesce(opens_low, F.lit(False))
+
+    def judged(t: Column) -> Column:
+        lowered = F.lower(t)
+        dangling = let(lowered, lambda low: F.exists(_literals(K.FRAGMENT_TAILS), low.endswith))
+        first = F.regexp_extract(lowered, r"(?U)^\S+", 0)
+        opens_low = t.rlike(r"^\p{Ll}") & first.isin(K.FRAGMENT_HEADS)
+        return (F.size(words(t)) < K.FRAGMENT_MIN_WORDS) | opens_low | dangling
+
+    return let(F.rtrim(strip(col(text)), F.lit(".")), judged)
 
 
 def fact_words(text: Column | str) -> Column:
@@ -32,11 +33,12 @@ def fact_words(text: Column | str) -> Column:
 
 
 def _overlap(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(a, b))
+    return F.size(F.array_intersect(a, b)).cast("double")
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    return F.try_divide(_overlap(a, b).cast("double"), F.size(F.array_union(a, b)).cast("double"))
+    """Of two arrays without repeats."""
+    return let(_overlap(a, b), lambda n: F.try_divide(n, F.size(a) + F.size(b) - n))
 
 
 def dedupe_facts(facts: Column | str, text_field: str = "text") -> Column:
@@ -76,19 +78,22 @@ def claim_phrases(text: Column | str) -> Column:
 def claim_score(wa: Column, pa: Column, wb: Column, pb: Column) -> Column:
     """Similarity of two claims from their word sets and phrase sets."""
     na, nb = F.size(wa), F.size(wb)
-    shared = _overlap(wa, wb).cast("double")
     shorter = F.least(na, nb)
-    jac = F.try_divide(shared, (na + nb).cast("double") - shared)
-    contained = F.try_divide(shared, shorter.cast("double"))
+
+    def by_words(shared: Column) -> Column:
+        jac, contained = shared / (na + nb - shared), shared / shorter
+        return F.when((shorter >= 2) & (contained >= K.CLAIM_CONTAINMENT), F.greatest(jac, contained)).otherwise(jac)
+
     return (F.when((na == 0) & (nb == 0), F.lit(1.0))
             .when((na == 0) | (nb == 0), F.lit(0.0))
             .when(F.arrays_overlap(pa, pb), F.lit(K.CLAIM_PHRASE_SCORE))
-            .when((shorter >= 2) & (contained >= K.CLAIM_CONTAINMENT), F.greatest(jac, contained))
-            .otherwise(jac))
+            .otherwise(let(_overlap(wa, wb), by_words)))
 
 
 def claim_similarity(a: Column | str, b: Column | str) -> Column:
-    return claim_score(claim_words(a), claim_phrases(a), claim_words(b), claim_phrases(b))
+    keys = F.struct(claim_words(a).alias("wa"), claim_phrases(a).alias("pa"),
+                    claim_words(b).alias("wb"), claim_phrases(b).alias("pb"))
+    return let(keys, lambda k: claim_score(k["wa"], k["pa"], k["wb"], k["pb"]))
 
 
 PAIR = "array<struct<l:int,r:int,score:double>>"

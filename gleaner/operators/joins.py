@@ -115,8 +115,11 @@ def collection_members_from_feed(items: DataFrame, collections: DataFrame) -> Da
     tagged = items.select("id", "pos", F.explode(F.array_distinct("collection_ids")).alias("_cid"))
     mine = tagged.join(collections.select("slug", F.col("id").alias("_cid"), "limit"), "_cid")
     once = mine.groupBy("slug", "id", "limit").agg(F.min("pos").alias("pos"))
+    # the largest cap in the (small) registry lets Spark cut every collection before the shuffle
+    most = collections.agg(F.max("limit")).first()[0] or 0
     rank = F.row_number().over(Window.partitionBy("slug").orderBy("pos"))
-    return once.withColumn("_rn", rank).filter("_rn <= limit").select("slug", "pos", "id")
+    return (once.withColumn("_rn", rank).filter(F.col("_rn") <= most).filter("_rn <= limit")
+            .select("slug", "pos", "id"))
 
 
 def keep_cited(sources: Column, answer: Column, cite: Column) -> Column:

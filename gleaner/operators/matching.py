@@ -1,7 +1,7 @@
 """Claim matching between arms: pairs, agreement, scoreboards, disagreement examples.
 
 A record's facts normally fit one row, so two fact lists are matched inside the row with
-no shuffle beyond bringing the arms together. Records whose lists are longer than
+no shuffle beyond bringing the arms together. Records with more facts than
 `IN_ROW_FACTS` are matched by joins instead (`match_by_rounds`), with the same result.
 """
 
@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from gleaner import constants as K
 from gleaner.functions.facts import (claim_keys, claim_phrases, claim_score, claim_words, matched_diff,
                                      matched_pairs)
+from gleaner.functions.text import let
 from gleaner.operators.facets import top_n_per_group
 from gleaner.operators.prefix import running_rank
 from gleaner.operators.ranking import round_robin
 from gleaner.session import cut_lineage
 
-IN_ROW_FACTS = 64
+IN_ROW_FACTS = 256
 
 
 # --- variants ----------------------------------------------------------------
@@ -67,19 +68,23 @@ def variant_pairs(variants: DataFrame, reference: str) -> DataFrame:
 
 
 # --- matching ----------------------------------------------------------------
-def gather_facts(facts: DataFrame, bound: int = IN_ROW_FACTS) -> tuple[DataFrame, DataFrame]:
-    """Splits facts(record_id, arm, pos, text) into (variants with a `texts` array, facts of longer records).
+def long_records(facts: DataFrame, bound: int) -> DataFrame:
+    """record_id of records with more than `bound` facts over all arms."""
+    return facts.groupBy("record_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bound).select("record_id")
 
-    Only records all of whose arms hold at most `bound` facts are collected.
+
+def gather_pairs(facts: DataFrame, reference: str) -> DataFrame:
+    """(record_id, arm, a, b): the reference's facts beside those of every other arm, as arrays of (pos, text).
+
+    One shuffle: a record's facts are brought together once and split by arm inside the row.
     """
-    sizes = facts.groupBy("record_id", "arm").agg(F.count(F.lit(1)).alias("n"))
-    long = sizes.filter(F.col("n") > bound).select("record_id").distinct()
-    short = facts.join(long, "record_id", "left_anti")
-    rows = short.groupBy("record_id", "arm").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("_facts"))
-    return (rows.select("record_id", "arm", F.transform("_facts", lambda f: f["text"]).alias("texts"),
-                        F.transform("_facts", lambda f: f["pos"]).alias("positions")),
-            facts.join(long, "record_id", "left_semi"))
+    rows = facts.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("arm", "pos", "text"))).alias("_f"))
+    split = rows.select(
+        "record_id", F.filter("_f", lambda f: f["arm"] == reference).alias("a"),
+        F.filter("_f", lambda f: f["arm"] != reference).alias("_rest")).filter(F.size("a") > 0)
+    per_arm = split.select("record_id", "a", "_rest", F.explode(
+        F.array_distinct(F.transform("_rest", lambda f: f["arm"]))).alias("arm"))
+    return per_arm.select("record_id", "arm", "a", F.filter("_rest", lambda f: f["arm"] == F.col("arm")).alias("b"))
 
 
 def diff_texts(df: DataFrame, left: str, right: str) -> DataFrame:
@@ -95,25 +100,27 @@ def match_facts(facts: DataFrame, reference: str, bound: int = IN_ROW_FACTS) ->
     facts(record_id, arm, pos, text) -> (record_id, arm, side, pos, text, other_pos, score): `arm` is the
     candidate arm, `side` is ref or cand, and `other_pos`/`score` are null for unmatched facts.
     """
-    rows, long = gather_facts(facts, bound)
-    pairs = variant_pairs(rows, reference).select(
-        "record_id", F.col("cand.arm").alias("arm"), F.col("ref.texts").alias("a"), F.col("cand.texts").alias("b"),
-        F.col("ref.positions").alias("pa"), F.col("cand.positions").alias("pb"))
-    pairs = pairs.withColumn("pairs", matched_pairs(claim_keys("a"), claim_keys("b")))
-
-    def side(name: str, texts: str, pos: str, mine: str, other: str, other_pos: str) -> Column:
-        def one(t: Column, i: Column) -> Column:
-            hit = F.get(F.filter("pairs", lambda p: p[mine] == i), F.lit(0))
-            return F.struct(F.lit(name).alias("side"), F.get(pos, i).alias("pos"), t.alias("text"),
-                            F.get(other_pos, hit[other]).alias("other_pos"), hit["score"].alias("score"))
-        return F.transform(texts, one)
+    long = long_records(facts, bound)
+    any_long = not long.isEmpty()
+    short = facts.join(long, "record_id", "left_anti") if any_long else facts
+    texts = lambda c: claim_keys(F.transform(c, lambda f: f["text"]))
+    pairs = gather_pairs(short, reference).withColumn("pairs", matched_pairs(texts("a"), texts("b")))
+
+    def side(name: str, facts_: str, mine: str, other: str, other_facts: str) -> Column:
+        def one(v: Column) -> Column:
+            def outcome(f: Column, i: Column) -> Column:
+                hit = F.get(F.filter(v["p"], lambda p: p[mine] == i), F.lit(0))
+                return F.struct(F.lit(name).alias("side"), f["pos"].alias("pos"), f["text"].alias("text"),
+                                F.get(v["o"], hit[other])["pos"].alias("other_pos"), hit["score"].alias("score"))
+            return F.transform(v["f"], outcome)
+        return let(F.struct(F.col(facts_).alias("f"), F.col(other_facts).alias("o"), F.col("pairs").alias("p")), one)
 
     out = pairs.select("record_id", "arm", F.explode(F.concat(
-        side("ref", "a", "pa", "l", "r", "pb"), side("cand", "b", "pb", "r", "l", "pa"))).alias("f")) \
+        side("ref", "a", "l", "r", "b"), side("cand", "b", "r", "l", "a"))).alias("f")) \
         .select("record_id", "arm", "f.*")
-    if long.isEmpty():
+    if not any_long:
         return out
-    return out.unionByName(match_by_rounds(long, reference))
+    return out.unionByName(match_by_rounds(facts.join(long, "record_id", "left_semi"), reference))
 
 
 def match_by_rounds(facts: DataFrame, reference: str) -> DataFrame:

@@ -238,7 +238,7 @@ def jn19(spark, sf):
     items = pages.select("id", F.col("page").alias("pos"), "collection_ids")
     region = stage.table(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("slug"),
                                                      F.col("r_regionkey").cast("string").alias("id"))
-    every = spark.range(1).select(F.lit("all").alias("slug"), F.lit("all").alias("id"))
+    every = region.select(F.lit("all").alias("slug"), F.lit("all").alias("id")).distinct()
     collections = region.unionByName(every).withColumn("limit", F.lit(40))
     return J.collection_members_from_feed(items, collections).select("slug", "id", "pos")
 

@@ -241,7 +241,7 @@ def st1_ids(spark, sf):
     current, pool, dead, landed = sync_tables(spark, sf)
     fresh = Y.new_ids(current, pool, dead)
     failed = fresh.join(landed, "id", "left_anti")
-    retry = spark.range(1).select(F.lit("1-urgent").alias("source"))
+    retry = current.select("source").distinct().filter(F.col("source").startswith("1"))
     lists = {"seen": Y.advance_ids(dead, fresh), "dead": Y.advance_dead(dead, failed, retry)}
     return union(d.groupBy("source").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
                  .withColumn("list", F.lit(n)) for n, d in lists.items())
@@ -360,7 +360,7 @@ def st8(spark, sf):
     changes = stage.table(spark, sf, "labels").filter("quality = 1").select(
         F.col("doc_id").alias("id"), F.lit("accepted").alias("new_state"))
     moved, unknown = Y.set_candidate_state(candidate_store(spark, sf), changes)
-    queued = spark.range(1).select(F.lit("https://example.org/e/4").alias("url"))
+    queued = candidate_store(spark, sf).select("url").distinct().filter(F.col("url").endswith("/4"))
     return union([
         moved.groupBy(F.col("state").alias("value")).agg(F.count("*").alias("n")).withColumn("what", F.lit("state")),
         unknown.agg(F.count("*").alias("n")).select(F.lit("").alias("value"), "n", F.lit("unknown").alias("what")),

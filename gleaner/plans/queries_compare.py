@@ -62,14 +62,14 @@ matched AS (
 
 
 @query("jn11_match_facts", f"""WITH RECURSIVE {MATCH}
-SELECT record_id, arm, side, pos, other_pos, round(score, 9) AS score FROM matched""")
+SELECT record_id, arm, side, pos, other_pos, round(score, 9) AS score FROM matched""", filled=["other_pos", "score"])
 def jn11(spark, sf):
     out = V.match_facts(claims(spark, sf), REFERENCE)
     return out.select("record_id", "arm", "side", "pos", "other_pos", F.round("score", 9).alias("score"))
 
 
 @query("jn11_match_by_rounds", f"""WITH RECURSIVE {MATCH}
-SELECT record_id, arm, side, pos, other_pos, round(score, 9) AS score FROM matched""")
+SELECT record_id, arm, side, pos, other_pos, round(score, 9) AS score FROM matched""", filled=["other_pos", "score"])
 def jn11_rounds(spark, sf):
     """The same matches with every record treated as too long for one row."""
     out = V.match_by_rounds(claims(spark, sf), REFERENCE)
@@ -113,13 +113,13 @@ def board(where: str = "") -> str:
   (count(*) FILTER (facts = 0))::DOUBLE / count(*) AS empty_rate FROM measures {where} GROUP BY arm"""
 
 
-@query("ag8_arm_scoreboard", f"WITH {MEASURES} {board()}")
+@query("ag8_arm_scoreboard", f"WITH {MEASURES} {board()}", bigint=["facts", "tags", "summary_chars", "structured_fields"])
 def ag8(spark, sf):
     return V.scoreboard(measures(spark, sf))
 
 
 @query("ag8_scoreboard_of_sample", f"""WITH {MEASURES}
-{board("WHERE record_id IN (SELECT doc_id FROM labels WHERE quality = 1)")}""")
+{board("WHERE record_id IN (SELECT doc_id FROM labels WHERE quality = 1)")}""", bigint=["facts", "tags", "summary_chars", "structured_fields"])
 def ag8_sample(spark, sf):
     sample = stage.table(spark, sf, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"))
     return V.scoreboard(measures(spark, sf), sample)

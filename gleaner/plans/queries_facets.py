@@ -53,7 +53,7 @@ SELECT l_returnflag AS genre, 0 AS level, count(*) AS records, sum(CAST(l_quanti
        sum(l_linenumber) AS tokens_out,
        CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS cost_usd FROM lineitem GROUP BY l_returnflag
 UNION ALL SELECT NULL, 1, count(*), sum(CAST(l_quantity AS BIGINT)), sum(l_linenumber),
-       CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) FROM lineitem""")
+       CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) FROM lineitem""", bigint=["tokens_in", "tokens_out"])
 def ag3(spark, sf):
     li = stage.table(spark, sf, "lineitem").select(
         F.col("l_returnflag").alias("genre"), F.struct(
@@ -66,7 +66,7 @@ def ag3(spark, sf):
 @query("ag3_estimated_cost", f"""WITH {Q.REC},
 c AS (SELECT id, n_chars * 3.0 + length(genre) * 15.0 AS micros FROM records)
 SELECT r.genre, count(*) AS records, sum(CAST(c.micros AS BIGINT)) AS micro_usd
-FROM records r JOIN c ON c.id = r.id GROUP BY r.genre""")
+FROM records r JOIN c ON c.id = r.id GROUP BY r.genre""", bigint=["micro_usd"])
 def ag3_cost(spark, sf):
     """Token prices in whole millionths, so that sums are exact."""
     from gleaner.functions.answers import record_cost
@@ -157,7 +157,7 @@ def ag14(spark, sf):
 
 @query("ag15_source_outcomes", f"""WITH {SYNC}
 SELECT source AS name, 0 AS level, current, new, ingested, failed, (failed > 100)::BIGINT AS errors FROM result
-UNION ALL SELECT NULL, 1, sum(current), sum(new), sum(ingested), sum(failed), count(*) FILTER (failed > 100) FROM result""")
+UNION ALL SELECT NULL, 1, sum(current), sum(new), sum(ingested), sum(failed), count(*) FILTER (failed > 100) FROM result""", bigint=["current", "new", "ingested", "failed"])
 def ag15(spark, sf):
     from gleaner.operators.sync import sync_result
 

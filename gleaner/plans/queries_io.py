@@ -19,7 +19,7 @@ PERMISSIVE = {"mode": "PERMISSIVE"}
 
 @query("sc1_scan_records", f"""WITH {Q.REC}
 SELECT id, title0 AS title, genre, likes, len(lines) AS n_facts,
-       coalesce(list_sum(list_transform(lines, lambda x: length(x))), 0) AS fact_chars FROM records""")
+       coalesce(list_sum(list_transform(lines, lambda x: length(x))), 0) AS fact_chars FROM records""", bigint=["fact_chars"])
 def sc1(spark, sf):
     r = stage.records(spark, sf).select("id", "title", "genre", "likes", "facts")
     landed = r.select(F.to_json(F.struct(*r.columns)).alias("value"))
@@ -55,7 +55,7 @@ def sc3(spark, sf):
 
 @query("sc4_scan_keyed_json", """
 SELECT 'k' AS key, count(*) AS n, sum(CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS BIGINT)) AS total
-FROM events WHERE regexp_matches(props, '"k": *-?[0-9]+')""")
+FROM events WHERE regexp_matches(props, '"k": *-?[0-9]+')""", bigint=["total"])
 def sc4(spark, sf):
     rows = scans.keyed_json(stage.table(spark, sf, "events"), "props", "bigint", "key")
     return rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
@@ -204,7 +204,7 @@ LOG = """log AS (
 
 @query("sc12_scan_run_log", f"""WITH {LOG}
 SELECT stage, count(*) AS n, max(done) AS done, max(total) AS total,
-       strftime(max(log_time), '%Y-%m-%d %H:%M:%S') AS last FROM log WHERE stage IS NOT NULL GROUP BY stage""")
+       strftime(max(log_time), '%Y-%m-%d %H:%M:%S') AS last FROM log WHERE stage IS NOT NULL GROUP BY stage""", filled=["done", "total"])
 def sc12(spark, sf):
     return stage_events(log_lines(spark, sf)).groupBy("stage").agg(
         F.count("*").alias("n"), F.max("done").alias("done"), F.max("total").alias("total"),

@@ -92,7 +92,7 @@ def jn8(spark, sf):
 
 @query("jn9_sources_with_state", """
 SELECT s_name AS name, s_nationkey AS nation, n_name AS last_run, n_regionkey AS records
-FROM supplier LEFT JOIN nation ON 'Supplier#' || lpad(CAST(n_nationkey AS VARCHAR), 9, '0') = s_name""")
+FROM supplier LEFT JOIN nation ON 'Supplier#' || lpad(CAST(n_nationkey AS VARCHAR), 9, '0') = s_name""", filled=["records"])
 def jn9(spark, sf):
     src = stage.table(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
     state = stage.table(spark, sf, "nation").select(
@@ -128,7 +128,7 @@ l AS (SELECT id, said, regexp_replace(regexp_replace(lower(said), '[^a-z0-9 ]',
 k AS (SELECT *, {Q.strip(f"regexp_replace(regexp_replace(lower(line), '[^a-z0-9 ]', ' ', 'g'), '{Q.WS}+', ' ', 'g')")}
              AS key FROM l)
 SELECT id, count(*) AS kept, sum(length(line)) AS chars FROM k
-WHERE said = '' OR NOT (contains(key, ' ') AND contains(sp, key)) GROUP BY id""")
+WHERE said = '' OR NOT (contains(key, ' ') AND contains(sp, key)) GROUP BY id""", bigint=["chars"])
 def jn13(spark, sf):
     r = select_where(stage.records(spark, sf), ["id"], C.strip_subtitles("on_screen_text", "transcript_text"), "kept",
                      lambda k: F.size(k) > 0)

@@ -236,7 +236,7 @@ result AS (
 seen AS (SELECT source, id FROM dead UNION SELECT source, id FROM fresh),
 gone AS (SELECT source, id FROM dead WHERE source <> '1-urgent' UNION SELECT source, id FROM failed)
 SELECT 'seen' AS list, source, count(*) AS n, sum(id) AS ids FROM seen GROUP BY source
-UNION ALL SELECT 'dead', source, count(*), sum(id) FROM gone GROUP BY source""")
+UNION ALL SELECT 'dead', source, count(*), sum(id) FROM gone GROUP BY source""", bigint=["ids"])
 def st1_ids(spark, sf):
     current, pool, dead, landed = sync_tables(spark, sf)
     fresh = Y.new_ids(current, pool, dead)
@@ -297,7 +297,7 @@ def st3(spark, sf):
 patch AS (SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN lang = 'fr' THEN true END AS read, text AS note FROM documents)
 SELECT coalesce(a.id, p.id) AS id, a.starred, coalesce(p.read, a.read) AS read, a.archived,
        md5(coalesce(substring(p.note, 1, 2000), a.note)) AS note
-FROM annotations a FULL JOIN patch p ON p.id = a.id""")
+FROM annotations a FULL JOIN patch p ON p.id = a.id""", shown=["starred", "read", "archived"])
 def st4(spark, sf):
     patches = stage.table(spark, sf, "documents").select(
         stage.text_of("doc_id").alias("id"), F.lit(None).cast("boolean").alias("starred"),
@@ -343,7 +343,7 @@ def st6(spark, sf):
 
 @query("st7_union_sources", """
 SELECT CAST(doc_id AS VARCHAR) AS id, n_chars AS likes, length(text) AS chars FROM documents
-UNION ALL SELECT 'p' || page_id, NULL, length(html) FROM pages""")
+UNION ALL SELECT 'p' || page_id, NULL, length(html) FROM pages""", filled=["likes"])
 def st7(spark, sf):
     media = stage.records(spark, sf).select("id", "caption", "likes")
     text = stage.table(spark, sf, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("html").alias("caption"))

@@ -22,7 +22,7 @@ def stream_of(spark, sf, name):
 @query("ss1_sync_stream", """
 WITH i AS (SELECT 's' || length(CAST(user_id AS VARCHAR)) AS source, CAST(user_id AS VARCHAR) AS id, event_id AS pos FROM events)
 SELECT 'pool' AS list, source, id, min(pos) AS pos FROM i WHERE id NOT LIKE '%7' GROUP BY ALL
-UNION ALL SELECT DISTINCT 'dead', source, id, NULL FROM i WHERE id LIKE '%7'""")
+UNION ALL SELECT DISTINCT 'dead', source, id, NULL FROM i WHERE id LIKE '%7'""", filled=["pos"])
 def ss1(spark, sf):
     """First event of a user is its item; ids ending in 7 never land. The second run takes nothing."""
     root = work_folder(spark, "sync")

@@ -114,7 +114,7 @@ l AS (SELECT id, rtrim({Q.strip('line')}, '.') AS t FROM (SELECT id, unnest(line
 w AS (SELECT id, t, list_filter(string_split_regex(t, '{Q.WS}+'), lambda x: x <> '') AS ws FROM l)
 SELECT id, count(*) AS kept, sum(length(t)) AS chars FROM w
 WHERE len(ws) >= 4 AND NOT regexp_matches(lower(t), '( and| the| a| to| of| so| but| that| with)$')
-  AND NOT (regexp_matches(t, '^\\p{{Ll}}') AND list_contains([{HEADS}], lower(ws[1]))) GROUP BY id""")
+  AND NOT (regexp_matches(t, '^\\p{{Ll}}') AND list_contains([{HEADS}], lower(ws[1]))) GROUP BY id""", bigint=["chars"])
 def tx6(spark, sf):
     lines = stage.records(spark, sf).select("id", F.explode("ocr_text").alias("line"))
     kept = lines.filter(~C.is_fragment("line"))
@@ -138,7 +138,7 @@ s AS (
          ELSE list_append(s.kept, s.i + 1) END
   FROM s JOIN n ON n.conv_id = s.conv_id AND n.turn = s.turn AND s.i < n.n
   LEFT JOIN dup d ON d.conv_id = s.conv_id AND d.turn = s.turn AND d.i = s.i + 1)
-SELECT s.conv_id, s.turn, len(kept) AS kept, list_sum(kept) AS positions FROM s JOIN n ON n.conv_id = s.conv_id AND n.turn = s.turn AND s.i = n.n""")
+SELECT s.conv_id, s.turn, len(kept) AS kept, list_sum(kept) AS positions FROM s JOIN n ON n.conv_id = s.conv_id AND n.turn = s.turn AND s.i = n.n""", bigint=["positions"])
 def tx7(spark, sf):
     c = stage.table(spark, sf, "conversations")
     lines = F.concat(F.split("text", "\n"), F.split(F.lower("text"), "\n"))
@@ -273,7 +273,7 @@ def tx16(spark, sf):
 
 @query("tx17_price_arm", """
 SELECT event_id, CASE event_type WHEN 'view' THEN 5.0 WHEN 'click' THEN 1.0 WHEN 'error' THEN 0.0 ELSE 3.0 END AS price_in,
-       CASE event_type WHEN 'view' THEN 25.0 WHEN 'click' THEN 5.0 WHEN 'error' THEN 0.0 ELSE 15.0 END AS price_out FROM events""")
+       CASE event_type WHEN 'view' THEN 25.0 WHEN 'click' THEN 5.0 WHEN 'error' THEN 0.0 ELSE 15.0 END AS price_out FROM events""", double=["price_in", "price_out"])
 def tx17(spark, sf):
     model = (F.when(F.col("event_type") == "view", "Big-OPUS-9").when(F.col("event_type") == "click", "haiku-x")
              .when(F.col("event_type") == "error", "qwen-opus").when(F.col("event_type") == "signup", "sonnet").otherwise("other"))

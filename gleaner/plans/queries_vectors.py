@@ -98,7 +98,7 @@ def jn3(spark, sf):
 
 
 @query("vx1_embed_texts", r"""
-SELECT doc_id, 64 AS dim, CASE WHEN regexp_matches(text, '[\p{L}\p{N}]') THEN 1.0 ELSE 0.0 END AS norm FROM documents""")
+SELECT doc_id, 64 AS dim, CASE WHEN regexp_matches(text, '[\p{L}\p{N}]') THEN 1.0 ELSE 0.0 END AS norm FROM documents""", double=["norm"])
 def vx1(spark, sf):
     """Every text with a word has a unit vector of the asked size; others have the zero vector."""
     out = E.hashing_embedder(64)(stage.table(spark, sf, "documents"), "text", "vec")

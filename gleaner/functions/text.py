@@ -82,7 +82,7 @@ def normalise_tags(raw: Column | str, limit: int = K.MAX_TAGS) -> Column:
     than the same expressions once per array element.
     """
     sep = "\\x{0}"
-    joined = F.array_join(F.transform(col(raw), lambda t: F.replace(t, F.lit("\0"), F.lit(""))), "\0")
+    joined = F.array_join(F.transform(F.array_distinct(col(raw)), lambda t: F.replace(t, F.lit("\0"), F.lit(""))), "\0")
     slugs = F.regexp_replace(F.lower(joined), f"{WS}*{sep}{WS}*", "\0")
     slugs = F.regexp_replace(strip(slugs), WS + "+", "-")
     slugs = F.regexp_replace(slugs, f"[^a-z0-9{sep}-]", "")

@@ -41,7 +41,8 @@ def topic_counts(records: DataFrame) -> DataFrame:
 
 def topic_hashtags(records: DataFrame, n: int = 10) -> DataFrame:
     """(topic, tag, uses, rank): most used lower-cased hashtags, first seen first on ties."""
-    tags = records.select(topic_key().alias("topic"), "id", F.posexplode("hashtags").alias("pos", "tag"))
+    keyed = records.select(topic_key().alias("topic"), "id", "hashtags")   # before the explode, not per tag
+    tags = keyed.select("topic", "id", F.posexplode("hashtags").alias("pos", "tag"))
     uses = tags.groupBy("topic", F.lower("tag").alias("tag")).agg(
         F.count(F.lit(1)).alias("uses"), F.min(F.struct("id", "pos")).alias("first"))
     return top_n_per_group(uses, ["topic"], [F.desc("uses"), "first"], n).drop("first")
@@ -49,8 +50,8 @@ def topic_hashtags(records: DataFrame, n: int = 10) -> DataFrame:
 
 def topic_facts(records: DataFrame, n: int = 40) -> DataFrame:
     """(topic, id, pos, text, timestamp, rank): first facts in record order."""
-    facts = records.select(topic_key().alias("topic"), "id",
-                           F.posexplode("facts").alias("pos", "fact"))
+    keyed = records.select(topic_key().alias("topic"), "id", "facts")
+    facts = keyed.select("topic", "id", F.posexplode("facts").alias("pos", "fact"))
     return (top_n_per_group(facts, ["topic"], ["id", "pos"], n)
             .select("topic", "id", "pos", "fact.text", "fact.timestamp", "rank"))
 
@@ -195,10 +196,11 @@ def resource_bucket(item: Column, context_hits: Column, context_head: Column) ->
 def resource_digest(records: DataFrame, membership: DataFrame | None = None) -> DataFrame:
     """(bucket, id, pos, item, title, url[, collections]): one row per named resource."""
     context = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("title", "summary", "caption")])
-    found = records.select(
+    per_record = records.select(
         "id", "url", strip("title").alias("title"), F.regexp_extract(context, CONTEXT_HEAD, 0).alias("_head"),
         F.array(*[context.rlike(pattern) for _, pattern in K.RESOURCE_BUCKETS]).alias("_hits"),
-        F.posexplode(named_resources("structured", F.transform("facts", lambda f: f["text"]))).alias("pos", "item"))
+        named_resources("structured", F.transform("facts", lambda f: f["text"])).alias("_items"))
+    found = per_record.select("id", "url", "title", "_head", "_hits", F.posexplode("_items").alias("pos", "item"))
     rows = found.select(resource_bucket(F.col("item"), F.col("_hits"), F.col("_head")).alias("bucket"),
                         "id", "pos", "item", "title", "url")
     if membership is None:

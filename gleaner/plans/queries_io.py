@@ -246,9 +246,34 @@ def sk3(spark, sf):
     return sinks.export_lines(stage.records(spark, sf))
 
 
-@query("sk5_record_pages")
+NL = "chr(10)"
+PAGE_FACTS = ("array_to_string(list_transform(lines, lambda x, i: '| `' || ((i - 1) * 8 // 60) || ':' || "
+              "lpad(CAST((i - 1) * 8 % 60 AS VARCHAR), 2, '0') || '` | ' || x || ' |'), chr(10))")
+PAGE_SAID = "array_to_string(list_transform(lines, lambda x, i: '- `[' || ((i - 1) * 4) || '.0s]` ' || x), chr(10))"
+
+
+@query("sk5_record_pages", f"""WITH {Q.REC},
+m AS (SELECT *, regexp_extract_all(caption, '#([\\p{{L}}\\p{{N}}_]+)', 1) AS hs,
+             regexp_extract_all(caption, '@([\\p{{L}}\\p{{N}}_.]+)', 1) AS ms FROM records)
+SELECT id, md5(concat_ws({NL} || {NL},
+  '---' || {NL} || 'title: "' || title0 || '"' || {NL} || 'author: "' || author || '"' || {NL} || 'date: ""' || {NL} ||
+    'source: "' || url || '"' || {NL} || 'id: "' || id || '"' || {NL} || '---' || {NL} || {NL} || '# ' || title0,
+  '| | |' || {NL} || '|---|---|' || {NL} || '| **Author** | ' || author || ' |' || {NL} || '| **Date** | — |' || {NL} ||
+    '| **Source** | [' || url || '](' || url || ') |' || {NL} || '| **Likes** | ' || format('{{:,}}', likes) || ' |' ||
+    CASE WHEN n_chars <> 0 THEN {NL} || '| **Duration** | ' || CAST(round_even(n_chars / 8.0, 0) AS BIGINT) || 's |' ELSE '' END,
+  '**Genre:** `' || genre || '`',
+  CASE WHEN coalesce(summary, '') <> '' THEN '## Summary' || {NL} || {NL} || summary END,
+  '## Details' || {NL} || {NL} || '**Topic:**' || {NL} || genre || {NL} || {NL} || '**Name:**' || {NL} || author,
+  CASE WHEN len(lines) > 0 THEN '## Key facts (with provenance)' || {NL} || {NL} || '| At | Fact |' || {NL} ||
+    '|----|------|' || {NL} || {PAGE_FACTS} END,
+  CASE WHEN caption <> '' THEN '## Caption' || {NL} || {NL} || caption ||
+    CASE WHEN len(hs) > 0 THEN {NL} || {NL} || '**Hashtags:** #' || array_to_string(hs, ' #') ELSE '' END ||
+    CASE WHEN len(ms) > 0 THEN {NL} || {NL} || '**Mentions:** @' || array_to_string(ms, ' @') ELSE '' END END,
+  CASE WHEN array_to_string(odd_lines, ' ') <> '' THEN '## Transcript' || {NL} || {NL} || {PAGE_SAID} END,
+  CASE WHEN len(lines) > 0 THEN '## On-screen text' || {NL} || {NL} || '- ' || array_to_string(lines, {NL} || '- ') END,
+  '---' || {NL} || '*Scraped  · [original](' || url || ')*')) AS page FROM m""")
 def sk5(spark, sf):
-    return sinks.record_pages(stage.records(spark, sf))
+    return sinks.record_pages(stage.records(spark, sf)).select("id", F.md5("page").alias("page"))
 
 
 def doc_members(spark, sf):

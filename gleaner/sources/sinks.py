@@ -138,8 +138,7 @@ def record_pages(records: DataFrame) -> DataFrame:
     facts = F.concat(F.lit("| At | Fact |\n|----|------|\n"), _bullets(F.col("facts"), lambda f: F.concat(
         F.lit("| `"), clock(f["timestamp"]), F.lit("` | "), f["text"], F.lit(" |"))))
     marks = F.concat_ws("\n", *[
-        F.when(F.size(c) > 0, F.concat(F.lit(f"\n**{name}:** "), F.array_join(
-            F.transform(c, lambda t, s=sign: F.concat(F.lit(s), t)), " ")))
+        F.when(F.size(c) > 0, F.concat(F.lit(f"\n**{name}:** {sign}"), F.array_join(c, f" {sign}")))
         for name, c, sign in (("Hashtags", "hashtags", "#"), ("Mentions", "mentions", "@"))])
     size = lambda c: F.coalesce(F.array_size(c), F.lit(0)) > 0
     parts = [

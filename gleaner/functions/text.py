@@ -39,10 +39,19 @@ def select_where(df: DataFrame, keys: list[str | Column], value: Column, name: s
     """`keys` and `value` where `keep(value)`, with the value worked out once.
 
     A filter on a projected expression is pushed below the projection and runs the expression twice;
-    a generator is a barrier to that.
+    an outer generator is a barrier to that. Null values are left out too.
     """
     one = F.array(F.struct(value.alias(name)))
-    return df.select(*keys, F.inline(F.filter(one, lambda s: keep(s[name]))))
+    return df.select(*keys, F.inline_outer(F.filter(one, lambda s: keep(s[name])))).filter(F.col(name).isNotNull())
+
+
+def explode_once(df: DataFrame, keys: list[str | Column], items: Column | str, pos: str, name: str) -> DataFrame:
+    """posexplode of an array expression that is worked out once.
+
+    For a plain explode Spark adds "array is not empty" filters below it, and each evaluates the
+    array again; the outer form gets none.
+    """
+    return df.select(*keys, F.posexplode_outer(items).alias(pos, name)).filter(F.col(pos).isNotNull())
 
 
 def present(c: Column | str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gleaner import constants as K
 from gleaner.functions.answers import record_cost
-from gleaner.functions.text import col, empty_strings, or_else, present, strip
+from gleaner.functions.text import col, empty_strings, explode_once, or_else, present, strip
 
 
 def top_n_per_group(df: DataFrame, keys: list[str], order: list, n: int, rank: str = "rank") -> DataFrame:
@@ -42,7 +42,7 @@ def topic_counts(records: DataFrame) -> DataFrame:
 def topic_hashtags(records: DataFrame, n: int = 10) -> DataFrame:
     """(topic, tag, uses, rank): most used lower-cased hashtags, first seen first on ties."""
     keyed = records.select(topic_key().alias("topic"), "id", "hashtags")   # before the explode, not per tag
-    tags = keyed.select("topic", "id", F.posexplode("hashtags").alias("pos", "tag"))
+    tags = explode_once(keyed, ["topic", "id"], "hashtags", "pos", "tag")
     uses = tags.groupBy("topic", F.lower("tag").alias("tag")).agg(
         F.count(F.lit(1)).alias("uses"), F.min(F.struct("id", "pos")).alias("first"))
     return top_n_per_group(uses, ["topic"], [F.desc("uses"), "first"], n).drop("first")
@@ -51,7 +51,7 @@ def topic_hashtags(records: DataFrame, n: int = 10) -> DataFrame:
 def topic_facts(records: DataFrame, n: int = 40) -> DataFrame:
     """(topic, id, pos, text, timestamp, rank): first facts in record order."""
     keyed = records.select(topic_key().alias("topic"), "id", "facts")
-    facts = keyed.select("topic", "id", F.posexplode("facts").alias("pos", "fact"))
+    facts = explode_once(keyed, ["topic", "id"], "facts", "pos", "fact")
     return (top_n_per_group(facts, ["topic"], ["id", "pos"], n)
             .select("topic", "id", "pos", "fact.text", "fact.timestamp", "rank"))
 
@@ -120,7 +120,7 @@ def top_hashtags(records: DataFrame, limit: int = 6, min_chars: int = 3) -> Data
     tags = F.transform("hashtags", lambda h: strip(F.lower(F.ltrim(h, F.lit("#")))))
     wanted = F.filter(tags, lambda t: (F.length(t) >= min_chars) & t.rlike(r"^[\p{L}\p{N}]+\z")
                       & ~t.isin(K.JUNK_HASHTAGS))
-    return (records.select(F.explode(wanted).alias("tag"))
+    return (explode_once(records, [], wanted, "pos", "tag")
             .groupBy("tag").agg(F.count(F.lit(1)).alias("uses"))
             .orderBy(F.desc("uses"), "tag").limit(limit))
 
@@ -200,7 +200,7 @@ def resource_digest(records: DataFrame, membership: DataFrame | None = None) ->
         "id", "url", strip("title").alias("title"), F.regexp_extract(context, CONTEXT_HEAD, 0).alias("_head"),
         F.array(*[context.rlike(pattern) for _, pattern in K.RESOURCE_BUCKETS]).alias("_hits"),
         named_resources("structured", F.transform("facts", lambda f: f["text"])).alias("_items"))
-    found = per_record.select("id", "url", "title", "_head", "_hits", F.posexplode("_items").alias("pos", "item"))
+    found = explode_once(per_record, ["id", "url", "title", "_head", "_hits"], "_items", "pos", "item")
     rows = found.select(resource_bucket(F.col("item"), F.col("_hits"), F.col("_head")).alias("bucket"),
                         "id", "pos", "item", "title", "url")
     if membership is None:

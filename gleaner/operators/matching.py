@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gleaner import constants as K
 from gleaner.functions.facts import (claim_keys, claim_phrases, claim_score, claim_words, matched_diff,
                                      matched_pairs)
-from gleaner.functions.text import let
+from gleaner.functions.text import explode_once, let
 from gleaner.operators.facets import top_n_per_group
 from gleaner.operators.prefix import running_rank
 from gleaner.operators.ranking import round_robin
@@ -115,9 +115,8 @@ def match_facts(facts: DataFrame, reference: str, bound: int = IN_ROW_FACTS) ->
             return F.transform(v["f"], outcome)
         return let(F.struct(F.col(facts_).alias("f"), F.col(other_facts).alias("o"), F.col("pairs").alias("p")), one)
 
-    out = pairs.select("record_id", "arm", F.explode(F.concat(
-        side("ref", "a", "l", "r", "b"), side("cand", "b", "r", "l", "a"))).alias("f")) \
-        .select("record_id", "arm", "f.*")
+    out = explode_once(pairs, ["record_id", "arm"], F.concat(
+        side("ref", "a", "l", "r", "b"), side("cand", "b", "r", "l", "a")), "_i", "f").select("record_id", "arm", "f.*")
     if not any_long:
         return out
     return out.unionByName(match_by_rounds(facts.join(long, "record_id", "left_semi"), reference))

@@ -62,7 +62,7 @@ def export_lines(records: DataFrame) -> DataFrame:
         F.struct(F.lit(2).alias("line_no"),
                  F.when(present("summary"), F.concat(F.lit("  - "), "summary")).alias("text"))),
         lambda x: x["text"].isNotNull())
-    rows = records.select(stat_genre().alias("genre"), "id", F.inline(lines))
+    rows = records.select(stat_genre().alias("genre"), "id", F.inline_outer(lines))   # never empty: see explode_once
     heads = records.select(stat_genre().alias("genre")).distinct().select(
         "genre", F.lit("").alias("id"), F.lit(0).alias("line_no"),
         F.concat(F.lit("## "), "genre").alias("text"))

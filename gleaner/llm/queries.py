@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontamination, sharding
+from gleaner.llm import decontamination, html_extract, sharding, url_filter
 from gleaner.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,24 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_histogram_sort_sharding")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes; equal texts side by side."""
-    placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 16)
-    return placed.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"),
+    placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 16, payload=F.crc32(F.coalesce("text", F.lit(""))))
+    return placed.select("doc_id", "size", F.col("payload").alias("text_crc32"), F.lit("bytes").alias("law"),
                          "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+OP2_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query("op2_url_filter")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url under the rules; the rest by trees that learned from the urls the rules decide."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rule = url_filter.matching_rule(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")), OP2_RULES)
+    model = url_filter.train(pages.select("url", (rule["verdict"] == "block").alias("blocked")))
+    return url_filter.judge(pages, OP2_RULES, model).select("page_id", "judged.*")
+
+
+@query("op5_site_template_removal")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))

@@ -95,9 +95,10 @@ def _cut_fine(keys: DataFrame, edges: list[int], rows: list[int], total: int, mo
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col: str = "text",
-                   tolerance: float = 0.005, probes: int = 64, slot_rows: int = 5_000) -> DataFrame:
-    """(id, text, size, shard, slot) of every row; shards are key ranges whose sizes differ by little.
+                   payload: Column | None = None, tolerance: float = 0.005, probes: int = 64, slot_rows: int = 5_000) -> DataFrame:
+    """(id, payload, size, shard, slot) of every row; shards are key ranges whose sizes differ by little.
 
+    payload: what goes through the exchange with each row; the text itself where none is given.
     size: UTF-8 bytes of the text plus 1. tolerance: how far a shard's border may lie from its target, as a part
     of a mean shard; where single rows are larger than that the nearest border counts. slot: gapless from 0 in
     the shard, in key order. slot_rows: rows that one task sorts at most; it rises with the table so that at most
@@ -107,7 +108,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id",
     slots; other columns are left out; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).select(
-        "id", "text", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"),
+        "id", (F.col("text") if payload is None else payload).alias("payload"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"),
         sort_key(F.col("text"), F.col("id")).alias("key"))
     keys = written(rows.select("key", "size"), "shard-keys")
     splitters, rows_below, total = find_splitters(keys, shards, tolerance, probes)
@@ -125,4 +126,4 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id",
     within = Window.partitionBy("at.shard", "at.bin").orderBy("key", "id")
     return (rows.withColumn("at", place("key"))
             .withColumn("slot", (F.row_number().over(within) - 1 + F.col("at.skip")).cast("bigint"))
-            .select(F.col("id").alias(id_col), F.col("text").alias(text_col), "size", F.col("at.shard").alias("shard"), "slot"))
+            .select(F.col("id").alias(id_col), F.col("payload").alias(text_col if payload is None else "payload"), "size", F.col("at.shard").alias("shard"), "slot"))

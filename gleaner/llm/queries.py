@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontamination, html_extract, knn_join, sharding, url_filter
+from gleaner.llm import decontamination, html_extract, knn_join, secrets, sharding, url_filter
 from gleaner.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,13 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten highest integer inner products of every hundredth vector against all others."""
     return knn_join.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+@query("op3_secret_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: the fixed patterns and what the character models add."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(secrets.labelled_tokens(docs)))
+    n = [secrets.count_kind(F.col("found.base"), k).alias(f"n_{name}") for k, (name, *_) in enumerate(secrets.BASE)]
+    return found.select("doc_id", *n, F.sha2(secrets.shown(F.col("found.base")), 256).alias("base_sha256"),
+                        secrets.shown(F.col("found.spans")).alias("spans"))

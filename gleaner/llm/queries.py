@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontamination, html_extract, knn_join, secrets, sharding, url_filter
+from gleaner.llm import decontamination, html_extract, knn_join, minhash, secrets, sharding, url_filter
 from gleaner.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = [secrets.count_kind(F.col("found.base"), k).alias(f"n_{name}") for k, (name, *_) in enumerate(secrets.BASE)]
     return found.select("doc_id", *n, F.sha2(secrets.shown(F.col("found.base")), 256).alias("base_sha256"),
                         secrets.shown(F.col("found.spans")).alias("spans"))
+
+
+@query("op8_bbit_minhash_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of the documents by 4-word shingles."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4)

@@ -52,11 +52,9 @@ def _blend(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the `width`-word shingles; a shorter text is one shingle, one without words none."""
-    if not text:
-        return np.zeros(0, np.uint64)
-    words = text.encode("utf-8", "surrogatepass").lower().split()
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the `width`-word shingles in order; a shorter text is one shingle, one without words none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
     ids = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
@@ -64,7 +62,11 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     h = np.full(len(ids) - k + 1, k, np.uint64)
     for j in range(k):
         h = _blend(h * _MIX + ids[j:len(ids) - k + 1 + j])
-    return np.unique(h)
+    return h
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, width))
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontamination, html_extract, knn_join, minhash, secrets, sharding, url_filter
+from gleaner.llm import compact_windows, decontamination, html_extract, knn_join, minhash, secrets, sharding, url_filter
 from gleaner.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of the documents by 4-word shingles."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
+@query("op10_compact_windows")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that documents repeat."""
+    return compact_windows.duplicate_passages(table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import compact_windows, decontamination, html_extract, knn_join, minhash, secrets, sharding, url_filter
+from gleaner.llm import compact_windows, decontamination, html_extract, knn_join, language_crf, minhash, secrets, sharding, url_filter
 from gleaner.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that documents repeat."""
     return compact_windows.duplicate_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op7_language_crf")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document's text; learned from three quarters of the documents."""
+    docs = table(spark, sf_dir, "documents")
+    out = language_crf.held_out(F.col("doc_id"))
+    model = language_crf.fit(language_crf.sample(docs.filter(~out).select("text", "lang")))
+    found = language_crf.identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")

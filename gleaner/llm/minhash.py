@@ -6,12 +6,11 @@
    kept and packed, 32 to a long.
 3. Members of a bucket are candidates. Where the packed signatures' matching fields, corrected for chance matches of
    two bits, say that a pair lies far below the threshold, it goes no further. The rest is confirmed on full sets.
-4. Nothing lists all pairs of a bucket. In round after round every bucket compares its members with one of them, the
-   centre; confirmed links make components. Members of a bucket that are all of one component need no more comparing;
-   in the others every member that has been centre retires and another takes over. The centre comes from the smallest
-   component in the bucket, so that a large group of near copies beside a few strangers ends after as many rounds as
-   there are strangers. After `star_rounds` rounds the few buckets left are compared in tiles of bounded size by
-   signature, leaving out pairs that are linked already.
+4. Nothing lists all pairs of a bucket. First every bucket compares its members with one of them, the centre: the member
+   whose buckets hold the most rows in all, which in a group of near copies is the text they come from. Confirmed links
+   make components. Buckets whose other members are all of one component need no more comparing. In the rest the members
+   are dealt into tiles; each pair of tiles is one task of bounded size, which compares signatures, counts the common
+   shingles of the pairs left and returns only links that join two components.
 """
 
 from __future__ import annotations
@@ -180,36 +179,81 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
         100 * F.col("common") >= percent * (F.size("left") + F.size("right") - F.col("common"))).select("a", "b")
 
 
-def _tile_pairs(left: DataFrame, least: int, n: int, tile: int) -> DataFrame:
-    """Pairs of a bucket's members in different components whose signatures match well, from tiles of at most 2 · tile rows."""
+def _common(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray, columns: int = 4_096) -> np.ndarray:
+    """Sizes of the intersections of sets[one] with sets[two], by products of 0/1 matrices over slices of the shingles."""
+    used = np.concatenate([one, two])
+    value = np.concatenate([sets[i] for i in used])
+    row = np.repeat(np.arange(len(used)), [len(sets[i]) for i in used])
+    known, at, n = np.unique(value, return_inverse=True, return_counts=True)
+    place = np.where(n > 1, np.cumsum(n > 1) - 1, -1)[at]
+    keep = place >= 0
+    row, place = row[keep], place[keep]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    out = np.zeros((len(one), len(two)), np.float32)
+    for c in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+        lo, hi = np.searchsorted(place, [c, c + columns])
+        m = np.zeros((len(used), columns), np.float32)
+        m[row[lo:hi], place[lo:hi] - c] = 1
+        out += m[:len(one)] @ m[len(one):].T
+    return out.astype(np.int64)
+
+
+def _tile_links(left: DataFrame, full: DataFrame, percent: int, least: int, n: int, tile: int) -> DataFrame:
+    """Confirmed links (a, b) between different components in a bucket, from groups of at most 2 · tile rows; of the links of a
+    group only as many as join its components."""
     size = written(left.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "near-sizes")
     dealt = left.join(size, "key").withColumn("tiles", F.ceil(F.col("members") / tile).cast("int")) \
-        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).join(full, "id")
     # tile pair (lo, hi): each row goes to the pairs its own tile is part of
-    copies = dealt.select("key", "id", "component", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")) \
-        .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    copies = dealt.select("key", "id", "component", "sig", "set", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")) \
+        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "component", "sig", "set", "own")
 
     def compare(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
         ids, comp, own = (group.column(c).to_numpy() for c in ("id", "component", "own"))
-        sig = np.array(group.column("sig").to_pylist(), dtype=np.int64).view(np.uint64)
+        sig = group.column("sig").combine_chunks()
+        sig = sig.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).view(np.uint64)
         lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
         one, two = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        a, b = [], []
-        for i in one:
+        if not len(one) or not len(two):
+            return pa.table([np.zeros(0, np.int64)] * 2, ["a", "b"])
+        near = np.zeros((len(one), len(two)), bool)
+        for r, i in enumerate(one):
             d = sig[i] ^ sig[two]
             equal = n - np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(ODD)).sum(axis=1)
-            at = two[(equal >= least) & (comp[two] != comp[i])]
-            if lo == hi:
-                at = at[ids[at] > ids[i]]
-            a.append(np.full(len(at), ids[i]))
-            b.append(ids[at])
-        return pa.table([np.concatenate(a) if a else np.zeros(0, np.int64), np.concatenate(b) if b else np.zeros(0, np.int64)], ["a", "b"])
+            near[r] = (equal >= least) & (comp[two] != comp[i])
+        rows, cols = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+        a, b = [], []
+        if len(rows):
+            flat = group.column("set").combine_chunks()
+            cuts, values = flat.offsets.to_numpy(), flat.values.to_numpy(zero_copy_only=False)
+            sets = [values[cuts[i]:cuts[i + 1]] for i in range(len(ids))]
+            length = np.diff(cuts)
+            both = _common(sets, one[rows], two[cols])
+            union = length[one[rows]][:, None] + length[two[cols]][None] - both
+            root = {c: c for c in comp.tolist()}
+
+            def find(c):
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            for r, c in np.argwhere((100 * both >= percent * union) & near[np.ix_(rows, cols)]):
+                i, j = one[rows[r]], two[cols[c]]
+                x, y = find(int(comp[i])), find(int(comp[j]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    a.append(int(ids[i]))
+                    b.append(int(ids[j]))
+        return pa.table([np.array(a, np.int64), np.array(b, np.int64)], ["a", "b"])
 
     return copies.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80,
-                    bands: int = 32, rows: int = 5, star_rounds: int = 2, tile: int = 256) -> DataFrame:
+                    bands: int = 32, rows: int = 5, tile: int = 256) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row.
 
     Documents are linked when 100 · |A ∩ B| >= percent · |A ∪ B| for their shingle sets; component_id is the smallest id
@@ -227,28 +271,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     left = _mixed_buckets(members)
     full = _full_sets(texts.filter("id is not null"), left.select("id").distinct(), width)
     least = least_matches(n, percent / 100)
-    links = None
-    for turn in range(star_rounds + 1):
-        if left.isEmpty():
-            break
-        last = turn == star_rounds
-        if last:
-            pairs = _tile_pairs(left, least, n, tile)
-        else:
-            centres = written(_centres(left), "near-centres")
-            pairs = left.join(centres, "key").filter((F.col("component") != F.col("own")) & (matching_fields(
-                F.col("sig"), F.col("c_sig"), n) >= least)).select(F.col("id").alias("a"), F.col("centre").alias("b"))
-        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-        new = _confirmed(pairs, full, percent)
-        links = written(new if links is None else links.unionAll(new), "near-links")
-        if not last:
-            rest = left.join(centres.select("key", "centre"), "key").filter("id <> centre").drop("centre", "component")
-            left = _mixed_buckets(rest.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    centres = written(_centres(left), "near-centres")
+    pairs = left.join(centres, "key").filter((F.col("id") != F.col("centre")) & (matching_fields(F.col("sig"), F.col("c_sig"), n) >= least)) \
+        .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
+    links = written(_confirmed(written(pairs.distinct(), "near-pairs"), full, percent), "near-links")
+    rest = left.join(centres.select("key", "centre"), "key").filter("id <> centre").drop("centre", "component")
+    left = _mixed_buckets(rest.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    links = links.unionAll(written(_tile_links(left, full, percent, least, n, tile), "near-links"))
     roots = classes.select("digest", "holder")
-    if links is not None:
-        roots = roots.join(components(links).withColumnRenamed("id", "holder"), "holder", "left")
-    else:
-        roots = roots.withColumn("component", F.col("holder"))
+    roots = roots.join(components(links).withColumnRenamed("id", "holder"), "holder", "left")
     roots = written(roots.select("digest", F.coalesce("component", "holder").alias("root")), "near-roots")
     return (signed.select("id", "n", "digest").join(roots, "digest", "left")
             .withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("root", "id")))
@@ -265,9 +296,8 @@ def _mixed_buckets(members: DataFrame) -> DataFrame:
 
 
 def _centres(left: DataFrame) -> DataFrame:
-    """(key, centre, c_sig, own): per bucket a member of its smallest component; equal sizes go by a hash of the id that is the
-    same in all buckets, so that near copies meet the same centre everywhere."""
-    first = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(
-        F.xxhash64("id").alias("h"), "id", "sig")).alias("m"))
-    best = first.groupBy("key").agg(F.min(F.struct("size", "m", F.col("component").alias("own"))).alias("x"))
-    return best.select("key", F.col("x.m.id").alias("centre"), F.col("x.m.sig").alias("c_sig"), "x.own")
+    """(key, centre, c_sig): of each bucket the member whose buckets hold the most rows in all, ties to the smaller id."""
+    sizes = written(left.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "near-sizes")
+    weight = written(left.select("key", "id").join(sizes, "key").groupBy("id").agg(F.sum("members").alias("weight")), "near-weights")
+    best = left.join(weight, "id").groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), "id", "sig")).alias("m"))
+    return best.select("key", F.col("m.id").alias("centre"), F.col("m.sig").alias("c_sig"))

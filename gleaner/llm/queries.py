@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import compact_windows, decontamination, html_extract, knn_join, language_crf, minhash, secrets, sharding, url_filter
+from gleaner.llm import compact_windows, decontamination, html_extract, knn_join, language_crf, minhash, packing, secrets, sharding, url_filter
 from gleaner.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_crf.fit(language_crf.sample(docs.filter(~out).select("text", "lang")))
     found = language_crf.identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_lexical_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))

@@ -103,26 +103,55 @@ def _scan(items: list, n: int, spark):
     return scan
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, *, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text_col: str = "text", max_broadcast_words: int = 2_000_000) -> DataFrame:
-    """Per document row: (id, n_words, spans of hit words as (first, last), items found as sorted texts).
-
-    Null and empty texts have no words and no hits; items without words are never found; repeated items and
-    equal rows each count; a null item id is left out; other columns are left out; an empty benchmark gives no hits.
-    """
-    spark = docs.sparkSession
-    tests = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")) \
+def item_slices(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> list[list[tuple[str, list[bytes]]]]:
+    """The items with their words, cut into slices of about `most` words."""
+    tests = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")) \
         .filter(F.col("item").isNotNull() & F.col("text").isNotNull())
     slices: list[list] = [[]]
     held = 0
-    # toLocalIterator holds one partition at a time; a slice is cut as soon as it is full
+    # toLocalIterator holds one partition at a time
     for r in tests.toLocalIterator():
         words = words_of(r.text)
-        if held and held + len(words) > max_broadcast_words:
+        if held and held + len(words) > most:
             slices.append([])
             held = 0
         slices[-1].append((r.item, words))
         held += len(words)
+    return slices
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, *, text_col: str = "text", item_col: str = "item_id",
+                         item_text_col: str = "text", max_broadcast_words: int = 2_000_000) -> DataFrame:
+    """The rows of `docs` in which no window of any item occurs, with all their columns. Texts without words stay."""
+    place = docs.columns.index(text_col)
+    for items in item_slices(benchmark, item_col, item_text_col, max_broadcast_words):
+        docs = docs.mapInArrow(_keep_clean(items, n, place, docs.sparkSession), docs.schema)
+    return docs
+
+
+def _keep_clean(items: list, n: int, place: int, spark):
+    held = spark.sparkContext.broadcast(items)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(held.value, n)
+        number = windows.numbers.get
+        for b in batches:
+            clean = [next(windows.hits(np.array([number(w, -1) for w in words_of(t)], dtype=np.int64)), None) is None
+                     for t in b.column(place).to_pylist()]
+            yield b.filter(pa.array(clean, pa.bool_()))
+
+    return keep
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, *, id_col: str = "doc_id", text_col: str = "text",
+                  item_col: str = "item_id", item_text_col: str = "text", max_broadcast_words: int = 2_000_000) -> DataFrame:
+    """Per document row: (id, n_words, spans of hit words as (first, last), items found as sorted texts).
+
+    Null and empty texts have no words and no hits; items without words are never found; repeated items and
+    equal rows each count; a null item id is left out; other columns are left out; an empty benchmark gives no hits.
+    """
+    spark = docs.sparkSession
+    slices = item_slices(benchmark, item_col, item_text_col, max_broadcast_words)
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     if len(slices) == 1:

@@ -248,11 +248,14 @@ def identify(docs: DataFrame, model: CrfModel | None, *, text_col: str = "text",
     added = ("lang_pred", "score", "n_words")
     names = [c for c in (docs.columns if keep is None else keep) if c not in added]
     held = docs.sparkSession.sparkContext.broadcast(model)
+    carried = text_col in names and docs.schema[text_col].dataType.simpleString() == "string"
+    place = names.index(text_col) if carried else len(names)
+    more = [] if carried else [F.col(text_col).cast("string").alias("_text")]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(held.value) if held.value else None
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(place).to_pylist()
             label, score, count = [UNKNOWN] * len(texts), [0.0] * len(texts), [0] * len(texts)
             waiting: list[tuple[int, list[str]]] = []
             size = 0
@@ -270,7 +273,7 @@ def identify(docs: DataFrame, model: CrfModel | None, *, text_col: str = "text",
             cols = [batch.column(i) for i in range(len(names))] + [pa.array(label, pa.string()), pa.array(score, pa.float64()), pa.array(count, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, [f"c{i}" for i in range(len(cols))])
 
-    source = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(text_col).cast("string").alias("_text"))
+    source = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], *more)
     kinds = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)] + [
         f"c{len(names)} string", f"c{len(names) + 1} double", f"c{len(names) + 2} long"]
     return source.mapInArrow(predict, ", ".join(kinds)).toDF(*names, *added)

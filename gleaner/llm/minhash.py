@@ -51,9 +51,12 @@ def _blend(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_hashes(text: str | None, width: int) -> np.ndarray:
-    """Hashes of the `width`-word shingles in order; a shorter text is one shingle, one without words none."""
+def shingle_hashes(text: str | None, width: int, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Hashes of the `width`-word shingles in order, of all or from one to another; a shorter text is one shingle, one without
+    words none."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if last is not None:
+        words = words[first:last + width]
     if not words:
         return np.zeros(0, np.uint64)
     ids = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
@@ -301,3 +304,13 @@ def _centres(left: DataFrame) -> DataFrame:
     weight = written(left.select("key", "id").join(sizes, "key").groupBy("id").agg(F.sum("members").alias("weight")), "near-weights")
     best = left.join(weight, "id").groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), "id", "sig")).alias("m"))
     return best.select("key", F.col("m.id").alias("centre"), F.col("m.sig").alias("c_sig"))
+
+
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", broadcast_ids: int = 1_000_000, **how) -> DataFrame:
+    """The rows of `docs` without those that `near_duplicates` does not keep: one document of each component stays.
+
+    Up to `broadcast_ids` dropped ids (8 MB) are sent to the rows, beyond that rows and ids are shuffled.
+    """
+    dropped = written(near_duplicates(docs, id_col=id_col, **how).filter("not kept").select(id_col), "near-dropped")
+    side = F.broadcast(dropped) if dropped.count() <= broadcast_ids else dropped
+    return docs.join(side, id_col, "left_anti")

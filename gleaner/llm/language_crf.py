@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.llm.shared import about
+
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 STRETCH = 64
@@ -157,16 +159,18 @@ def fit(samples: list[tuple[str, str]], *, epochs: int = 3, stretch: int = 24, l
     return model
 
 
-def sample(labelled: DataFrame, *, per_label: int = 300, max_labels: int = 64, chars: int = 2_000) -> list[tuple[str, str]]:
-    """A bounded sample of (text, lang): of each label the `per_label` texts with the smallest hash, of each text a stretch of at
-    most `chars` characters from a place the hash names; of more than `max_labels` labels those with the most texts."""
-    rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(
-        "text is not null and lang is not null")
+def sample(labelled: DataFrame, *, key_col: str = "doc_id", per_label: int = 300, max_labels: int = 64, chars: int = 2_000,
+           max_rows: int = 100_000) -> list[tuple[str, str]]:
+    """A bounded sample of (text, lang): of about `max_rows` rows chosen by their key's hash, of each label the `per_label` texts
+    with the smallest hash, of each text a stretch of at most `chars` characters from a place the hash names; of more than
+    `max_labels` labels those with the most texts."""
+    rows = about(labelled.filter("text is not null and lang is not null"), F.col(key_col), max_rows).select(
+        F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64(key_col).alias("h"))
     most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_labels).collect()
-    h = F.xxhash64("text")
+    h = F.col("h")
     place = F.pmod(h, F.greatest(F.length("text") - chars, F.lit(1))).cast("int")
     short = rows.filter(F.col("lang").isin([r.lang for r in most])).select(
-        "lang", h.alias("h"), F.substring(F.col("text"), place + 1, F.lit(chars)).alias("text"))
+        "lang", "h", F.substring(F.col("text"), place + 1, F.lit(chars)).alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     picked = short.withColumn("r", rank).filter(F.col("r") <= per_label).select("text", "lang").collect()
     return sorted((r.text, r.lang) for r in picked)

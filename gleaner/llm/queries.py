@@ -119,7 +119,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document's text; learned from three quarters of the documents."""
     docs = table(spark, sf_dir, "documents")
     out = language_crf.held_out(F.col("doc_id"))
-    model = language_crf.fit(language_crf.sample(docs.filter(~out).select("text", "lang")))
+    model = language_crf.fit(language_crf.sample(docs.filter(~out)))
     found = language_crf.identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 

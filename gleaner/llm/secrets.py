@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import let
+from gleaner.llm.shared import about
 
 ASSIGN = (r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"""
           r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -143,14 +144,15 @@ def count_kind(spans: Column, kind: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
 
 
-def labelled_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 1_000, least: int = 8) -> DataFrame:
+def labelled_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 1_000, max_rows: int = 100_000,
+                    least: int = 8) -> DataFrame:
     """(token, secret) from a bounded sample: values of fixed-pattern matches, and the other tokens of documents without any.
 
-    Of either kind at most `max_docs` documents are used, those with the smallest hash of their id.
+    Of about `max_rows` documents chosen by their id's hash, at most `max_docs` of either kind are used.
     """
     quick = "|".join(q for *_, q in BASE)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64(id_col).alias("h"), text.alias("text"))
+    rows = about(docs, F.col(id_col), max_rows).select(F.xxhash64(id_col).alias("h"), text.alias("text"))
     some = [rows.filter(F.regexp_like("text", F.lit(quick)) == has).orderBy("h", "text").limit(max_docs) for has in (True, False)]
     hits = [long_enough(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)), enough) for _, pattern, group, enough, _ in BASE]
     plain = F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_=-]{%d,}" % least), F.lit(0))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +26,10 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def conf_int(spark: SparkSession, key: str, default: int) -> int:
-    """The leading number of a setting."""
-    found = re.match(r"\d+", spark.conf.get(key, None) or "")
-    return int(found[0]) if found else default
+def about(df: DataFrame, key: Column, rows: int) -> DataFrame:
+    """A sample of about `rows` rows (all, if there are fewer), the same ones every time: those whose key's hash is small enough.
+
+    For fitting models: what later picks rows by rank then sorts a bounded number of them, however many there are.
+    """
+    share = rows / max(df.count(), 1)
+    return df if share >= 1 else df.filter(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)))

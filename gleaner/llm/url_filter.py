@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import ascii_lower
+from gleaner.llm.shared import about, ascii_lower
 
 ALLOW, BLOCK = "allow", "block"
 
@@ -114,15 +114,17 @@ class UrlModel:
                 .drop(*[f"_f_{k}" for k in parts], "_features", "_raw", "_probability", "_prediction"))
 
 
-def train(labelled: DataFrame, *, max_sample: int = 20_000, iterations: int = 20, depth: int = 4, top_suffixes: int = 64,
+def train(labelled: DataFrame, *, max_sample: int = 20_000, max_rows: int = 200_000, iterations: int = 20, depth: int = 4, top_suffixes: int = 64,
           seed: int = 7) -> UrlModel:
-    """Fits on (url, blocked boolean). Each label gives at most max_sample / 2 distinct URLs, by their hash.
+    """Fits on (url, blocked boolean). Of about max_rows rows chosen by the URL's hash, each label gives at most max_sample / 2
+    distinct URLs.
 
     Suffixes beyond the `top_suffixes` most frequent ones of the sample get the base rate. Rows with a null url or
     label are left out. Without rows the verdict is allow; with one label only, that label.
     """
     spark = labelled.sparkSession
-    rows = labelled.filter(F.col("url").isNotNull() & F.col("blocked").isNotNull()).select("url", "blocked").distinct()
+    rows = about(labelled.filter(F.col("url").isNotNull() & F.col("blocked").isNotNull()), F.col("url"), max_rows) \
+        .select("url", "blocked").distinct()
     ends = suffixes(host_of(F.col("url")))
     shown = rows.select("blocked", *[c.alias(k) for k, c in lexical_features(F.col("url")).items()], ends[0].alias("_e0"), ends[1].alias("_e1"),
                         F.xxhash64("url").alias("_h"))

@@ -81,10 +81,10 @@ def stage_events(lines: DataFrame, value: str = "value", keep: list[str] | None
     tagged = F.regexp_extract(v, K.LOG_STAGE, 1)
     listing = F.contains(v, F.lit("collection ")) & F.contains(v, F.lit(" page "))
     stage = F.when(tagged != "", tagged).when(listing, "enumerate")
-    count = lambda g: F.when(tagged != "", F.try_to_number(F.regexp_extract(v, K.LOG_COUNT, g), F.lit("999999999")))
+    count = lambda g: F.when(tagged != "", F.regexp_extract(v, K.LOG_COUNT, g).try_cast("bigint"))
     return (lines.select(
         *(keep or []), F.try_to_timestamp(F.substring(v, 1, 19), F.lit("yyyy-MM-dd HH:mm:ss")).alias("log_time"),
-        stage.alias("stage"), count(1).cast("bigint").alias("done"), count(2).cast("bigint").alias("total"))
+        stage.alias("stage"), count(1).alias("done"), count(2).alias("total"))
         .filter("stage IS NOT NULL"))
 
 

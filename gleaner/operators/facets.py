@@ -15,9 +15,20 @@ from gleaner.functions.answers import record_cost
 from gleaner.functions.text import col, empty_strings, explode_once, or_else, present, strip
 
 
-def top_n_per_group(df: DataFrame, keys: list[str], order: list, n: int, rank: str = "rank") -> DataFrame:
-    """First n rows per group; Spark cuts each map task to n per group before the shuffle."""
+SPARK_CUTS_BELOW = 1_000      # default of spark.sql.optimizer.windowGroupLimitThreshold
+
+
+def top_n_per_group(df: DataFrame, keys: list[str], order: list, n: int, rank: str = "rank", blocks: int = 64) -> DataFrame:
+    """First n rows per group.
+
+    For small n Spark cuts each map task to n rows per group before the shuffle. It does not for large n, so there a group
+    is dealt into blocks, each is ranked and cut to n, and only those rows are ranked together.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
+    if n >= SPARK_CUTS_BELOW:
+        dealt = df.withColumn("_block", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c not in keys]), F.lit(blocks)))
+        inside = Window.partitionBy(*keys, "_block").orderBy(*order)
+        df = dealt.withColumn("_in_block", F.row_number().over(inside)).filter(F.col("_in_block") <= n).drop("_block", "_in_block")
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 
 
@@ -30,8 +41,18 @@ def stat_genre(genre: Column | str = "genre") -> Column:
 
 
 def section_genre(genre: Column | str = "genre") -> Column:
+    """The digest section of a genre; whatever has no section of its own goes to `other`."""
     g = F.lower(or_else(genre, "other"))
-    return F.when(g.isin(K.GENRES), g).otherwise("other")
+    return F.when(g.isin([s for s, _ in K.SECTIONS]), g).otherwise("other")
+
+
+def section_order(section: Column) -> Column:
+    """1-based place of a section in the digest."""
+    return F.array_position(F.array(*[F.lit(s) for s, _ in K.SECTIONS]), section).cast("int")
+
+
+def section_label(section: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for s in K.SECTIONS for x in s]), section)
 
 
 def topic_counts(records: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import empty_strings, let, present
+from gleaner.operators.prefix import running_rank
 
 FLAGS = ("starred", "read", "archived")
 
@@ -110,16 +111,14 @@ def collection_members_from_feed(items: DataFrame, collections: DataFrame) -> Da
     """(slug, pos, id): the feed's items by the collection ids they carry, all collections in one pass.
 
     items(id, pos, collection_ids), collections(slug, id, limit). First occurrence of an item counts;
-    `limit` is the source's own cap.
+    `limit` is the source's own cap; a null one is no cap.
     """
     tagged = items.select("id", "pos", F.explode(F.array_distinct("collection_ids")).alias("_cid"))
     mine = tagged.join(collections.select("slug", F.col("id").alias("_cid"), "limit"), "_cid")
     once = mine.groupBy("slug", "id", "limit").agg(F.min("pos").alias("pos"))
-    # the largest cap in the (small) registry lets Spark cut every collection before the shuffle
-    most = collections.agg(F.max("limit")).first()[0] or 0
-    rank = F.row_number().over(Window.partitionBy("slug").orderBy("pos"))
-    return (once.withColumn("_rn", rank).filter(F.col("_rn") <= most).filter("_rn <= limit")
-            .select("slug", "pos", "id"))
+    capped = running_rank(once.filter("limit IS NOT NULL").withColumn("_block", F.expr("pos div 100000")), ["slug"], ["_block"], ["pos"], "_rn")
+    return (capped.filter("_rn <= limit").select("slug", "pos", "id")
+            .unionByName(once.filter("limit IS NULL").select("slug", "pos", "id")))
 
 
 def keep_cited(sources: Column, answer: Column, cite: Column) -> Column:

@@ -176,17 +176,20 @@ def ag16(spark, sf):
 
 
 @query("ag17_collection_header", """
-SELECT lower(c_mktsegment) AS slug, count(*) AS records, count(DISTINCT c_name) AS authors, 1 AS genres
+SELECT lower(c_mktsegment) AS slug, count(*) AS records, count(DISTINCT c_name) AS authors,
+       count(DISTINCT CASE o_orderstatus WHEN 'O' THEN 'news' ELSE 'other' END) AS genres
 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
 def ag17(spark, sf):
     m = stage.table(spark, sf, "orders").join(
         stage.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
-        F.lower("c_mktsegment").alias("slug"), F.col("c_name").alias("author"), F.col("o_orderstatus").alias("genre"))
+        F.lower("c_mktsegment").alias("slug"), F.col("c_name").alias("author"),
+        F.when(F.col("o_orderstatus") == "O", "News").when(F.col("o_orderstatus") == "F", "entertainment").alias("genre"))
     return G.collection_header(m)
 
 
 @query("ag17_collection_sections", f"""WITH {Q.REC}
-SELECT 'c-' || author AS slug, 'other' AS genre, count(*) AS records FROM records GROUP BY author""")
+SELECT 'c-' || author AS slug, CASE genre WHEN 'en' THEN 'product' WHEN 'fr' THEN 'tutorial' ELSE 'other' END AS genre,
+       count(*) AS records FROM records GROUP BY ALL""")
 def ag17_sections(spark, sf):
     return G.collection_sections(doc_members(spark, sf))
 

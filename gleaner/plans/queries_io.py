@@ -277,8 +277,10 @@ def sk5(spark, sf):
 
 
 def doc_members(spark, sf):
-    """documents on the shelf of their source, in id order."""
-    r = stage.records(spark, sf)
+    """documents on the shelf of their source, in id order; languages stand for two genres with a section and two without."""
+    genre = F.when(F.col("genre") == "en", "Product").when(F.col("genre") == "fr", "tutorial").when(F.col("genre") == "de", "recipe") \
+        .otherwise("unknown")
+    r = stage.records(spark, sf).withColumn("genre", genre)
     return r.withColumn("slug", F.concat(F.lit("c-"), "author")).withColumn("pos", F.col("id").cast("bigint")) \
         .withColumnRenamed("id", "record_id")
 
@@ -293,16 +295,21 @@ CARD_FACTS = ("array_to_string(list_transform(lines, lambda x, i: '- ' || ((i -
               "lpad(CAST((i - 1) * 8 % 60 AS VARCHAR), 2, '0') || ' ' || x), chr(10))")
 
 
+SECTION = """CASE genre WHEN 'en' THEN 'product' WHEN 'fr' THEN 'tutorial' ELSE 'other' END"""
+SECTION_AT = """CASE genre WHEN 'en' THEN 1 WHEN 'fr' THEN 2 ELSE 5 END"""
+
+
 @query("sk6_collection_digest", f"""WITH {Q.REC},
-m AS (SELECT *, 'c-' || author AS slug FROM records)
+m AS (SELECT *, 'c-' || author AS slug, {SECTION} AS own, {SECTION_AT} AS place FROM records)
 SELECT slug, 0 AS section, -1 AS pos, '# ' || upper(any_value(author)) || ' — ' || count(*) ||
-       CASE WHEN count(*) = 1 THEN ' record' ELSE ' records' END || ' · 1 creators · 1 genres' AS text
+       CASE WHEN count(*) = 1 THEN ' record' ELSE ' records' END || ' · 1 creators · ' || count(DISTINCT own) || ' genres' AS text
 FROM m GROUP BY slug
-UNION ALL SELECT slug, 7, -1, 'Other (' || count(*) || ')' FROM (SELECT slug FROM m) GROUP BY slug
-UNION ALL SELECT slug, 7, doc_id, concat_ws(chr(10), '### ' || title, author || ' · other',
+UNION ALL SELECT slug, place, -1, '## ' || CASE place WHEN 1 THEN 'Products & Tools' WHEN 2 THEN 'Tutorials & Walkthroughs' ELSE 'Other' END
+       || ' (' || count(*) || ')' FROM m GROUP BY slug, place
+UNION ALL SELECT slug, place, doc_id, concat_ws(chr(10), '### ' || title, author || ' · ' || own,
        'likes ' || format('{{:,}}', likes), CASE WHEN coalesce(summary, '') <> '' THEN summary END,
        CASE WHEN len(lines) > 0 THEN 'Facts (' || len(lines) || '):' || chr(10) || {CARD_FACTS} END,
-       '<' || url || '>') FROM m""".replace("'Other ('", "'## Other ('"))
+       '<' || url || '>') FROM m""")
 def sk6(spark, sf):
     out = sinks.digest_lines(doc_members(spark, sf), doc_collections(spark, sf))
     return out.withColumn("pos", F.col("pos").cast("bigint"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,41 +26,26 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by `spark.checkpoint.dir`.
-
-    A folder is made up only for a local master that names none (tests).
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="gleaner-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
-def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder for intermediate tables, under the cluster's shared `spark.checkpoint.dir`.
-
-    Made up locally only where none is named and the master is local (tests).
-    """
+def shared_folder(spark: SparkSession) -> str:
+    """`spark.checkpoint.dir`. Where it is unset and Spark runs in this one process, a folder that goes when the process ends."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="gleaner-work-")
-    return f"{folder.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        folder = tempfile.mkdtemp(prefix="gleaner-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder named by `spark.checkpoint.dir`."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spreads a scan that has fewer partitions than the cluster has cores; otherwise leaves it alone.
 
-    A small file of one row group is read by one task, and text work on it would use one core. A table
-    large enough to matter has many more scan partitions than cores and is never shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+def work_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder for intermediate tables, under the cluster's shared `spark.checkpoint.dir`."""
+    return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

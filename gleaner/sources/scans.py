@@ -29,11 +29,15 @@ def _json(spark: SparkSession, path: str, schema: str, strict: bool, whole_files
     malformed rows alone and does not parse at all when no column is asked for.
     """
     text = spark.read.text(path, wholetext=whole_files).select("value", F.col("_metadata.file_name").alias("_file"))
-    text = text.filter(F.trim("value") != "")
+    blank = F.trim("value") == ""
+    if not whole_files:
+        text = text.filter(~blank)   # an empty line is no row
     if strict:
-        parsed = F.from_json("value", schema, {"mode": "FAILFAST"})
-    else:
-        parsed = F.from_json("value", with_corrupt(schema), {"mode": "PERMISSIVE"})
+        parsed = F.when(blank, F.raise_error(F.concat(F.lit("empty file "), "_file"))).otherwise(
+            F.from_json("value", schema, {"mode": "FAILFAST"}))
+        return text.select(parsed.alias("r"), "_file").select("r.*", "_file")
+    # the parser makes nothing of a blank text: it is a reject like any other text without an object
+    parsed = F.from_json(F.when(blank, "?").otherwise(F.col("value")), with_corrupt(schema), {"mode": "PERMISSIVE"})
     return text.select(parsed.alias("r"), "_file").select("r.*", "_file")
 
 
@@ -53,6 +57,12 @@ def scan_records(spark: SparkSession, path: str, strict: bool = True) -> DataFra
     return split_corrupt(df)[0].drop("_file")
 
 
+def record_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text) of the record files a scan that is not strict leaves out, empty ones included."""
+    return (_json(spark, path, S.RECORD, False, whole_files=True).filter(F.col(CORRUPT).isNotNull())
+            .select(F.col("_file").alias("file"), F.col(CORRUPT).alias("text")))
+
+
 def scan_manifests(spark: SparkSession, path: str) -> DataFrame:
     df = _json(spark, path, S.MANIFEST, strict=False, whole_files=True)
     return split_corrupt(df)[0].filter(F.col("slug").isNotNull()).drop("_file")
@@ -75,9 +85,15 @@ def attempts_from_log(log: DataFrame) -> DataFrame:
                       F.coalesce("ok", F.lit(False)).alias("ok"), F.coalesce("seconds", F.lit(0.0)).alias("seconds"))
 
 
-def keyed_json(df: DataFrame, value: Column | str, entry: str, key: str = "id") -> DataFrame:
-    """Rows of a `{key: object}` store held as JSON text: (key, fields…)."""
-    parsed = F.from_json(F.col(value) if isinstance(value, str) else value, f"map<string,{entry}>")
+def keyed_json(df: DataFrame, value: Column | str, entry: str, key: str = "id", strict: bool = True) -> DataFrame:
+    """Rows of a `{key: object}` store held as JSON text: (key, fields…).
+
+    A text that is no such object fails the job; without `strict` it is left out and can be had from `keyed_rejects`.
+    """
+    text = F.col(value) if isinstance(value, str) else value
+    parsed = F.from_json(text, f"map<string,{entry}>")
+    if strict:
+        parsed = F.when(text.isNotNull() & not_an_object(text), F.raise_error(F.lit("a store that is no JSON object"))).otherwise(parsed)
     rows = df.select(F.explode(parsed).alias(key, "_e"))
     fields = [f.name for f in rows.schema["_e"].dataType.fields] if isinstance(
         rows.schema["_e"].dataType, T.StructType) else None
@@ -86,8 +102,18 @@ def keyed_json(df: DataFrame, value: Column | str, entry: str, key: str = "id")
     return rows.select(key, *[F.col("_e")[f].alias(f) for f in fields if f != key])
 
 
-def scan_keyed_json(spark: SparkSession, path: str, entry: str, key: str = "id") -> DataFrame:
-    return keyed_json(spark.read.text(path, wholetext=True), "value", entry, key)
+def not_an_object(text: Column) -> Column:
+    return F.coalesce(~F.startswith(F.trim(text), F.lit("{")) | F.json_object_keys(text).isNull(), F.lit(True))
+
+
+def keyed_rejects(df: DataFrame, value: Column | str) -> DataFrame:
+    """The texts `keyed_json` cannot read."""
+    text = F.col(value) if isinstance(value, str) else value
+    return df.select(text.alias(CORRUPT)).filter(F.col(CORRUPT).isNotNull() & not_an_object(F.col(CORRUPT)))
+
+
+def scan_keyed_json(spark: SparkSession, path: str, entry: str, key: str = "id", strict: bool = True) -> DataFrame:
+    return keyed_json(spark.read.text(path, wholetext=True), "value", entry, key, strict)
 
 
 def report_outcomes(reports: DataFrame) -> DataFrame:

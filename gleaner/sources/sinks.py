@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import clock, col, empty_strings, or_else, present
-from gleaner.operators.facets import section_genre, stat_genre
+from gleaner.operators.facets import section_genre, section_label, section_order, stat_genre
 from gleaner.operators.sync import upsert
 
 
@@ -159,9 +159,7 @@ def record_pages(records: DataFrame) -> DataFrame:
 
 # --- collection digests ------------------------------------------------------
 def digest_cards(members: DataFrame) -> DataFrame:
-    """(slug, section, genre, pos, id, text): one card per member; sections in fixed genre order."""
-    from gleaner import constants as K
-
+    """(slug, section, genre, pos, id, text): one card per member; sections in their fixed order."""
     genre = section_genre()
     metric = lambda label, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{label} "), F.format_number(c, 0)))
     meta = F.concat_ws(" · ", metric("likes", "likes"), metric("comments", "comments"), metric("views", "views"),
@@ -173,8 +171,7 @@ def digest_cards(members: DataFrame) -> DataFrame:
                        F.concat(or_else("author", "Unknown"), F.lit(" · "), genre),
                        F.when(meta != "", meta), F.when(present("summary"), F.col("summary")), facts,
                        F.concat(F.lit("<"), F.coalesce("url", F.lit("")), F.lit(">")))
-    order = F.array_position(F.array(*map(F.lit, K.GENRES)), genre)
-    return members.select("slug", order.cast("int").alias("section"), genre.alias("genre"), "pos",
+    return members.select("slug", section_order(genre).alias("section"), genre.alias("genre"), "pos",
                           F.col("record_id").alias("id"), card.alias("text"))
 
 
@@ -189,11 +186,9 @@ def digest_lines(members: DataFrame, collections: DataFrame) -> DataFrame:
         F.lit("# "), "title", F.lit(" — "), F.col("records").cast("string"), F.lit(" "), plural("records"),
         F.lit(" · "), F.col("authors").cast("string"), F.lit(" creators · "), F.col("genres").cast("string"),
         F.lit(" genres")).alias("text"))
-    from gleaner import constants as K
-
-    order = F.array_position(F.array(*map(F.lit, K.GENRES)), F.col("genre")).cast("int")
-    sections = collection_sections(members).select("slug", order.alias("section"), F.lit(-1).alias("pos"), F.concat(
-        F.lit("## "), F.initcap("genre"), F.lit(" ("), F.col("records").cast("string"), F.lit(")")).alias("text"))
+    genre = F.col("genre")
+    sections = collection_sections(members).select("slug", section_order(genre).alias("section"), F.lit(-1).alias("pos"), F.concat(
+        F.lit("## "), section_label(genre), F.lit(" ("), F.col("records").cast("string"), F.lit(")")).alias("text"))
     return header.unionByName(sections).unionByName(cards.select("slug", "section", "pos", "text"))
 
 

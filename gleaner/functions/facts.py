@@ -96,55 +96,6 @@ def claim_similarity(a: Column | str, b: Column | str) -> Column:
     return let(keys, lambda k: claim_score(k["wa"], k["pa"], k["wb"], k["pb"]))
 
 
-PAIR = "array<struct<l:int,r:int,score:double>>"
-
-
-def greedy_pairs(candidates: Column) -> Column:
-    """Serial 1:1 pick over array<struct<l, neg, r>>: left order, best score first, lowest right."""
-    start = F.array().cast(PAIR)
-
-    def step(acc: Column, c: Column) -> Column:
-        taken = F.exists(acc, lambda p: (p["l"] == c["l"]) | (p["r"] == c["r"]))
-        return F.when(taken, acc).otherwise(F.concat(acc, F.array(
-            F.struct(c["l"].alias("l"), c["r"].alias("r"), (-c["neg"]).alias("score")))))
-
-    return F.aggregate(F.array_sort(candidates), start, step)
-
-
-def claim_keys(texts: Column | str) -> Column:
-    """array<struct<text, words, phrases>> of an array of claim texts, worked out once per text."""
-    return F.transform(F.coalesce(col(texts), empty_strings()), lambda t: F.struct(
-        t.alias("text"), claim_words(t).alias("words"), claim_phrases(t).alias("phrases")))
-
-
-def matched_pairs(left: Column | str, right: Column | str) -> Column:
-    """Pairs (l, r, score) between two `claim_keys` arrays of one row; indexes from 0."""
-    def scored(y_side: Column) -> Column:
-        return F.flatten(F.transform(col(left), lambda x, i: F.filter(
-            F.transform(y_side, lambda y, j: F.struct(
-                i.alias("l"),
-                (-claim_score(x["words"], x["phrases"], y["words"], y["phrases"])).alias("neg"),
-                j.alias("r"))),
-            lambda c: -c["neg"] >= K.CLAIM_MATCH_THRESHOLD)))
-
-    return greedy_pairs(let(col(right), scored))
-
-
-def matched_diff(left: Column | str, right: Column | str, pairs: Column | str) -> Column:
-    """struct(shared, only_a, only_b) of two `claim_keys` arrays and their `matched_pairs`."""
-    bound = F.struct(F.transform(col(left), lambda x: x["text"]).alias("a"),
-                     F.transform(col(right), lambda y: y["text"]).alias("b"), col(pairs).alias("p"))
-
-    def split(v: Column) -> Column:
-        shared = F.transform(v["p"], lambda p: F.struct(
-            F.get(v["a"], p["l"]).alias("a"), F.get(v["b"], p["r"]).alias("b"), p["score"].alias("score")))
-        only_a = F.filter(v["a"], lambda x, i: ~F.exists(v["p"], lambda p: p["l"] == i))
-        only_b = F.filter(v["b"], lambda y, j: ~F.exists(v["p"], lambda p: p["r"] == j))
-        return F.struct(shared.alias("shared"), only_a.alias("only_a"), only_b.alias("only_b"))
-
-    return let(bound, split)
-
-
 # --- overlay lines and markers -----------------------------------------------
 def spoken_key(text: Column | str) -> Column:
     """Lower case, every run of other characters a single blank."""

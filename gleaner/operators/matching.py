@@ -1,26 +1,27 @@
 """Claim matching between arms: pairs, agreement, scoreboards, disagreement examples.
 
-A record's facts normally fit one row, so two fact lists are matched inside the row with
-no shuffle beyond bringing the arms together. Records with more facts than
-`IN_ROW_FACTS` are matched by joins instead (`match_by_rounds`), with the same result.
+Facts are shuffled and sorted by record once and matched as a stream: a task holds the reference facts of one record
+and those of one other arm. Facts of equal wording are matched as one group with several places, and only groups that
+share a word or a phrase are scored, so repeats and long records do not multiply. A record too large for a task can be
+matched by joins instead (`match_by_rounds`), with the same result; that is for the caller to say.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner import constants as K
-from gleaner.functions.facts import (claim_keys, claim_phrases, claim_score, claim_words, matched_diff,
-                                     matched_pairs)
-from gleaner.functions.text import explode_once, let
+from gleaner.functions.facts import claim_phrases, claim_score, claim_words
 from gleaner.operators.facets import top_n_per_group
 from gleaner.operators.prefix import running_rank
 from gleaner.operators.ranking import round_robin
 from gleaner.session import cut_lineage
 
-IN_ROW_FACTS = 256
-
 
 # --- variants ----------------------------------------------------------------
 def explode_variants(records: DataFrame) -> DataFrame:
@@ -68,62 +69,117 @@ def variant_pairs(variants: DataFrame, reference: str) -> DataFrame:
 
 
 # --- matching ----------------------------------------------------------------
-def long_records(facts: DataFrame, bound: int) -> DataFrame:
-    """record_id of records with more than `bound` facts over all arms."""
-    return facts.groupBy("record_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bound).select("record_id")
-
-
-def gather_pairs(facts: DataFrame, reference: str) -> DataFrame:
-    """(record_id, arm, a, b): the reference's facts beside those of every other arm, as arrays of (pos, text).
-
-    One shuffle: a record's facts are brought together once and split by arm inside the row.
-    """
-    rows = facts.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("arm", "pos", "text"))).alias("_f"))
-    split = rows.select(
-        "record_id", F.filter("_f", lambda f: f["arm"] == reference).alias("a"),
-        F.filter("_f", lambda f: f["arm"] != reference).alias("_rest")).filter(F.size("a") > 0)
-    per_arm = split.select("record_id", "a", "_rest", F.explode(
-        F.array_distinct(F.transform("_rest", lambda f: f["arm"]))).alias("arm"))
-    return per_arm.select("record_id", "arm", "a", F.filter("_rest", lambda f: f["arm"] == F.col("arm")).alias("b"))
-
-
-def diff_texts(df: DataFrame, left: str, right: str) -> DataFrame:
-    """Adds `pairs` (l, r, score) and `diff` (shared, only_a, only_b) of two text-array columns."""
-    return (df.withColumn("_a", claim_keys(left)).withColumn("_b", claim_keys(right))
-            .withColumn("pairs", matched_pairs("_a", "_b"))
-            .withColumn("diff", matched_diff("_a", "_b", "pairs")).drop("_a", "_b"))
-
-
-def match_facts(facts: DataFrame, reference: str, bound: int = IN_ROW_FACTS) -> DataFrame:
+class Wordings:
+    """One arm's facts of one record by wording (words and phrases), with the free places of each in order."""
+
+    def __init__(self, facts: list[tuple]):
+        self.places: dict[tuple, list] = defaultdict(list)
+        for pos, _, words, phrases in facts:
+            self.places[words, phrases].append(pos)
+        self.by_word: dict[str, set] = defaultdict(set)
+        for wording in self.places:
+            for key in (*wording[0], *((p,) for p in wording[1])):
+                self.by_word[key].add(wording)
+        self.next = dict.fromkeys(self.places, 0)
+        self.ranked: dict[tuple, list[tuple[float, list]]] = {}
+
+    def candidates(self, wording: tuple) -> list[tuple[float, list]]:
+        """(score, wordings) above the threshold, best first."""
+        if wording not in self.ranked:
+            words, phrases = wording
+            if words:
+                near = set().union(*(self.by_word.get(k, ()) for k in (*words, *((p,) for p in phrases))))
+            else:
+                near = {w for w in self.places if not w[0]}
+            scores = defaultdict(list)
+            for other in near:
+                score = wording_score(wording, other)
+                if score >= K.CLAIM_MATCH_THRESHOLD:
+                    scores[score].append(other)
+            self.ranked[wording] = sorted(scores.items(), reverse=True)
+        return self.ranked[wording]
+
+    def take(self, wording: tuple) -> tuple | None:
+        """(place, score) of the best free partner, the first in order among equals; it is free no more."""
+        for score, others in self.candidates(wording):
+            free = [(self.places[o][self.next[o]], o) for o in others if self.next[o] < len(self.places[o])]
+            if free:
+                place, other = min(free, key=lambda x: x[0])
+                self.next[other] += 1
+                return place, score
+        return None
+
+
+def wording_score(a: tuple, b: tuple) -> float:
+    """`claim_score` of two (words, phrases)."""
+    (wa, pa_), (wb, pb) = a, b
+    if not wa or not wb:
+        return 1.0 if not wa and not wb else 0.0
+    if pa_ & pb:
+        return K.CLAIM_PHRASE_SCORE
+    shared, shorter = len(wa & wb), min(len(wa), len(wb))
+    jaccard = shared / (len(wa) + len(wb) - shared)
+    return max(jaccard, shared / shorter) if shorter >= 2 and shared / shorter >= K.CLAIM_CONTAINMENT else jaccard
+
+
+def match_arm(reference: list[tuple], other: list[tuple]) -> tuple[dict, dict]:
+    """Places matched one to one, from either side: {pos: (other pos, score)}. Facts are (pos, text, words, phrases) in order."""
+    free, left, right = Wordings(other), {}, {}
+    for pos, _, words, phrases in reference:
+        hit = free.take((words, phrases))
+        if hit:
+            left[pos] = hit
+            right[hit[0]] = (pos, hit[1])
+    return left, right
+
+
+def match_facts(facts: DataFrame, reference: str) -> DataFrame:
     """Every fact of the compared arms with its outcome.
 
     facts(record_id, arm, pos, text) -> (record_id, arm, side, pos, text, other_pos, score): `arm` is the
     candidate arm, `side` is ref or cand, and `other_pos`/`score` are null for unmatched facts.
+    Reference facts in order each take their best free partner, the earliest among equals.
     """
-    long = long_records(facts, bound)
-    any_long = not long.isEmpty()
-    short = facts.join(long, "record_id", "left_anti") if any_long else facts
-    texts = lambda c: claim_keys(F.transform(c, lambda f: f["text"]))
-    pairs = gather_pairs(short, reference).withColumn("pairs", matched_pairs(texts("a"), texts("b")))
-
-    def side(name: str, facts_: str, mine: str, other: str, other_facts: str) -> Column:
-        def one(v: Column) -> Column:
-            def outcome(f: Column, i: Column) -> Column:
-                hit = F.get(F.filter(v["p"], lambda p: p[mine] == i), F.lit(0))
-                return F.struct(F.lit(name).alias("side"), f["pos"].alias("pos"), f["text"].alias("text"),
-                                F.get(v["o"], hit[other])["pos"].alias("other_pos"), hit["score"].alias("score"))
-            return F.transform(v["f"], outcome)
-        return let(F.struct(F.col(facts_).alias("f"), F.col(other_facts).alias("o"), F.col("pairs").alias("p")), one)
-
-    out = explode_once(pairs, ["record_id", "arm"], F.concat(
-        side("ref", "a", "l", "r", "b"), side("cand", "b", "r", "l", "a")), "_i", "f").select("record_id", "arm", "f.*")
-    if not any_long:
-        return out
-    return out.unionByName(match_by_rounds(facts.join(long, "record_id", "left_semi"), reference))
+    kind = {f.name: f.dataType.simpleString() for f in facts.schema}
+    keyed = facts.select("record_id", (F.col("arm") == reference).alias("own"), "arm", "pos", "text",
+                         claim_words("text").alias("words"), claim_phrases("text").alias("phrases"))
+    names = ["record_id", "arm", "side", "pos", "text", "other_pos", "score"]
+
+    def settle(record, own: list, arm: str, other: list, out: list) -> None:
+        left, right = match_arm(own, other)
+        for side, mine, hits in (("ref", own, left), ("cand", other, right)):
+            for pos, text, _, _ in mine:
+                place, score = hits.get(pos, (None, None))
+                out.append((record, arm, side, pos, text, place, score))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        record, own, arm, other, out = object(), [], None, [], []
+        for batch in batches:
+            kinds = [batch.schema.field(i).type for i in (0, 2, 3, 4)]
+            types = [kinds[0], kinds[1], pa.string(), kinds[2], kinds[3], kinds[2], pa.float64()]
+            for r, is_own, a, pos, text, words, phrases in zip(*(c.to_pylist() for c in batch.columns)):
+                if r != record or (not is_own and a != arm):
+                    if own and other:
+                        settle(record, own, arm, other, out)
+                    other = []
+                    if r != record:
+                        record, own = r, []
+                    arm = None if is_own else a
+                (own if is_own else other).append((pos, text, frozenset(words or ()), frozenset(phrases or ())))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                out = []
+        if own and other:
+            settle(record, own, arm, other, out)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+    schema = (f"record_id {kind['record_id']}, arm string, side string, pos {kind['pos']}, text string, "
+              f"other_pos {kind['pos']}, score double")
+    return keyed.repartition("record_id").sortWithinPartitions("record_id", F.desc("own"), "arm", "pos").mapInArrow(run, schema)
 
 
 def match_by_rounds(facts: DataFrame, reference: str) -> DataFrame:
-    """`match_facts` for records of any size, by joins only.
+    """`match_facts` by joins only, for records whose facts are too many for one task.
 
     Candidates share a word that a pair above the threshold must share (prefix filter, rarest words
     first), or a phrase. "Left facts in order, each takes its best free partner" is the stable
@@ -168,6 +224,13 @@ def match_by_rounds(facts: DataFrame, reference: str) -> DataFrame:
               .select(*key, "l", "r", claim_score(F.col("wa"), F.col("fa"), F.col("wb"), F.col("fb")).alias("score"))
               .filter(F.col("score") >= K.CLAIM_MATCH_THRESHOLD))
     candidates = cut_lineage(scored)
+    # Left facts of equal wording want the same partners: the n-th of them starts with its n-th choice, which is the best it
+    # can get, so repeats cost no round each.
+    nth = F.row_number().over(Window.partitionBy(*key, F.xxhash64(F.array_sort("words"), F.array_sort("phrases"))).orderBy("pos"))
+    choice = F.row_number().over(Window.partitionBy(*key, "l").orderBy(F.desc("score"), "r"))
+    first = candidates.withColumn("choice", choice).join(left.select(*key, F.col("pos").alias("l"), nth.alias("nth")), [*key, "l"]) \
+        .filter("choice = nth").groupBy(*key, "r").agg(F.min("l").alias("holder"))
+    candidates = cut_lineage(candidates.join(first, [*key, "r"], "left").filter("holder IS NULL OR l <= holder").drop("holder"))
 
     while True:
         best = candidates.groupBy(*key, "l").agg(F.min(F.struct((-F.col("score")).alias("neg"), "r")).alias("b")) \
@@ -224,14 +287,52 @@ def arm_agreement(variants: DataFrame, matched: DataFrame, reference: str) -> Da
         F.try_divide("only_cand", "records").alias("added_per_record"))
 
 
+def _stated(chosen: DataFrame) -> DataFrame:
+    """facts(record_id, arm, pos, text) of rows (id, fa, fb): arm `ref` states fa, `cand` states fb."""
+    sides = F.array(F.struct(F.lit("ref").alias("arm"), F.coalesce("fa", F.array().cast("array<string>")).alias("f")),
+                    F.struct(F.lit("cand").alias("arm"), F.coalesce("fb", F.array().cast("array<string>")).alias("f")))
+    return chosen.select(F.col("id").alias("record_id"), F.explode(sides).alias("s")).select(
+        "record_id", "s.arm", F.posexplode("s.f").alias("pos", "text"))
+
+
+def diff_of(chosen: DataFrame) -> DataFrame:
+    """(id, diff) of rows (id, fa, fb): struct(shared(a, b, score), only_a, only_b), each in the facts' order; the lists hold what
+    the record states. Records in which one side states nothing keep the other side's facts."""
+    facts = _stated(chosen)
+    both = facts.groupBy("record_id").agg(F.count_distinct("arm").alias("n")).filter("n = 2").select("record_id")
+    matched = match_facts(facts, "ref").drop("arm").withColumnRenamed("side", "arm")
+    alone = facts.join(both, "record_id", "left_anti").select(
+        "record_id", "arm", "pos", "text", F.lit(None).cast("int").alias("other_pos"), F.lit(None).cast("double").alias("score"))
+    rows = matched.select(*alone.columns).unionByName(alone)
+    mate = rows.filter("arm = 'cand' AND other_pos IS NOT NULL").select("record_id", F.col("other_pos").alias("pos"), F.col("text").alias("mate"))
+    seen = rows.join(mate.withColumn("arm", F.lit("ref")), ["record_id", "arm", "pos"], "left")
+    mine, lonely = F.col("arm") == "ref", F.col("other_pos").isNull()
+    listed = lambda when, *cols: F.sort_array(F.collect_list(F.when(when, F.struct("pos", *cols))))
+    lists = seen.groupBy("record_id").agg(listed(mine & ~lonely, "text", "mate", "score").alias("s"), listed(mine & lonely, "text").alias("a"),
+                                          listed(~mine & lonely, "text").alias("b"))
+    diff = F.struct(
+        F.transform("s", lambda x: F.struct(x["text"].alias("a"), x["mate"].alias("b"), x["score"].alias("score"))).alias("shared"),
+        F.transform("a", lambda x: x["text"]).alias("only_a"), F.transform("b", lambda x: x["text"]).alias("only_b"))
+    return lists.select(F.col("record_id").alias("id"), diff.alias("diff"))
+
+
+NO_DIFF = "struct<shared:array<struct<a:string,b:string,score:double>>,only_a:array<string>,only_b:array<string>>"
+
+
+def with_diff(chosen: DataFrame) -> DataFrame:
+    """Adds `diff` to rows (id, fa, fb, …); empty lists where neither side states anything."""
+    none = F.from_json(F.lit('{"shared": [], "only_a": [], "only_b": []}'), NO_DIFF)
+    return chosen.join(diff_of(chosen), "id", "left").withColumn("diff", F.coalesce("diff", none)).drop("fa", "fb")
+
+
 def two_arm_diffs(records: DataFrame) -> DataFrame:
-    """(id, a, b, pairs, diff) of records that store exactly two variants, matched in the row."""
+    """(id, a, b, diff) of records that store exactly two variants."""
     arms = F.map_keys("variants")
     facts = lambda c: F.transform(c["facts"], lambda f: f["text"])
     two = records.filter(F.size("variants") == 2).select(
         "id", arms[0].alias("a"), arms[1].alias("b"),
         facts(F.map_values("variants")[0]).alias("fa"), facts(F.map_values("variants")[1]).alias("fb"))
-    return diff_texts(two, "fa", "fb").drop("fa", "fb")
+    return with_diff(two)
 
 
 def avg_disagreement(diffs: DataFrame) -> DataFrame:
@@ -261,8 +362,7 @@ def variants_diff(records: DataFrame, reference: str = K.REFERENCE_ARM, a: str =
     chosen = default_arms(records, reference, a, b).select(
         "id", F.array_sort(F.map_keys("variants")).alias("available"), "a", "b",
         facts(F.col("a")).alias("fa"), facts(F.col("b")).alias("fb"))
-    out = diff_texts(chosen, "fa", "fb")
-    return out.select("id", "available", "a", "b",
+    return with_diff(chosen).select("id", "available", "a", "b",
                       F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.col("diff")).alias("diff"))
 
 

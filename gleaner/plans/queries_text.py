@@ -307,7 +307,9 @@ SELECT id, md5('Frames of one short clip, in order.' || chr(10) || 'Caption: ' |
   'TEXT:' || chr(10) || substring(caption, 1, 12000) || chr(10) || chr(10) || 'Return JSON.' || chr(10)) AS body FROM p""")
 def tx19(spark, sf):
     r = stage.records(spark, sf)
-    media = P.media_request("caption", "transcript_text", "transcript_translated", "ocr_text", "Return JSON.")
+    media = P.media_request("caption", "transcript_text", "transcript_translated", "ocr_text", "Return JSON.", P.MediaFrame(
+        "Frames of one short clip, in order.", "Caption: ", "Spoken words (transcript{}):", ", translated",
+        "Text read off the frames (unordered, may be wrong):"))
     text = P.text_request("title", "author", "caption", "transcript_text", "Return JSON.")
     return r.select("id", F.md5(media).alias("media"), F.md5(text).alias("body"))
 

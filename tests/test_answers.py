@@ -100,7 +100,7 @@ def test_caption_keeps_trailing_hashtags(spark):
 
 def test_ocr_lines_are_counted(spark):
     df = spark.createDataFrame([("c", "", False, [f"line {i}" for i in range(20)])], "c string, t string, b boolean, o array<string>")
-    out = df.select(P.media_request("c", "t", "b", "o", "S")).first()[0]
+    out = df.select(P.media_request("c", "t", "b", "o", "S", P.MediaFrame("Clip.", "Caption: ", "Said{}:", " (translated)", "Read:"))).first()[0]
     assert "line 14 … [+5 more]" in out and "line 15" not in out
 
 

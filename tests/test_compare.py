@@ -9,8 +9,8 @@ from gleaner import schemas as S
 
 
 def diff(spark, a, b):
-    df = spark.createDataFrame([(a, b)], "a array<string>, b array<string>")
-    d = V.diff_texts(df, "a", "b").select("diff.*").first()
+    df = spark.createDataFrame([(1, a, b)], "id int, fa array<string>, fb array<string>")
+    d = V.with_diff(df).select("diff.*").first()
     return [(x["a"], x["b"]) for x in d["shared"]], d["only_a"], d["only_b"]
 
 
@@ -65,7 +65,7 @@ def facts_table(spark, rows):
     return spark.createDataFrame(rows, "record_id bigint, arm string, pos bigint, text string")
 
 
-def test_long_records_match_like_short_ones(spark):
+def test_joins_match_like_the_stream(spark):
     words = "red blue green amber violet teal coral olive navy plum".split()
     rows = []
     for rec in range(4):
@@ -77,9 +77,9 @@ def test_long_records_match_like_short_ones(spark):
                 rows.append((rec, "y", i, ref))
     f = facts_table(spark, rows)
     key = ["record_id", "arm", "side", "pos", "other_pos", "score"]
-    short = {tuple(r) for r in V.match_facts(f, "ref", bound=100).select(*key).collect()}
-    mixed = {tuple(r) for r in V.match_facts(f, "ref", bound=5).select(*key).collect()}
-    assert short == mixed and any(r[4] is not None for r in short)
+    streamed = {tuple(r) for r in V.match_facts(f, "ref").select(*key).collect()}
+    joined = {tuple(r) for r in V.match_by_rounds(f, "ref").select(*key).collect()}
+    assert streamed == joined and any(r[4] is not None for r in streamed)
 
 
 def record(spark, variants, **more):
@@ -123,3 +123,30 @@ def test_stored_diff_picks_reference_then_next(spark):
     assert rows["S"]["b"] is None and rows["S"]["diff"] is None
     asked = {x["id"]: x for x in V.variants_diff(r, a="zeta", b="claude-cli").collect()}
     assert len(asked["R"]["diff"]["shared"]) == 1
+
+
+def facts_of(spark, rows):
+    return spark.createDataFrame(rows, "record_id int, arm string, pos int, text string")
+
+
+def test_many_equal_facts_settle_at_once(spark):
+    rows = [(1, arm, i, text) for arm in ("ref", "c") for i, text in enumerate(
+        ["alpha beta gamma delta"] * 500 + ["one two three four"] * 3 + ["!!"] * 2)]
+    got = {(r.side, r.pos): (r.other_pos, r.score) for r in V.match_facts(facts_of(spark, rows), "ref").collect()}
+    assert got == {(s, i): (i, 1.0) for s in ("ref", "cand") for i in range(505)}
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("rounds", "rounds")
+    again = {(r.side, r.pos): (r.other_pos, r.score) for r in V.match_by_rounds(facts_of(spark, rows), "ref").collect()}
+    spark.sparkContext.setJobGroup("", "")
+    assert again == got and len(jobs.getJobIdsForGroup("rounds")) < 80
+
+
+def test_both_matchers_agree_on_ties_and_conflicts(spark):
+    import random
+
+    rng = random.Random(7)
+    words = ["amber", "birch", "cedar", "delta", "ember", "flint"]
+    rows = [(r, arm, i, " ".join(rng.sample(words, rng.randrange(0, 4)))) for r in range(6) for arm in ("ref", "c", "d") for i in range(rng.randrange(0, 9))]
+    key = lambda r: (r.record_id, r.arm, r.side, r.pos, r.text, r.other_pos, r.score)
+    got = {key(r) for r in V.match_facts(facts_of(spark, rows), "ref").collect()}
+    assert got and got == {key(r) for r in V.match_by_rounds(facts_of(spark, rows), "ref").collect()}

@@ -107,16 +107,17 @@ def arm_catalog(declared: DataFrame, registry: DataFrame, implicit: DataFrame) -
         F.when(F.col("_d"), 0).when(F.col("_r"), 1).otherwise(2).alias("priority"))
 
 
-def collection_members_from_feed(items: DataFrame, collections: DataFrame) -> DataFrame:
+def collection_members_from_feed(items: DataFrame, collections: DataFrame, block: Column | None = None) -> DataFrame:
     """(slug, pos, id): the feed's items by the collection ids they carry, all collections in one pass.
 
     items(id, pos, collection_ids), collections(slug, id, limit). First occurrence of an item counts;
-    `limit` is the source's own cap; a null one is no cap.
+    `limit` is the source's own cap; a null one is no cap. `block` rises with `pos` and cuts a long feed into pieces of a
+    task's size.
     """
     tagged = items.select("id", "pos", F.explode(F.array_distinct("collection_ids")).alias("_cid"))
     mine = tagged.join(collections.select("slug", F.col("id").alias("_cid"), "limit"), "_cid")
     once = mine.groupBy("slug", "id", "limit").agg(F.min("pos").alias("pos"))
-    capped = running_rank(once.filter("limit IS NOT NULL").withColumn("_block", F.expr("pos div 100000")), ["slug"], ["_block"], ["pos"], "_rn")
+    capped = running_rank(once.filter("limit IS NOT NULL").withColumn("_block", F.lit(0) if block is None else block), ["slug"], ["_block"], ["pos"], "_rn")
     return (capped.filter("_rn <= limit").select("slug", "pos", "id")
             .unionByName(once.filter("limit IS NULL").select("slug", "pos", "id")))
 

@@ -232,15 +232,15 @@ firsts AS (SELECT id, min(pos) AS pos FROM items GROUP BY id),
 tagged AS (SELECT i.id, i.pos, unnest(i.cids) AS cid FROM items i JOIN firsts f ON f.id = i.id AND f.pos = i.pos),
 c AS (SELECT 'r' || r_regionkey AS slug, CAST(r_regionkey AS VARCHAR) AS cid FROM region UNION ALL SELECT 'all', 'all')
 SELECT slug, id, pos FROM tagged JOIN c USING (cid)
-QUALIFY row_number() OVER (PARTITION BY slug ORDER BY pos) <= 40""")
+QUALIFY slug = 'all' OR row_number() OVER (PARTITION BY slug ORDER BY pos) <= 40""")
 def jn19(spark, sf):
     pages = feeds.feed_items(feeds.page_items(feed_pages(spark, sf), F.col("event_id")))
     items = pages.select("id", F.col("page").alias("pos"), "collection_ids")
     region = stage.table(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("slug"),
                                                      F.col("r_regionkey").cast("string").alias("id"))
     every = region.select(F.lit("all").alias("slug"), F.lit("all").alias("id")).distinct()
-    collections = region.unionByName(every).withColumn("limit", F.lit(40))
-    return J.collection_members_from_feed(items, collections).select("slug", "id", "pos")
+    collections = region.unionByName(every).withColumn("limit", F.when(F.col("slug") != "all", 40))
+    return J.collection_members_from_feed(items, collections, F.expr("pos div 100000")).select("slug", "id", "pos")
 
 
 @query("ag1_invert_membership", f"""WITH {Q.MEMBERSHIP}

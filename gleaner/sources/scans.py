@@ -29,6 +29,8 @@ def _json(spark: SparkSession, path: str, schema: str, strict: bool, whole_files
     malformed rows alone and does not parse at all when no column is asked for.
     """
     text = spark.read.text(path, wholetext=whole_files).select("value", F.col("_metadata.file_name").alias("_file"))
+    if whole_files:
+        text = text.unionAll(_files_without_bytes(spark, path))
     blank = F.trim("value") == ""
     if not whole_files:
         text = text.filter(~blank)   # an empty line is no row
@@ -41,6 +43,14 @@ def _json(spark: SparkSession, path: str, schema: str, strict: bool, whole_files
     return text.select(parsed.alias("r"), "_file").select("r.*", "_file")
 
 
+def _files_without_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """('', file name) of files of length 0, which Spark's readers pass over: listed, but not among those that are read."""
+    files = spark.read.format("binaryFile").load(path)
+    short = lambda c: F.url_decode(F.regexp_extract(c, "[^/]+$", 0))
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "file string").select(short("file").alias("_file"))
+    return listed.join(files.select(short("path").alias("_file")), "_file", "left_anti").select(F.lit("").alias("value"), "_file")
+
+
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows, rejects as text)."""
     if CORRUPT not in df.columns:

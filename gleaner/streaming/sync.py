@@ -11,12 +11,12 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from gleaner.operators.attempts import newest_stage
+from gleaner.operators.attempts import is_live, newest_stage
 from gleaner.operators.joins import first_occurrence
 from gleaner.operators.ranking import latest_attempt
 from gleaner.operators.sync import advance_ledger
@@ -41,6 +41,12 @@ def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame,
 
 # --- ingest with dead letters ------------------------------------------------
 DEAD = "source string, id string"
+POOL_PARTS = 64
+
+
+def pool_part(c: str = "id") -> Column:
+    """Folder of the pool an id is kept in."""
+    return F.pmod(F.xxhash64(c), F.lit(POOL_PARTS)).cast("int")
 
 
 def sync_stream(items: DataFrame, pool: str, dead: str, checkpoint: str,
@@ -49,22 +55,31 @@ def sync_stream(items: DataFrame, pool: str, dead: str, checkpoint: str,
     """Takes new items of a stream(source, id, …) into the pool folder, failures into the dead-letter folder.
 
     `landed` returns the items that could be ingested (default: all). An item is new when its id is neither
-    pooled nor dead-lettered for its source; the first occurrence in a batch counts.
+    pooled nor dead-lettered for its source; the first occurrence in a batch counts. The pool is kept in
+    folders by `part`, a hash of the id; a batch reads the ids of the folders it touches.
     """
     spark = items.sparkSession
     order = order or [c for c in items.columns if c != "id"]
+    kept = StructType([*items.schema.fields, StructField("part", IntegerType())])
 
     def each(batch: DataFrame, _: int) -> None:
-        have = read_or_empty(spark, pool, items.schema).select("id")
-        gone = read_or_empty(spark, dead, DEAD)
-        fresh = first_occurrence(
-            batch.join(have, "id", "left_anti").join(gone, ["source", "id"], "left_anti"), ["id"], order).persist()
-        took = fresh if landed is None else landed(fresh)
-        failed = fresh.join(took.select("id"), "id", "left_anti").select("source", "id")
-        took.select(*items.columns).write.mode("append").parquet(pool)
-        if landed is not None:
-            failed.write.mode("append").parquet(dead)
-        fresh.unpersist()
+        batch = batch.withColumn("part", pool_part()).persist()
+        fresh = None
+        try:
+            touched = [r.part for r in batch.select("part").distinct().collect()]     # at most POOL_PARTS numbers
+            have = read_or_empty(spark, pool, kept).filter(F.col("part").isin(touched)).select("part", "id")
+            gone = read_or_empty(spark, dead, DEAD)
+            fresh = first_occurrence(
+                batch.join(have, ["part", "id"], "left_anti").join(gone, ["source", "id"], "left_anti"), ["id"], order).persist()
+            took = fresh if landed is None else landed(fresh)
+            failed = fresh.join(took.select("id"), "id", "left_anti").select("source", "id")
+            took.select(*items.columns, "part").write.mode("append").partitionBy("part").parquet(pool)
+            if landed is not None:
+                failed.write.mode("append").parquet(dead)
+        finally:
+            batch.unpersist()
+            if fresh is not None:
+                fresh.unpersist()
 
     return run_available(items, checkpoint, each)
 
@@ -78,52 +93,75 @@ def retry_dead(spark: SparkSession, dead: str, cleared: str, sources: list[str]
 
 
 # --- versioned tables updated by batches -------------------------------------
-VERSION = "version bigint, path string"
+# A table is a log of published folders. Versions rise by one whatever checkpoint a batch comes from; each entry names
+# the batch it was made by, so that a replayed batch is seen to be done. Readers take the newest base and what follows it.
+VERSION = "version bigint, path string, base boolean, query string, batch bigint"
+KEPT_VERSIONS = 3
+DELTAS = 8
+
+
+def entries(spark: SparkSession, root: str) -> list[Row]:
+    return sorted(read_or_empty(spark, f"{root}/versions", VERSION).collect(), key=lambda r: r.version)
 
 
-def current_path(spark: SparkSession, root: str) -> str | None:
-    """Newest version folder of a table, from its small version log."""
-    newest = read_or_empty(spark, f"{root}/versions", VERSION).agg(F.max_by("path", "version")).first()
-    return newest[0] if newest else None
+def live(log: list[Row]) -> list[str]:
+    """Folders of the current table: the newest base and the deltas after it."""
+    bases = [r.version for r in log if r.base]
+    return [r.path for r in log if not bases or r.version >= bases[-1]]
 
 
 def current_table(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    path = current_path(spark, root)
-    return spark.createDataFrame([], schema) if path is None else spark.read.schema(schema).parquet(path)
+    paths = live(entries(spark, root))
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def query_of(spark: SparkSession) -> str:
+    """Id of the stream whose batch is being written."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+
 
+def is_done(log: list[Row], query: str, batch: int) -> bool:
+    return any(r.query == query and r.batch == batch for r in log)
 
-def publish(table: DataFrame, root: str, version: int) -> None:
-    """Writes a new folder, then names it in the version log; readers never see half a table."""
+
+def publish(table: DataFrame, root: str, log: list[Row], query: str, batch: int, base: bool = True) -> None:
+    """Writes a new folder, then names it in the log; readers never see half a table. Folders that only versions more than
+    KEPT_VERSIONS bases ago used are removed."""
+    spark = table.sparkSession
+    version = log[-1].version + 1 if log else 0
     path = f"{root}/data/{version}-{uuid.uuid4().hex}"
     table.write.parquet(path)
-    table.sparkSession.createDataFrame([(version, path)], VERSION).coalesce(1).write.mode("append").parquet(
-        f"{root}/versions")
+    spark.createDataFrame([(version, path, base, query, batch)], VERSION).coalesce(1).write.mode("append").parquet(f"{root}/versions")
+    bases = [r.version for r in log if r.base] + [version] * base
+    if base and len(bases) > KEPT_VERSIONS:
+        since = bases[-KEPT_VERSIONS - 1] if len(bases) > KEPT_VERSIONS + 1 else 0     # what came before is gone already
+        for old in (r for r in log if since <= r.version < bases[-KEPT_VERSIONS]):
+            gone = spark._jvm.org.apache.hadoop.fs.Path(old.path)
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 LEDGER = ("name string, last_run string, runs bigint, last_current bigint, last_new bigint, last_ingested bigint, "
-          "error string, batch bigint")
+          "error string")
 
 
 def source_ledger_stream(results: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
     """Keeps the per-source ledger from a stream of run results.
 
-    results(source, run_date, current, new, ingested, error, rate_limited). `batch` makes a replayed batch a no-op.
+    results(source, run_date, current, new, ingested, error, rate_limited); the newest of a source in a batch counts.
     """
     spark = results.sparkSession
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        log, query = entries(spark, root), query_of(spark)
+        if is_done(log, query, batch_id):
+            return
         state = current_table(spark, root, LEDGER)
         last = first_occurrence(batch, ["source"], [F.desc("run_date")])
-        done = state.filter(F.col("batch") >= batch_id).select(F.col("name").alias("source"))
-        todo = last.join(done, "source", "left_anti")
-        dates = todo.select(F.col("source").alias("name"), F.col("run_date").alias("_d"))
-        moved = advance_ledger(state.drop("batch"), todo, F.lit(None).cast("string"))
-        out = (moved.join(dates, "name", "left")
-               .join(state.select("name", F.col("last_run").alias("_old"), "batch"), "name", "left")
-               .select("name", F.coalesce("_d", "_old").alias("last_run"), "runs", "last_current", "last_new",
-                       "last_ingested", "error",
-                       F.when(F.col("_d").isNotNull(), F.lit(batch_id)).otherwise(F.col("batch")).cast("bigint").alias("batch")))
-        publish(out, root, batch_id)
+        dates = last.select(F.col("source").alias("name"), F.col("run_date").alias("_d"))
+        moved = advance_ledger(state, last, F.lit(None).cast("string"))
+        out = (moved.drop("last_run").join(dates, "name", "left").join(state.select("name", F.col("last_run").alias("_old")), "name", "left")
+               .select("name", F.coalesce("_d", "_old").alias("last_run"), "runs", "last_current", "last_new", "last_ingested", "error"))
+        publish(out, root, log, query, batch_id)
 
     return run_available(results, checkpoint, each)
 
@@ -131,13 +169,26 @@ def source_ledger_stream(results: DataFrame, root: str, checkpoint: str) -> Stre
 ATTEMPTS = "arm string, record_id string, at timestamp, seq bigint, ok boolean, seconds double"
 
 
+def last_attempts(spark: SparkSession, root: str, schema: str = ATTEMPTS) -> DataFrame:
+    """The last attempt per (arm, record) of what `attempt_stats_stream` keeps."""
+    return latest_attempt(current_table(spark, root, schema))
+
+
 def attempt_stats_stream(attempts: DataFrame, root: str, checkpoint: str, schema: str = ATTEMPTS) -> StreamingQuery:
-    """Keeps the last attempt per (arm, record) of an append-only log; `attempt_stats` reads the table."""
+    """Keeps the last attempt per (arm, record) of an append-only log; `last_attempts` reads it.
+
+    A batch publishes its own last attempts as a delta; every DELTAS of them the table is merged into a new base.
+    """
     spark = attempts.sparkSession
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        log, query = entries(spark, root), query_of(spark)
+        if is_done(log, query, batch_id):
+            return
         known = current_table(spark, root, schema)
-        publish(latest_attempt(known.unionByName(batch.select(*known.columns))).select(*known.columns), root, batch_id)
+        merge = len(live(log)) >= DELTAS
+        new = batch.select(*known.columns)
+        publish(latest_attempt(known.unionByName(new) if merge else new).select(*known.columns), root, log, query, batch_id, base=merge)
 
     return run_available(attempts, checkpoint, each)
 
@@ -150,7 +201,14 @@ def progress_stream(events: DataFrame, root: str, checkpoint: str) -> StreamingQ
     spark = events.sparkSession
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        both = current_table(spark, root, PROGRESS).unionByName(batch)
-        publish(newest_stage(both, ["log_time", "done"]), root, batch_id)
+        log, query = entries(spark, root), query_of(spark)
+        if not is_done(log, query, batch_id):
+            both = current_table(spark, root, PROGRESS).unionByName(batch)
+            publish(newest_stage(both, ["log_time", "done"]), root, log, query, batch_id)
 
     return run_available(events, checkpoint, each)
+
+
+def progress(spark: SparkSession, root: str, now: Column) -> DataFrame:
+    """The newest stage, and whether its line is young enough for the run to be alive."""
+    return current_table(spark, root, PROGRESS).withColumn("live", is_live(F.col("log_time"), now))

@@ -52,17 +52,39 @@ def test_nearest_all_ways_equal_brute_force(spark):
     norms = np.linalg.norm(m, axis=1)
     unit = m / np.where(norms == 0, 1, norms)[:, None]
     want = {q: sorted(range(300), key=lambda j: (-round(float(unit[q] @ unit[j]), 9), j))[:7] for q in range(40)}
-    ways = {"queries": E.nearest(queries, index, 7), "index": E.nearest(index, queries, 7, limit=100)}
+    ways = {"queries": E.nearest(queries, index, 7), "index": E.nearest(index, queries, 7, few="index")}
     got = {r["query_id"]: r["ids"] for r in ways["queries"].groupBy("query_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "row_id"))), lambda x: x["row_id"]).alias("ids")).collect()}
     assert got == want
     blocks = E._rank(E._nearest_in_blocks(queries, index, 7, "query_id bigint, row_id bigint, score double",
-                                          *[__import__("pyarrow").int64()] * 2, q_rows=16, r_rows=64), 7)
+                                          *[__import__("pyarrow").int64()] * 2, block=16 * 6 * 8), 7)
     assert sorted(map(tuple, blocks.select("query_id", "row_id", "rank").collect())) == sorted(
         map(tuple, ways["queries"].select("query_id", "row_id", "rank").collect()))
     assert ways["index"].count() == 300 * 7
 
 
+def test_search_in_cells_finds_most_and_everything_with_all_cells(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(20, 16))
+    rows = [(i, (centres[i % 20] + 0.3 * rng.normal(size=16)).tolist()) for i in range(2000)]
+    index = spark.createDataFrame(rows, "id bigint, vec array<double>").repartition(4)
+    queries = index.filter("id % 20 = 0")
+    pairs = lambda df: {(r.query_id, r.row_id) for r in df.collect()}
+    exact = pairs(E.nearest(queries, index, 10))
+    some = pairs(E.nearest_in_cells(queries, index, 10, cells=64, probes=8, block=4_096))
+    assert len(some & exact) / len(exact) >= 0.9
+    assert pairs(E.nearest_in_cells(queries, index, 10, cells=16, probes=16)) == exact
+
+
+def test_top_n_of_any_size_is_cut_before_the_last_shuffle(spark):
+    from gleaner.operators.facets import top_n_per_group
+
+    df = spark.range(20_000).select((F.col("id") % 2).alias("k"), F.col("id").alias("o"))
+    out = top_n_per_group(df, ["k"], ["o"], 5_000)
+    assert [tuple(r) for r in out.filter("k = 1").orderBy("rank").limit(3).collect()] == [(1, 1, 1), (1, 3, 2), (1, 5, 3)]
+    assert out.count() == 10_000 and "_block" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_index_reuse(spark):
     embed = E.hashing_embedder(32)
     r = small_records(spark)

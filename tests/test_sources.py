@@ -154,7 +154,8 @@ def test_write_records_versions(spark, tmp_path):
 
 def test_sync_run_then_second_run_then_retry(spark, tmp_path):
     write(tmp_path / "landing", "1.json", "\n".join(json.dumps({"source": "s", "id": i, "pos": n}) for n, i in enumerate(("AAA", "BBB", "CCC"))))
-    spark.createDataFrame([("s", "AAA", 0)], "source string, id string, pos bigint").write.parquet(str(tmp_path / "pool"))
+    spark.createDataFrame([("s", "AAA", 0)], "source string, id string, pos bigint").withColumn("part", T.pool_part()) \
+        .write.partitionBy("part").parquet(str(tmp_path / "pool"))
     items = spark.readStream.schema("source string, id string, pos bigint").json(str(tmp_path / "landing"))
     only_b = lambda df: df.filter("id <> 'CCC'")
     run = lambda ck, dead: T.sync_stream(items, str(tmp_path / "pool"), str(tmp_path / dead), str(tmp_path / ck), only_b, ["pos"])
@@ -189,7 +190,7 @@ def test_attempt_stream_equals_batch_and_replay_is_harmless(spark, tmp_path):
     write(tmp_path / "log", "2.json", json.dumps({**rows[0], "at": "2024-01-02T00:00:00Z", "seq": 2, "ok": True, "seconds": 3.0}))
     T.attempt_stats_stream(stream(), str(tmp_path / "t"), str(tmp_path / "ck"))
     T.attempt_stats_stream(stream(), str(tmp_path / "t"), str(tmp_path / "ck-again"))
-    table = attempt_stats(T.current_table(spark, str(tmp_path / "t"), schema)).first()
+    table = attempt_stats(T.last_attempts(spark, str(tmp_path / "t"))).first()
     batch = attempt_stats(spark.read.schema(schema).json(str(tmp_path / "log"))).first()
     assert tuple(table) == tuple(batch) == ("p", 2, 0, 2.0)
 
@@ -198,3 +199,57 @@ def test_snapshot_is_reused_until_rebuilt(spark, tmp_path):
     load = lambda n, rebuild=False: sinks.load_or_build(
         spark, str(tmp_path / "s"), lambda: spark.range(n), "id bigint", rebuild).count()
     assert (load(2), load(5), load(5, True)) == (2, 2, 5)
+
+
+def test_tables_keep_their_state_over_new_checkpoints(spark, tmp_path):
+    root, land = str(tmp_path / "t"), tmp_path / "land"
+    rows = lambda n: "\n".join(json.dumps({"arm": "p", "record_id": f"R{i % 3}", "at": "2024-01-01T00:00:00Z", "seq": n * 10 + i,
+                                           "ok": True, "seconds": float(n)}) for i in range(3))
+    for n in range(12):
+        write(land / str(n), "x.json", rows(n))
+        T.attempt_stats_stream(spark.readStream.schema(T.ATTEMPTS).json(str(land / str(n))), root, str(tmp_path / f"ck{n}"))
+    log = T.entries(spark, root)
+    assert [r.version for r in log] == list(range(12)) and any(r.base for r in log) and len(T.live(log)) < 12
+    assert {r.seconds for r in T.last_attempts(spark, root).collect()} == {11.0}
+    assert T.is_done(log, log[3].query, 0) and len({r.query for r in log}) == 12
+    for _ in range(5):
+        T.publish(spark.createDataFrame([], T.ATTEMPTS), root, T.entries(spark, root), "q", 0)
+    import os
+    assert not os.path.exists(log[0].path) and T.last_attempts(spark, root).count() == 0
+
+
+def test_ledger_and_progress_after_a_new_checkpoint(spark, tmp_path):
+    results = "source string, run_date string, current bigint, new bigint, ingested bigint, error string, rate_limited boolean"
+    for n in range(3):
+        write(tmp_path / f"r{n}", "x.json", json.dumps({"source": "s", "run_date": f"2024-05-0{n + 1}", "current": n, "new": 0, "ingested": 0, "error": ""}))
+        T.source_ledger_stream(spark.readStream.schema(results).json(str(tmp_path / f"r{n}")), str(tmp_path / "l"), str(tmp_path / f"lc{n}"))
+        write(tmp_path / f"p{n}", "run.log", f"2024-05-02 10:00:0{n} INFO [ingest] x ({n}/1234567890123)")
+        T.progress_stream(scans.scan_run_log(spark, str(tmp_path / f"p{n}"), stream=True), str(tmp_path / "p"), str(tmp_path / f"pc{n}"))
+    x = T.current_table(spark, str(tmp_path / "l"), T.LEDGER).first()
+    assert (x.last_run, x.runs, x.last_current) == ("2024-05-03", 3, 2)
+    seen = T.progress(spark, str(tmp_path / "p"), F.lit("2024-05-02 10:00:30").cast("timestamp")).first()
+    assert (seen.done, seen.total, seen.live) == (2, 1234567890123, True)
+    assert not T.progress(spark, str(tmp_path / "p"), F.lit("2024-05-02 10:02:00").cast("timestamp")).first().live
+
+
+def test_empty_and_corrupt_files_are_not_silent(spark, tmp_path):
+    write(tmp_path / "r", "AAA.json", {"id": "AAA", "url": "u"})
+    write(tmp_path / "r", "EMPTY.json", "")
+    with pytest.raises(Exception):
+        scans.scan_records(spark, str(tmp_path / "r")).collect()
+    assert scans.scan_records(spark, str(tmp_path / "r"), strict=False).count() == 1
+    assert [r.file for r in scans.record_rejects(spark, str(tmp_path / "r")).collect()] == ["EMPTY.json"]
+    write(tmp_path / "k", "annotations.json", '{"AAA": {"starred": tr')
+    with pytest.raises(Exception):
+        scans.scan_keyed_json(spark, str(tmp_path / "k"), S.ANNOTATION_ENTRY).collect()
+    assert scans.scan_keyed_json(spark, str(tmp_path / "k"), S.ANNOTATION_ENTRY, strict=False).count() == 0
+    assert scans.keyed_rejects(spark.read.text(str(tmp_path / "k"), wholetext=True), "value").count() == 1
+
+
+def test_a_null_limit_is_no_limit(spark):
+    from gleaner.operators.joins import collection_members_from_feed
+
+    items = spark.createDataFrame([(f"i{n}", n, ["1", "2"]) for n in range(5)], "id string, pos bigint, collection_ids array<string>")
+    cols = spark.createDataFrame([("all", "1", None), ("two", "2", 2)], "slug string, id string, limit int")
+    got = collection_members_from_feed(items, cols).groupBy("slug").count().collect()
+    assert {r["slug"]: r["count"] for r in got} == {"all": 5, "two": 2}

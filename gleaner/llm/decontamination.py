@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.llm.shared import small
+
 _KEPT = set(b"0123456789abcdefghijklmnopqrstuvwxyz") | set(range(128, 256))
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c in _KEPT else 32 for c in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -86,7 +88,7 @@ def _scan(items: list, n: int, spark):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(held.value, n)
         number = windows.numbers.get
-        for b in batches:
+        for b in small(batches):
             counts, spans, found = [], [], []
             for text in b.column(1).to_pylist():
                 words = words_of(text)
@@ -135,7 +137,7 @@ def _keep_clean(items: list, n: int, place: int, spark):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(held.value, n)
         number = windows.numbers.get
-        for b in batches:
+        for b in small(batches):
             clean = [next(windows.hits(np.array([number(w, -1) for w in words_of(t)], dtype=np.int64)), None) is None
                      for t in b.column(place).to_pylist()]
             yield b.filter(pa.array(clean, pa.bool_()))

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.shared import small, written
 from gleaner.llm.url_filter import host_of
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
@@ -184,7 +185,7 @@ def template_counts(pages: DataFrame, url_col: str, html_col: str, held: int = 2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for b in batches:
+        for b in small(batches):
             for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 seen[host, 0] += 1
                 if html:
@@ -219,8 +220,6 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     The templates are small beside the pages. Up to max_broadcast_bytes they are broadcast, beyond that joined by host.
     """
     spark = pages.sparkSession
-    from gleaner.llm.shared import written
-
     templates = written(find_templates(pages, url_col=url_col, html_col=html_col, min_pages=min_pages, min_share=min_share), "templates")
     size = templates.agg(F.coalesce(F.sum(F.size("subtrees") * 8 + F.octet_length("host") + 16), F.lit(0))).first()[0]
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"),
@@ -229,7 +228,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     rows = source.withColumn("subtrees", F.lit(None).cast("array<long>")) if held else source.join(templates, "host", "left")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = []
             for host, html, own in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
                 root = parse(html or "")

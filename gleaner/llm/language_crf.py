@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import about
+from gleaner.llm.shared import about, small
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -191,7 +191,7 @@ class _Cache(dict):
 class Labeller:
     """Word marginals of texts under a model, with a bounded cache of word scores."""
 
-    def __init__(self, model: CrfModel, held: int = 400_000):
+    def __init__(self, model: CrfModel, held: int = 150_000):
         self.model, self.held, self.move = model, held, np.exp(model.moves)
         self._reset()
 
@@ -258,7 +258,7 @@ def identify(docs: DataFrame, model: CrfModel | None, *, text_col: str = "text",
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(held.value) if held.value else None
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(place).to_pylist()
             label, score, count = [UNKNOWN] * len(texts), [0.0] * len(texts), [0] * len(texts)
             waiting: list[tuple[int, list[str]]] = []

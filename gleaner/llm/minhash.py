@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.graph import components
-from gleaner.llm.shared import written
+from gleaner.llm.shared import small, written
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 FIELDS = 32
@@ -36,7 +36,7 @@ class _Words(dict):
     """Word hashes, remembered; emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -143,7 +143,7 @@ def estimate(matches: Column, n: int) -> Column:
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """(id, n, digest, keys, sig) of every row of (id, text); digest stands for the whole set, null without words."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             sets = [shingle_set(t, width) for t in b.column(1).to_pylist()]
             some = [i for i, s in enumerate(sets) if len(s)]
             digest: list = [None] * len(sets)
@@ -164,7 +164,7 @@ def _full_sets(texts: DataFrame, wanted: DataFrame, width: int, broadcast_ids: i
     """(id, set) of the wanted ids, made again from their texts. Up to `broadcast_ids` ids (8 MB) go to the texts, beyond
     that the texts are shuffled by id."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             found = [shingle_set(t, width).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "set"])
 

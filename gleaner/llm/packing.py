@@ -24,7 +24,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import written
+from gleaner.llm.shared import small, written
 
 K1, B = 1.2, 0.75
 
@@ -58,7 +58,7 @@ def crc(ids: np.ndarray) -> int:
 def tokenized(docs: DataFrame, vocabulary: tuple[str, str], window: int, last: int, carry: bool) -> DataFrame:
     """(id, n, crcs of whole windows, their ids if `carry`, ids of the remainder) of each row of (id, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             n, crcs, heads, tails = [], [], [], []
             for text in b.column(1).to_pylist():
                 ids = encode(text, vocabulary, last)
@@ -82,7 +82,7 @@ def frequencies(rows: DataFrame) -> dict[int, int]:
     """In how many remainders each token stands; at most one entry per token of the vocabulary."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << 16, np.int64)
-        for b in batches:
+        for b in small(batches):
             for tail, wide in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = np.unique(_ids(tail, wide))
                 if len(ids) and ids[-1] >= len(seen):

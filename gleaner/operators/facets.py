@@ -94,7 +94,8 @@ def build_topics(records: DataFrame, max_facts: int = 40, max_hashtags: int = 10
                     F.coalesce(F.transform("_tags", lambda t: t["tag"]), empty_strings()).alias("hashtags"),
                     F.transform("_facts", lambda f: F.struct(
                         f["id"].alias("record_id"), f["text"].alias("text"),
-                        f["timestamp"].alias("timestamp"))).alias("facts")))
+                        f["timestamp"].alias("timestamp"))).alias("facts"))
+            .orderBy(F.desc("records"), "topic"))
 
 
 def corpus_stats(records: DataFrame, default_model: str = "", cost: Column | None = None,
@@ -123,6 +124,14 @@ def tag_facets(tags: DataFrame, membership: DataFrame) -> DataFrame:
     return tag_counts(tags).join(per_shelf, "tag", "left")
 
 
+def tag_listing(tags: DataFrame, membership: DataFrame) -> DataFrame:
+    """(tag, count, collections): every tag with how often each shelf holds it, most used first, then by name."""
+    per = tag_facets(tags, membership)
+    shelf = F.when(F.col("slug").isNotNull(), F.struct((-F.col("in_slug")).alias("n"), "slug"))
+    listed = F.transform(F.sort_array(F.collect_list(shelf)), lambda s: F.struct(s["slug"].alias("name"), (-s["n"]).alias("count")))
+    return per.groupBy("tag", "count").agg(listed.alias("collections")).orderBy(F.desc("count"), "tag")
+
+
 def top_tags(tags: DataFrame, n: int = 30) -> DataFrame:
     return tag_counts(tags).orderBy(F.desc("count"), "tag").limit(n)
 

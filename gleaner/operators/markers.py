@@ -51,15 +51,35 @@ def marker_hits(markers: DataFrame, variants: DataFrame) -> DataFrame:
                     F.contains(F.col("key"), alnum_key("marker")).alias("found")))
 
 
+def complete_records(runs: DataFrame, arms: list[str]) -> DataFrame:
+    """record_id of records that succeeded under every one of `arms`."""
+    return (runs.filter(F.col("ok") & F.col("arm").isin(arms)).groupBy("record_id").agg(F.count_distinct("arm").alias("n"))
+            .filter(F.col("n") == len(arms)).select("record_id"))
+
+
 def marker_recall(hits: DataFrame, runs: DataFrame, arms: list[str]) -> DataFrame:
-    """(arm, kind, markers, found, recall), `kind` null for all kinds together.
+    """(arm, kind, markers, found, recall), `kind` null for all kinds together; a kind without markers has a null recall.
 
     runs(record_id, arm, ok): only records that succeeded under every one of `arms` count.
     """
-    complete = (runs.filter(F.col("ok") & F.col("arm").isin(arms))
-                .groupBy("record_id").agg(F.count_distinct("arm").alias("n"))
-                .filter(F.col("n") == len(arms)).select("record_id"))
-    return (hits.filter(F.col("arm").isin(arms)).join(complete, "record_id", "left_semi")
-            .groupingSets([("arm",), ("arm", "kind")], "arm", "kind")
-            .agg(F.count(F.lit(1)).alias("markers"), F.count_if("found").alias("found"))
+    complete = complete_records(runs, arms)
+    counts = (hits.filter(F.col("arm").isin(arms)).join(complete, "record_id", "left_semi")
+              .groupingSets([("arm",), ("arm", "kind")], "arm", "kind")
+              .agg(F.count(F.lit(1)).alias("markers"), F.count_if("found").alias("found")))
+    every = hits.sparkSession.createDataFrame([(a, k) for a in arms for k in (*K.MARKER_KINDS, None)], "arm string, kind string")
+    same = (F.col("e.arm") == F.col("c.arm")) & F.col("e.kind").eqNullSafe(F.col("c.kind"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return (every.alias("e").join(counts.alias("c"), same, "left").select("e.arm", "e.kind", zero("markers"), zero("found"))
             .withColumn("recall", F.try_divide("found", "markers")))
+
+
+MEANS = ("facts", "on_screen", "summary_chars", "seconds")
+
+
+def variant_means(measures: DataFrame, runs: DataFrame, arms: list[str]) -> DataFrame:
+    """(arm, records, mean of facts, overlay lines, summary characters and seconds) over the records `marker_recall` counts.
+
+    measures(record_id, arm, facts, on_screen, summary_chars, seconds).
+    """
+    return (measures.filter(F.col("arm").isin(arms)).join(complete_records(runs, arms), "record_id", "left_semi")
+            .groupBy("arm").agg(F.count(F.lit(1)).alias("records"), *[F.avg(c).alias(f"mean_{c}") for c in MEANS]))

@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner import constants as K
 from gleaner.functions.text import col, empty_strings, let, or_else, present, renamed_tags, strip, valid_id
-
-SUMMARY_COLUMNS = [
-    "id", "title", "author", "genre", "tags", "url", "thumbnail_path", "likes", "views", "comments",
-    "duration", "timestamp", "has_pdf", "tokens_in", "tokens_out", "backend", "model"]
+from gleaner.session import cut_lineage
 
 
 def summarise_records(records: DataFrame) -> DataFrame:
@@ -41,9 +38,8 @@ def text_match(needle: str) -> Column:
     return reduce(lambda a, b: a | b, [*fields, tagged])
 
 
-def filter_records(listing: DataFrame, *, q: str = "", tag: str = "", genre: str = "", author: str = "",
-                   collection: str = "", arm: str = "", status: str = "all", max_age_days: int | None = None,
-                   now: Column | None = None) -> DataFrame:
+def record_filter(*, q: str = "", tag: str = "", genre: str = "", author: str = "", collection: str = "", arm: str = "",
+                  status: str = "all", max_age_days: int | None = None, now: Column | None = None) -> Column:
     """AND of the given predicates; archived rows only under status='archived'."""
     keep = [F.col("archived") if status == "archived" else ~F.col("archived")]
     if q:
@@ -65,7 +61,18 @@ def filter_records(listing: DataFrame, *, q: str = "", tag: str = "", genre: str
     if max_age_days is not None:
         now = F.current_timestamp() if now is None else now
         keep.append(F.col("timestamp") >= now - F.make_dt_interval(F.lit(max_age_days)))
-    return listing.filter(reduce(lambda a, b: a & b, keep))
+    return reduce(lambda a, b: a & b, keep)
+
+
+def filter_records(listing: DataFrame, **asked) -> DataFrame:
+    """The rows of one filter set; see `record_filter`."""
+    return listing.filter(record_filter(**asked))
+
+
+def filter_by_sets(listing: DataFrame, sets: dict[str, dict], name: str = "view") -> DataFrame:
+    """Every row once for each named filter set it passes, in one pass: adds the set's name."""
+    passed = [F.when(record_filter(**asked), F.lit(n)) for n, asked in sets.items()]
+    return listing.withColumn(name, F.explode(F.filter(F.array(*passed), lambda n: n.isNotNull())))
 
 
 def filter_min_metric(listing: DataFrame, column: str, minimum: float) -> DataFrame:
@@ -169,11 +176,26 @@ def sort_records(listing: DataFrame, sort: str = "likes") -> DataFrame:
     return listing.orderBy(*sort_keys(sort))
 
 
+def with_rank(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
+    """Adds the 1-based place of every row in the order. The rows are range-sorted once; each then counts from the sizes of
+    the ranges before its own, so no task sees more than its range."""
+    low = (1 << 33) - 1
+    placed = cut_lineage(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    ranges = placed.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return (placed.withColumn("_range", F.shiftright("_at", 33)).join(ranges.select("_range", before.alias("_before")), "_range")
+            .withColumn(out, F.col("_before") + F.col("_at").bitwiseAND(F.lit(low)) + 1).drop("_at", "_range", "_before"))
+
+
 def sort_any_column(df: DataFrame, column: str, descending: bool = True, key: str = "id") -> DataFrame:
     """Numbers sort as numbers, text as text (null as '')."""
+    return df.orderBy(*column_keys(df, column, descending, key))
+
+
+def column_keys(df: DataFrame, column: str, descending: bool = True, key: str = "id") -> list[Column]:
     numeric = dict(df.dtypes)[column] in ("int", "bigint", "double", "float", "smallint", "tinyint")
     value = F.col(column) if numeric else F.coalesce(F.col(column).cast("string"), F.lit(""))
-    return df.orderBy(value.desc() if descending else value.asc(), F.col(key))
+    return [value.desc() if descending else value.asc(), F.col(key)]
 
 
 def recent(records: DataFrame, n: int = 8, order: list[Column] | None = None) -> DataFrame:

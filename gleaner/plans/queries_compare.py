@@ -158,9 +158,12 @@ said AS (SELECT record_id, arm, regexp_replace(lower(string_agg(text, ' ')), '[^
          FROM facts WHERE arm IN ('user', 'assistant') GROUP BY ALL),
 whole AS (SELECT record_id FROM said GROUP BY record_id HAVING count(*) = 2),
 h AS (SELECT arm, kind, contains(key, regexp_replace(lower(m), '[^a-z0-9]', '', 'g')) AS found
-      FROM k JOIN said USING (record_id) WHERE record_id IN (SELECT record_id FROM whole))
-SELECT arm, kind, count(*) AS markers, count(*) FILTER (found) AS found, (count(*) FILTER (found))::DOUBLE / count(*) AS recall
-FROM h GROUP BY GROUPING SETS ((arm), (arm, kind))""")
+      FROM k JOIN said USING (record_id) WHERE record_id IN (SELECT record_id FROM whole)),
+x AS (SELECT arm, kind, count(*) AS markers, count(*) FILTER (found) AS found, (count(*) FILTER (found))::DOUBLE / count(*) AS recall
+      FROM h GROUP BY GROUPING SETS ((arm), (arm, kind)))
+SELECT a.arm, k.kind, coalesce(markers, 0) AS markers, coalesce(found, 0) AS found, recall
+FROM (VALUES ('user'), ('assistant')) a(arm) CROSS JOIN (VALUES ('link'), ('sponsorship'), ('tag'), (NULL)) k(kind)
+LEFT JOIN x ON x.arm = a.arm AND x.kind IS NOT DISTINCT FROM k.kind""", filled=["recall"])
 def ag19(spark, sf):
     f = stage.facts(spark, sf)
     words = F.regexp_extract_all("text", F.lit("[A-Za-z0-9]{9,}"), F.lit(0))
@@ -175,6 +178,15 @@ def ag19(spark, sf):
     return M.marker_recall(hits, runs, arms)
 
 
+@query("ag19_variant_means", f"""WITH {MEASURES},
+whole AS (SELECT conv_id FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id HAVING count(DISTINCT role) = 2)
+SELECT arm, count(*) AS records, avg(facts) AS mean_facts, avg(tags) AS mean_on_screen, avg(summary_chars) AS mean_summary_chars,
+       avg(seconds) AS mean_seconds FROM measures WHERE arm IN ('user', 'assistant') AND record_id IN (SELECT conv_id FROM whole) GROUP BY arm""")
+def ag19_means(spark, sf):
+    m = measures(spark, sf).withColumnRenamed("tags", "on_screen")
+    return M.variant_means(m, m.select("record_id", "arm", F.lit(True).alias("ok")), ["user", "assistant"])
+
+
 def summaries(spark, sf):
     return claims(spark, sf).groupBy("record_id", "arm").agg(F.min_by("text", "pos").alias("summary"))
 

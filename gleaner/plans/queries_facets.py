@@ -9,6 +9,7 @@ from gleaner.operators import facets as G
 from gleaner.operators import ranking as W
 from gleaner.operators.joins import first_occurrence
 from gleaner.plans import sqlparts as Q
+from gleaner.operators.records import with_rank
 from gleaner.plans import stage
 from gleaner.plans.queries_io import LOG, doc_members, log_lines
 from gleaner.plans.queries_records import STORE, SYNC, candidate_store, sync_tables
@@ -85,6 +86,18 @@ def ag4(spark, sf):
     return G.tag_facets(stage.order_tags(spark, sf), stage.order_members(spark, sf))
 
 
+@query("ag4_tag_listing", f"""WITH {Q.ORDER_TAGS}, {Q.ORDER_MEMBERS},
+n AS (SELECT tag, count(*) AS count FROM order_tags GROUP BY tag),
+p AS (SELECT tag, slug, count(*) AS in_slug FROM order_tags t JOIN order_members m ON m.record_id = t.id GROUP BY tag, slug)
+SELECT n.tag, n.count, coalesce(string_agg(p.slug || ':' || p.in_slug, ',' ORDER BY in_slug DESC, slug), '') AS collections,
+       row_number() OVER (ORDER BY n.count DESC, n.tag) AS rank FROM n LEFT JOIN p ON p.tag = n.tag GROUP BY n.tag, n.count""")
+def ag4_listing(spark, sf):
+    tags = G.tag_listing(stage.order_tags(spark, sf), stage.order_members(spark, sf))
+    shown = tags.select("tag", "count", F.array_join(F.transform("collections", lambda c: F.concat(
+        c["name"], F.lit(":"), c["count"].cast("string"))), ",").alias("collections"))
+    return with_rank(shown, [F.desc("count"), F.col("tag")])
+
+
 @query("ag5_top_tags", """
 SELECT lower(p_name) AS tag, count(*) AS count FROM part GROUP BY 1 ORDER BY count DESC, tag LIMIT 30""")
 def ag5(spark, sf):
@@ -121,15 +134,17 @@ def ag11(spark, sf):
 
 
 @query("ag12_attempt_notes", """
-WITH last AS (SELECT DISTINCT event_type AS arm, user_id, event_type <> 'error' AS ok FROM events),
-s AS (SELECT arm, count(*) FILTER (ok) AS ok, count(*) FILTER (NOT ok) AS failed FROM last GROUP BY arm)
-SELECT arm, ok, failed, ok + failed AS attempted,
+WITH last AS (SELECT event_type AS arm, user_id, arg_max(value, struct_pack(ts := ts, id := event_id)) AS v,
+                     event_type <> 'error' AS ok FROM events GROUP BY event_type, user_id),
+s AS (SELECT arm, count(*) FILTER (ok) AS ok, count(*) FILTER (NOT ok) AS failed,
+             CAST(sum(CAST(v AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS avg_seconds FROM last GROUP BY arm)
+SELECT arm, ok, failed, avg_seconds, ok + failed AS attempted,
        CASE WHEN ok = 0 THEN 'abandoned' WHEN ok + failed < 5000 THEN 'stopped at ' || (ok + failed) || '/5000'
             ELSE '' END AS note FROM s""")
 def ag12(spark, sf):
     stats = A.attempt_stats(stage.attempts(spark, sf))
     scored = stage.table(spark, sf, "events").filter("event_type <> 'error'").select(F.col("event_type").alias("arm")).distinct()
-    return A.attempt_notes(stats, scored, 5000).drop("avg_seconds")
+    return A.attempt_notes(stats, scored, 5000)
 
 
 def outcomes(spark, sf):

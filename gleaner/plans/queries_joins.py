@@ -187,6 +187,20 @@ def jn15(spark, sf):
     return hits.groupBy("record_id", "arm", "marker").agg(F.bool_or("found").alias("found"))
 
 
+@query("jn15_variant_text", f"""WITH {Q.REC}, {Q.TAGS},
+j AS (SELECT id, string_agg(tag, '' ORDER BY nth) AS tags FROM tags GROUP BY id),
+k AS (SELECT r.id, regexp_replace(lower(coalesce(summary, '') || array_to_string(lines, '') || array_to_string(lines, '') ||
+             array_to_string(lines, '') || coalesce(tags, '') || 'topic' || genre || 'name' || author), '[^a-z0-9]', '', 'g') AS key
+      FROM records r LEFT JOIN j ON j.id = r.id)
+SELECT r.id, md5(key) AS key, contains(key, regexp_replace(lower(title0), '[^a-z0-9]', '', 'g')) AS title_found FROM records r JOIN k ON k.id = r.id""")
+def jn15_text(spark, sf):
+    """Everything a variant says as one key, and whether the record's title is in it."""
+    r = stage.records(spark, sf).withColumn("key_points", F.col("on_screen_text"))
+    variants = r.select(F.col("id").alias("record_id"), F.lit("a").alias("arm"), M.variant_text().alias("key"))
+    hits = M.marker_hits(r.select(F.col("id").alias("record_id"), F.array("title").alias("markers")), variants)
+    return variants.join(hits, "record_id").select(F.col("record_id").alias("id"), F.md5("key").alias("key"), F.col("found").alias("title_found"))
+
+
 @query("jn16_cited_only", f"""WITH {Q.REC},
 s AS (SELECT id, genre || ' [' || author || '] ' AS answer, ['src1', 'src2', author] AS ids,
              regexp_extract_all(genre || ' [' || author || '] ', '\\[([A-Za-z0-9_-]+)\\]', 1) AS cites FROM records),

@@ -22,14 +22,14 @@ def union(frames):
 
 
 @query("corpus_listing", f"""WITH {Q.LISTING}
-SELECT id, title, author, genre, likes, starred, read, archived, 'c-' || author || ',l-' || genre AS collections
-FROM listing WHERE NOT archived""")
+SELECT l.id, title, author, genre, likes, starred, read, archived,
+       CASE WHEN b.doc_id IS NULL THEN '' ELSE 'q' || b.quality || ',t' || b.toxic END AS collections
+FROM listing l LEFT JOIN labels b ON CAST(b.doc_id AS VARCHAR) = l.id WHERE NOT archived""")
 def corpus_listing(spark, sf):
     """The flagship: records with flags and shelves, archived ones hidden, most liked first."""
-    docs = stage.records(spark, sf)
-    shelves = docs.select(F.col("id").alias("record_id"), F.explode(F.array(
-        F.concat(F.lit("c-"), "author"), F.concat(F.lit("l-"), "genre"))).alias("slug"))
-    rows = with_annotations(R.summarise_records(docs), stage.annotations(spark, sf))
+    shelves = stage.table(spark, sf, "labels").select(stage.text_of("doc_id").alias("record_id"), F.explode(F.array(
+        F.concat(F.lit("q"), "quality"), F.concat(F.lit("t"), "toxic"))).alias("slug"))
+    rows = with_annotations(R.summarise_records(stage.records(spark, sf)), stage.annotations(spark, sf))
     rows = R.sort_records(R.filter_records(with_collections(rows, shelves)), "likes")
     return rows.select("id", "title", "author", "genre", "likes", "starred", "read", "archived",
                        F.array_join("collections", ",").alias("collections"))
@@ -61,7 +61,7 @@ def pf2(spark, sf):
         "text": dict(q="OULD"), "tag": dict(tag="the"), "shelf": dict(collection="c-src3", genre="en"),
         "starred": dict(status="starred", arm="local"), "unread": dict(status="unread", genre="fr"),
         "archived": dict(status="archived")}
-    return union(R.filter_records(rows, **f).select(F.lit(n).alias("f"), "id") for n, f in asked.items())
+    return R.filter_by_sets(rows, asked, "f").select("f", "id")
 
 
 @query("pf2_filter_by_age", """
@@ -95,6 +95,21 @@ def pf5(spark, sf):
     return union(R.apply_saved_view(rows, v).select(F.lit(n).alias("name"), "id") for n, v in views.items())
 
 
+@query("pf5_saved_views", """
+WITH v AS (SELECT n_name AS name, 'r' || n_regionkey AS genre FROM nation WHERE n_nationkey % 3 <> 0
+           UNION ALL SELECT n_name, 'new' FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT r_name, 'new' FROM region)
+SELECT name, genre FROM v WHERE name NOT LIKE 'A%'""")
+def pf5_views(spark, sf):
+    """Nations as saved views: every third is saved anew, regions are added, names on A are deleted."""
+    view = lambda name, genre: [F.col(name).alias("name"), F.create_map(F.lit("genre"), genre).alias("filters")]
+    nation, region = (stage.table(spark, sf, t) for t in ("nation", "region"))
+    views = nation.select(*view("n_name", F.concat(F.lit("r"), "n_regionkey")))
+    changes = nation.filter("n_nationkey % 3 = 0").select(*view("n_name", F.lit("new"))).unionByName(region.select(*view("r_name", F.lit("new"))))
+    saved = R.save_views(views, changes)
+    left = R.delete_views(saved, saved.filter("name LIKE 'A%'").select("name"))
+    return left.select("name", F.col("filters")["genre"].alias("genre"))
+
+
 @query("pf6_route_modality", """
 SELECT CAST(doc_id AS VARCHAR) AS id, n_chars < 1000 AND text <> '' AS is_text FROM documents""")
 def pf6(spark, sf):
@@ -168,25 +183,25 @@ def _order_rows(spark, sf):
 
 
 @query("sl1_sort_records", """
-SELECT * FROM (SELECT 'newest' AS sort, o_orderkey AS id FROM orders ORDER BY o_orderdate DESC, id LIMIT 100)
-UNION ALL SELECT * FROM (SELECT 'oldest', o_orderkey AS id FROM orders ORDER BY o_orderdate, id LIMIT 100)
-UNION ALL SELECT * FROM (SELECT 'likes', o_orderkey AS id FROM orders ORDER BY o_totalprice DESC, id LIMIT 100)
-UNION ALL SELECT * FROM (SELECT 'title', o_orderkey AS id FROM orders ORDER BY o_orderstatus, id LIMIT 100)""")
+SELECT 'newest' AS sort, o_orderkey AS id, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders
+UNION ALL SELECT 'oldest', o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) FROM orders
+UNION ALL SELECT 'likes', o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) FROM orders
+UNION ALL SELECT 'title', o_orderkey, row_number() OVER (ORDER BY o_orderstatus, o_orderkey) FROM orders""")
 def sl1(spark, sf):
-    """The order itself is invisible in a set of rows, so each sort shows its first screen of 100."""
+    """The order itself is invisible in a set of rows, so each row shows its place."""
     rows = _order_rows(spark, sf)
-    return union(R.sort_records(rows, s).limit(100).select(F.lit(s).alias("sort"), "id")
+    return union(R.with_rank(rows, R.sort_keys(s)).select(F.lit(s).alias("sort"), "id", "rank")
                  for s in ("newest", "oldest", "likes", "title"))
 
 
 @query("sl2_sort_any_column", """
-SELECT * FROM (SELECT 'number' AS kind, c_custkey AS id FROM customer ORDER BY c_acctbal DESC, id LIMIT 100)
-UNION ALL SELECT * FROM (SELECT 'text', c_custkey AS id FROM customer ORDER BY c_mktsegment, id LIMIT 100)""")
+SELECT 'number' AS kind, c_custkey AS id, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer
+UNION ALL SELECT 'text', c_custkey, row_number() OVER (ORDER BY c_mktsegment, c_custkey) FROM customer""")
 def sl2(spark, sf):
     c = stage.table(spark, sf, "customer").withColumnRenamed("c_custkey", "id")
-    return union([R.sort_any_column(c, "c_acctbal").limit(100).select(F.lit("number").alias("kind"), "id"),
-                  R.sort_any_column(c, "c_mktsegment", descending=False).limit(100).select(
-                      F.lit("text").alias("kind"), "id")])
+    number, text = R.column_keys(c, "c_acctbal"), R.column_keys(c, "c_mktsegment", descending=False)
+    return union([R.with_rank(c, number).select(F.lit("number").alias("kind"), "id", "rank"),
+                  R.with_rank(c, text).select(F.lit("text").alias("kind"), "id", "rank")])
 
 
 @query("sl3_recent_n", "SELECT o_orderkey AS id FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 8")

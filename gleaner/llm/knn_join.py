@@ -4,14 +4,16 @@ A vector's components become floor(scale * x). Inner product turns into distance
 largest norm of all candidates, candidate p becomes (p, sqrt(M² - |p|²)) and query q becomes (q, 0); then
 |q - p|² = |q|² + M² - 2 q·p, so the k nearest candidates are the k highest scores.
 
-1. Up to `pivots` candidates, those with the smallest hash of their id, are the pivots. Each query belongs to the
-   cell of its nearest pivot, each candidate likewise.
+1. A bounded number of candidates, those with the smallest hash of their id, are the pivots: about two for every
+   `chunk` queries. Each query belongs to the cell of its nearest pivot, each candidate likewise.
 2. Summaries: per cell of queries its radius, per cell of candidates its k + 1 smallest distances to the pivot.
    The triangle inequality gives each query cell i a bound: its k + 1 nearest candidates lie within
    radius(i) + |pivot i - pivot j| + d for the k + 1 smallest such sums over all cells j.
-3. A candidate is replicated to query cell i only if its distance to pivot i minus radius(i) is within the bound.
-4. Query cells meet their candidates in blocks of bounded size: the candidates of a cell are dealt into blocks by
-   the hash of their id and its queries into chunks. A block keeps k rows per query; the best k of those remain.
+3. Neighbouring query cells are put together into groups of up to `chunk` queries. A candidate is replicated to a group
+   only if, for some cell i of it, its distance to pivot i minus radius(i) is within the bound.
+4. Groups meet their candidates in blocks of bounded size: the candidates of a group are dealt into blocks by the hash
+   of their id; a cell of more than `chunk` queries is a group of its own whose queries are dealt into parts. A block
+   keeps k rows per query; the best k of those remain.
 
 Scores are exact: products and sums are integers; floating point is used where every partial sum stays below 2^53.
 Bounds are widened by a relative 1e-9 so that rounding never loses a candidate.
@@ -83,9 +85,10 @@ def _summaries(df: DataFrame, space: _Space, k: int) -> tuple[np.ndarray, np.nda
             points = _rows(b.column(1), space.width)
             asks = b.column(2).to_numpy(zero_copy_only=False)
             d = space.queries(points[asks])
-            own = d.argmin(1)
+            # a query as near to two pivots counts for both: which one it is dealt to may depend on rounding
+            row, own = np.nonzero(d <= d.min(1, keepdims=True) * (1 + SLACK) + SLACK) if len(d) else (np.zeros(0, int),) * 2
             n += np.bincount(own, minlength=cells)
-            np.maximum.at(radius, own, d.min(1))
+            np.maximum.at(radius, own, d[row, own])
             d = space.candidates(points)
             own, least = d.argmin(1), d.min(1)
             m += np.bincount(own, minlength=cells)
@@ -117,6 +120,21 @@ def _bounds(space: _Space, n: np.ndarray, radius: np.ndarray, near: list[np.ndar
     return reach
 
 
+def _groups(space: _Space, n: np.ndarray, chunk: int) -> np.ndarray:
+    """Group of each query cell: cells in a chain of nearest pivots, put together while they hold at most `chunk` queries."""
+    group, number, held = np.full(len(n), -1), -1, 0
+    left = list(np.flatnonzero(n))
+    at = left[0] if left else None
+    while left:
+        at = min(left, key=lambda c: space.between[at, c])
+        left.remove(at)
+        if number < 0 or held + n[at] > chunk:
+            number, held = number + 1, 0
+        group[at] = number
+        held += n[at]
+    return group
+
+
 def _top(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of each row's k best: score down, id up; a query's own id does not count."""
     rows, cols = [], []
@@ -133,57 +151,60 @@ def _top(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, *, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024,
-          pivots: int = 64, block: int = 8_192, chunk: int = 1_024) -> DataFrame:
+          pivots: tuple[int, int] = (16, 1_024), block: int = 8_192, chunk: int = 1_024) -> DataFrame:
     """(query_id, rank from 1, id, score) of each query's k best candidates: every usable row but the query's own.
 
     Ties go to the smaller id. Vectors that are null or hold null or non-finite components take no part, nor do null
     ids; vectors of different lengths are compared as if the shorter one ended in zeros; ids are taken as unique, of
     equal rows each is a candidate for other ids. Queries with no other candidate give no rows. Scores and components
-    must fit 64 bits. Other columns are left out.
+    must fit 64 bits. Other columns are left out. `pivots` are the least and the most pivots.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("raw"), F.coalesce(is_query, F.lit(False)).alias("asks")) \
         .filter(F.col("id").isNotNull() & usable(F.col("raw"))).select("id", integers(F.col("raw"), scale).alias("vec"), "asks")
     norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    shape = rows.agg(F.max(F.size("vec")).alias("width"), F.max(norm).alias("norm2")).first()
+    shape = rows.agg(F.max(F.size("vec")).alias("width"), F.max(norm).alias("norm2"), F.count_if("asks").alias("queries")).first()
     out = "query_id long, id long, score long"
     if shape.width is None:
         return spark.createDataFrame([], out).select("query_id", F.lit(1).alias("rank"), F.col("id").alias(id_col), "score")
-    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vec").collect()
+    wanted = min(pivots[1], max(pivots[0], 2 * -(-shape.queries // chunk)))
+    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vec").collect()
     points = np.zeros((len(chosen), shape.width), np.int64)
     for i, r in enumerate(chosen):
         points[i, :len(r.vec)] = r.vec
     space = _Space(np.unique(points, axis=0), shape.width, shape.norm2 * (1 + SLACK))
     n, radius, m, near = _summaries(rows, space, k + 1)
     reach = _bounds(space, n, radius, near, k + 1)
-    chunks = np.maximum(1, -(-n // chunk))
+    group = _groups(space, n, chunk)
+    parts = np.ones(group.max() + 1, np.int64)
+    np.maximum.at(parts, group[group >= 0], -(-n[group >= 0] // chunk))
     blocks = int(max(1, -(-m.sum() // block)))
     exact = shape.norm2 < EXACT
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Queries to every block of their cell, candidates to one block of every cell they matter to, for each chunk."""
+        """Queries to every block of their group, candidates to one block of every group they matter to, for each part."""
         for b in batches:
             ids = b.column(0).to_numpy()
             points = _rows(b.column(1), space.width)
             packed = np.array([p.tobytes() for p in points], dtype=object)
             asks = np.flatnonzero(b.column(2).to_numpy(zero_copy_only=False))
             mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            cell = space.queries(points[asks]).argmin(1)
-            part = (mixed[asks] % chunks[cell].astype(np.uint64)).astype(np.int64)
+            own = group[space.queries(points[asks]).argmin(1)]
+            part = (mixed[asks] % parts[own].astype(np.uint64)).astype(np.int64)
             near_by = space.candidates(points) <= reach[None]
-            for c in np.unique(cell):
-                at = asks[cell == c]
+            for g in np.unique(own):
+                at = asks[own == g]
                 for z in range(blocks):
-                    yield _dealt(c, part[cell == c], z, ids[at], packed[at], True)
-            for c in np.flatnonzero(near_by.any(0)):
-                at = np.flatnonzero(near_by[:, c])
-                for p in range(chunks[c]):
-                    yield _dealt(c, p, (mixed[at] // np.uint64(7) % np.uint64(blocks)).astype(np.int64), ids[at], packed[at], False)
+                    yield _dealt(g, part[own == g], z, ids[at], packed[at], True)
+            for g in range(len(parts)):
+                at = np.flatnonzero(near_by[:, group == g].any(1))
+                for p in range(parts[g] if len(at) else 0):
+                    yield _dealt(g, p, (mixed[at] // np.uint64(7) % np.uint64(blocks)).astype(np.int64), ids[at], packed[at], False)
 
-    def _dealt(c, p, z, ids, packed, asks) -> pa.RecordBatch:
+    def _dealt(g, p, z, ids, packed, asks) -> pa.RecordBatch:
         full = lambda x: pa.array(np.broadcast_to(np.asarray(x, np.int64), len(ids)))
-        return pa.RecordBatch.from_arrays([full(c), full(p), full(z), pa.array(ids), pa.array(packed, pa.binary()),
-                                           pa.array(np.full(len(ids), asks))], ["cell", "part", "block", "id", "vec", "asks"])
+        return pa.RecordBatch.from_arrays([full(g), full(p), full(z), pa.array(ids), pa.array(packed, pa.binary()),
+                                           pa.array(np.full(len(ids), asks))], ["team", "part", "block", "id", "vec", "asks"])
 
     def solve(group: pa.Table) -> pa.Table:
         asks = group.column("asks").to_numpy(zero_copy_only=False)
@@ -201,8 +222,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, *, id_col: str = "v
         cols = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
         return pa.table(cols, ["query_id", "id", "score"])
 
-    best = (rows.mapInArrow(deal, "cell long, part long, block long, id long, vec binary, asks boolean")
-            .groupBy("cell", "part", "block").applyInArrow(solve, out))
+    best = (rows.mapInArrow(deal, "team long, part long, block long, id long, vec binary, asks boolean")
+            .groupBy("team", "part", "block").applyInArrow(solve, out))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return (best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select("query_id", "rank", F.col("id").alias(id_col), "score"))

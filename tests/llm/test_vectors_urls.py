@@ -28,7 +28,7 @@ def test_knn_equals_brute_force(spark):
              (510, [3000.0] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
     for block, chunk in ((8192, 1024), (50, 7)):
-        got = knn_join.top_k(df, F.col("vec_id") % 10 == 0, 7, pivots=8, block=block, chunk=chunk).collect()
+        got = knn_join.top_k(df, F.col("vec_id") % 10 == 0, 7, pivots=(8, 8), block=block, chunk=chunk).collect()
         assert sorted(map(tuple, got)) == brute(rows, lambda i: i % 10 == 0, 7, 1024)
 
 

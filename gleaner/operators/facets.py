@@ -205,8 +205,9 @@ def named_resources(structured: Column | str, facts: Column | str) -> Column:
     return F.array_distinct(kept)
 
 
-# longer than any bucket pattern reaches into the context from the item before it
-CONTEXT_HEAD = r"(?sU)^.{0,64}\w*"
+# as far as a bucket pattern can reach into the context from the item before it: an alternative matches no more characters
+# than it is written with, and then word characters
+CONTEXT_HEAD = r"(?sU)^.{0,%d}\w*" % max(len(p) for _, p in K.RESOURCE_BUCKETS)
 
 
 def resource_bucket(item: Column, context_hits: Column, context_head: Column) -> Column:

@@ -40,6 +40,11 @@ def running_rank(df: DataFrame, keys: list[str], block: list[str], order: list[s
     return running_total(df, keys, block, order, F.lit(1), out).withColumn(out, F.col(out).cast("bigint"))
 
 
-def with_group_size(df: DataFrame, keys: list[str], out: str) -> DataFrame:
-    """Adds the number of rows of the group, from a partial aggregate instead of a window."""
-    return df.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out)), keys)
+def attach(df: DataFrame, small: DataFrame, keys: list[str], most: int = 100_000, salts: int = 32) -> DataFrame:
+    """`df` with the columns of `small`, which has one row per key: sent to the rows while it has at most `most` rows, else joined
+    with every key cut into `salts` pieces, so that a hot key is many tasks."""
+    if small.limit(most + 1).count() <= most:
+        return df.join(F.broadcast(small), keys)
+    pieces = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys]), F.lit(salts)).cast("int"))
+    return dealt.join(pieces, [*keys, "_salt"]).drop("_salt")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import or_else
 from gleaner.operators.facets import top_n_per_group
-from gleaner.operators.prefix import running_rank, running_total, with_group_size
+from gleaner.operators.prefix import attach, running_rank, running_total
 from gleaner.operators.records import seeded_order
 
 
+PART = 100_000      # numbers that one task ranks at most
+
+
 def latest_attempt(attempts: DataFrame) -> DataFrame:
     """Last row per (arm, record) by (at, seq), as a partial aggregate rather than a sort."""
     rest = [c for c in attempts.columns if c not in ("arm", "record_id")]
@@ -72,26 +77,27 @@ def unique_names(sources: DataFrame, block: list[str], taken: DataFrame | None =
         owned = owned.unionByName(taken.select("name"))
         ranked = ranked.join(taken.select(F.col("name").alias("base"), F.lit(True).alias("_bare")), "base", "left")
         bare = F.coalesce("_bare", F.lit(False))
+    # With the owned suffixes k1 < k2 < … of a base, its m-th free suffix is m + the number of j for which kj - j < m.
     numbered = r"^(.*)-([1-9][0-9]*)\z"
     suffixes = (owned.filter(F.col("name").rlike(numbered))
-                .select(F.regexp_extract("name", numbered, 1).alias("base"),
-                        F.regexp_extract("name", numbered, 2).cast("bigint").alias("k"))
-                .filter("k >= 2")
-                .groupBy("base").agg(F.sort_array(F.collect_set("k")).alias("_owned")))
-    first_free = F.aggregate(
-        F.coalesce("_owned", F.array().cast("array<bigint>")),
-        F.col("nth") + F.when(bare, 1).otherwise(0).cast("bigint"),
-        lambda acc, k: F.when(k <= acc, acc + 1).otherwise(acc))
-    return (ranked.join(suffixes, "base", "left")
+                .select(F.regexp_extract("name", numbered, 1).alias("base"), F.regexp_extract("name", numbered, 2).cast("bigint").alias("k"))
+                .filter("k >= 2").distinct().withColumn("_part", F.expr(f"k div {PART}")))
+    below = running_rank(suffixes, ["base"], ["_part"], ["k"], "j").select(
+        "base", (F.col("k") - F.col("j")).alias("at"), F.lit(1).alias("owned"), F.lit(None).cast("string").alias("url"))
+    asked = ranked.withColumn("m", F.col("nth") + F.when(bare, 1).otherwise(0))
+    wanted = asked.select("base", F.col("m").alias("at"), F.lit(0).alias("owned"), "url")
+    both = wanted.unionByName(below).withColumn("_part", F.expr(f"at div {PART}"))
+    passed = running_total(both, ["base"], ["_part"], ["at", "owned", "url"], F.col("owned"), "passed").filter("owned = 0")
+    return (asked.join(passed.select("url", "passed"), "url")
             .withColumn("name", F.when((F.col("nth") == 1) & ~bare, F.col("base"))
-                        .otherwise(F.concat(F.col("base"), F.lit("-"), first_free.cast("string"))))
-            .drop("_owned", "_bare"))
+                        .otherwise(F.concat(F.col("base"), F.lit("-"), (F.col("m") + F.col("passed")).cast("string"))))
+            .drop("_bare", "m", "passed"))
 
 
 def grouped_listing(listing: DataFrame, keys: list[Column]) -> DataFrame:
     """Rows by genre: biggest group first, uncategorized last, `keys` inside a group."""
     shown = listing.withColumn("section", or_else("genre", "uncategorized"))
-    sized = with_group_size(shown, ["section"], "section_size")
+    sized = attach(shown, shown.groupBy("section").agg(F.count(F.lit(1)).alias("section_size")), ["section"])
     return sized.orderBy((F.col("section") == "uncategorized").asc(), F.desc("section_size"), "section", *keys)
 
 
@@ -103,13 +109,22 @@ def budget_cutoff(rows: DataFrame, keys: list[str], block: list[str], order: lis
 
 
 def even_subsample(rows: DataFrame, keys: list[str], block: list[str], order: list[str], cap: int) -> DataFrame:
-    """Groups above `cap` keep the indexes int(k·n/cap); smaller groups are whole."""
-    ranked = with_group_size(running_rank(rows, keys, block, order, "_rank"), keys, "_size")
-    idx, step = F.col("_rank") - 1, F.col("_size") / F.lit(float(cap))
-    near = F.ceil(idx / step)
+    """Groups above `cap` keep the indexes int(k·n/cap); smaller groups are whole.
 
-    def lands(k: Column) -> Column:
-        return (k >= 0) & (k < cap) & (F.floor(k * step) == idx)
-
-    return ranked.filter((F.col("_size") <= cap) | lands(near) | lands(near - 1) | lands(near + 1)) \
-        .withColumn("idx", idx).drop("_rank", "_size")
+    The wanted places are worked out from the sizes of the blocks; only blocks that hold one are sorted.
+    """
+    names = [*keys, *block]
+    sizes = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    placed = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).withColumn(
+        "_size", F.sum("_n").over(Window.partitionBy(*keys)))
+    step, end = F.col("_size") / F.lit(float(cap)), F.col("_before") + F.col("_n")
+    turns = F.sequence(F.greatest(F.floor(F.col("_before") / step) - 1, F.lit(0)), F.least(F.ceil(end / step) + 1, F.lit(cap - 1)))
+    spots = F.transform(F.filter(turns, lambda k: (k >= 0) & (k < cap)), lambda k: F.floor(k * step))
+    wanted = F.when(F.col("_size") > cap, F.filter(spots, lambda i: (i >= F.col("_before")) & (i < end)))
+    few = placed.select(*[F.col(n).alias(f"_w_{n}") for n in names], "_before", wanted.alias("_wanted")).filter(
+        "_wanted IS NULL OR size(_wanted) > 0")
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_w_{n}")) for n in names])
+    kept = rows.join(few, same).drop(*[f"_w_{n}" for n in names])
+    idx = F.row_number().over(Window.partitionBy(*names).orderBy(*order)) - 1 + F.col("_before")
+    return kept.withColumn("idx", idx).filter("_wanted IS NULL OR array_contains(_wanted, idx)").drop("_before", "_wanted")

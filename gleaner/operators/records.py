@@ -139,10 +139,6 @@ def select_by_ids(records: DataFrame, wanted: DataFrame, key: str = "id") -> Dat
     return records.join(wanted.select("pos", F.col(key)), key).orderBy("pos")
 
 
-def id_list(df: DataFrame, ids: Column) -> DataFrame:
-    """`wanted(pos, id)` from a comma-separated list column."""
-    parts = F.filter(F.transform(F.split(ids, ","), strip), lambda x: x != "")
-    return df.select(F.posexplode(parts).alias("pos", "id"))
 
 
 def filter_candidates(candidates: DataFrame, state: str = "new") -> DataFrame:

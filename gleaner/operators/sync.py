@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner import constants as K
-from gleaner.functions.answers import empty_map  # noqa: F401  (re-exported for table builders)
 from gleaner.functions.text import empty_strings, present
 from gleaner.operators.joins import FLAGS, new_ids
 from gleaner.operators.records import variants_with
@@ -97,7 +96,6 @@ def union_sources(media: DataFrame, text: DataFrame) -> DataFrame:
     return media.unionByName(text, allowMissingColumns=True)
 
 
-STATES = ("new", "accepted", "rejected", "snoozed")
 
 
 def set_candidate_state(store: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -111,10 +109,6 @@ def accept_queue(store: DataFrame, queued: DataFrame) -> DataFrame:
     return store.filter("state = 'accepted'").select("url").distinct().join(queued.select("url"), "url", "left_anti")
 
 
-def new_pairs(current: DataFrame, pool: DataFrame, dead: DataFrame) -> DataFrame:
-    return new_ids(current, pool, dead)
-
-
 # --- promotion of a fresh variant --------------------------------------------
 def promote_variant(records: DataFrame, arm: str) -> DataFrame:
     """Makes the arm's stored variant the active one where it is better, else fills what is missing.

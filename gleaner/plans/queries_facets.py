@@ -26,7 +26,7 @@ def word_tagged(spark, sf):
         "hashtags", F.regexp_extract_all("caption", F.lit(r"[\p{L}\p{N}_]{9,}"), F.lit(0)))
 
 
-@query("ag2_build_topics", f"""WITH {Q.REC}, {WORDTAGS},
+TOPICS = f"""WITH {Q.REC}, {WORDTAGS},
 tags AS (SELECT genre, lower(tag) AS tag, count(*) AS uses, min(struct_pack(id := id, pos := pos)) AS first
          FROM ht GROUP BY genre, lower(tag)),
 top AS (SELECT genre, string_agg(tag, ',' ORDER BY rn) AS hashtags FROM (
@@ -36,9 +36,15 @@ ff AS (SELECT genre, md5(string_agg(id || ':' || text, '|' ORDER BY rn)) AS fact
   SELECT *, row_number() OVER (PARTITION BY genre ORDER BY id, pos) AS rn FROM f) WHERE rn <= 40 GROUP BY genre)
 SELECT r.genre AS topic, count(*) AS records, min(id) AS first_id, any_value(hashtags) AS hashtags,
        any_value(facts) AS facts
-FROM records r LEFT JOIN top USING (genre) LEFT JOIN ff USING (genre) GROUP BY r.genre""")
+FROM records r LEFT JOIN top USING (genre) LEFT JOIN ff USING (genre) GROUP BY r.genre"""
+
+
+@query("ag2_build_topics", TOPICS)
 def ag2(spark, sf):
-    out = G.build_topics(word_tagged(spark, sf))
+    return shown_topics(G.build_topics(word_tagged(spark, sf)))
+
+
+def shown_topics(out):
     facts = F.array_join(F.transform("facts", lambda f: F.concat(f["record_id"], F.lit(":"), f["text"])), "|")
     return out.select("topic", "records", "first_id", F.array_join("hashtags", ",").alias("hashtags"),
                       F.md5(facts).alias("facts"))
@@ -358,14 +364,14 @@ def ss4(spark, sf):
     return A.newest_stage(events, ["log_time", "event_id"]).select("stage", "done", "total")
 
 
-@query("sk4_write_topic_snapshot", f"""WITH {Q.REC}
-SELECT genre AS topic, count(*) AS records, min(id) AS first_id FROM records GROUP BY genre""")
+@query("sk4_write_topic_snapshot", TOPICS)
 def sk4(spark, sf):
     """The snapshot is built once; the second load reads it although its builder would fail."""
     from gleaner.session import work_folder
     from gleaner.sources.sinks import load_or_build
 
     path = work_folder(spark, "topics")
-    schema = "topic string, records bigint, first_id string, hashtags array<string>"
-    load_or_build(spark, path, lambda: G.build_topics(stage.records(spark, sf)).drop("facts"), schema)
-    return load_or_build(spark, path, lambda: spark.range(0).selectExpr("raise_error('rebuilt')"), schema).drop("hashtags")
+    schema = ("topic string, records bigint, first_id string, hashtags array<string>, "
+              "facts array<struct<record_id:string,text:string,timestamp:double>>")
+    load_or_build(spark, path, lambda: G.build_topics(word_tagged(spark, sf)), schema)
+    return shown_topics(load_or_build(spark, path, lambda: spark.range(0).selectExpr("raise_error('rebuilt')"), schema))

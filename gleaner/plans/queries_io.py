@@ -1,5 +1,5 @@
-"""Runnable checks of scans and sinks. Files are stood in for by the texts a file would hold,
-built from the driver's tables and parsed back by the same reader code."""
+"""Runnable checks of scans and sinks: files are written from the driver's tables and read back by the scans, or texts a file
+would hold are parsed by the same reader code."""
 
 from __future__ import annotations
 
@@ -8,15 +8,78 @@ from pyspark.sql import functions as F
 
 from gleaner import schemas as S
 from gleaner.operators.attempts import stage_events
-from gleaner.operators.sync import upsert
 from gleaner.plans import sqlparts as Q
 from gleaner.plans import stage
 from gleaner.plans.registry import query
+from gleaner.session import work_folder
 from gleaner.sources import feeds, scans, sinks
 
 PERMISSIVE = {"mode": "PERMISSIVE"}
 
 
+def landed(lines, purpose: str, one_each: bool = False) -> str:
+    """Folder of text files that hold these rows; one row a file where the format is one document a file."""
+    path = work_folder(lines.sparkSession, purpose)
+    (lines.write.option("maxRecordsPerFile", 1) if one_each else lines.write).text(path)
+    return path
+
+
+@query("sc1_scan_record_files", """
+SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS title, n_name AS genre, 2 AS n_facts FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def sc1_files(spark, sf):
+    """Suppliers as record files, one document each."""
+    s = stage.table(spark, sf, "supplier").join(stage.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    fact = lambda t: F.struct(t.alias("text"), F.lit(1.5).alias("timestamp"))
+    doc = F.to_json(F.struct(stage.text_of("s_suppkey").alias("id"), F.col("s_name").alias("title"), F.col("n_name").alias("genre"),
+                             F.array(fact(F.col("s_name")), fact(F.lit("second"))).alias("facts")))
+    read = scans.scan_records(spark, landed(s.select(doc), "records", one_each=True))
+    return read.select("id", "title", "genre", F.size("facts").cast("bigint").alias("n_facts"))
+
+
+@query("sc2_scan_manifest_files", """
+SELECT 's' || s_suppkey AS slug, 0 AS pos, s_name AS record_id FROM supplier UNION ALL SELECT 's' || s_suppkey, 1, CAST(s_nationkey AS VARCHAR) FROM supplier""")
+def sc2_files(spark, sf):
+    """Suppliers as collection manifests; every file is one, and one file is broken."""
+    s = stage.table(spark, sf, "supplier")
+    doc = F.to_json(F.struct(F.concat(F.lit("s"), "s_suppkey").alias("slug"), F.array("s_name", stage.text_of("s_nationkey")).alias("reel_ids")))
+    broken = s.select(F.lit('{"slug": "x", ').alias("d")).distinct()
+    path = landed(s.select(doc.alias("d")).unionByName(broken), "manifests", one_each=True)
+    return scans.membership(scans.scan_manifests(spark, path)).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query("sc4_scan_keyed_files", """
+SELECT CAST(doc_id AS VARCHAR) AS id, quality = 1 AS starred, 'n' || toxic AS note FROM labels""")
+def sc4_files(spark, sf):
+    """labels as stores of a hundred annotations each, one store a file."""
+    entry = F.struct((F.col("quality") == 1).alias("starred"), F.concat(F.lit("n"), "toxic").alias("note"))
+    one = F.struct(stage.text_of("doc_id"), entry)
+    stores = stage.table(spark, sf, "labels").groupBy(F.expr("doc_id div 100")).agg(F.to_json(F.map_from_entries(F.collect_list(one))).alias("d"))
+    return scans.scan_keyed_json(spark, landed(stores.select("d"), "stores", one_each=True), S.ANNOTATION_ENTRY).select("id", "starred", "note")
+
+
+@query("sc5_scan_run_report_files", """
+SELECT CAST(event_id AS VARCHAR) AS record_id, event_type AS stage, CASE WHEN value > 50 THEN 'error' ELSE 'ok' END AS status,
+       CASE WHEN value > 50 THEN 'boom' END AS error FROM events""", shown=["error"])
+def sc5_files(spark, sf):
+    """events as run reports of five hundred records each, one report a file."""
+    bad = F.col("value") > 50
+    outcome = F.struct(F.lit("u").alias("url"), F.create_map("event_type", F.when(bad, "error").otherwise("ok")).alias("stages"),
+                       F.when(bad, F.create_map("event_type", F.lit("boom"))).alias("errors"))
+    reports = stage.table(spark, sf, "events").groupBy(F.expr("event_id div 500")).agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(
+        F.struct(stage.text_of("event_id"), outcome))).alias("reels"))).alias("d"))
+    return scans.scan_run_report(spark, landed(reports.select("d"), "reports", one_each=True)).select("record_id", "stage", "status", "error")
+
+
+@query("sc6_scan_url_file", """
+SELECT 'https://www.instagram.com/reel/' || page_id || '/' AS url FROM pages WHERE page_id % 3 = 0""")
+def sc6_file(spark, sf):
+    """Every third page as a permalink among other urls and comments."""
+    p = stage.table(spark, sf, "pages")
+    line = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(" https://www.instagram.com/reel/"), "page_id", F.lit("/ "))) \
+        .when(F.col("page_id") % 3 == 1, F.concat(F.lit("# "), "url")).otherwise(F.col("url"))
+    return scans.scan_url_list(spark, landed(p.select(line), "urls"))
+
+
 @query("sc1_scan_records", f"""WITH {Q.REC}
 SELECT id, title0 AS title, genre, likes, len(lines) AS n_facts,
        coalesce(list_sum(list_transform(lines, lambda x: length(x))), 0) AS fact_chars FROM records""", bigint=["fact_chars"])
@@ -49,8 +112,8 @@ def sc3(spark, sf):
         F.col("event_type").alias("profile"), F.col("user_id").cast("string").alias("reel_id"),
         (F.col("event_type") != "error").alias("ok"), F.col("value").alias("seconds"),
         F.col("ts").cast("string").alias("at")))
-    log = e.select(F.from_json(line, scans.with_corrupt(S.ATTEMPT), PERMISSIVE).alias("a")).select("a.*")
-    return scans.attempts_from_log(scans.split_corrupt(log)[0]).select("arm", "record_id", "ok", "seconds")
+    log = scans.scan_attempt_log(spark, landed(e.select(line), "log"))
+    return scans.attempts_from_log(log).select("arm", "record_id", "ok", "seconds")
 
 
 @query("sc4_scan_keyed_json", """
@@ -116,6 +179,51 @@ def sc7(spark, sf):
     return out.select("id", "url", "caption", "author", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
+@query("sc7_scan_feed_files", f"""
+WITH f AS (SELECT page_id // 50 AS feed, page_id, url, html, row_number() OVER (PARTITION BY page_id // 50 ORDER BY page_id) AS nth FROM pages)
+SELECT 'rs_' || substring(sha1(url), 1, 14) AS id, url, CASE WHEN feed % 2 = 0 THEN 'w' ELSE 'v' END AS author,
+       CASE WHEN feed % 2 = 0 THEN '2024-05-02 10:00:00' ELSE '2024-05-01 10:00:00' END AS at FROM f WHERE nth <= 20""")
+def sc7_files(spark, sf):
+    """Pages in feeds of fifty, RSS and Atom in turn, one feed a file; twenty items of each are taken."""
+    p = stage.table(spark, sf, "pages").withColumn("feed", F.expr("page_id div 50"))
+    text = F.regexp_replace("html", NOT_XML, "")
+    url = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    rss = F.concat(F.lit("<item>"), _element("title", F.lit("t")), _element("link", F.col("url")), _element("description", text),
+                   _element("dc:creator", F.lit("w")), _element("pubDate", F.lit("Thu, 02 May 2024 12:00:00 +0200")), F.lit("</item>"))
+    atom = F.concat(F.lit("<entry>"), _element("title", F.lit("t")), F.lit('<link href="'), url, F.lit('"/>'), _element("content", text),
+                    F.lit("<author><name>v</name></author>"), _element("published", F.lit("2024-05-01T10:00:00Z")), F.lit("</entry>"))
+    items = F.transform(F.sort_array(F.collect_list(F.struct("page_id", F.when(F.col("feed") % 2 == 0, rss).otherwise(atom).alias("x")))),
+                        lambda i: i["x"])
+    feed = F.concat(F.lit('<feed xmlns:dc="d">'), F.array_join(items, ""), F.lit("</feed>"))
+    path = landed(p.groupBy("feed").agg(feed.alias("d")).select("d"), "feeds", one_each=True)
+    out = feeds.scan_rss_atom(spark, path, limit=20)
+    return out.select("id", "url", "author", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("sc8_scan_paper_files", """
+SELECT 'ar_' || substring(sha1('https://example.org/abs/' || doc_id), 1, 14) AS id, source || ', ' || lang AS author, source AS caption FROM documents""")
+def sc8_files(spark, sf):
+    """documents as entries of paper feeds, two hundred a file."""
+    d = stage.table(spark, sf, "documents")
+    entry = F.concat(F.lit("<entry>"), _element("id", F.concat(F.lit("https://example.org/abs/"), "doc_id")), _element("title", F.lit("t")),
+                     _element("summary", F.col("source")), F.lit("<author>"), _element("name", F.col("source")), F.lit("</author><author>"),
+                     _element("name", F.col("lang")), F.lit("</author></entry>"))
+    feed = F.concat(F.lit("<feed>"), F.array_join(F.collect_list(entry), ""), F.lit("</feed>"))
+    path = landed(d.groupBy(F.expr("doc_id div 200")).agg(feed.alias("d")).select("d"), "papers", one_each=True)
+    return feeds.scan_paper_atom(spark, path).select("id", "author", "caption")
+
+
+@query("sc9_scan_release_files", """
+SELECT 'gi_' || substring(sha1('https://example.org/r/' || doc_id), 1, 14) AS id, 'repo v' || doc_id || ': ' || source AS title FROM documents""")
+def sc9_files(spark, sf):
+    """documents as release lists of two hundred, one list a file."""
+    one = F.struct(F.concat(F.lit("https://example.org/r/"), "doc_id").alias("html_url"), F.concat(F.lit("v"), "doc_id").alias("tag_name"),
+                   F.col("source").alias("name"), F.lit("b").alias("body"), F.lit("2024-05-02T12:00:00Z").alias("published_at"))
+    lists = stage.table(spark, sf, "documents").groupBy(F.expr("doc_id div 200")).agg(F.to_json(F.collect_list(one)).alias("d"))
+    path = landed(lists.select("d"), "releases", one_each=True)
+    return feeds.scan_releases(spark, path, "https://github.com/own/repo.git").select("id", "title")
+
+
 @query("sc8_scan_paper_atom", f"""
 SELECT 'ar_' || substring(sha1('https://example.org/abs/' || doc_id), 1, 14) AS id,
        source || ', ' || lang AS author, {clean('text')} AS caption FROM documents""")
@@ -219,31 +327,39 @@ def sk1(spark, sf):
     current = stage.table(spark, sf, "documents").select("doc_id", F.col("lang").alias("genre"),
                                                          F.col("source").alias("author"))
     changes = stage.table(spark, sf, "labels").select(
-        "doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("genre"), F.col("toxic").alias("seq"))
-    return upsert(current, changes, "doc_id", "seq")
+        F.col("doc_id").alias("id"), F.concat(F.lit("q"), F.col("quality").cast("string")).alias("genre"), F.col("toxic").alias("seq"))
+    written = sinks.write_records(current.withColumnRenamed("doc_id", "id"), changes, work_folder(spark, "records"), "seq")
+    return written.withColumnRenamed("id", "doc_id")
 
 
 @query("sk2_export_csv", f"""WITH {Q.REC}, {Q.TAGS},
 joined AS (SELECT id, string_agg(tag, ', ' ORDER BY nth) AS tags FROM tags GROUP BY id)
 SELECT r.id, title0 AS title, author, genre, coalesce(j.tags, '') AS tags,
        CASE WHEN likes <> 0 THEN CAST(likes AS VARCHAR) ELSE '' END AS likes, '' AS comments, '' AS views,
-       n_chars AS tokens_in, length(genre) AS tokens_out, replace(coalesce(summary, ''), chr(10), ' ') AS summary,
+       CASE WHEN n_chars <> 0 THEN CAST(CAST(n_chars AS DOUBLE) / 8 AS VARCHAR) ELSE '' END AS duration,
+       CAST(n_chars AS VARCHAR) AS tokens_in, CAST(length(genre) AS VARCHAR) AS tokens_out, replace(coalesce(summary, ''), chr(10), ' ') AS summary,
        array_to_string(odd_lines, ' ') AS transcript, url
 FROM records r LEFT JOIN joined j ON j.id = r.id""")
 def sk2(spark, sf):
-    return sinks.export_rows(stage.records(spark, sf)).drop("duration")
+    path = work_folder(spark, "csv")
+    sinks.export_csv(stage.records(spark, sf), path)
+    back = spark.read.options(**sinks.CSV, multiLine=True, lineSep="\n").csv(path)
+    return back.fillna("")
 
 
 @query("sk3_export_markdown", f"""WITH {Q.REC}, {Q.TAGS},
 joined AS (SELECT id, string_agg('#' || tag, ' ' ORDER BY nth) AS tags FROM tags GROUP BY id)
-SELECT DISTINCT genre, '' AS id, 0 AS line_no, '## ' || genre AS text FROM records
+SELECT '# Reels export' AS text
+UNION ALL SELECT DISTINCT '## ' || genre FROM records
 UNION ALL
-SELECT genre, r.id, 1, '- **[' || title || '](' || url || ')** — ' || author || '  ' || coalesce(j.tags, '')
+SELECT '- **[' || title || '](' || url || ')** — ' || author || '  ' || coalesce(j.tags, '')
 FROM records r LEFT JOIN joined j ON j.id = r.id
 UNION ALL
-SELECT genre, id, 2, '  - ' || summary FROM records WHERE coalesce(summary, '') <> ''""")
+SELECT '  - ' || summary FROM records WHERE coalesce(summary, '') <> ''""")
 def sk3(spark, sf):
-    return sinks.export_lines(stage.records(spark, sf))
+    path = work_folder(spark, "markdown")
+    sinks.export_markdown(stage.records(spark, sf), path)
+    return spark.read.option("lineSep", "\n").text(path).withColumnRenamed("value", "text")
 
 
 NL = "chr(10)"
@@ -325,13 +441,18 @@ def sk6_index(spark, sf):
 
 
 @query("sk7_write_recency_index", """
-SELECT CAST(o_orderkey AS VARCHAR) AS id, '| ' || replace(o_orderpriority || '|' || o_orderkey, '|', '\\|') ||
+SELECT '# Instagram Reels Archive' AS text UNION ALL SELECT '' UNION ALL SELECT ''
+UNION ALL SELECT '| Title | Author | Date | Page | PDF |' UNION ALL SELECT '|-------|--------|------|------|-----|'
+UNION ALL SELECT '**' || count(*) || '** reels archived. Each page has caption, transcript, on-screen text, AI summary, and a downloadable PDF.' FROM orders
+UNION ALL SELECT '| ' || replace(o_orderpriority || '|' || o_orderkey, '|', '\\|') ||
        ' | ' || o_custkey || ' | ' || strftime(o_orderdate, '%Y-%m-%d') || ' | [open](records/' || o_orderkey ||
-       '.md) | — |' AS text, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders""".replace("\\\\|", "\\|"))
+       '.md) | — |' FROM orders""".replace("\\\\|", "\\|"))
 def sk7(spark, sf):
     o = stage.table(spark, sf, "orders").select(
         F.col("o_orderkey").cast("string").alias("id"),
         F.concat("o_orderpriority", F.lit("|"), "o_orderkey").alias("title"),
         F.col("o_custkey").cast("string").alias("author"), F.col("o_orderdate").alias("timestamp"),
         F.lit(None).cast("timestamp_ntz").alias("scraped_at"), F.lit(None).cast("string").alias("pdf_path"))
-    return sinks.recency_rows(o).select("id", "text", F.date_format("sort_time", "yyyy-MM-dd").alias("day"))
+    path = work_folder(spark, "index")
+    sinks.write_recency_index(o, path)
+    return spark.read.text(path).withColumnRenamed("value", "text")

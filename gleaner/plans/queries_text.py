@@ -65,20 +65,27 @@ over AS (SELECT id, string_agg(line, '|' ORDER BY pos) AS overlay FROM (
 
 @query("tx3_normalise_answers", f"""WITH {Q.REC}, {Q.TAGS}, {STRIPPED},
 joined AS (SELECT id, string_agg(tag, ',' ORDER BY nth) AS tags FROM tags GROUP BY id)
-SELECT r.id, genre, md5(coalesce(key_points, '')) AS key_points, md5(coalesce(overlay, '')) AS overlay,
-       coalesce(joined.tags, '') AS tags, author AS topic
+SELECT r.id, genre, md5(coalesce(summary, '')) AS summary, md5(coalesce(key_points, '')) AS key_points, md5(coalesce(overlay, '')) AS overlay,
+       coalesce(joined.tags, '') AS tags, author AS topic,
+       'Record ' || r.id || ' speaks about gardens@-|Later the harbour opens for ' || author || '@7.0' AS facts
 FROM records r LEFT JOIN points ON points.id = r.id LEFT JOIN over ON over.id = r.id LEFT JOIN joined ON joined.id = r.id""")
 def tx3(spark, sf):
     r = stage.records(spark, sf)
     lines = F.col("ocr_text")
     nested = F.to_json(F.create_map(F.lit("educational"), F.create_map(F.lit("topic"), F.col("author"))))
+    # a bare claim, a near copy of it, a fragment, and a claim with its place
+    bare = F.concat(F.lit("Record "), "id", F.lit(" speaks about gardens"))
+    placed = F.to_json(F.struct(F.concat(F.lit("Later the harbour opens for "), "author").alias("text"), F.lit(7).alias("timestamp")))
+    stated = F.array(bare, F.concat(bare, F.lit(".")), F.lit("and the"), placed)
     raw = F.to_json(F.struct(
-        F.col("genre"), F.lit("s").alias("summary"), lines.alias("key_points"), lines.alias("on_screen_text"),
-        F.split("caption", r"[ \t\r\n]+").alias("tags"), nested.alias("structured"), lines.alias("facts")))
+        F.col("genre"), "summary", lines.alias("key_points"), lines.alias("on_screen_text"),
+        F.split("caption", r"[ \t\r\n]+").alias("tags"), nested.alias("structured"), stated.alias("facts")))
     a = r.select("id", "transcript_text", F.from_json(raw, N.ANSWER).alias("a"))
     out = N.normalised_answer("a", "transcript_text")
     return a.select(
-        "id", out["genre"].alias("genre"), F.md5(F.array_join(out["key_points"], "|")).alias("key_points"),
+        "id", out["genre"].alias("genre"), F.md5(out["summary"]).alias("summary"), F.md5(F.array_join(out["key_points"], "|")).alias("key_points"),
+        F.array_join(F.transform(out["facts"], lambda f: F.concat(f["text"], F.lit("@"), F.coalesce(
+            f["timestamp"].cast("string"), F.lit("-")))), "|").alias("facts"),
         F.md5(F.array_join(out["on_screen_text"], "|")).alias("overlay"), F.array_join(out["tags"], ",").alias("tags"),
         out["structured"]["topic"].alias("topic"))
 

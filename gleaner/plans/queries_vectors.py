@@ -144,3 +144,11 @@ def rp4(spark, sf):
     out = reports.answer_batch(q, index, members, answers)
     return out.select("question_id", "answer", "note",
                       F.array_join(F.transform("citations", lambda c: c["id"]), ",").alias("cites"))
+
+
+@query("vx4_similar_queries", f"""WITH {Q.REC}, {Q.TAGS},
+j AS (SELECT id, string_agg(tag, ' ' ORDER BY nth) AS tags FROM tags GROUP BY id)
+SELECT r.id, md5(substring(concat_ws(' ', nullif(title0, ''), nullif(summary, ''), j.tags), 1, 500)) AS text FROM records r LEFT JOIN j ON j.id = r.id""")
+def vx4_queries(spark, sf):
+    """What every record is looked up by."""
+    return E.similar_queries(stage.records(spark, sf)).select("id", F.md5("text").alias("text"))

@@ -13,18 +13,20 @@ from gleaner.operators.joins import hits_with_collections, keep_cited
 from gleaner.operators.matching import (arm_agreement, disagreement_examples, match_facts, scoreboard)
 from gleaner.operators.ranking import best_hit_per_record
 from gleaner.operators.vectors import nearest
+from gleaner.session import cut_lineage
 
 
-def question_batch(questions: DataFrame, sources: DataFrame, turns: DataFrame, instruction: str) -> DataFrame:
+def question_batch(questions: DataFrame, sources: DataFrame, turns: DataFrame, instruction: str, k: int = 8) -> DataFrame:
     """(question_id, request) from questions(question_id, conv_id, question).
 
-    sources(question_id, rank, id, title, text) are at most k rows per question; of
-    turns(conv_id, turn, role, content) the last six of each conversation are used.
+    Of sources(question_id, rank, id, title, text) the first k of each question are used, of
+    turns(conv_id, turn, role, content) the last six of each conversation.
     """
     last = top_n_per_group(turns, ["conv_id"], [F.desc("turn")], K.HISTORY_TURNS)
     history = last.groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.struct("turn", "role", "content"))).alias("_h"))
-    blocks = sources.groupBy("question_id").agg(
+    best = top_n_per_group(sources, ["question_id"], ["rank"], k, "_rn").drop("_rn")
+    blocks = best.groupBy("question_id").agg(
         F.sort_array(F.collect_list(F.struct("rank", "id", "title", "text"))).alias("_s"))
     empty_s = F.array().cast("array<struct<rank:int,id:string,title:string,text:string>>")
     empty_h = F.array().cast("array<struct<turn:bigint,role:string,content:string>>")
@@ -71,7 +73,7 @@ def bench_tables(measures: DataFrame, facts: DataFrame, summaries: DataFrame, at
     ids = sample.select(F.col("id").alias("record_id"))
     inside = lambda df: df.join(ids, "record_id", "left_semi")
     mine = inside(facts)
-    matched = match_facts(mine, reference).persist()   # read by two tables; bounded by the sample
+    matched = cut_lineage(match_facts(mine, reference))   # read by two tables
     board = scoreboard(measures, sample)
     stats = attempt_stats(attempts)
     return {
@@ -105,8 +107,10 @@ def bench_report(tables: dict[str, DataFrame], reference: str) -> DataFrame:
     runs = tables["attempts"].select(
         F.lit("3 attempts"), F.col("arm"),
         _row(F.col("arm"), whole("ok"), whole("failed"), two("avg_seconds"), F.col("note")))
+    none = tables["attempts"].agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(
+        F.lit("3 attempts"), F.lit(""), F.lit(K.NO_RUN_LOG))
     shown = tables["examples"].select(
         F.lit("4 examples"), F.concat(F.lpad(whole("round"), 6, "0"), "arm"),
         F.concat(F.lit("- "), "arm", F.lit(": missed "), F.array_join("only_reference", "; "),
                  F.lit(" / added "), F.array_join("only_candidate", "; ")))
-    return metrics.union(agree).union(runs).union(shown)
+    return metrics.union(agree).union(runs).union(none).union(shown)

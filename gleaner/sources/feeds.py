@@ -23,12 +23,17 @@ def feed_record(kind: str, url: Column, title: Column, body: Column, author: Col
             parse_date(published).alias("timestamp")]
 
 
+def _place(items: DataFrame) -> list[str]:
+    """Where an item stands in its feed, if the scan says so."""
+    return [c for c in ("source", "pos") if c in items.columns]
+
+
 def rss_records(items: DataFrame) -> DataFrame:
     """RSS 2.0 items; items without a link are skipped."""
     link = strip(F.coalesce("link", F.lit("")))
     body = or_else("`content:encoded`", F.coalesce("description", F.lit("")))
     return items.filter(link != "").select(*feed_record(
-        "rss", link, F.col("title"), body, F.col("`dc:creator`"), F.col("pubDate")))
+        "rss", link, F.col("title"), body, F.col("`dc:creator`"), F.col("pubDate")), *_place(items))
 
 
 def atom_records(entries: DataFrame) -> DataFrame:
@@ -36,13 +41,13 @@ def atom_records(entries: DataFrame) -> DataFrame:
     body = or_else(F.col("content._VALUE"), F.coalesce("summary._VALUE", F.lit("")))
     author = F.get("author", F.lit(0))["name"]
     return entries.filter(link != "").select(*feed_record(
-        "rss", link, F.col("title"), body, author, or_else("published", F.col("updated"))))
+        "rss", link, F.col("title"), body, author, or_else("published", F.col("updated"))), *_place(entries))
 
 
 def paper_records(entries: DataFrame) -> DataFrame:
     authors = F.array_join(F.transform("author", lambda a: F.coalesce(a["name"], F.lit(""))), ", ")
     return entries.select(*feed_record(
-        "arxiv", F.coalesce("id", F.lit("")), F.col("title"), F.col("summary._VALUE"), authors, F.col("published")))
+        "arxiv", F.coalesce("id", F.lit("")), F.col("title"), F.col("summary._VALUE"), authors, F.col("published")), *_place(entries))
 
 
 def release_records(releases: DataFrame, repo_url: Column) -> DataFrame:
@@ -61,16 +66,24 @@ def per_source_limit(records: DataFrame, limit: int, source: str = "source", ord
 
 
 def _xml(spark: SparkSession, path: str, tag: str, schema) -> DataFrame:
-    return (spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE").schema(schema).load(path))
+    """The elements of a feed file with `source`, the file, and `pos`, their order in it."""
+    rows = spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE").schema(schema).load(path)
+    return rows.withColumn("source", F.col("_metadata.file_path")).withColumn("pos", F.monotonically_increasing_id())
+
+
+def _limited(records: DataFrame, limit: int | None) -> DataFrame:
+    """The first `limit` items of every feed (all without a limit)."""
+    return (records if limit is None else per_source_limit(records, limit)).drop("source", "pos")
 
 
-def scan_rss_atom(spark: SparkSession, path: str) -> DataFrame:
-    return rss_records(_xml(spark, path, "item", S.RSS_ITEM)).unionByName(
-        atom_records(_xml(spark, path, "entry", S.ATOM_ENTRY)))
+def scan_rss_atom(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Items of the landed RSS and Atom files, at most `limit` of each file."""
+    return _limited(rss_records(_xml(spark, path, "item", S.RSS_ITEM)).unionByName(
+        atom_records(_xml(spark, path, "entry", S.ATOM_ENTRY))), limit)
 
 
-def scan_paper_atom(spark: SparkSession, path: str) -> DataFrame:
-    return paper_records(_xml(spark, path, "entry", S.ATOM_ENTRY))
+def scan_paper_atom(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    return _limited(paper_records(_xml(spark, path, "entry", S.ATOM_ENTRY)), limit)
 
 
 def scan_releases(spark: SparkSession, path: str, repo_url: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner import constants as K
 from gleaner.functions.text import clock, col, empty_strings, or_else, present
 from gleaner.operators.facets import section_genre, section_label, section_order, stat_genre
 from gleaner.operators.sync import upsert
@@ -45,14 +46,18 @@ def export_rows(records: DataFrame) -> DataFrame:
         _one_line("summary").alias("summary"), _one_line("transcript_text").alias("transcript"), "url")
 
 
+# as spreadsheets read it; white space at the ends of a field belongs to it
+CSV = {"header": True, "quoteAll": False, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def export_csv(records: DataFrame, path: str) -> None:
-    export_rows(records).write.option("header", True).option("quoteAll", False).option("escape", '"').csv(path)
+    export_rows(records).write.options(**CSV).csv(path)
 
 
 def export_lines(records: DataFrame) -> DataFrame:
-    """(genre, id, line_no, text): one bullet per record and its summary, under a genre heading.
+    """(genre, id, line_no, text): the title, then one bullet per record and its summary, under a genre heading.
 
-    Heading lines have id ''. Sorting by (genre, id, line_no) gives the document.
+    Heading lines have id '', the title line no genre either. Sorting by (genre, id, line_no) gives the document.
     """
     tags = F.array_join(F.transform(F.coalesce("tags", empty_strings()), lambda t: F.concat(F.lit("#"), t)), " ")
     bullet = F.concat(F.lit("- **["), or_else("title", F.col("id")), F.lit("]("), "url", F.lit(")** — "),
@@ -66,7 +71,8 @@ def export_lines(records: DataFrame) -> DataFrame:
     heads = records.select(stat_genre().alias("genre")).distinct().select(
         "genre", F.lit("").alias("id"), F.lit(0).alias("line_no"),
         F.concat(F.lit("## "), "genre").alias("text"))
-    return heads.unionByName(rows)
+    title = records.sparkSession.createDataFrame([("", "", -1, K.EXPORT_TITLE)], "genre string, id string, line_no int, text string")
+    return title.unionByName(heads).unionByName(rows)
 
 
 def write_lines(lines: DataFrame, keys: list[str], path: str, partition_by: list[str] | None = None) -> None:
@@ -222,9 +228,18 @@ def recency_rows(records: DataFrame) -> DataFrame:
     return records.select(F.coalesce("timestamp", "scraped_at").alias("sort_time"), "id", text.alias("text"))
 
 
+def recency_lines(records: DataFrame) -> DataFrame:
+    """(head, sort_time, id, text): the title, how many records there are, the table's head, then a row per record (head 9)."""
+    rows = recency_rows(records).withColumn("head", F.lit(9))
+    count = records.agg(F.concat(F.lit("**"), F.count(F.lit(1)).cast("string"), F.lit(f"** {K.INDEX_INTRO}")).alias("text"))
+    fixed = [(0, K.INDEX_TITLE), (1, ""), (3, ""), *enumerate(K.INDEX_HEAD, 4)]
+    heads = records.sparkSession.createDataFrame(fixed, "head int, text string").unionByName(count.withColumn("head", F.lit(2)))
+    return heads.select("head", F.lit(None).cast(rows.schema["sort_time"].dataType).alias("sort_time"), F.lit("").alias("id"), "text") \
+        .unionByName(rows.select("head", "sort_time", "id", "text"))
+
+
 def write_recency_index(records: DataFrame, path: str) -> None:
-    rows = recency_rows(records)
-    newest = [F.desc_nulls_last("sort_time"), F.asc("id")]
-    rows.repartitionByRange(*newest).sortWithinPartitions(*newest).select("text").write.text(path)
+    newest = [F.asc("head"), F.desc_nulls_last("sort_time"), F.asc("id")]
+    recency_lines(records).repartitionByRange(*newest).sortWithinPartitions(*newest).select("text").write.text(path)
 
 

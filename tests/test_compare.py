@@ -150,3 +150,30 @@ def test_both_matchers_agree_on_ties_and_conflicts(spark):
     key = lambda r: (r.record_id, r.arm, r.side, r.pos, r.text, r.other_pos, r.score)
     got = {key(r) for r in V.match_facts(facts_of(spark, rows), "ref").collect()}
     assert got and got == {key(r) for r in V.match_by_rounds(facts_of(spark, rows), "ref").collect()}
+
+
+def test_bench_report_describes_the_sample_only(spark):
+    from gleaner.plans import reports
+
+    m = "record_id string, arm string, model string, facts int, tags int, summary_chars int, seconds double, cost_usd double, structured_fields int, salvaged boolean"
+    measures = spark.createDataFrame([("R0", "claude-cli", "c", 2, 1, 3, 20.0, 0.02, 1, False), ("R0", "qwen", "q", 2, 1, 4, 5.0, 0.0, 0, False),
+                                      ("R9", "stranger", "s", 1, 0, 0, 1.0, 0.0, 0, False)], m)
+    facts = spark.createDataFrame([("R0", "claude-cli", 0, "five github repos for homelab"), ("R0", "claude-cli", 1, "coolify is a heroku alternative"),
+                                   ("R0", "qwen", 0, "five github repos"), ("R0", "qwen", 1, "laptop standing alone outside"),
+                                   ("R9", "stranger", 0, "not in the sample")], "record_id string, arm string, pos int, text string")
+    summaries = facts.select("record_id", "arm").distinct().withColumn("summary", F.lit("s"))
+    log = "arm string, record_id string, at string, seq bigint, ok boolean, seconds double"
+    sample = spark.createDataFrame([("R0",)], "id string")
+
+    def report(attempts):
+        tables = reports.bench_tables(measures, facts, summaries, spark.createDataFrame(attempts, log), sample, "claude-cli")
+        return {(r.section, r.text) for r in reports.bench_report(tables, "claude-cli").collect()}
+
+    text = report([])
+    assert ("3 attempts", "_No run log yet — variants were written before the bench existed._") in text
+    assert ("1 metrics", "| qwen | 1 | 2.00 | 1.00 | 4.00 | 0.00 | 0 | 0 | 5.00 | 0.0000 |") in text
+    assert ("2 agreement with claude-cli", "| qwen | 1 | 33% | 1.00 | 1.00 |") in text
+    assert any("missed coolify is a heroku alternative / added laptop standing alone outside" in t for _, t in text)
+    assert not any("stranger" in t for _, t in text)
+    tried = report([("qwen", "R0", "1", 0, False, 9.0), ("qwen", "R0", "2", 0, True, 5.0), ("broken", "R0", "1", 0, False, 1.0)])
+    assert ("3 attempts", "| qwen | 1 | 0 | 5.00 |  |") in tried and ("3 attempts", "| broken | 0 | 1 | 1.00 | abandoned |") in tried

@@ -287,6 +287,19 @@ def sc11(spark, sf):
     return scans.source_rows(s.select(F.from_json(text, S.SOURCES).alias("r")).select("r.*"))
 
 
+@query("sc11_scan_source_files", """
+SELECT s_name AS name, 'https://example.org/s/' || s_suppkey AS url, CASE WHEN s_suppkey % 2 = 0 THEN 'rss' ELSE 'collection' END AS type,
+       true AS enabled, CASE WHEN s_suppkey % 2 = 0 THEN 5 ELSE 200 END AS "limit" FROM supplier""")
+def sc11_files(spark, sf):
+    """Suppliers as source registries of a hundred, one registry a file; odd ones leave the defaults out."""
+    even = F.col("s_suppkey") % 2 == 0
+    entry = F.struct(F.col("s_name").alias("name"), F.concat(F.lit("https://example.org/s/"), "s_suppkey").alias("url"),
+                     F.when(even, "rss").alias("type"), F.when(even, 5).alias("limit"))
+    files = stage.table(spark, sf, "supplier").groupBy(F.expr("s_suppkey div 100")).agg(
+        F.to_json(F.struct(F.collect_list(entry).alias("sources"))).alias("d"))
+    return scans.scan_sources(spark, landed(files.select("d"), "registry", one_each=True))
+
+
 def log_lines(spark, sf):
     return log_lines_of(stage.table(spark, sf, "events"))
 
@@ -319,6 +332,14 @@ def sc12(spark, sf):
         F.date_format(F.max("log_time"), "yyyy-MM-dd HH:mm:ss").alias("last"))
 
 
+@query("sc12_scan_log_files", f"""WITH {LOG}
+SELECT stage, count(*) AS n, coalesce(sum(done), 0) AS done FROM log WHERE stage IS NOT NULL GROUP BY stage""", bigint=["done"])
+def sc12_files(spark, sf):
+    """events as the lines of run logs."""
+    lines = scans.scan_run_log(spark, landed(log_lines(spark, sf).select("value"), "logs"))
+    return lines.groupBy("stage").agg(F.count("*").alias("n"), F.coalesce(F.sum("done"), F.lit(0)).alias("done"))
+
+
 # --- sinks -------------------------------------------------------------------
 @query("sk1_write_records", """
 SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'q' || l.quality ELSE d.lang END AS genre, d.source AS author

@@ -96,6 +96,7 @@ def test_rss_and_atom(spark, tmp_path):
     assert rows["https://e.org/1"]["caption"] == "Hello there" and rows["https://e.org/1"]["author"] == "Ann"
     assert str(rows["https://e.org/1"]["timestamp"]).startswith("2024-05-02") and rows["https://e.org/2"]["caption"] == "long body"
     assert rows["https://e.org/a1"]["caption"] == "abstract" and rows["https://e.org/1"]["id"].startswith("rs_")
+    assert [r["url"] for r in feeds.scan_rss_atom(spark, str(tmp_path), limit=1).orderBy("url").collect()] == ["https://e.org/1", "https://e.org/a1"]
     paper = feeds.scan_paper_atom(spark, str(tmp_path / "atom.xml")).first()
     assert paper["author"] == "Ann, Bob" and paper["url"] == "https://e.org/p1"
 
@@ -139,7 +140,10 @@ def test_exports(spark, tmp_path):
     assert back["AAA"]["tags"] == "t1, t2" and back["AAA"]["summary"] == "line two" and back["BBB"]["likes"] is None
     sinks.export_markdown(r, str(tmp_path / "md"))
     lines = [x[0] for x in spark.read.text(str(tmp_path / "md")).collect()]
-    assert "## news" in lines and "- **[BBB](u/b)** —   " in lines
+    assert lines.count("# Reels export") == 1 and "## news" in lines and "- **[BBB](u/b)** —   " in lines
+    sinks.write_recency_index(r, str(tmp_path / "index"))
+    index = [x[0] for x in spark.read.text(str(tmp_path / "index")).collect()]
+    assert index[0] == "# Instagram Reels Archive" and index[2].startswith("**2** reels") and index[4].startswith("| Title") and "| A \\| title |" in index[6]
     page = {x["id"]: x["page"] for x in sinks.record_pages(r).collect()}
     assert "| **Likes** | 1,234 |" in page["AAA"] and "| `1:05` | f one |" in page["AAA"] and "- h\n- i" in page["AAA"]
     assert "## Summary" not in page["BBB"] and "## Key facts" not in page["BBB"]

@@ -41,7 +41,7 @@ def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame,
 
 # --- ingest with dead letters ------------------------------------------------
 DEAD = "source string, id string"
-POOL_PARTS = 64
+POOL_PARTS = 16
 
 
 def pool_part(c: str = "id") -> Column:
@@ -73,7 +73,7 @@ def sync_stream(items: DataFrame, pool: str, dead: str, checkpoint: str,
                 batch.join(have, ["part", "id"], "left_anti").join(gone, ["source", "id"], "left_anti"), ["id"], order).persist()
             took = fresh if landed is None else landed(fresh)
             failed = fresh.join(took.select("id"), "id", "left_anti").select("source", "id")
-            took.select(*items.columns, "part").write.mode("append").partitionBy("part").parquet(pool)
+            took.select(*items.columns, "part").repartition("part").write.mode("append").partitionBy("part").parquet(pool)
             if landed is not None:
                 failed.write.mode("append").parquet(dead)
         finally:

@@ -36,6 +36,9 @@ DROPPED = frozenset("nav footer aside form button select option dialog menu head
 ROLES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner navigation nav navbar menu breadcrumb "
                   "breadcrumbs sidebar side-bar footer header masthead cookie cookies cookie-notice cookie-banner consent notice notices alert popup modal "
                   "newsletter subscribe share sharing social comment comments comment-list disqus related search complementary contentinfo".split())
+ROLE_PARTS = frozenset("ad ads advert advertisement sponsor sponsored promo navigation nav navbar menu breadcrumb breadcrumbs sidebar footer cookie cookies "
+                       "consent newsletter subscribe share sharing social comment comments disqus related popup modal".split())
+_PARTS = re.compile(r"[\s_-]+")
 MAIN = frozenset(("article", "main"))
 
 
@@ -138,10 +141,16 @@ def candidates(root: Node, host: str) -> set[int]:
     return out
 
 
-def _dropped(n: Node, inside: bool) -> bool:
+def _dropped(n: Node, inside: bool, marked: bool) -> bool:
+    """The element names a role that is no main text. On a page that marks its main part, a part of a name counts too
+    (`site-footer`); what holds the main part always stays."""
+    if n.main:
+        return False
     if n.tag in DROPPED or n.tag == "header" and not inside:
         return True
-    return bool(n.names) and n.tag not in ("html", "body", "main") and not ROLES.isdisjoint(n.names.split())
+    if not n.names or n.tag in ("html", "body"):
+        return False
+    return not ROLES.isdisjoint(n.names.split()) or marked and not ROLE_PARTS.isdisjoint(_PARTS.split(n.names))
 
 
 def main_text(root: Node, templates) -> str:
@@ -167,7 +176,7 @@ def main_text(root: Node, templates) -> str:
             buffer.append(" ")
         else:
             inside = inside or item.tag in MAIN
-            if _dropped(item, inside) or not item.main and item.hash in templates:
+            if _dropped(item, inside, not whole) or not item.main and item.hash in templates:
                 if item.tag not in INLINE:
                     flush()
                 continue

@@ -100,10 +100,13 @@ def test_templates_are_removed(spark):
     rows = [page(i, f"<div><p>Story {i} begins &amp; goes on<br>here</p><p>All rights reserved.</p></div>") for i in range(40)]
     rows += [(100, "http://h.example.com/a", "<body><nav>menu</nav><article><h1>Title &lt;1&gt;</h1><p><b>One<br><p>two <i>t</i>oo<div class='ad x'>buy</div>"
               "<ul><li>a<li>b</ul><section class=comments><p>nice</p></section></article><footer>f</footer>"),
+             (105, "http://h.example.com/c", "<form><div class='page with-sidebar'><div class='site-footer'>f</div><article><p>kept</p>"
+              "<div id='user_comments'><p>no</p></div></article></div></form>"),
              (101, None, None), (102, "x", ""), (103, "http://h.example.com/b", "just text \n here <!-- c -->&copy;"), (104, "http://other/", rows[0][2])]
     got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), min_pages=5).collect()}
     assert got[7] == "Story 7 begins & goes on here"
     assert got[100] == "Title <1>\n\nOne\n\ntwo too\n\na\n\nb"
+    assert got[105] == "kept"
     assert (got[101], got[102], got[103]) == ("", "", "just text here ©")
     assert "Home About us" in got[104] and "All rights reserved." in got[104]
     joined = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), min_pages=5, max_broadcast_bytes=0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleaner import constants as K
-from gleaner.functions.text import alnum_key, col, empty_strings, let, strip, words
+from gleaner.functions.text import alnum_key, col, let, strip, words
 
 
 def _literals(values: list[str]) -> Column:

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner import constants as K
 from gleaner.functions.text import col, empty_strings, let, or_else, present, renamed_tags, strip, valid_id
 from gleaner.session import cut_lineage
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner import constants as K
 from gleaner.functions.text import empty_strings, present
-from gleaner.operators.joins import FLAGS, new_ids
+from gleaner.operators.joins import FLAGS
 from gleaner.operators.records import variants_with
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.text import renamed_tags, url_last_part
 from gleaner.operators import records as R
 from gleaner.operators import sync as Y
-from gleaner.operators.joins import with_annotations, with_collections
+from gleaner.operators.joins import new_ids, with_annotations, with_collections
 from gleaner.plans import sqlparts as Q
 from gleaner.plans import stage
 from gleaner.plans.queries_io import feed_pages
@@ -254,7 +254,7 @@ SELECT 'seen' AS list, source, count(*) AS n, sum(id) AS ids FROM seen GROUP BY
 UNION ALL SELECT 'dead', source, count(*), sum(id) FROM gone GROUP BY source""", bigint=["ids"])
 def st1_ids(spark, sf):
     current, pool, dead, landed = sync_tables(spark, sf)
-    fresh = Y.new_ids(current, pool, dead)
+    fresh = new_ids(current, pool, dead)
     failed = fresh.join(landed, "id", "left_anti")
     retry = current.select("source").distinct().filter(F.col("source").startswith("1"))
     lists = {"seen": Y.advance_ids(dead, fresh), "dead": Y.advance_dead(dead, failed, retry)}

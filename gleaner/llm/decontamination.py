@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import small
+from gleaner.llm.shared import short_batches, small
 
 _KEPT = set(b"0123456789abcdefghijklmnopqrstuvwxyz") | set(range(128, 256))
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c in _KEPT else 32 for c in range(256))
@@ -125,6 +125,7 @@ def item_slices(benchmark: DataFrame, item_col: str, text_col: str, most: int) -
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, *, text_col: str = "text", item_col: str = "item_id",
                          item_text_col: str = "text", max_broadcast_words: int = 2_000_000) -> DataFrame:
     """The rows of `docs` in which no window of any item occurs, with all their columns. Texts without words stay."""
+    short_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
     for items in item_slices(benchmark, item_col, item_text_col, max_broadcast_words):
         docs = docs.mapInArrow(_keep_clean(items, n, place, docs.sparkSession), docs.schema)
@@ -153,6 +154,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, *, id_col:
     equal rows each count; a null item id is left out; other columns are left out; an empty benchmark gives no hits.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     slices = item_slices(benchmark, item_col, item_text_col, max_broadcast_words)
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import about, small
+from gleaner.llm.shared import about, short_batches, small
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -191,7 +191,7 @@ class _Cache(dict):
 class Labeller:
     """Word marginals of texts under a model, with a bounded cache of word scores."""
 
-    def __init__(self, model: CrfModel, held: int = 150_000):
+    def __init__(self, model: CrfModel, held: int = 100_000):
         self.model, self.held, self.move = model, held, np.exp(model.moves)
         self._reset()
 
@@ -251,6 +251,7 @@ def identify(docs: DataFrame, model: CrfModel | None, *, text_col: str = "text",
     """
     added = ("lang_pred", "score", "n_words")
     names = [c for c in (docs.columns if keep is None else keep) if c not in added]
+    short_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     carried = text_col in names and docs.schema[text_col].dataType.simpleString() == "string"
     place = names.index(text_col) if carried else len(names)

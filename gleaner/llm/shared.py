@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +16,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder, read back: computed once, safe against lost executors."""
+    short_batches(df.sparkSession)
     path = work_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -38,8 +40,25 @@ def about(df: DataFrame, key: Column, rows: int) -> DataFrame:
     return df if share >= 1 else df.filter(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
+def short_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Lets Spark send texts to Python a thousand rows at a time; with its default of 10,000 a batch of long texts is large on
+    both sides. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The batches in slices: texts as Python objects take several times their size, so a task holds few at a time."""
+    """The batches in slices: texts as Python objects take several times their size, so a task holds few at a time. What is free
+    at the end goes back to the system, for Spark keeps the process for later tasks."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+    give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)     # glibc only
+    if trim:
+        trim(0)

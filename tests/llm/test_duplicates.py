@@ -100,6 +100,21 @@ def test_passages(spark):
         assert min(len(x), len(y)) >= 50 and abs(len(sets[0] & sets[1]) / len(sets[0] | sets[1]) - r.similarity) < 1e-9 and r.similarity >= 0.8
 
 
+@pytest.mark.parametrize("tile", [256, 8])
+def test_passages_behind_a_common_one(spark, tile):
+    rng = random.Random(8)
+    common = prose(rng, 45)
+    docs = [(i, f"{prose(rng, 60)} {common} {prose(rng, 60)}") for i in range(60)]
+    for i in range(12):
+        own = prose(rng, 5)
+        docs += [(100 + 40 * j + i, f"{prose(rng, 30)} {common} {own} {prose(rng, 30)}") for j in range(2)]
+    docs = [(i, t) for i, t in docs] + [(200 + i, f"{prose(rng, 60)} {common} {prose(rng, 60)}") for i in range(30)]
+    got = compact_windows.duplicate_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), tile=tile).collect()
+    pairs = {(r.doc_id, r.other_id) for r in got}
+    assert {(140 + i, 100 + i) for i in range(12)} <= pairs
+    assert len(got) == len({(r.doc_id, r.other_id, r.start_word) for r in got})
+
+
 @pytest.mark.parametrize("hot", [0, 400])
 def test_shards(spark, hot):
     rng = random.Random(9)

@@ -103,18 +103,51 @@ def test_passages(spark):
 @pytest.mark.parametrize("tile", [256, 8])
 def test_passages_behind_a_common_one(spark, tile):
     rng = random.Random(8)
-    common = prose(rng, 45)
-    docs = [(i, f"{prose(rng, 60)} {common} {prose(rng, 60)}") for i in range(60)]
-    for i in range(12):
-        own = prose(rng, 5)
-        docs += [(100 + 40 * j + i, f"{prose(rng, 30)} {common} {own} {prose(rng, 30)}") for j in range(2)]
-    docs = [(i, t) for i, t in docs] + [(200 + i, f"{prose(rng, 60)} {common} {prose(rng, 60)}") for i in range(30)]
-    got = compact_windows.duplicate_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), tile=tile).collect()
-    pairs = {(r.doc_id, r.other_id) for r in got}
-    assert {(140 + i, 100 + i) for i in range(12)} <= pairs
+    common = prose(rng, 40)
+    docs = [(i, f"{prose(rng, 60)} {common} {prose(rng, 60)}") for i in [*range(60), *range(300, 330)]]
+    for i in range(40):
+        own = prose(rng, 10)
+        docs += [(100 + 100 * j + i, f"{prose(rng, 30)} {common} {own} {prose(rng, 30)}") for j in range(2)]
+    got = compact_windows.duplicate_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), bands=3, tile=tile).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(200 + i, 100 + i) for i in range(40)}
     assert len(got) == len({(r.doc_id, r.other_id, r.start_word) for r in got})
 
 
+def test_shared_passages_find_what_any_two_windows_share():
+    rng = np.random.default_rng(1)
+    t, met = 20, 0
+    for n in range(120):
+        words = 200_000 if n % 2 else 60
+        p = rng.integers(0, words, 28).astype(np.uint64)
+        q = p.tolist()
+        for _ in range(n % 5):
+            i = int(rng.integers(0, len(q)))
+            q[i:i + int(rng.integers(0, 2))] = rng.integers(0, words, int(rng.integers(0, 2))).tolist()
+        x, y = (np.concatenate([rng.integers(0, words, a), v, rng.integers(0, words, b)]).astype(np.uint64) for v, a, b in ((p, 15, 9), (q, 7, 20)))
+        sets = [[set(z[i:i + t].tolist()) for i in range(len(z) - t + 1)] for z in (x, y)]
+        assert compact_windows._distinct(x, t).tolist() == [len(w) for w in sets[0]]
+        shared = any(100 * len(v & w) >= 80 * len(v | w) for v in sets[0] for w in sets[1])
+        got = compact_windows.shared_passages(x, y, t, 80)
+        met += shared
+        assert got or not shared
+        for s, e, u, v, _ in got:
+            one, two = set(x[s:e].tolist()), set(y[u:v].tolist())
+            assert min(e - s, v - u) >= t and 100 * len(one & two) >= 80 * len(one | two)
+    assert met > 60
+
+
+def test_passages_with_one_edit(spark):
+    rng = random.Random(6)
+    docs = []
+    for i in range(300):
+        words = [f"w{rng.randrange(10 ** 9)}" for _ in range(50)]
+        for j in range(2):
+            docs.append((2 * i + j, " ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(40)) + " " + " ".join(words)))
+            words[25] = "changed"
+    got = compact_windows.duplicate_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(2 * i + 1, 2 * i) for i in range(300)}
+
+
 @pytest.mark.parametrize("hot", [0, 400])
 def test_shards(spark, hot):
     rng = random.Random(9)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import compact_windows, decontamination, html_extract, knn_join, language_crf, minhash, packing, secrets, sharding, url_filter
+from gleaner.llm import compact_windows, decontamination, html_extract, knn_join, language_crf, minhash, packing, secrets, sharding, token_counts, url_filter
 from gleaner.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_counts")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under the 32k piece model."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = token_counts.with_token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"), "n_tokens",
+                        (F.col("n_tokens") > 4096).alias("over_limit"))

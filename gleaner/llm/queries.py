@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import compact_windows, decontamination, html_extract, knn_join, language_crf, minhash, packing, secrets, sharding, token_counts, url_filter
+from gleaner.llm import compact_windows, decontamination, html_extract, importance, knn_join, language_crf, max_sketch, minhash, packing, secrets, sharding, token_counts, url_filter
 from gleaner.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,57 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts.with_token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return found.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"), "n_tokens",
                         (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+df AS (SELECT r, array_to_string(ws[p:p + k - 1], ' ') AS f, count(*) AS n
+       FROM d, unnest(generate_series(1, 3)) AS u(k), unnest(generate_series(1, len(ws) - k + 1)) AS v(p) GROUP BY ALL),
+bf AS (SELECT array_to_string(ws[p:p + k - 1], ' ') AS f, count(*) AS n
+       FROM b, unnest(generate_series(1, 3)) AS u(k), unnest(generate_series(1, len(ws) - k + 1)) AS v(p) GROUP BY ALL),
+x AS (SELECT f, CAST(encode(f) AS BIT) AS z FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+h AS (SELECT f, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+             [CAST(get_bit(z, CAST((i // 8) * 8 + 7 - i % 8 AS INTEGER)) AS BIGINT) FOR i IN range(bit_length(z))]),
+             lambda c, v: xor(c >> 1, CAST(3988292384 AS BIGINT) * (xor(c, v) & 1))), CAST(4294967295 AS BIGINT)) % 10000 AS bucket FROM x),
+s AS (SELECT bucket, CAST(sum(n) AS BIGINT) AS n FROM df JOIN h USING (f) GROUP BY bucket),
+t AS (SELECT bucket, CAST(sum(n) AS BIGINT) AS n FROM bf JOIN h USING (f) GROUP BY bucket),
+g AS (SELECT i AS bucket, CAST(floor(1000 * ln(CAST((coalesce(t.n, 0) + 1) * (coalesce((SELECT sum(n) FROM s), 0) + 10000) AS DOUBLE)
+             / CAST((coalesce(s.n, 0) + 1) * (coalesce((SELECT sum(n) FROM t), 0) + 10000) AS DOUBLE))) AS BIGINT) AS gain
+      FROM range(10000) AS q(i) LEFT JOIN s ON s.bucket = i LEFT JOIN t ON t.bucket = i),
+w AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM df JOIN h USING (f) JOIN g USING (bucket) GROUP BY r),
+e AS (SELECT doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score
+      FROM d LEFT JOIN w USING (r)),
+k AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, 5 * count(*) OVER (PARTITION BY n_words >= 20) // 100 AS most FROM e)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN n_words >= 20 AND place <= most THEN place END AS rank FROM k"""
+
+
+@query("op12_importance_resampling", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five in a hundred documents drawn towards the benchmark's word runs."""
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+i AS (SELECT DISTINCT item_id, text FROM benchmark),
+q AS (SELECT item_id, text, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t, count(*) AS times
+      FROM (SELECT item_id, text, unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM i) GROUP BY ALL),
+f AS (SELECT r, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t, count(*) AS tf FROM (SELECT r, unnest(ws) AS t FROM d) GROUP BY ALL),
+s AS (SELECT count(*) FILTER (len(ws) > 0) AS N, coalesce(sum(len(ws)), 0) AS L FROM d),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * N + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM f, s GROUP BY t, N),
+m AS (SELECT r, doc_id, CAST(100 - 25 + (25 * len(ws) * N) // L AS BIGINT) AS m FROM d, s WHERE len(ws) > 0),
+p AS (SELECT item_id, text, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM q JOIN f USING (t) JOIN w USING (t) JOIN m USING (r) GROUP BY ALL),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM p WHERE score > 0)
+SELECT * FROM k WHERE rank <= 20"""
+
+
+@query("op13_ranked_search", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty documents that score highest for each benchmark item."""
+    return max_sketch.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

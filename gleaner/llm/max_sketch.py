@@ -92,7 +92,8 @@ class Block:
         for t in chain(asked, df):                          # the queries' terms first
             self.numbers.setdefault(t, len(self.numbers))
         self.asked = len(asked)
-        self.weights = np.array([weight(n, documents) for n in ({**df, **asked}[t] for t in self.numbers)] + [weight(1, documents)], np.int64)
+        df |= asked
+        self.weights = np.array([weight(df[t], documents) for t in self.numbers] + [weight(1, documents)], np.int64)
         places = np.array([crc32(t) % width for t in asked], np.int64)
         self.kept, at = np.unique(places, return_inverse=True)
         self.queries: list[int] = []
@@ -187,7 +188,7 @@ def _searched(docs: DataFrame, block: Block, k: int) -> DataFrame:
     return docs.mapInArrow(search, f"query long, id {kind.dataType.simpleString()}, score long")
 
 
-def ranked_search(docs: DataFrame, queries: DataFrame, k: int = 20, *, width: int = 4096, id_col: str = "doc_id", text_col: str = "text",
+def ranked_search(docs: DataFrame, queries: DataFrame, k: int = 20, *, width: int = 16_384, id_col: str = "doc_id", text_col: str = "text",
                   query_id_col: str = "item_id", query_text_col: str = "text", most_weights: int = 100_000,
                   most_query_terms: int = 200_000) -> DataFrame:
     """(query id, rank, document id, score): the k highest scores above 0 of every query, ties by document id (null first).

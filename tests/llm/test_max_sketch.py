@@ -42,7 +42,7 @@ def corpus():
     return docs, items
 
 
-@pytest.mark.parametrize("width", [1, 16, 4096])
+@pytest.mark.parametrize("width", [1, 16, 16_384])
 def test_equals_scoring_everything(spark, corpus, width):
     docs, items = corpus
     got = max_sketch.ranked_search(spark.createDataFrame(docs, "doc_id long, text string").repartition(4),

@@ -83,7 +83,7 @@ def ss3(spark, sf):
             F.lit(False).alias("rate_limited")), root, checkpoint)
 
     in_parts(spark, sf, "orders", F.col("o_orderkey"), root, run)
-    out = S.current_table(spark, root, S.LEDGER)
+    out = S.ledger(spark, root)
     return out.select("name", F.substring("last_run", 1, 10).alias("last_run"), "runs", "last_current")
 
 

@@ -150,7 +150,7 @@ def tx7(spark, sf):
     c = stage.table(spark, sf, "conversations")
     lines = F.concat(F.split("text", "\n"), F.split(F.lower("text"), "\n"))
     facts = F.transform(lines, lambda t, i: F.struct(t.alias("text"), (i + 1).alias("i")))
-    kept = c.select("conv_id", "turn", C.dedupe_facts(facts).alias("k"))
+    kept = c.select("conv_id", "turn", C.dedupe_facts(facts, "array<struct<text:string,i:int>>").alias("k"))
     total = F.aggregate("k", F.lit(0).cast("bigint"), lambda s, f: s + f["i"])
     return kept.select("conv_id", "turn", F.size("k").cast("bigint").alias("kept"), total.alias("positions"))
 

@@ -14,6 +14,7 @@ from gleaner import constants as K
 from gleaner import schemas as S
 from gleaner.functions.text import present, strip
 from gleaner.operators.attempts import stage_events
+from gleaner.sources.growing import follow_lines
 
 CORRUPT = "_corrupt_record"
 
@@ -83,9 +84,13 @@ def membership(manifests: DataFrame) -> DataFrame:
     return manifests.select("slug", F.posexplode("reel_ids").alias("pos", "record_id"))
 
 
-def scan_attempt_log(spark: SparkSession, path: str) -> DataFrame:
-    """Append-only JSON lines; lines that do not parse are skipped."""
-    return split_corrupt(_json(spark, path, S.ATTEMPT, strict=False, whole_files=False))[0].drop("_file")
+def scan_attempt_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Append-only JSON lines; lines that do not parse are skipped. As a stream, the whole lines as they are added to the files."""
+    if not stream:
+        return split_corrupt(_json(spark, path, S.ATTEMPT, strict=False, whole_files=False))[0].drop("_file")
+    lines = follow_lines(spark, path).filter(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", with_corrupt(S.ATTEMPT), {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    return split_corrupt(parsed)[0]
 
 
 def attempts_from_log(log: DataFrame) -> DataFrame:
@@ -178,6 +183,5 @@ def scan_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
 
 
 def scan_run_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """(log_time, stage, done, total) of text logs, in batch or as a stream."""
-    reader = spark.readStream if stream else spark.read
-    return stage_events(reader.text(path))
+    """(log_time, stage, done, total) of text logs; as a stream, of the whole lines as they are added to the files."""
+    return stage_events(follow_lines(spark, path) if stream else spark.read.text(path))

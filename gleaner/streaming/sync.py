@@ -1,17 +1,16 @@
 """Incremental jobs over landed files: ingest, dead letters, ledgers, attempts, progress.
 
 Every stream runs `availableNow` with a checkpoint and writes through `foreachBatch`. What was
-already taken is looked up in the pool tables, so no operator state grows with the corpus,
-and replaying a batch changes nothing.
+already taken is looked up in the pool tables; the last attempts and the newest stage are kept in
+Spark's state store. Replaying a batch changes nothing.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -19,7 +18,6 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from gleaner.operators.attempts import is_live, newest_stage
 from gleaner.operators.joins import first_occurrence
 from gleaner.operators.ranking import latest_attempt
-from gleaner.operators.sync import advance_ledger
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
@@ -32,8 +30,8 @@ def read_or_empty(spark: SparkSession, path: str, schema: str | StructType) -> D
         return spark.createDataFrame([], schema)
 
 
-def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    query = (stream.writeStream.option("checkpointLocation", checkpoint)
+def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
+    query = (stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode)
              .trigger(availableNow=True).foreachBatch(each).start())
     query.awaitTermination()
     return query
@@ -92,123 +90,85 @@ def retry_dead(spark: SparkSession, dead: str, cleared: str, sources: list[str]
     return cleared
 
 
-# --- versioned tables updated by batches -------------------------------------
-# A table is a log of published folders. Versions rise by one whatever checkpoint a batch comes from; each entry names
-# the batch it was made by, so that a replayed batch is seen to be done. Readers take the newest base and what follows it.
-VERSION = "version bigint, path string, base boolean, query string, batch bigint"
-KEPT_VERSIONS = 3
-DELTAS = 8
-
-
-def entries(spark: SparkSession, root: str) -> list[Row]:
-    return sorted(read_or_empty(spark, f"{root}/versions", VERSION).collect(), key=lambda r: r.version)
-
-
-def live(log: list[Row]) -> list[str]:
-    """Folders of the current table: the newest base and the deltas after it."""
-    bases = [r.version for r in log if r.base]
-    return [r.path for r in log if not bases or r.version >= bases[-1]]
-
-
-def current_table(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    paths = live(entries(spark, root))
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-
-
+# --- tables kept by batches ---------------------------------------------------
+# A batch writes what it changed to a folder of its own, named by stream and batch: a replayed batch writes the same folder again,
+# and a stream with a new checkpoint adds to what others wrote. Readers merge the rows by an order the rows carry, so the order
+# of the batches does not matter. `compacted` writes the merged rows to a new root.
 def query_of(spark: SparkSession) -> str:
     """Id of the stream whose batch is being written."""
     return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
 
 
-def is_done(log: list[Row], query: str, batch: int) -> bool:
-    return any(r.query == query and r.batch == batch for r in log)
+def write_batch(changed: DataFrame, root: str, batch: int) -> None:
+    changed.write.mode("overwrite").parquet(f"{root}/changes/stream={query_of(changed.sparkSession)}/batch={batch}")
+
 
+def changes(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """All rows that batches wrote under a root."""
+    rows = read_or_empty(spark, f"{root}/changes", schema)
+    return rows.drop("stream", "batch")
 
-def publish(table: DataFrame, root: str, log: list[Row], query: str, batch: int, base: bool = True) -> None:
-    """Writes a new folder, then names it in the log; readers never see half a table. Folders that only versions more than
-    KEPT_VERSIONS bases ago used are removed."""
-    spark = table.sparkSession
-    version = log[-1].version + 1 if log else 0
-    path = f"{root}/data/{version}-{uuid.uuid4().hex}"
-    table.write.parquet(path)
-    spark.createDataFrame([(version, path, base, query, batch)], VERSION).coalesce(1).write.mode("append").parquet(f"{root}/versions")
-    bases = [r.version for r in log if r.base] + [version] * base
-    if base and len(bases) > KEPT_VERSIONS:
-        since = bases[-KEPT_VERSIONS - 1] if len(bases) > KEPT_VERSIONS + 1 else 0     # what came before is gone already
-        for old in (r for r in log if since <= r.version < bases[-KEPT_VERSIONS]):
-            gone = spark._jvm.org.apache.hadoop.fs.Path(old.path)
-            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+def compacted(merged: DataFrame, root: str) -> str:
+    """Writes the merged rows of a table as the first batch of a new root; streams go on there. Returns the root."""
+    merged.write.mode("errorifexists").parquet(f"{root}/changes/stream=merged/batch=0")
+    return root
 
 
 LEDGER = ("name string, last_run string, runs bigint, last_current bigint, last_new bigint, last_ingested bigint, "
           "error string")
+RUNS = ("source string, run_date string, current bigint, new bigint, ingested bigint, error string, rate_limited boolean, "
+        "arrived timestamp")
 
 
 def source_ledger_stream(results: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the per-source ledger from a stream of run results.
+    """Keeps the runs of every source from a stream of run results; `ledger` reads them.
 
-    results(source, run_date, current, new, ingested, error, rate_limited); the newest of a source in a batch counts.
+    results(source, run_date, current, new, ingested, error, rate_limited); the newest of a source in a batch is its run.
     """
-    spark = results.sparkSession
-
     def each(batch: DataFrame, batch_id: int) -> None:
-        log, query = entries(spark, root), query_of(spark)
-        if is_done(log, query, batch_id):
-            return
-        state = current_table(spark, root, LEDGER)
-        last = first_occurrence(batch, ["source"], [F.desc("run_date")])
-        dates = last.select(F.col("source").alias("name"), F.col("run_date").alias("_d"))
-        moved = advance_ledger(state, last, F.lit(None).cast("string"))
-        out = (moved.drop("last_run").join(dates, "name", "left").join(state.select("name", F.col("last_run").alias("_old")), "name", "left")
-               .select("name", F.coalesce("_d", "_old").alias("last_run"), "runs", "last_current", "last_new", "last_ingested", "error"))
-        publish(out, root, log, query, batch_id)
+        last = first_occurrence(batch, ["source"], [F.desc("run_date")]).withColumn("arrived", F.current_timestamp())
+        names = [c.split()[0] for c in RUNS.split(", ")]
+        write_batch(last.select(*names), root, batch_id)
 
     return run_available(results, checkpoint, each)
 
 
-ATTEMPTS = "arm string, record_id string, at timestamp, seq bigint, ok boolean, seconds double"
+def ledger(spark: SparkSession, root: str) -> DataFrame:
+    """The per-source ledger: number of runs, the newest arrival's date and error, the counts of the newest that was not rate-limited."""
+    counts, newest = F.struct("current", "new", "ingested"), F.struct("arrived", "run_date")
+    polled = F.when(~F.coalesce("rate_limited", F.lit(False)), newest)
+    per = changes(spark, root, RUNS).groupBy(F.col("source").alias("name")).agg(
+        F.max_by("run_date", newest).alias("last_run"), F.count(F.lit(1)).alias("runs"), F.max_by(counts, polled).alias("_c"),
+        F.max_by(F.coalesce("error", F.lit("")), newest).alias("error"))
+    value = lambda c: F.coalesce(F.col("_c")[c], F.lit(0)).alias(f"last_{c}")
+    return per.select("name", "last_run", "runs", value("current"), value("new"), value("ingested"), "error")
 
 
-def last_attempts(spark: SparkSession, root: str, schema: str = ATTEMPTS) -> DataFrame:
-    """The last attempt per (arm, record) of what `attempt_stats_stream` keeps."""
-    return latest_attempt(current_table(spark, root, schema))
+ATTEMPTS = "arm string, record_id string, at timestamp, seq bigint, ok boolean, seconds double"
 
 
 def attempt_stats_stream(attempts: DataFrame, root: str, checkpoint: str, schema: str = ATTEMPTS) -> StreamingQuery:
-    """Keeps the last attempt per (arm, record) of an append-only log; `last_attempts` reads it.
+    """Keeps the last attempt per (arm, record) of an append-only log in Spark's state store; `last_attempts` reads what changed."""
+    kept = StructType.fromDDL(schema)
+    last = latest_attempt(attempts.select(*[F.col(f.name).cast(f.dataType) for f in kept]))
+    return run_available(last, checkpoint, lambda batch, n: write_batch(batch, root, n), "update")
 
-    A batch publishes its own last attempts as a delta; every DELTAS of them the table is merged into a new base.
-    """
-    spark = attempts.sparkSession
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        log, query = entries(spark, root), query_of(spark)
-        if is_done(log, query, batch_id):
-            return
-        known = current_table(spark, root, schema)
-        merge = len(live(log)) >= DELTAS
-        new = batch.select(*known.columns)
-        publish(latest_attempt(known.unionByName(new) if merge else new).select(*known.columns), root, log, query, batch_id, base=merge)
 
-    return run_available(attempts, checkpoint, each)
+def last_attempts(spark: SparkSession, root: str, schema: str = ATTEMPTS) -> DataFrame:
+    """The last attempt per (arm, record) of what `attempt_stats_stream` keeps."""
+    return latest_attempt(changes(spark, root, schema))
 
 
 PROGRESS = "log_time timestamp, stage string, done bigint, total bigint"
+NEWEST = ["log_time", "done"]
 
 
 def progress_stream(events: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Newest stage of a growing log: one row, replaced as lines arrive. events(log_time, stage, done, total)."""
-    spark = events.sparkSession
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        log, query = entries(spark, root), query_of(spark)
-        if not is_done(log, query, batch_id):
-            both = current_table(spark, root, PROGRESS).unionByName(batch)
-            publish(newest_stage(both, ["log_time", "done"]), root, log, query, batch_id)
-
-    return run_available(events, checkpoint, each)
+    """Newest stage of a growing log, in Spark's state store. events(log_time, stage, done, total)."""
+    return run_available(newest_stage(events, NEWEST), checkpoint, lambda batch, n: write_batch(batch, root, n), "update")
 
 
 def progress(spark: SparkSession, root: str, now: Column) -> DataFrame:
     """The newest stage, and whether its line is young enough for the run to be alive."""
-    return current_table(spark, root, PROGRESS).withColumn("live", is_live(F.col("log_time"), now))
+    return newest_stage(changes(spark, root, PROGRESS), NEWEST).withColumn("live", is_live(F.col("log_time"), now))

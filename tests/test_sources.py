@@ -212,14 +212,25 @@ def test_tables_keep_their_state_over_new_checkpoints(spark, tmp_path):
     for n in range(12):
         write(land / str(n), "x.json", rows(n))
         T.attempt_stats_stream(spark.readStream.schema(T.ATTEMPTS).json(str(land / str(n))), root, str(tmp_path / f"ck{n}"))
-    log = T.entries(spark, root)
-    assert [r.version for r in log] == list(range(12)) and any(r.base for r in log) and len(T.live(log)) < 12
     assert {r.seconds for r in T.last_attempts(spark, root).collect()} == {11.0}
-    assert T.is_done(log, log[3].query, 0) and len({r.query for r in log}) == 12
-    for _ in range(5):
-        T.publish(spark.createDataFrame([], T.ATTEMPTS), root, T.entries(spark, root), "q", 0)
-    import os
-    assert not os.path.exists(log[0].path) and T.last_attempts(spark, root).count() == 0
+    late = "\n".join(json.dumps({"arm": "p", "record_id": f"R{i}", "at": "2023-01-01T00:00:00Z", "seq": 999, "ok": False, "seconds": 99.0}) for i in range(4))
+    write(land / "late", "x.json", late)
+    T.attempt_stats_stream(spark.readStream.schema(T.ATTEMPTS).json(str(land / "late")), root, str(tmp_path / "ck-late"))
+    assert {r.record_id: r.seconds for r in T.last_attempts(spark, root).collect()} == {"R0": 11.0, "R1": 11.0, "R2": 11.0, "R3": 99.0}
+    other = T.compacted(T.last_attempts(spark, root), str(tmp_path / "t2"))
+    write(land / "more", "x.json", late.replace("2023", "2025"))
+    T.attempt_stats_stream(spark.readStream.schema(T.ATTEMPTS).json(str(land / "more")), other, str(tmp_path / "ck-more"))
+    assert T.changes(spark, other, T.ATTEMPTS).count() == 8
+    assert {r.seconds for r in T.last_attempts(spark, other).collect()} == {99.0}
+
+
+def test_a_batch_writes_only_what_changed(spark, tmp_path):
+    row = lambda i, seq: json.dumps({"arm": "p", "record_id": f"R{i}", "at": "2024-01-01T00:00:00Z", "seq": seq, "ok": True, "seconds": 1.0})
+    for name, lines in (("1", [row(i, i) for i in range(5)]), ("2", [row(3, 9)])):
+        write(tmp_path / "log", f"{name}.json", "\n".join(lines))
+        T.attempt_stats_stream(spark.readStream.schema(T.ATTEMPTS).json(str(tmp_path / "log")), str(tmp_path / "t"), str(tmp_path / "ck"))
+    per = spark.read.parquet(str(tmp_path / "t/changes")).groupBy("batch").count().collect()
+    assert {r["batch"]: r["count"] for r in per} == {0: 5, 1: 1}
 
 
 def test_ledger_and_progress_after_a_new_checkpoint(spark, tmp_path):
@@ -227,9 +238,9 @@ def test_ledger_and_progress_after_a_new_checkpoint(spark, tmp_path):
     for n in range(3):
         write(tmp_path / f"r{n}", "x.json", json.dumps({"source": "s", "run_date": f"2024-05-0{n + 1}", "current": n, "new": 0, "ingested": 0, "error": ""}))
         T.source_ledger_stream(spark.readStream.schema(results).json(str(tmp_path / f"r{n}")), str(tmp_path / "l"), str(tmp_path / f"lc{n}"))
-        write(tmp_path / f"p{n}", "run.log", f"2024-05-02 10:00:0{n} INFO [ingest] x ({n}/1234567890123)")
+        write(tmp_path / f"p{n}", "run.log", f"2024-05-02 10:00:0{n} INFO [ingest] x ({n}/1234567890123)\n")
         T.progress_stream(scans.scan_run_log(spark, str(tmp_path / f"p{n}"), stream=True), str(tmp_path / "p"), str(tmp_path / f"pc{n}"))
-    x = T.current_table(spark, str(tmp_path / "l"), T.LEDGER).first()
+    x = T.ledger(spark, str(tmp_path / "l")).first()
     assert (x.last_run, x.runs, x.last_current) == ("2024-05-03", 3, 2)
     seen = T.progress(spark, str(tmp_path / "p"), F.lit("2024-05-02 10:00:30").cast("timestamp")).first()
     assert (seen.done, seen.total, seen.live) == (2, 1234567890123, True)

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter, defaultdict
+from itertools import chain, combinations
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gleaner import constants as K
 from gleaner.functions.text import alnum_key, col, let, strip, words
@@ -18,7 +26,7 @@ def is_fragment(text: Column | str) -> Column:
 
     def judged(t: Column) -> Column:
         lowered = F.lower(t)
-        dangling = let(lowered, lambda low: F.exists(_literals(K.FRAGMENT_TAILS), low.endswith))
+        dangling = lowered.rlike("(?:" + "|".join(map(re.escape, K.FRAGMENT_TAILS)) + r")\z")
         first = F.regexp_extract(lowered, r"(?U)^\S+", 0)
         opens_low = t.rlike(r"^\p{Ll}") & first.isin(K.FRAGMENT_HEADS)
         return (F.size(words(t)) < K.FRAGMENT_MIN_WORDS) | opens_low | dangling
@@ -41,20 +49,59 @@ def jaccard(a: Column, b: Column) -> Column:
     return let(_overlap(a, b), lambda n: F.try_divide(n, F.size(a) + F.size(b) - n))
 
 
-def dedupe_facts(facts: Column | str, text_field: str = "text") -> Column:
-    """Keep-first near-copy removal over an array of fact structs held in one row."""
-    facts = col(facts)
-    def keyed() -> Column:
-        return F.transform(facts, lambda f: F.struct(f.alias("fact"), fact_words(f[text_field]).alias("words")))
+def dedupe_facts(facts: Column | str, kind: str = "array<struct<text:string>>", text_field: str = "text") -> Column:
+    """Keep-first near-copy removal over an array of fact structs (of type `kind`) held in one row.
+
+    Facts without words are never copies. The facts of a batch of rows go to Python (`first_of_near_copies`), where a fact is
+    compared only with kept ones it shares rare words with.
+    """
+    def kept_facts(rows: pa.Array) -> pa.Array:
+        facts = rows.flatten()
+        words = [[w for w in CLAIM_WORDS.findall((t or "").lower()) if len(w) > 2] for t in facts.field(text_field).to_pylist()]
+        kept: list[bool] = []
+        ends = pa.compute.fill_null(pa.compute.list_value_length(rows), 0).to_numpy().cumsum()
+        for end in ends.tolist():
+            kept += first_of_near_copies(words[len(kept):end])
+        counts = np.concatenate([[0], np.cumsum(np.array(kept, np.int64))])
+        offsets = pa.array(np.concatenate([[0], counts[ends]]).astype(np.int32), mask=np.append(rows.is_null().to_numpy(False), False))
+        return pa.ListArray.from_arrays(offsets, facts.filter(pa.array(kept, pa.bool_())))
+
+    # a type given as text needs a session, which a column may be built without
+    return F.arrow_udf(kept_facts, StructType.fromDDL(f"k {kind}")["k"].dataType)(col(facts))
+
+
+CLAIM_WORDS = re.compile(K.CLAIM_WORD)
+PAIRED = 40
 
-    def step(kept: Column, item: Column) -> Column:
-        repeat = F.exists(kept, lambda k: F.coalesce(
-            (F.size(item["words"]) > 0) & (F.size(k["words"]) > 0)
-            & (jaccard(item["words"], k["words"]) > K.DUPLICATE_FACT_JACCARD), F.lit(False)))
-        return F.when(repeat, kept).otherwise(F.concat(kept, F.array(item)))
 
-    kept = let(keyed(), lambda items: F.aggregate(items, F.slice(items, 1, 0), step))
-    return F.transform(kept, lambda k: k["fact"])
+def first_of_near_copies(facts: list[list[str]], over: float = K.DUPLICATE_FACT_JACCARD) -> list[bool]:
+    """For word sets in order, whether each is kept: not more similar (Jaccard) than `over` to one kept before it.
+
+    A set more similar than that shares at least floor(over * size) + 1 words with the other, of either size. So, with the words of
+    a row in one order (rarest first), both have k of them among their first size - floor(over * size) - 1 + k words. Kept sets are
+    listed under those, k = 2 for sets of up to PAIRED words and what can be similar to them (a pair is rarer than a word), 1 for
+    longer ones (they have many pairs), and a fact is compared with what it finds there alone. Sets of one word have only equals.
+    """
+    often = Counter(chain.from_iterable(facts))
+    listed: dict[object, list[frozenset]] = defaultdict(list)
+    exact: set[frozenset] = set()
+    kept = []
+    for words in facts:
+        mine = frozenset(words)
+        n = len(mine)
+        if not n or mine in exact:
+            kept.append(not n)
+            continue
+        rare = sorted(mine, key=lambda w: (often[w], w))
+        few = n - int(over * n + 1e-9)
+        pairs = list(combinations(rare[:few + 1], 2)) if over * n <= PAIRED else []
+        kept.append(not any((shared := len(mine & other)) / (n + len(other) - shared) > over
+                            for key in (pairs if n <= PAIRED else rare[:few]) for other in listed.get(key, ())))
+        if kept[-1]:
+            exact.add(mine)
+            for key in (*pairs, *(rare[:few] if n > over * PAIRED else ())):
+                listed[key].append(mine)
+    return kept
 
 
 # --- claims ------------------------------------------------------------------

@@ -84,20 +84,35 @@ def alnum_key(c: Column | str) -> Column:
 
 
 # --- tags --------------------------------------------------------------------
+TAG_STRETCH = 32
+
+
+def slugs(raw: Column) -> Column:
+    """The tags of an array as slugs, those without any character left out.
+
+    They are cleaned as one NUL-separated string: a few passes over a string are far cheaper than the same expressions once per
+    array element.
+    """
+    sep = "\\x{0}"
+    joined = F.array_join(F.transform(raw, lambda t: F.replace(t, F.lit("\0"), F.lit(""))), "\0")
+    found = F.regexp_replace(F.lower(joined), f"{WS}*{sep}{WS}*", "\0")
+    found = F.regexp_replace(strip(found), WS + "+", "-")
+    found = F.regexp_replace(found, f"[^a-z0-9{sep}-]", "")
+    found = F.regexp_replace(found, f"-*(?:{sep}-*)+", "\0")
+    return F.filter(F.split(F.btrim(found, F.lit("-\0")), sep), lambda s: s != "")
+
+
 def normalise_tags(raw: Column | str, limit: int = K.MAX_TAGS) -> Column:
     """Lower case, white space to hyphens, ASCII slugs only, no repeats, the first `limit`.
 
-    The tags are cleaned as one NUL-separated string: a few passes over a string are far cheaper
-    than the same expressions once per array element.
+    The array is read in stretches until `limit` are found, so a long list costs what its first few tags cost.
     """
-    sep = "\\x{0}"
-    joined = F.array_join(F.transform(F.array_distinct(col(raw)), lambda t: F.replace(t, F.lit("\0"), F.lit(""))), "\0")
-    slugs = F.regexp_replace(F.lower(joined), f"{WS}*{sep}{WS}*", "\0")
-    slugs = F.regexp_replace(strip(slugs), WS + "+", "-")
-    slugs = F.regexp_replace(slugs, f"[^a-z0-9{sep}-]", "")
-    slugs = F.regexp_replace(slugs, f"-*(?:{sep}-*)+", "\0")
-    found = F.filter(F.split(F.btrim(slugs, F.lit("-\0")), sep), lambda s: s != "")
-    return F.coalesce(F.slice(F.array_distinct(found), 1, limit), empty_strings())
+    def read(tags: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(tags), F.lit(1)), F.lit(TAG_STRETCH))
+        return F.aggregate(starts, empty_strings(), lambda found, at: F.when(F.size(found) >= limit, found).otherwise(
+            F.slice(F.array_union(found, slugs(F.slice(tags, at, TAG_STRETCH))), 1, limit)))
+
+    return F.coalesce(let(col(raw), read), empty_strings())
 
 
 def renamed_tags(tags: Column | str, old: str, new: str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gleaner.operators import cells as C
 from gleaner.operators import vectors as E
 from gleaner.operators.joins import hits_with_collections
 from gleaner.operators.ranking import best_hit_per_record
@@ -12,6 +13,7 @@ from gleaner.plans import sqlparts as Q
 from gleaner.plans import stage
 from gleaner.plans.queries_text import DOC
 from gleaner.plans.registry import query
+from gleaner.session import work_folder
 
 # scores in the SQL are rounded like the engine's before they are ranked
 VEC = """e AS (SELECT vec_id AS id, 'c' || label AS slug, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
@@ -49,6 +51,16 @@ def vx4(spark, sf):
     return E.similar_records(stage.vectors(spark, sf), index, 6).select("query_id", "row_id", "rank")
 
 
+@query("vx4_similar_to_all", f"""WITH {VEC},
+h AS (SELECT a.id AS query_id, b.id AS row_id, row_number() OVER (PARTITION BY a.id ORDER BY {COS} DESC, b.id) AS r FROM u a, u b QUALIFY r <= 9)
+SELECT query_id, row_id, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM h WHERE row_id <> query_id QUALIFY rank <= 6""")
+def vx4_all(spark, sf):
+    """The same for every record over a stored cell index that need not be read whole."""
+    v = stage.vectors(spark, sf).select("id", "vec")
+    index = C.write_cells(v, work_folder(spark, "cells"))
+    return C.similar_to_all(v, index, v.select("id", F.col("id").alias("record_id"))).select("query_id", "row_id", "rank")
+
+
 MEAN = """m AS (SELECT slug, dim, avg(x) AS x, count(*) AS records FROM (
   SELECT slug, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM u) GROUP BY slug, dim),
 nn AS (SELECT slug, sqrt(sum(x * x)) AS n FROM m GROUP BY slug),

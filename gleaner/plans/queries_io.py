@@ -12,7 +12,7 @@ from gleaner.plans import sqlparts as Q
 from gleaner.plans import stage
 from gleaner.plans.registry import query
 from gleaner.session import work_folder
-from gleaner.sources import feeds, scans, sinks
+from gleaner.sources import folders, feeds, scans, sinks
 
 PERMISSIVE = {"mode": "PERMISSIVE"}
 
@@ -353,6 +353,21 @@ def sk1(spark, sf):
     return written.withColumnRenamed("id", "doc_id")
 
 
+@query("sk1_upsert_records", """
+SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'q' || l.quality ELSE d.lang END AS genre, d.source AS author
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+def sk1_folders(spark, sf):
+    """The same upsert into a table in folders, in two parts: each rewrites the folders its changes fall in."""
+    path = work_folder(spark, "record-folders")
+    current = stage.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("genre"), F.col("source").alias("author"))
+    folders.write_folders(current, path, "id", 8)
+    labels = stage.table(spark, sf, "labels").select(
+        F.col("doc_id").alias("id"), F.concat(F.lit("q"), F.col("quality").cast("string")).alias("genre"), F.col("toxic").alias("seq"))
+    for k in range(2):
+        folders.upsert_records(labels.filter(folders.part_of("id", 8) % 2 == k), path, current.schema, "seq", parts=8)
+    return folders.read_folders(spark, path, current.schema, "id").select(F.col("id").alias("doc_id"), "genre", "author")
+
+
 @query("sk2_export_csv", f"""WITH {Q.REC}, {Q.TAGS},
 joined AS (SELECT id, string_agg(tag, ', ' ORDER BY nth) AS tags FROM tags GROUP BY id)
 SELECT r.id, title0 AS title, author, genre, coalesce(j.tags, '') AS tags,

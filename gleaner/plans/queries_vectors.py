@@ -14,6 +14,7 @@ from gleaner.plans import stage
 from gleaner.plans.queries_text import DOC
 from gleaner.plans.registry import query
 from gleaner.session import work_folder
+from gleaner.sources import folders
 
 # scores in the SQL are rounded like the engine's before they are ranked
 VEC = """e AS (SELECT vec_id AS id, 'c' || label AS slug, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
@@ -136,6 +137,23 @@ def vx2(spark, sf):
                       "doc_hash", "reused")
 
 
+@query("vx2_update_index", f"""WITH {Q.REC}, {DOC},
+h AS (SELECT id, title0 AS title, lines, summary, substring(sha1(array_to_string(list_concat([document], lines), chr(0))), 1, 16) AS doc_hash FROM doc)
+SELECT id AS record_id, 0 AS row_pos, 'record' AS kind, md5(CASE WHEN coalesce(summary, '') <> '' THEN summary ELSE title END) AS text, doc_hash FROM h
+UNION ALL SELECT id, generate_subscripts(lines, 1), 'fact', md5(unnest(lines)), doc_hash FROM h""")
+def vx2_folders(spark, sf):
+    """A stored index of the labelled records brought up to date with all of them."""
+    r = stage.records(spark, sf)
+    embed = E.hashing_embedder(64)
+    path = work_folder(spark, "index")
+    had = stage.table(spark, sf, "labels").select(stage.text_of("doc_id").alias("id"))
+    schema = E.build_index(r.limit(0), embed).schema
+    for wanted in (r.join(had, "id", "left_semi"), r):
+        folders.update_index(wanted, embed, path, parts=8)
+    out = folders.read_index(spark, path, schema)
+    return out.select("record_id", F.col("row_pos").cast("bigint").alias("row_pos"), "kind", F.md5("text").alias("text"), "doc_hash")
+
+
 @query("rp4_answer_batch", f"""WITH {VEC}, {ASKED},
 h AS (SELECT a.id AS qid, b.id, b.slug, row_number() OVER (PARTITION BY a.id ORDER BY {COS} DESC, b.id) AS rank FROM q a, u b QUALIFY rank <= 8),
 best AS (SELECT qid, slug, min(rank) AS rank FROM h GROUP BY ALL),

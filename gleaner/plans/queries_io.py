@@ -12,6 +12,7 @@ from gleaner.plans import sqlparts as Q
 from gleaner.plans import stage
 from gleaner.plans.registry import query
 from gleaner.session import work_folder
+from gleaner.operators.records import video_item
 from gleaner.sources import folders, feeds, scans, sinks
 
 PERMISSIVE = {"mode": "PERMISSIVE"}
@@ -276,6 +277,19 @@ def sc10(spark, sf):
     return feeds.feed_items(items).select("id", "page", "handle")
 
 
+@query("sc10_scan_feed_page_files", """
+SELECT 'u' || user_id AS id, 'h' || min(event_id) AS handle, len(list(event_id)) AS n FROM events
+WHERE event_type IN ('view', 'purchase', 'error') GROUP BY user_id""")
+def sc10_files(spark, sf):
+    """The same posts as landed page files of 500 in the order of their names, read back; `n` counts a post's places in the pages."""
+    posts = feed_pages(spark, sf).select(F.expr("event_id div 500").alias("page"), "event_id", F.explode("items").alias("item"))
+    pages = posts.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("event_id", "item"))).alias("p")).orderBy("page").select(
+        F.to_json(F.struct(F.transform("p", lambda x: x["item"]).alias("items"))))
+    path = landed(pages, "pages", one_each=True)
+    seen = feeds.feed_page_items(spark, path).filter(video_item(F.col("media"))).groupBy(F.col("media.code").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return feeds.scan_feed_pages(spark, path).select("id", "handle").join(seen, "id")
+
+
 @query("sc11_scan_sources", """
 SELECT s_name AS name, 'https://example.org/s/' || s_suppkey AS url, 'collection' AS type,
        s_acctbal >= 0 AS enabled, 200 AS "limit" FROM supplier""")

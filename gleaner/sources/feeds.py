@@ -121,7 +121,12 @@ def candidates_from_items(items: DataFrame, source: str, found_on: str, caption_
         F.lit(found_on).alias("found_on"), "page", "pos")
 
 
+def feed_page_items(spark: SparkSession, path: str) -> DataFrame:
+    """(page, pos, media) of the landed pages; a page is named by its file."""
+    pages = spark.read.schema(S.FEED_PAGE).option("multiLine", True).json(path)
+    return page_items(pages, F.col("_metadata.file_name"))
+
+
 def scan_feed_pages(spark: SparkSession, path: str, known_only: bool = False) -> DataFrame:
     """Landed pages in file-name order."""
-    pages = spark.read.schema(S.FEED_PAGE).option("multiLine", True).json(path)
-    return feed_items(page_items(pages, F.col("_metadata.file_name")), known_only)
+    return feed_items(feed_page_items(spark, path), known_only)

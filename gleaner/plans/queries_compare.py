@@ -233,7 +233,51 @@ def rp3(spark, sf):
     return out.select("id", "a", "b", count("shared"), count("only_a"), count("only_b"))
 
 
-@query("rp1_bench_report")
+# numbers of the report with two places and thousands marks, and a table row
+def two(x: str) -> str:
+    return f"format('{{:,.2f}}', CAST(coalesce({x}, 0) AS DOUBLE))"
+
+
+def cells(*x: str) -> str:
+    return "'| ' || " + " || ' | ' || ".join(x) + " || ' |'"
+
+
+RP1 = f"""WITH RECURSIVE {MATCH}, {MEASURES},
+g AS (SELECT conv_id AS id, CAST(max(turn) AS VARCHAR) AS genre FROM conversations GROUP BY conv_id),
+z AS (SELECT genre, count(*) AS size FROM g GROUP BY genre),
+quota AS (SELECT genre, least(greatest(1, CAST(round_even(30.0 * size / (SELECT sum(size) FROM z), 0) AS INT)), size) AS quota FROM z),
+slots AS (SELECT genre, unnest(generate_series(1, quota)) AS slot FROM quota),
+kept AS (SELECT genre, count(*) AS quota FROM (SELECT * FROM slots ORDER BY slot, genre LIMIT 30) GROUP BY genre),
+drawn AS (SELECT id, genre, row_number() OVER (PARTITION BY genre ORDER BY md5(id || ':1'), id) AS rn FROM g),
+sample AS (SELECT id FROM drawn JOIN kept USING (genre) WHERE rn <= kept.quota),
+board AS ({board("WHERE record_id IN (SELECT id FROM sample)")}),
+mm AS (SELECT * FROM matched WHERE record_id IN (SELECT id FROM sample)),
+stored AS (SELECT DISTINCT record_id, arm FROM measures WHERE record_id IN (SELECT id FROM sample)),
+per AS (SELECT arm, count(*) AS records FROM stored WHERE arm <> 'user' AND record_id IN (SELECT record_id FROM stored WHERE arm = 'user') GROUP BY arm),
+c AS (SELECT arm, count(*) FILTER (side = 'ref' AND other_pos IS NOT NULL) AS shared, count(*) FILTER (side = 'ref' AND other_pos IS NULL) AS only_ref,
+             count(*) FILTER (side = 'cand' AND other_pos IS NULL) AS only_cand FROM mm GROUP BY arm),
+agree AS (SELECT per.arm, records, coalesce(shared, 0)::DOUBLE / nullif(coalesce(shared, 0) + coalesce(only_ref, 0) + coalesce(only_cand, 0), 0) AS agreement,
+                 coalesce(only_ref, 0)::DOUBLE / records AS missed, coalesce(only_cand, 0)::DOUBLE / records AS added FROM per LEFT JOIN c USING (arm)),
+last AS (SELECT role AS arm, conv_id, arg_max(length(text), turn) AS chars FROM conversations GROUP BY ALL),
+runs AS (SELECT arm, count(*) FILTER (chars > 100) AS ok, count(*) FILTER (chars <= 100) AS failed, sum(chars / 8.0) / count(*) AS seconds FROM last GROUP BY arm),
+noted AS (SELECT runs.*, CASE WHEN board.arm IS NULL AND ok = 0 THEN 'abandoned' WHEN ok + failed < (SELECT count(*) FROM sample)
+                 THEN 'stopped at ' || (ok + failed) || '/' || (SELECT count(*) FROM sample) ELSE '' END AS note FROM runs LEFT JOIN board USING (arm)),
+alone AS (SELECT *, row_number() OVER (PARTITION BY record_id, arm, side ORDER BY pos) AS rn FROM mm WHERE other_pos IS NULL),
+e AS (SELECT record_id AS id, arm, coalesce(string_agg(CASE WHEN side = 'ref' THEN text END, '; ' ORDER BY pos), '') AS only_ref,
+             coalesce(string_agg(CASE WHEN side = 'cand' THEN text END, '; ' ORDER BY pos), '') AS only_cand FROM alone WHERE rn <= 6 GROUP BY ALL),
+turns AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY id) AS round, min(id) OVER (PARTITION BY arm) AS start FROM e),
+shown AS (SELECT * FROM turns ORDER BY round, start, arm LIMIT 40)
+SELECT '1 metrics' AS section, lpad(CAST(1000000000 - CAST(floor(avg_facts * 100) AS BIGINT) AS VARCHAR), 12, '0') || arm AS position,
+       {cells("arm", "records", two("avg_facts"), two("avg_tags"), two("avg_summary_chars"), two("avg_structured_fields"), "empty", "salvaged",
+              two("avg_seconds"), two("cost_per_record").replace(".2f", ".4f"))} AS text FROM board
+UNION ALL SELECT '2 agreement with user', lpad(CAST(1000000 - CAST(floor(coalesce(agreement, 0) * 1000000) AS BIGINT) AS VARCHAR), 8, '0') || arm,
+       {cells("arm", "records", "CASE WHEN agreement IS NULL THEN 'no overlap' ELSE CAST(CAST(round_even(agreement * 100, 0) AS INT) AS VARCHAR) || '%' END",
+              two("missed"), two("added"))} FROM agree
+UNION ALL SELECT '3 attempts', arm, {cells("arm", "ok", "failed", two("seconds"), "note")} FROM noted
+UNION ALL SELECT '4 examples', lpad(CAST(round AS VARCHAR), 6, '0') || arm, '- ' || arm || ': missed ' || only_ref || ' / added ' || only_cand FROM shown"""
+
+
+@query("rp1_bench_report", RP1)
 def rp1(spark, sf):
     """Sample, scoreboard, agreement, attempts and examples over one corpus of conversations."""
     f = claims(spark, sf)

@@ -19,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import about, short_batches, small
+from gleaner.llm.shared import of_each_label, short_batches, small
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -159,20 +159,14 @@ def fit(samples: list[tuple[str, str]], *, epochs: int = 3, stretch: int = 24, l
     return model
 
 
-def sample(labelled: DataFrame, *, key_col: str = "doc_id", per_label: int = 300, max_labels: int = 64, chars: int = 2_000,
-           max_rows: int = 100_000) -> list[tuple[str, str]]:
-    """A bounded sample of (text, lang): of about `max_rows` rows chosen by their key's hash, of each label the `per_label` texts
-    with the smallest hash, of each text a stretch of at most `chars` characters from a place the hash names; of more than
-    `max_labels` labels those with the most texts."""
-    rows = about(labelled.filter("text is not null and lang is not null"), F.col(key_col), max_rows).select(
-        F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64(key_col).alias("h"))
-    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_labels).collect()
-    h = F.col("h")
-    place = F.pmod(h, F.greatest(F.length("text") - chars, F.lit(1))).cast("int")
-    short = rows.filter(F.col("lang").isin([r.lang for r in most])).select(
-        "lang", "h", F.substring(F.col("text"), place + 1, F.lit(chars)).alias("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    picked = short.withColumn("r", rank).filter(F.col("r") <= per_label).select("text", "lang").collect()
+def sample(labelled: DataFrame, *, key_col: str = "doc_id", per_label: int = 300, chars: int = 2_000) -> list[tuple[str, str]]:
+    """A bounded sample of (text, lang): of each label the `per_label` texts whose key has the smallest hashes among all of that
+    label, of each text a stretch of at most `chars` characters from a place the hash names. It grows with the number of labels."""
+    rows = labelled.filter("text is not null and lang is not null").select(
+        F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col(key_col).alias("key"))
+    place = F.pmod(F.xxhash64("key"), F.greatest(F.length("text") - chars, F.lit(1))).cast("int")
+    short = rows.select("lang", "key", F.substring(F.col("text"), place + 1, F.lit(chars)).alias("text"))
+    picked = of_each_label(short, "lang", F.col("key"), per_label, ["text"]).select("text", "lang").collect()
     return sorted((r.text, r.lang) for r in picked)
 
 
@@ -243,13 +237,18 @@ def _marginals_only(emit: np.ndarray, move: np.ndarray, live: np.ndarray) -> np.
     return (both / both.sum(1, keepdims=True)).transpose(2, 0, 1)
 
 
-def identify(docs: DataFrame, model: CrfModel | None, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The `keep` columns (default: all) of every row with lang_pred, score (mean marginal of that label) and n_words.
+RUN = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("lang", pa.string())])
 
-    A null text, one without a letter, or no model: `und` with score 0. Ties go to the first label in sorted order. Columns of
-    the result's names are replaced.
+
+def identify(docs: DataFrame, model: CrfModel | None, *, text_col: str = "text", keep: list[str] | None = None, runs: bool = False) -> DataFrame:
+    """The `keep` columns (default: all) of every row with lang_pred, score (mean marginal of that label), n_words and evidence (mean
+    over the words of their largest marginal: high for a text whose words are each in some known language, whichever it is).
+    With `runs` also the stretches of words of one label, as (first word, last word, lang): the languages of a code-switched text.
+
+    A null text, one without a letter, or no model: `und` with score and evidence 0 and no runs. Ties go to the first label in
+    sorted order. Columns of the result's names are replaced.
     """
-    added = ("lang_pred", "score", "n_words")
+    added = ("lang_pred", "score", "n_words", "evidence") + (("runs",) if runs else ())
     names = [c for c in (docs.columns if keep is None else keep) if c not in added]
     short_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -262,6 +261,7 @@ def identify(docs: DataFrame, model: CrfModel | None, *, text_col: str = "text",
         for batch in small(batches):
             texts = batch.column(place).to_pylist()
             label, score, count = [UNKNOWN] * len(texts), [0.0] * len(texts), [0] * len(texts)
+            sure, found = [0.0] * len(texts), [[] for _ in texts] if runs else None
             waiting: list[tuple[int, list[str]]] = []
             size = 0
             for i, text in enumerate(texts):
@@ -271,24 +271,33 @@ def identify(docs: DataFrame, model: CrfModel | None, *, text_col: str = "text",
                     waiting.append((i, words))
                     size += len(words)
                 if waiting and (size >= WORDS_AT_ONCE or i == len(texts) - 1):
-                    _settle(labeller, waiting, label, score)
+                    _settle(labeller, waiting, label, score, sure, found)
                     waiting, size = [], 0
             if waiting:
-                _settle(labeller, waiting, label, score)
-            cols = [batch.column(i) for i in range(len(names))] + [pa.array(label, pa.string()), pa.array(score, pa.float64()), pa.array(count, pa.int64())]
+                _settle(labeller, waiting, label, score, sure, found)
+            cols = [batch.column(i) for i in range(len(names))] + [pa.array(label, pa.string()), pa.array(score, pa.float64()), pa.array(count, pa.int64()),
+                                                                          pa.array(sure, pa.float64())]
+            if runs:
+                cols.append(pa.array(found, pa.list_(RUN)))
             yield pa.RecordBatch.from_arrays(cols, [f"c{i}" for i in range(len(cols))])
 
     source = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], *more)
     kinds = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)] + [
-        f"c{len(names)} string", f"c{len(names) + 1} double", f"c{len(names) + 2} long"]
+        f"c{len(names) + i} {kind}" for i, kind in enumerate(("string", "double", "long", "double", "array<struct<first:bigint,last:bigint,lang:string>>")[:len(added)])]
     return source.mapInArrow(predict, ", ".join(kinds)).toDF(*names, *added)
 
 
-def _settle(labeller: Labeller, waiting: list, label: list, score: list) -> None:
+def _settle(labeller: Labeller, waiting: list, label: list, score: list, sure: list, runs: list | None) -> None:
     for (i, words), m in zip(waiting, labeller.marginals([w for _, w in waiting])):
         total = m.sum(0)
         best = int(total.argmax())
         label[i], score[i] = labeller.model.labels[best], min(1.0, float(total[best] / len(words)))
+        sure[i] = min(1.0, float(m.max(1).mean()))
+        if runs is not None:
+            own = m.argmax(1)
+            edge = np.flatnonzero(np.diff(own)) + 1
+            runs[i] = [{"first": int(a), "last": int(b) - 1, "lang": labeller.model.labels[own[a]]}
+                       for a, b in zip([0, *edge], [*edge, len(own)])]
 
 
 def held_out(doc_id: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import let
-from gleaner.llm.shared import about
+from gleaner.llm.shared import of_each_label
 
 ASSIGN = (r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"""
           r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -82,7 +82,7 @@ def base_spans(text: Column) -> Column:
 class TokenModel:
     """Log-likelihood ratios by (previous, next) character, in thousandths; none when there was nothing to learn from."""
 
-    def __init__(self, ratios: list[int] | None, odds: float = 1000.0, least: int = 20):
+    def __init__(self, ratios: list[int] | None, odds: float = 1000.0, least: int = 12):
         self.ratios, self.threshold, self.least = ratios, round(1000 * math.log(odds)), least
 
     def score(self, token: Column) -> Column:
@@ -94,16 +94,16 @@ class TokenModel:
 
         return F.aggregate(state_numbers(token), start, step, lambda s: s["sum"])
 
-    @property
-    def pattern(self) -> str:
-        return "[A-Za-z0-9+/_=-]{%d,}" % self.least
-
     def spans(self, text: Column) -> Column:
+        """Runs of token characters that score as random, and in the other runs the pieces without separators that do."""
         none = F.array().cast(f"array<{SPAN}>")
         if self.ratios is None:
             return none
-        found = match_spans(text, self.pattern, len(BASE), lambda m, i: self.score(m) >= self.threshold)
-        return F.when(F.regexp_like(text, F.lit(self.pattern)), found.cast(f"array<{SPAN}>")).otherwise(none)
+        runs, pieces = ("[%s]{%d,}" % (chars, self.least) for chars in ("A-Za-z0-9+/_=-", "A-Za-z0-9"))
+        found = lambda pattern: match_spans(text, pattern, len(BASE), lambda m, i: self.score(m) >= self.threshold)
+        both = let(F.struct(found(runs).alias("whole"), found(pieces).alias("part")), lambda f: F.concat(f["whole"], F.filter(
+            f["part"], lambda p: ~F.exists(f["whole"], lambda w: (w["start"] <= p["start"]) & (w["end"] >= p["end"])))))
+        return F.when(F.regexp_like(text, F.lit(runs)), both.cast(f"array<{SPAN}>")).otherwise(none)
 
 
 def state_numbers(token: Column) -> Column:
@@ -112,7 +112,7 @@ def state_numbers(token: Column) -> Column:
     return F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.coalesce(F.get(codes, F.ascii(c)), F.lit(0)))
 
 
-def train(labelled: DataFrame, *, random_weight: float = 0.5, plain_weight: float = 0.05, odds: float = 1000.0, least: int = 20) -> TokenModel:
+def train(labelled: DataFrame, *, random_weight: float = 0.5, plain_weight: float = 0.05, odds: float = 1000.0, least: int = 12) -> TokenModel:
     """Fits on (token, secret boolean). The weights are added to every transition's count: the chain of random strings
     stays near to uniform where it saw little, the other one does not expect what it never saw.
 
@@ -144,20 +144,17 @@ def count_kind(spans: Column, kind: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
 
 
-def labelled_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 1_000, max_rows: int = 100_000,
-                    least: int = 8) -> DataFrame:
+def labelled_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 1_000, least: int = 8) -> DataFrame:
     """(token, secret) from a bounded sample: values of fixed-pattern matches, and the other tokens of documents without any.
 
-    Of about `max_rows` documents chosen by their id's hash, at most `max_docs` of either kind are used.
+    At most `max_docs` documents of either kind are used, those whose id has the smallest hashes among all of that kind.
     """
     quick = "|".join(q for *_, q in BASE)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = about(docs, F.col(id_col), max_rows).select(F.xxhash64(id_col).alias("h"), text.alias("text"))
-    some = [rows.filter(F.regexp_like("text", F.lit(quick)) == has).orderBy("h", "text").limit(max_docs) for has in (True, False)]
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    some = of_each_label(rows.withColumn("has", F.regexp_like("text", F.lit(quick))), "has", F.col("id"), max_docs, ["text"])
     hits = [long_enough(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)), enough) for _, pattern, group, enough, _ in BASE]
     plain = F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_=-]{%d,}" % least), F.lit(0))
-    return (some[0].select(F.explode(F.concat(*hits)).alias("token"), F.lit(True).alias("secret"))
-            .unionAll(some[1].select(F.explode(plain).alias("token"), F.lit(False).alias("secret"))))
+    return some.select(F.explode(F.when(F.col("has"), F.concat(*hits)).otherwise(plain)).alias("token"), F.col("has").alias("secret"))
 
 
 def scan(docs: DataFrame, model: TokenModel, *, text_col: str = "text", out: str = "found") -> DataFrame:

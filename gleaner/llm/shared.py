@@ -6,9 +6,10 @@ import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleaner.operators.prefix import attach
 from gleaner.session import work_folder
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,13 +32,21 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def about(df: DataFrame, key: Column, rows: int) -> DataFrame:
-    """A sample of about `rows` rows (all, if there are fewer), the same ones every time: those whose key's hash is small enough.
+def of_each_label(rows: DataFrame, label: str, key: Column, n: int, order: list[str], distinct: bool = False) -> DataFrame:
+    """At most `n` rows of every label, those whose key has the smallest hashes (ties by `order`); of equal rows one, if asked.
 
-    For fitting models: what later picks rows by rank then sorts a bounded number of them, however many there are.
+    The labels are counted first, over all rows, so that a label is never too rare to be seen. A share of each label's hashes,
+    about eight times what is wanted and in any case its smallest, is let through where the rows are read; only that is ranked.
     """
-    share = rows / max(df.count(), 1)
-    return df if share >= 1 else df.filter(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    hashed = rows.withColumn("_h", F.shiftrightunsigned(F.xxhash64(key), 2))
+    counted = hashed.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), F.min("_h").alias("_least"))
+    share = F.least(F.lit(8.0 * n) / F.col("_n"), F.lit(1.0)) * float(1 << 62)
+    limits = written(counted.select(label, F.greatest(F.col("_least"), share.cast("long")).alias("_limit")), "label-limits")
+    near = attach(hashed, limits, [label]).filter(F.col("_h") <= F.col("_limit")).drop("_limit")
+    if distinct:
+        near = near.distinct()
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", *order))
+    return near.withColumn("_rank", rank).filter(F.col("_rank") <= n).select(*rows.columns)
 
 
 def short_batches(spark: SparkSession, rows: int = 1_000) -> None:

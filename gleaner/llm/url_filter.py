@@ -1,13 +1,12 @@
 """URL filters: host and path rules first, gradient-boosted trees on lexical features for the rest.
 
 The features are native columns; the trees are Spark ML's, fitted on a bounded sample of labelled URLs (the same
-number of each label, chosen by the URL's hash). Statistics of host suffixes come from that sample too and are
-looked up in maps that are never larger than it.
+number of each label, chosen by the URL's hash). Statistics of host suffixes are counted over all URLs, kept as tables
+and joined, with a broadcast only where a table was counted to be small.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -17,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import about, ascii_lower
+from gleaner.llm.shared import ascii_lower, of_each_label, written
 
 ALLOW, BLOCK = "allow", "block"
 
@@ -81,73 +80,69 @@ def lexical_features(url: Column) -> dict[str, Column]:
         "extension": F.regexp_like(path, F.lit(r"\.[a-z0-9]{2,5}$")).cast("double")}
 
 
-def _lookup(values: dict[str, float], key: Column, other: float) -> Column:
-    if not values:
-        return F.lit(other)
-    pairs = F.map_from_arrays(F.array(*[F.lit(k) for k in values]), F.array(*[F.lit(v) for v in values.values()]))
-    return F.coalesce(F.try_element_at(pairs, key), F.lit(other))
+SUFFIXES = 2
+BROADCAST_ROWS = 100_000
 
 
 @dataclass
 class UrlModel:
-    """Fitted trees and suffix statistics; `constant` stands in when the labels leave nothing to learn."""
+    """Fitted trees and tables of suffix statistics (suffix, rate, share); `constant` stands in when the labels leave nothing to learn."""
 
     constant: float | None = None
     trees: GBTClassificationModel | None = None
     base: float = 0.5
-    rates: list[dict[str, float]] = field(default_factory=lambda: [{}, {}])
-    shares: list[dict[str, float]] = field(default_factory=lambda: [{}, {}])
-
-    def columns(self, url: Column) -> dict[str, Column]:
-        ends = suffixes(host_of(F.coalesce(url, F.lit(""))))
-        return lexical_features(url) | {f"{kind}_{i}": _lookup(m, e, other) for i, e in enumerate(ends)
-                                        for kind, m, other in (("rate", self.rates[i], self.base), ("share", self.shares[i], 0.0))}
+    statistics: list[DataFrame] = field(default_factory=list)
+
+    def with_features(self, df: DataFrame, url: Column) -> DataFrame:
+        """`df` with the vector `_features` of the url; a suffix never counted has the base rate and share 0."""
+        names = []
+        for k, c in lexical_features(url).items():
+            df = df.withColumn(f"_f_{k}", c)
+            names.append(f"_f_{k}")
+        for i, end in enumerate(suffixes(host_of(F.coalesce(url, F.lit(""))))):
+            table = self.statistics[i].select(F.col("suffix").alias(f"_s{i}"), F.col("rate").alias(f"_r{i}"), F.col("share").alias(f"_p{i}"))
+            few = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+            df = df.withColumn(f"_s{i}", end).join(F.broadcast(table) if few else table, f"_s{i}", "left") \
+                .withColumns({f"_f_rate{i}": F.coalesce(f"_r{i}", F.lit(self.base)), f"_f_share{i}": F.coalesce(f"_p{i}", F.lit(0.0))}) \
+                .drop(f"_s{i}", f"_r{i}", f"_p{i}")
+            names += [f"_f_rate{i}", f"_f_share{i}"]
+        return VectorAssembler(inputCols=names, outputCol="_features").transform(df).drop(*names)
 
     def score(self, df: DataFrame, url_col: str, out: str) -> DataFrame:
         """Adds `out`: probability of `block`."""
         if self.trees is None:
             return df.withColumn(out, F.lit(self.constant))
-        parts = self.columns(F.col(url_col))
-        rows = df.withColumns({f"_f_{k}": c for k, c in parts.items()})
-        packed = VectorAssembler(inputCols=[f"_f_{k}" for k in parts], outputCol="_features").transform(rows)
-        return (self.trees.transform(packed).withColumn(out, vector_to_array("_probability")[1])
-                .drop(*[f"_f_{k}" for k in parts], "_features", "_raw", "_probability", "_prediction"))
+        packed = self.with_features(df, F.col(url_col))
+        return self.trees.transform(packed).withColumn(out, vector_to_array("_probability")[1]).drop("_features", "_raw", "_probability", "_prediction")
+
+
+def suffix_statistics(urls: DataFrame, base: float, level: int, weight: float = 10.0) -> DataFrame:
+    """(suffix, rate, share) over all rows (url, blocked or null): of a suffix's labelled urls the blocked ones, drawn towards
+    `base` by `weight`, and its part of all urls."""
+    counted = urls.select(suffixes(host_of(F.col("url")))[level].alias("suffix"), "blocked").groupBy("suffix").agg(
+        F.count(F.lit(1)).alias("n"), F.count("blocked").alias("labelled"), F.count_if("blocked").alias("hit"))
+    total = urls.agg(F.count(F.lit(1))).first()[0]
+    return counted.select("suffix", ((F.col("hit") + weight * base) / (F.col("labelled") + weight)).alias("rate"), (F.col("n") / total).alias("share"))
 
 
-def train(labelled: DataFrame, *, max_sample: int = 20_000, max_rows: int = 200_000, iterations: int = 20, depth: int = 4, top_suffixes: int = 64,
-          seed: int = 7) -> UrlModel:
-    """Fits on (url, blocked boolean). Of about max_rows rows chosen by the URL's hash, each label gives at most max_sample / 2
-    distinct URLs.
+def train(urls: DataFrame, *, max_sample: int = 20_000, iterations: int = 20, depth: int = 4, seed: int = 7) -> UrlModel:
+    """Fits on (url, blocked boolean or null). The trees are fitted on at most max_sample / 2 distinct URLs of each label, those with
+    the smallest hashes of all; the suffix statistics cover all rows, the shares those without a label too.
 
-    Suffixes beyond the `top_suffixes` most frequent ones of the sample get the base rate. Rows with a null url or
-    label are left out. Without rows the verdict is allow; with one label only, that label.
+    Rows with a null url are left out. Without labelled rows the verdict is allow; with one label only, that label.
     """
-    spark = labelled.sparkSession
-    rows = about(labelled.filter(F.col("url").isNotNull() & F.col("blocked").isNotNull()), F.col("url"), max_rows) \
-        .select("url", "blocked").distinct()
-    ends = suffixes(host_of(F.col("url")))
-    shown = rows.select("blocked", *[c.alias(k) for k, c in lexical_features(F.col("url")).items()], ends[0].alias("_e0"), ends[1].alias("_e1"),
-                        F.xxhash64("url").alias("_h"))
-    sample = [r for label in (True, False) for r in
-              shown.filter(F.col("blocked") == label).orderBy("_h", "length").limit(max_sample // 2).collect()]
-    blocked = sum(r.blocked for r in sample)
-    if blocked in (0, len(sample)):
-        return UrlModel(constant=1.0 if blocked else 0.0)
-    model = UrlModel(base=blocked / len(sample))
-    for i in range(2):
-        n, hit = Counter(r[f"_e{i}"] for r in sample), Counter(r[f"_e{i}"] for r in sample if r.blocked)
-        kept = [k for k, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:top_suffixes]]
-        model.rates[i] = {k: (hit[k] + 10 * model.base) / (n[k] + 10) for k in kept}
-        model.shares[i] = {k: n[k] / len(sample) for k in kept}
-    names = [c for c in shown.columns if c not in ("blocked", "_e0", "_e1", "_h")]
-    full = [[float(r.blocked), *[r[c] for c in names], *[x for i in range(2) for x in (
-        model.rates[i].get(r[f"_e{i}"], model.base), model.shares[i].get(r[f"_e{i}"], 0.0))]] for r in sample]
-    names = ["label", *names, *[f"{kind}_{i}" for i in range(2) for kind in ("rate", "share")]]
-    frame = spark.createDataFrame(full, ", ".join(f"`{c}` double" for c in names))
-    packed = VectorAssembler(inputCols=names[1:], outputCol="_features").transform(frame).select("label", "_features")
+    urls = urls.select("url", "blocked").filter(F.col("url").isNotNull())
+    found = urls.agg(F.count("blocked").alias("n"), F.count_if("blocked").alias("hit")).first()
+    if found.hit in (0, found.n):
+        return UrlModel(constant=1.0 if found.hit else 0.0)
+    model = UrlModel(base=found.hit / found.n)
+    model.statistics = [written(suffix_statistics(urls, model.base, i), "suffix-statistics") for i in range(SUFFIXES)]
+    chosen = of_each_label(urls.filter(F.col("blocked").isNotNull()), "blocked", F.col("url"), max_sample // 2, ["url"], distinct=True)
+    packed = model.with_features(chosen.withColumn("label", F.col("blocked").cast("double")), F.col("url")).select("label", "_features")
     trees = GBTClassifier(featuresCol="_features", labelCol="label", predictionCol="_prediction", maxIter=iterations, maxDepth=depth,
                           stepSize=0.3, seed=seed)
-    model.trees = trees.setProbabilityCol("_probability").setRawPredictionCol("_raw").fit(packed)
+    # at most max_sample rows
+    model.trees = trees.setProbabilityCol("_probability").setRawPredictionCol("_raw").fit(written(packed.coalesce(1), "url-sample"))
     return model
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontamination, html_extract, language_crf, secrets
+from gleaner.llm import decontamination, html_extract, language_crf, secrets, shared
 from tests.llm.fixtures import prose
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -143,3 +143,53 @@ def test_crf_labels_code_switched_text(spark):
     labels = language_crf.Labeller(model).marginals([mixed])[0].argmax(1)
     assert (labels[:28] == 0).all() and (labels[32:] == 1).all()
     assert language_crf.words_of("² 12 _ -") == [] and language_crf.fit([]) is None
+
+
+def test_short_keys_and_keys_inside_runs_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = secrets.train(secrets.labelled_tokens(docs))
+    rng = random.Random(5)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    planted = [(n, form, "".join(rng.choices(alphabet, k=n))) for n in (12, 16, 19, 24) for form in ("then {} and", "/var/lib/{}/index_of_pages", "ordinary_name={}")
+               for _ in range(25)]
+    rows = spark.createDataFrame([(n, form, "some ordinary words " + form.format(key), key) for n, form, key in planted], "n int, form string, text string, key string")
+    got = secrets.scan(rows, model).withColumn("clean", secrets.redact(F.col("text"), F.col("found.spans"))).groupBy("n", "form").agg(
+        F.count_if(~F.contains("clean", F.col("key"))).alias("gone")).collect()
+    assert len(got) == 12 and all(r.gone >= 23 for r in got)
+    added = secrets.scan(docs, model).filter(F.exists("found.spans", lambda s: s["kind"] == 3)).count()
+    assert added <= 2                                       # of 1,000 documents; the fixed patterns find what they hold
+
+
+def test_a_rare_label_is_learned_from(spark):
+    rows = spark.range(300_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 123_456, "rare").otherwise("often").alias("lang"),
+                                       F.concat(F.lit("text "), "id").alias("text")).repartition(7)
+    got = shared.of_each_label(rows, "lang", F.col("doc_id"), 50, ["text"]).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in got} == {"rare": 1, "often": 50}
+    sample = language_crf.sample(rows, per_label=50)
+    assert len(sample) == 51 and ("text 123456", "rare") in sample
+    same = spark.range(5_000).select(F.lit(1).alias("doc_id"), F.lit("x").alias("lang"), F.lit("same").alias("text"))
+    assert shared.of_each_label(same, "lang", F.col("doc_id"), 50, ["text"]).count() == 50
+    assert shared.of_each_label(same, "lang", F.col("doc_id"), 50, ["text"], distinct=True).count() == 1
+
+
+def test_one_document_with_a_secret_among_many_is_enough(spark):
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 77, "token = \"a9f8Qz7Lm2Xw4Vt1Bk6Rj3\"").otherwise(
+        "plain words about gardens harbours and windows").alias("text"))
+    got = secrets.labelled_tokens(docs).groupBy("secret").count().collect()
+    assert {r.secret for r in got} == {True, False}
+
+
+def test_runs_of_a_code_switched_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang IS NOT NULL")
+    model = language_crf.fit(language_crf.sample(docs))
+    longest = {r.lang: r.text for r in docs.groupBy("lang").agg(F.max_by("text", F.length("text")).alias("text")).collect()}
+    langs = sorted(longest)[:3]
+    parts = {x: " ".join(re.findall(r"[^\W\d_]+", longest[x])[100:140]) for x in langs}
+    mixed = spark.createDataFrame([(1, " ".join(parts[x] for x in langs)), (2, None), (3, "123"), (4, parts[langs[0]])], "doc_id long, text string")
+    got = {r.doc_id: r for r in language_crf.identify(mixed, model, runs=True).collect()}
+    assert (got[2].runs, got[3].runs, got[2].evidence) == ([], [], 0.0)
+    assert {r.lang for r in got[4].runs} == {langs[0]}
+    runs = got[1].runs
+    assert runs[0].first == 0 and runs[-1].last == got[1].n_words - 1 and all(a.last + 1 == b.first for a, b in zip(runs, runs[1:]))
+    right = sum(max(0, min(r.last, 40 * k + 39) - max(r.first, 40 * k) + 1) for k, x in enumerate(langs) for r in runs if r.lang == x)
+    assert right >= 110 and got[1].score < 0.5 < got[1].evidence

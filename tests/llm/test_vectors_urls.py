@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gleaner.llm import knn_join, url_filter
+from gleaner.llm.queries import OP2_RULES
 
 
 def brute(rows, is_query, k, scale):
@@ -81,3 +82,19 @@ def test_trees_learn(spark):
     got = url_filter.judge(df, [], model).collect()
     assert sum((r.judged.verdict == "block") == r.blocked for r in got[400:]) >= 195
     assert url_filter.train(df.filter("blocked")).constant == 1.0
+
+
+def test_held_out_urls_and_suffix_statistics(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    rule = url_filter.matching_rule(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")), OP2_RULES)
+    known = pages.withColumn("blocked", rule["verdict"] == "block").withColumn("out", F.crc32(F.col("url")) % 4 == 0)
+    model = url_filter.train(known.select("url", F.when(~F.col("out"), F.col("blocked")).alias("blocked")))
+    held = url_filter.judge(known.filter("out AND blocked IS NOT NULL"), [], model)
+    rows = held.select("judged.score", "blocked").collect()
+    bad, good = ([r.score for r in rows if r.blocked == b] for b in (True, False))
+    # the rules go by words that are not among the features, so the order is all that can be asked for
+    area = sum((x > y) + 0.5 * (x == y) for x in bad for y in good) / (len(bad) * len(good))
+    assert area > 0.6, area
+    shares = {r.suffix: r.share for r in model.statistics[0].collect()}
+    ends = [u.split("://", 1)[1].split("/")[0].rsplit(".", 1)[-1] for u, in pages.select("url").collect()]
+    assert abs(sum(shares.values()) - 1) < 1e-9 and abs(shares["net"] - ends.count("net") / len(ends)) < 1e-9

@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 from gleaner.llm import decontamination, language_crf, minhash, packing, secrets
 from gleaner.llm.shared import written
 
-#: A text whose best language has a smaller mean marginal than this is in no language the model knows.
-LEAST_SCORE = 0.35
+#: A text whose words have a smaller mean of their largest marginals than this is in no language the model knows.
+LEAST_EVIDENCE = 0.35
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language. The model learns from those whose id it may learn from."""
+    """Documents in a known language, or in several. The model learns from those whose id it may learn from. Equal rows fare alike."""
     model = language_crf.fit(language_crf.sample(docs.filter(~language_crf.held_out(F.col("doc_id")))))
     found = language_crf.identify(docs, model)
-    return found.filter((F.col("lang_pred") != language_crf.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return found.filter((F.col("lang_pred") != language_crf.UNKNOWN) & (F.col("evidence") >= LEAST_EVIDENCE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import re
+from functools import lru_cache
 
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gleaner import constants as K
 from gleaner.functions.text import col, strip
@@ -44,18 +47,73 @@ def filter_segments(records: DataFrame, segments: str = "segments", translate: b
             .drop("_kept"))
 
 
-def whole_word(term: str) -> str:
-    return r"(?U)\b" + re.escape(term) + r"\b"
+WORD = regex.compile(r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\p{Join_Control}]")
+
+
+@lru_cache(maxsize=1 << 16)
+def is_word(char: str) -> bool:
+    return WORD.match(char) is not None
+
+
+class Redactor:
+    """Replaces the terms of a dictionary on word boundaries, one after another in its order.
+
+    A trie of all terms is run over the text once to see which stand in it, then once more after each term that was replaced (a
+    stand-in may bring in later terms). So a text costs as many passes as it holds terms, however many the dictionary has.
+    """
+
+    def __init__(self, terms: dict[str, str]):
+        if "" in terms:
+            raise ValueError("an empty term")
+        self.terms = list(terms.items())
+        self.trie = None
+
+    def __getstate__(self) -> dict:
+        return {"terms": self.terms, "trie": None}
+
+    def places(self, text: str) -> dict[int, list[int]]:
+        """Starts of every term, by its number, where it stands on word boundaries."""
+        if self.trie is None:
+            import ahocorasick
+
+            self.trie = ahocorasick.Automaton()
+            for i, (term, _) in enumerate(self.terms):
+                self.trie.add_word(term, i)
+            self.trie.make_automaton()
+        found: dict[int, list[int]] = {}
+        for last, i in self.trie.iter(text) if self.terms else ():
+            at, end = last - len(self.terms[i][0]) + 1, last + 1
+            if is_word(text[at]) != (at > 0 and is_word(text[at - 1])) and is_word(text[last]) != (end < len(text) and is_word(text[end])):
+                found.setdefault(i, []).append(at)
+        return found
+
+    def run(self, text: str) -> tuple[str, int]:
+        """The edited text, and how many terms stood in it at first."""
+        found = self.places(text)
+        hits, done = len(found), -1
+        while later := [i for i in found if i > done]:
+            done = min(later)
+            term, stand_in = self.terms[done]
+            parts, at = [], 0
+            for start in found[done]:
+                if start >= at:
+                    parts += [text[at:start], stand_in]
+                    at = start + len(term)
+            text = "".join([*parts, text[at:]])
+            found = self.places(text)
+        return text, hits
 
 
 def redact_terms(df: DataFrame, column: str, terms: dict[str, str]) -> DataFrame:
     """Replaces dictionary terms on word boundaries, in dictionary order; `hits` counts terms present.
 
-    The dictionary is a parameter folded into the plan; filter on hits > 0 for a check without edits.
+    The dictionary is a parameter sent to the tasks; filter on hits > 0 for a check without edits. A null text has null hits.
     """
-    hits = F.lit(0)
-    text = F.col(column)
-    for term, stand_in in terms.items():
-        hits = hits + F.col(column).rlike(whole_word(term)).cast("int")
-        text = F.regexp_replace(text, whole_word(term), stand_in.replace("\\", r"\\").replace("$", r"\$"))
-    return df.withColumn("hits", hits).withColumn(column, text)
+    redactor = Redactor(terms)
+
+    def edit(texts: pa.Array) -> pa.Array:
+        rows = [None if t is None else redactor.run(t) for t in texts.to_pylist()]
+        return pa.array([r and {"text": r[0], "hits": r[1]} for r in rows], pa.struct([("text", pa.string()), ("hits", pa.int32())]))
+
+    edited = F.arrow_udf(edit, StructType.fromDDL("text string, hits int"))(F.col(column))
+    return df.withColumn("_edited", edited).withColumn("hits", F.col("_edited.hits")).withColumn(column, F.col("_edited.text")).drop("_edited")

@@ -119,6 +119,20 @@ def vx1(spark, sf):
     return out.select("doc_id", F.size("vec").alias("dim"), F.round(norm, 4).alias("norm"))
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+@query("vx1_model_embedder", f"""
+WITH n AS (SELECT doc_id, [CAST(length(text) - length(replace(replace(text, c, ''), upper(c), '')) AS DOUBLE) FOR c IN string_split('{LETTERS}', '')] AS v FROM documents),
+u AS (SELECT doc_id, v, sqrt(list_sum([x * x FOR x IN v])) AS norm FROM n)
+SELECT doc_id, generate_subscripts(v, 1) - 1 AS dim, round(CAST(CAST(unnest(v) / CASE WHEN norm = 0 THEN 1 ELSE norm END AS FLOAT) AS DOUBLE), 5) + 0.0 AS x FROM u""")
+def vx1_model(spark, sf):
+    """Every number of the vectors that a small model, loaded once per worker, gives the texts."""
+    out = E.model_embedder(E.letter_model(LETTERS), len(LETTERS))(stage.table(spark, sf, "documents").select("doc_id", "text"), "text", "vec")
+    return out.select("doc_id", F.posexplode("vec").alias("dim", "x")).select(
+        "doc_id", F.col("dim").cast("bigint").alias("dim"), (F.round(F.col("x").cast("double"), 5) + F.lit(0.0)).alias("x"))
+
+
 @query("vx2_build_index", f"""WITH {Q.REC}, {DOC},
 h AS (SELECT id, title0 AS title, lines, summary, substring(sha1(array_to_string(list_concat([document], lines), chr(0))), 1, 16) AS doc_hash FROM doc),
 rows AS (

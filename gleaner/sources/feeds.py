@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from gleaner import constants as K
 from gleaner import schemas as S
@@ -65,29 +66,79 @@ def per_source_limit(records: DataFrame, limit: int, source: str = "source", ord
     return top_n_per_group(records, [source], [order], limit, "_rn").drop("_rn")
 
 
+CORRUPT = "_corrupt_record"
+
+
 def _xml(spark: SparkSession, path: str, tag: str, schema) -> DataFrame:
-    """The elements of a feed file with `source`, the file, and `pos`, their order in it."""
-    rows = spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE").schema(schema).load(path)
+    """The elements of a feed file with `source`, the file, and `pos`, their order in it; one that does not parse has only its text."""
+    rows = (spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+            .schema(f"{schema}, {CORRUPT} string").load(path))
     return rows.withColumn("source", F.col("_metadata.file_path")).withColumn("pos", F.monotonically_increasing_id())
 
 
+def _elements(spark: SparkSession, path: str, tag: str, schema, strict: bool) -> DataFrame:
+    """The elements that parse. `strict` fails where a file holds more than that."""
+    if strict:
+        bad = feed_rejects(spark, path, [tag]).first()
+        if bad:
+            raise ValueError(f"{bad.file}: {bad.read} of {bad.opened} {tag} elements can be read")
+    return _xml(spark, path, tag, schema).filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+def feed_rejects(spark: SparkSession, path: str, tags: list[str] | None = None) -> DataFrame:
+    """(file, tag, opened, read): feed files in which fewer elements can be read than are opened, by a stray end tag or a file cut
+    short, say. Openings inside comments and CDATA do not count."""
+    schemas = {"item": S.RSS_ITEM, "entry": S.ATOM_ENTRY}
+    text = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>", "").alias("value"))
+    out = None
+    for tag in tags or list(schemas):
+        opened = text.select("file", F.regexp_count("value", F.lit(rf"<{tag}(?=[\s/>])")).cast("bigint").alias("opened")).filter("opened > 0")
+        # Spark does not look at the damaged text alone, so another column is asked for too
+        read = _xml(spark, path, tag, schemas[tag]).groupBy(F.col("source").alias("file")).agg(
+            F.count_if(F.col(CORRUPT).isNull() & (F.coalesce(F.length("title"), F.lit(0)) >= 0)).alias("read"))
+        found = opened.join(read, "file", "left").select("file", F.lit(tag).alias("tag"), "opened", F.coalesce("read", F.lit(0)).alias("read")) \
+            .filter(F.col("read") < F.col("opened"))
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
 def _limited(records: DataFrame, limit: int | None) -> DataFrame:
     """The first `limit` items of every feed (all without a limit)."""
     return (records if limit is None else per_source_limit(records, limit)).drop("source", "pos")
 
 
-def scan_rss_atom(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Items of the landed RSS and Atom files, at most `limit` of each file."""
-    return _limited(rss_records(_xml(spark, path, "item", S.RSS_ITEM)).unionByName(
-        atom_records(_xml(spark, path, "entry", S.ATOM_ENTRY))), limit)
+def scan_rss_atom(spark: SparkSession, path: str, limit: int | None = None, strict: bool = False) -> DataFrame:
+    """Items of the landed RSS and Atom files, at most `limit` of each file. Damaged elements are left out and can be had from
+    `feed_rejects`, or fail the scan if it is strict."""
+    return _limited(rss_records(_elements(spark, path, "item", S.RSS_ITEM, strict)).unionByName(
+        atom_records(_elements(spark, path, "entry", S.ATOM_ENTRY, strict))), limit)
+
+
+def scan_paper_atom(spark: SparkSession, path: str, limit: int | None = None, strict: bool = False) -> DataFrame:
+    return _limited(paper_records(_elements(spark, path, "entry", S.ATOM_ENTRY, strict)), limit)
+
+
+def scan_releases(spark: SparkSession, path: str, repo_url: str, strict: bool = False) -> DataFrame:
+    """Release objects of JSON files, one or a list each; files that do not parse are left out and can be had from
+    `release_rejects`, or fail the scan if it is strict."""
+    read = _releases(spark, path)
+    listed = F.col("listed")
+    if strict:
+        listed = F.coalesce(listed, F.raise_error(F.concat(F.lit("no releases: "), "file")).cast(read.schema["listed"].dataType))
+    return release_records(read.select(F.explode(listed).alias("r")).select("r.*"), F.lit(repo_url))
 
 
-def scan_paper_atom(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    return _limited(paper_records(_xml(spark, path, "entry", S.ATOM_ENTRY)), limit)
+def release_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text) of what holds no releases."""
+    return _releases(spark, path).filter("listed IS NULL").select("file", "text")
 
 
-def scan_releases(spark: SparkSession, path: str, repo_url: str) -> DataFrame:
-    return release_records(spark.read.schema(S.RELEASE).option("multiLine", True).json(path), F.lit(repo_url))
+def _releases(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text, listed): the releases of every file, null where it does not parse."""
+    one = StructType.fromDDL(S.RELEASE)
+    return spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"), F.from_json("value", ArrayType(one)).alias("listed"))
 
 
 # --- social feed pages -------------------------------------------------------

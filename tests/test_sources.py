@@ -268,3 +268,27 @@ def test_a_null_limit_is_no_limit(spark):
     cols = spark.createDataFrame([("all", "1", None), ("two", "2", 2)], "slug string, id string, limit int")
     got = collection_members_from_feed(items, cols).groupBy("slug").count().collect()
     assert {r["slug"]: r["count"] for r in got} == {"all": 5, "two": 2}
+
+
+def test_damaged_feeds_are_reported(spark, tmp_path):
+    item = lambda i: f"<item><title>t{i}</title><link>https://e.org/{i}</link></item>"
+    whole = f"<rss><channel>{item(1)}{item(2)}<!-- <item> --><x><![CDATA[<item>]]></x></channel></rss>"
+    write(tmp_path / "f", "whole.xml", whole)
+    assert feeds.feed_rejects(spark, str(tmp_path / "f")).collect() == []
+    assert feeds.scan_rss_atom(spark, str(tmp_path / "f"), strict=True).count() == 2
+    write(tmp_path / "f", "stray.xml", f"<rss><channel>{item(3)}<item><title>x</b></title><link>https://e.org/4</link></item>{item(5)}</channel></rss>")
+    write(tmp_path / "f", "short.xml", f"<rss><channel>{item(6)}<item><title>cut")
+    bad = {r.file.rsplit("/", 1)[1]: (r.tag, r.opened) for r in feeds.feed_rejects(spark, str(tmp_path / "f")).collect()}
+    assert bad == {"stray.xml": ("item", 3), "short.xml": ("item", 2)}
+    with pytest.raises(ValueError):
+        feeds.scan_rss_atom(spark, str(tmp_path / "f"), strict=True)
+    assert {r.url for r in feeds.scan_rss_atom(spark, str(tmp_path / "f")).collect()} >= {"https://e.org/1", "https://e.org/2", "https://e.org/3", "https://e.org/6"}
+
+
+def test_damaged_releases_are_reported(spark, tmp_path):
+    write(tmp_path / "r", "good.json", json.dumps([{"tag_name": "v1", "html_url": "u"}]))
+    write(tmp_path / "r", "bad.json", '[{"tag_name": "v2"')
+    assert feeds.scan_releases(spark, str(tmp_path / "r"), "https://github.com/o/r").count() == 1
+    assert [r.file.rsplit("/", 1)[1] for r in feeds.release_rejects(spark, str(tmp_path / "r")).collect()] == ["bad.json"]
+    with pytest.raises(Exception):
+        feeds.scan_releases(spark, str(tmp_path / "r"), "https://github.com/o/r", strict=True).collect()

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.llm.shared import written
+
 SLACK = 1e-9
 EXACT = float(2 ** 53)
 
@@ -154,13 +156,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, *, id_col: str = "v
     """(query_id, rank from 1, id, score) of each query's k best candidates: every usable row but the query's own.
 
     Ties go to the smaller id. Vectors that are null or hold null or non-finite components take no part, nor do null
-    ids; vectors of different lengths are compared as if the shorter one ended in zeros; ids are taken as unique, of
-    equal rows each is a candidate for other ids. Queries with no other candidate give no rows. Scores and components
-    must fit 64 bits. Other columns are left out. `pivots` are the least and the most pivots.
+    ids; vectors of different lengths are compared as if the shorter one ended in zeros. Rows equal in id and vector (in whole
+    numbers) count once; rows that share an id alone are candidates of their own, and queries under that id. Queries with no
+    other candidate give no rows. Scores and components must fit 64 bits. Other columns are left out. `pivots` are the least and
+    the most pivots.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("raw"), F.coalesce(is_query, F.lit(False)).alias("asks")) \
         .filter(F.col("id").isNotNull() & usable(F.col("raw"))).select("id", integers(F.col("raw"), scale).alias("vec"), "asks")
+    # ids alone are exchanged to see which stand more than once; only such rows are compared whole
+    twice = written(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"), "knn-repeats")
+    rows = rows.join(twice, "id", "left_anti").unionAll(
+        rows.join(twice, "id", "left_semi").groupBy("id", "vec").agg(F.bool_or("asks").alias("asks")))
     norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     shape = rows.agg(F.max(F.size("vec")).alias("width"), F.max(norm).alias("norm2"), F.count_if("asks").alias("queries")).first()
     out = "query_id long, id long, score long"
@@ -172,14 +179,28 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, *, id_col: str = "v
     for i, r in enumerate(chosen):
         points[i, :len(r.vec)] = r.vec
     space = _Space(np.unique(points, axis=0), shape.width, shape.norm2 * (1 + SLACK))
-    n, radius, m, near = _summaries(rows, space, k + 1)
+    n, radius, _, near = _summaries(rows, space, k + 1)
     reach = _bounds(space, n, radius, near, k + 1)
     group = _groups(space, n, chunk)
     parts = np.ones(group.max() + 1, np.int64)
     np.maximum.at(parts, group[group >= 0], -(-n[group >= 0] // chunk))
-    blocks = int(max(1, -(-m.sum() // block)))
     exact = shape.norm2 < EXACT
 
+    def wanted_by(points: np.ndarray) -> list[np.ndarray]:
+        """Of each group the candidates that may matter to its queries."""
+        near_by = space.candidates(points) <= reach[None]
+        return [np.flatnonzero(near_by[:, group == g].any(1)) for g in range(len(parts))]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(parts), np.int64)
+        for b in batches:
+            total += [len(at) for at in wanted_by(_rows(b.column(0), space.width))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array(total)], ["team", "n"])
+
+    blocks = np.ones(len(parts), np.int64)
+    for r in rows.select("vec").mapInArrow(count, "team long, n long").groupBy("team").agg(F.sum("n").alias("n")).collect():
+        blocks[r.team] = max(1, -(-r.n // block))
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Queries to every block of their group, candidates to one block of every group they matter to, for each part."""
         for b in batches:
@@ -190,15 +211,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, *, id_col: str = "v
             mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             own = group[space.queries(points[asks]).argmin(1)]
             part = (mixed[asks] % parts[own].astype(np.uint64)).astype(np.int64)
-            near_by = space.candidates(points) <= reach[None]
             for g in np.unique(own):
                 at = asks[own == g]
-                for z in range(blocks):
+                for z in range(blocks[g]):
                     yield _dealt(g, part[own == g], z, ids[at], packed[at], True)
-            for g in range(len(parts)):
-                at = np.flatnonzero(near_by[:, group == g].any(1))
+            for g, at in enumerate(wanted_by(points)):
                 for p in range(parts[g] if len(at) else 0):
-                    yield _dealt(g, p, (mixed[at] // np.uint64(7) % np.uint64(blocks)).astype(np.int64), ids[at], packed[at], False)
+                    yield _dealt(g, p, (mixed[at] // np.uint64(7) % blocks[g].astype(np.uint64)).astype(np.int64), ids[at], packed[at], False)
 
     def _dealt(g, p, z, ids, packed, asks) -> pa.RecordBatch:
         full = lambda x: pa.array(np.broadcast_to(np.asarray(x, np.int64), len(ids)))

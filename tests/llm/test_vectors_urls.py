@@ -98,3 +98,11 @@ def test_held_out_urls_and_suffix_statistics(spark):
     shares = {r.suffix: r.share for r in model.statistics[0].collect()}
     ends = [u.split("://", 1)[1].split("/")[0].rsplit(".", 1)[-1] for u, in pages.select("url").collect()]
     assert abs(sum(shares.values()) - 1) < 1e-9 and abs(shares["net"] - ends.count("net") / len(ends)) < 1e-9
+
+
+def test_repeated_rows_count_once(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(60)]
+    twice = spark.createDataFrame(rows + rows[:30] + rows[:1] * 40, "vec_id long, embedding array<double>").repartition(4)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in knn_join.top_k(twice, F.col("vec_id") % 10 == 0, 10, block=16).collect())
+    assert got == brute(rows, lambda i: i % 10 == 0, 10, 1024)

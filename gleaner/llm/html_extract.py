@@ -1,16 +1,16 @@
 """Site template removal: element subtrees that recur across many pages of a host are deleted, the rest is the text.
 
 Every page is parsed into a tree. Each element's subtree is hashed from its tag, its class and the hashes below it;
-a page counts a hash once. Spark sums the counts per host. A subtree is a template if it stands on at least
-`min_pages` pages and on `min_share` of the host's pages. Elements that name their role (nav, footer, a class `ad`,
-comments, …) go as well: on a host with few pages nothing can recur. Text blocks of an article are never templates,
-so a sentence that many articles share stays.
+a page counts a hash once, and pages of one content (the same main part, or the same page) count as one. Spark sums the
+counts per host. A subtree is a template if it stands on at least `min_pages` pages and on `min_share` of the host's
+pages; the share bounds the templates a page of a large host is held against. Nothing inside an article or main part is
+a template. Elements that name their role (nav, footer, a class `ad`, comments, …) go as well: on a host with few pages
+nothing can recur.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -28,7 +28,6 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
                    "strike strong sub sup time tt u var wbr".split())
-TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr figcaption table ul ol dl tbody thead caption".split()) | INLINE
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                      "header hr main menu nav ol p pre section table ul".split())
 DROPPED = frozenset("nav footer aside form button select option dialog menu head script style noscript template iframe svg textarea title "
@@ -129,18 +128,31 @@ def hash_subtrees(root: Node, host: str) -> list[Node]:
 
 
 def candidates(root: Node, host: str) -> set[int]:
-    """Hashes of a page's subtrees that may be templates."""
+    """Hashes of a page's subtrees that may be templates: none that holds the main part or lies in it."""
     hash_subtrees(root, host)
-    out, todo = set(), [(root, False)]
+    out, todo = set(), [root]
     while todo:
-        node, inside = todo.pop()
-        inside |= node.tag in MAIN
-        if not node.main and node.tag not in ("#root", "html", "body", "head", *RAW) and not (inside and node.tag in TEXT_BLOCKS) and node.tag not in INLINE:
+        node = todo.pop()
+        if node.tag in MAIN:
+            continue
+        if not node.main and node.tag not in ("#root", "html", "body", "head", *RAW) and node.tag not in INLINE:
             out.add(node.hash)
-        todo.extend((c, inside) for c in node.children if type(c) is Node)
+        todo.extend(c for c in node.children if type(c) is Node)
     return out
 
 
+def content(root: Node) -> int:
+    """What tells pages from copies, after `hash_subtrees`: the main parts, or the whole page where none is marked."""
+    parts, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.tag in MAIN:
+            parts.append(node.hash)
+        else:
+            todo.extend(c for c in reversed(node.children) if type(c) is Node and (c.main or c.tag in MAIN))
+    return xxhash.xxh3_64_intdigest(repr(parts or root.hash)) - (1 << 63)
+
+
 def _dropped(n: Node, inside: bool, marked: bool) -> bool:
     """The element names a role that is no main text. On a page that marks its main part, a part of a name counts too
     (`site-footer`); what holds the main part always stays."""
@@ -176,7 +188,7 @@ def main_text(root: Node, templates) -> str:
             buffer.append(" ")
         else:
             inside = inside or item.tag in MAIN
-            if _dropped(item, inside, not whole) or not item.main and item.hash in templates:
+            if _dropped(item, inside, not whole) or not inside and not item.main and item.hash in templates:
                 if item.tag not in INLINE:
                     flush()
                 continue
@@ -188,28 +200,21 @@ def main_text(root: Node, templates) -> str:
     return "\n\n".join(blocks)
 
 
-def template_counts(pages: DataFrame, url_col: str, html_col: str, held: int = 200_000) -> DataFrame:
-    """(host, subtree, pages) for every candidate subtree; subtree 0 counts the host's pages. Each task adds up what it has seen."""
+def template_counts(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """(host, subtree, pages) for every candidate subtree; subtree 0 counts the host's pages. Copies of a page count once."""
     source = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
+            keys, found = [], []
             for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen[host, 0] += 1
-                if html:
-                    seen.update((host, h) for h in candidates(parse(html), host))
-                if len(seen) >= held:
-                    yield _packed(seen)
-                    seen.clear()
-        yield _packed(seen)
-
-    def _packed(seen: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int64()),
-                                           pa.array(list(seen.values()), pa.int64())], ["host", "subtree", "pages"])
-
-    return (source.mapInArrow(count, "host string, subtree long, pages long")
-            .groupBy("host", "subtree").agg(F.sum("pages").alias("pages")))
+                root = parse(html or "")
+                found.append([0, *candidates(root, host)])
+                keys.append(content(root))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["host", "key", "subtrees"])
+
+    distinct = source.mapInArrow(read, "host string, key long, subtrees array<long>").dropDuplicates(["host", "key"])
+    return distinct.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages"))
 
 
 def find_templates(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", min_pages: int = 5, min_share: float = 0.02) -> DataFrame:

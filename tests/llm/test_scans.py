@@ -193,3 +193,33 @@ def test_runs_of_a_code_switched_text(spark):
     assert runs[0].first == 0 and runs[-1].last == got[1].n_words - 1 and all(a.last + 1 == b.first for a, b in zip(runs, runs[1:]))
     right = sum(max(0, min(r.last, 40 * k + 39) - max(r.first, 40 * k) + 1) for k, x in enumerate(langs) for r in runs if r.lang == x)
     assert right >= 110 and got[1].score < 0.5 < got[1].evidence
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    own = lambda i: f"<p>own text of page {i} and more</p>"
+    article = "<body><nav>menu</nav><article><div><p>told once</p></div><section><p>and again</p></section></article></body>"
+    plain = "<body><div>menu of the site</div><div><p>copied words</p><div><p>in two parts</p></div></div></body>"
+    rows = [(i, "http://a.org/x", article) for i in range(8)] + [(10 + i, "http://b.org/x", plain) for i in range(8)]
+    rows += [(20 + i, "http://b.org/y", f"<body><div>menu of the site</div><div>{own(i)}</div></body>") for i in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert {got[i] for i in range(8)} == {"told once\n\nand again"}
+    assert {got[10 + i] for i in range(8)} == {"copied words\n\nin two parts"}
+    assert [got[20 + i] for i in range(8)] == [f"own text of page {i} and more" for i in range(8)]
+
+
+def test_pages_that_mark_no_main_part_are_told_by_their_templates(spark):
+    """Brute force: what is left are the blocks that fewer than five distinct pages of the host hold."""
+    rng = random.Random(12)
+    chrome = [f"<div class='c{i}'><span>part {i} of the site</span><ul><li>link {i}</li></ul></div>" for i in range(6)]
+    rows, want = [], {}
+    for i in range(60):
+        used = rng.sample(range(6), 4)
+        text = prose(rng, 30)
+        rows.append((i, "http://site.net/a", "<body>" + "".join(chrome[k] for k in used[:2]) + f"<div><p>{text}</p></div>" + "".join(chrome[k] for k in used[2:]) + "</body>"))
+        want[i] = text
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert got == want
+    kept = {r.page_id: r.text for r in html_extract.extract(pages, min_pages=1000).collect()}
+    assert sum(got[i] != kept[i] for i in got) == 60

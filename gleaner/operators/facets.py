@@ -15,17 +15,19 @@ from gleaner.functions.answers import record_cost
 from gleaner.functions.text import col, empty_strings, explode_once, or_else, present, strip
 
 
-SPARK_CUTS_BELOW = 1_000      # default of spark.sql.optimizer.windowGroupLimitThreshold
+BLOCK_ROWS = 100_000      # rows of a group that one task ranks, where Spark does not cut groups itself
 
 
-def top_n_per_group(df: DataFrame, keys: list[str], order: list, n: int, rank: str = "rank", blocks: int = 64) -> DataFrame:
+def top_n_per_group(df: DataFrame, keys: list[str], order: list, n: int, rank: str = "rank", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """First n rows per group.
 
-    For small n Spark cuts each map task to n rows per group before the shuffle. It does not for large n, so there a group
-    is dealt into blocks, each is ranked and cut to n, and only those rows are ranked together.
+    For n up to a setting of the session Spark cuts each map task to n rows per group before the shuffle. Beyond it the rows are
+    counted and groups dealt into blocks of about `block_rows` rows at most; each block is ranked and cut to n, and only those rows
+    are ranked together.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
-    if n >= SPARK_CUTS_BELOW:
+    if n >= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        blocks = max(-(-df.count() // block_rows), 1)
         dealt = df.withColumn("_block", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c not in keys]), F.lit(blocks)))
         inside = Window.partitionBy(*keys, "_block").orderBy(*order)
         df = dealt.withColumn("_in_block", F.row_number().over(inside)).filter(F.col("_in_block") <= n).drop("_block", "_in_block")

@@ -113,3 +113,19 @@ def test_answers_cite_one_row_per_record_and_note_an_empty_archive(spark):
     assert reports.answer_batch(q, index, members, ans(None)).first()["note"] == "synthesis unavailable: x"
     empty = reports.answer_batch(q, index.limit(0), members, ans("x")).first()
     assert empty["note"] == "archive is empty" and empty["answer"] is None
+
+
+def test_top_n_whatever_the_session_cuts(spark):
+    from gleaner.operators.facets import top_n_per_group
+
+    df = spark.range(3_000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE id % 3 END AS k", "id AS o")
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    had = spark.conf.get(key)
+    want = sorted((str(r.k), r.o) for r in df.collect() if r.o < 21)
+    try:
+        for threshold in ("-1", "5", had):
+            spark.conf.set(key, threshold)
+            got = top_n_per_group(df, ["k"], ["o"], 7, block_rows=100)
+            assert sorted((str(r.k), r.o) for r in got.collect()) == want
+    finally:
+        spark.conf.set(key, had)

@@ -20,7 +20,7 @@ from gleaner.functions.facts import claim_phrases, claim_score, claim_words
 from gleaner.operators.facets import top_n_per_group
 from gleaner.operators.prefix import running_rank
 from gleaner.operators.ranking import round_robin
-from gleaner.session import cut_lineage
+from gleaner.session import cut_lineage, dealt_by
 
 
 # --- variants ----------------------------------------------------------------
@@ -175,7 +175,7 @@ def match_facts(facts: DataFrame, reference: str) -> DataFrame:
 
     schema = (f"record_id {kind['record_id']}, arm string, side string, pos {kind['pos']}, text string, "
               f"other_pos {kind['pos']}, score double")
-    return keyed.repartition("record_id").sortWithinPartitions("record_id", F.desc("own"), "arm", "pos").mapInArrow(run, schema)
+    return dealt_by(keyed, "record_id").sortWithinPartitions("record_id", F.desc("own"), "arm", "pos").mapInArrow(run, schema)
 
 
 def match_by_rounds(facts: DataFrame, reference: str) -> DataFrame:

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # What the plans in this package count on. `spark.sql.shuffle.partitions` is left
 # to the cluster: AQE coalesces from there.
@@ -49,3 +50,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder for intermediate tables, under the cluster's shared `spark.checkpoint.dir`."""
     return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def dealt_by(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a key in one partition, for tasks that read partitions as streams.
+
+    Dealt by a hash of the key, not by the key: behind a join on the key Spark would leave `repartition(key)` out, and may then
+    read that join's shuffle by map task (a broadcast chosen late) or in parts (a skewed key), which splits the key's rows.
+    """
+    return df.repartition(F.xxhash64(key))

@@ -177,3 +177,20 @@ def test_bench_report_describes_the_sample_only(spark):
     assert not any("stranger" in t for _, t in text)
     tried = report([("qwen", "R0", "1", 0, False, 9.0), ("qwen", "R0", "2", 0, True, 5.0), ("broken", "R0", "1", 0, False, 1.0)])
     assert ("3 attempts", "| qwen | 1 | 0 | 5.00 |  |") in tried and ("3 attempts", "| broken | 0 | 1 | 1.00 | abandoned |") in tried
+
+
+def test_matching_behind_a_join_that_turns_into_a_broadcast(spark):
+    """Every record's claims lie in all map tasks of the join's shuffle; the join is a broadcast only once its sizes are known."""
+    small = {"spark.sql.autoBroadcastJoinThreshold": "20k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    had = {key: spark.conf.get(key) for key in small}
+    try:
+        for key, value in small.items():
+            spark.conf.set(key, value)
+        f = spark.range(0, 16_000, 1, 8).selectExpr("id % 2000 AS record_id", "CASE WHEN id div 2000 % 2 = 0 THEN 'user' ELSE 'b' END AS arm",
+                                                    "id div 2000 AS pos", "'alpha beta gamma w' || (id div 4000) AS text")
+        few = f.groupBy("record_id").agg(F.count_distinct("arm").alias("n")).filter("n = 2 AND record_id % 20 = 0").select("record_id")
+        got = V.match_facts(f.join(few, "record_id", "left_semi"), "user").agg(F.count("*"), F.count("other_pos")).first()
+    finally:
+        for key, value in had.items():
+            spark.conf.set(key, value)
+    assert tuple(got) == (800, 800)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner import constants as K
 from gleaner.functions.facts import exclusive_markers
 from gleaner.functions.text import alnum_key, col, empty_strings, marker_kind, select_where, strip
+from gleaner.operators.prefix import running_total
 
 
 def _text(c: Column | str) -> Column:
@@ -40,6 +41,26 @@ def variant_text() -> Column:
     return alnum_key(F.array_join(texts, " "))
 
 
+def arm_texts(turns: DataFrame, markers: DataFrame, size: int = 4_096) -> DataFrame:
+    """(record_id, arm, key): what an arm says in all its turns, one after another, for the records that have markers.
+
+    turns(record_id, arm, pos, key), markers(record_id, markers). A long text comes as several rows; these overlap by one less than
+    the record's longest marker, so every marker that stands in the text stands in a row, also one that goes over several turns.
+    """
+    longest = markers.select("record_id", F.explode("markers").alias("m")).groupBy("record_id").agg(F.max(F.length(alnum_key("m"))).alias("_longest"))
+    blocks = turns.withColumn("_block", F.expr("pos div 1000")).withColumn("_n", F.length("key"))
+    placed = running_total(blocks, ["record_id", "arm"], ["_block"], ["pos", "key"], F.col("_n"), "_end").join(longest, "record_id").withColumn(
+        "_start", F.col("_end") - F.col("_n")).withColumn("_size", F.greatest(F.lit(size), "_longest"))
+    first = F.greatest(F.lit(0), F.expr("(_start - _longest + 1) div _size"))
+    last = F.expr("greatest(_end - 1, _start) div _size")
+    cut = placed.withColumn("_row", F.explode(F.sequence(first, last))).withColumn("_from", F.greatest("_start", F.col("_row") * F.col("_size")))
+    upto = F.least("_end", (F.col("_row") + 1) * F.col("_size") + F.col("_longest") - 1)
+    piece = F.substring("key", (F.col("_from") - F.col("_start") + 1).cast("int"), (upto - F.col("_from")).cast("int"))
+    pieces = F.sort_array(F.collect_list(F.when(F.length(piece) > 0, F.struct("_from", piece.alias("x")))))
+    return cut.groupBy("record_id", "arm", "_row").agg(pieces.alias("p")).select(
+        "record_id", "arm", F.array_join(F.transform("p", lambda x: x["x"]), "").alias("key"))
+
+
 def marker_hits(markers: DataFrame, variants: DataFrame) -> DataFrame:
     """(record_id, arm, marker, kind, found): one row per marker and stored variant.
 

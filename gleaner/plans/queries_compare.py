@@ -171,9 +171,9 @@ def ag19(spark, sf):
     marks = (f.filter("arm = 'user'").select("record_id", F.explode(words).alias("m")).distinct()
              .select("record_id", F.array(marker).alias("markers")))
     arms = ["user", "assistant"]
-    # a variant's text is one row's text; turns stand in, so a marker counts once per arm
-    turns = f.filter(F.col("arm").isin(arms)).select("record_id", "arm", M.alnum_key("text").alias("key"))
-    hits = M.marker_hits(marks, turns).groupBy("record_id", "arm", "marker", "kind").agg(F.bool_or("found").alias("found"))
+    # a variant's text is all its turns; a long one is several rows, so a marker counts once per arm
+    turns = f.filter(F.col("arm").isin(arms)).select("record_id", "arm", "pos", M.alnum_key("text").alias("key"))
+    hits = M.marker_hits(marks, M.arm_texts(turns, marks)).groupBy("record_id", "arm", "marker", "kind").agg(F.bool_or("found").alias("found"))
     runs = f.select("record_id", "arm", F.lit(True).alias("ok"))
     return M.marker_recall(hits, runs, arms)
 

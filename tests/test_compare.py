@@ -194,3 +194,36 @@ def test_matching_behind_a_join_that_turns_into_a_broadcast(spark):
         for key, value in had.items():
             spark.conf.set(key, value)
     assert tuple(got) == (800, 800)
+
+
+def test_markers_that_go_over_turns(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+    from tests.oracle import compare
+
+    said = [(1, 0, "user", "abcdefghij and kl-mnopqrstu, klmnopqrstu"), (1, 1, "assistant", "so abcd"), (1, 2, "assistant", "É!"), (1, 3, "assistant", "ef"),
+            (1, 5, "assistant", "GHIJ"), (1, 6, "assistant", "klmno"), (1, 8, "assistant", "no pqrstu"), (2, 0, "user", "abcdefghijkl"), (2, 1, "assistant", None)]
+    spark.createDataFrame(said, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet') ORDER BY conv_id, turn")
+    name = "ag19_marker_recall"
+    assert compare(spark, con, entry.queries()[name], entry.oracle_sql()[name], str(tmp_path)) is None
+
+
+def test_long_arm_texts_in_rows_hold_every_marker(spark):
+    import random
+
+    from gleaner.operators import markers as M
+
+    draw = random.Random(5)
+    turns = [(r, a, p, "".join(draw.choices("ab", k=draw.choice([0, 1, 2, 30])))) for r in "xyz" for a in ("m", "n") for p in range(0, 2_400, 60)]
+    wanted = {r: ["".join(draw.choices("ab", k=draw.randint(1, 12))) for _ in range(40)] for r in "xy"}
+    rows = M.arm_texts(spark.createDataFrame(turns, "record_id string, arm string, pos bigint, key string"),
+                       spark.createDataFrame(list(wanted.items()), "record_id string, markers array<string>"), size=7).collect()
+    assert max(len(r.key) for r in rows) <= 12 + 11 and {r.record_id for r in rows} == {"x", "y"}
+    for r, ms in wanted.items():
+        for a in ("m", "n"):
+            whole = "".join(k for x, y, _, k in turns if (x, y) == (r, a))
+            for m in ms:
+                assert (m in whole) == any(m in t.key for t in rows if (t.record_id, t.arm) == (r, a))

@@ -172,12 +172,20 @@ def candidates_from_items(items: DataFrame, source: str, found_on: str, caption_
         F.lit(found_on).alias("found_on"), "page", "pos")
 
 
+def name_order(name: Column) -> Column:
+    """(order, name): compares names by their text, and numbers in them as numbers: page-9 stands before page-10."""
+    digits = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
+    parts = F.transform(F.regexp_extract_all(name, F.lit("[0-9]+|[^0-9]+"), F.lit(0)), lambda x: F.when(
+        x.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits(x)).cast("string"), 3, "0"), digits(x))).otherwise(x))
+    return F.struct(F.array_join(parts, "").alias("order"), name.alias("name"))
+
+
 def feed_page_items(spark: SparkSession, path: str) -> DataFrame:
-    """(page, pos, media) of the landed pages; a page is named by its file."""
+    """(page, pos, media) of the landed pages; a page is named by its file, see `name_order`."""
     pages = spark.read.schema(S.FEED_PAGE).option("multiLine", True).json(path)
-    return page_items(pages, F.col("_metadata.file_name"))
+    return page_items(pages, name_order(F.col("_metadata.file_name")))
 
 
 def scan_feed_pages(spark: SparkSession, path: str, known_only: bool = False) -> DataFrame:
-    """Landed pages in file-name order."""
+    """Landed pages in file-name order, numbers in names compared as numbers."""
     return feed_items(feed_page_items(spark, path), known_only)

@@ -24,6 +24,8 @@ from gleaner.operators.vectors import BLOCK_BYTES, _matrix, _meet, _rank, _types
 
 SLACK = 1e-6        # angles of float64 cosines near one are this exact
 MOST_CELLS = 16_384
+ANGLES = 1 << 20    # angles of rows to pivots held at once: 8 MB
+CALLS = 4_096       # vectors sent on at once
 
 
 @dataclass
@@ -36,6 +38,14 @@ class Cells:
     sizes: np.ndarray
 
 
+def _slices(batches: Iterator[pa.RecordBatch], pivots: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so few rows that their angles to all pivots take no more than `ANGLES`, however many pivots there are."""
+    rows = max(ANGLES // max(pivots, 1), 1)
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def _angles(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Angles of rows to pivots; a zero vector is at a right angle to all."""
     return np.arccos(np.clip(m @ pivots.T, -1.0, 1.0))
@@ -50,12 +60,11 @@ def write_cells(index: DataFrame, path: str, cells: int | None = None) -> Cells:
     shared = spark.sparkContext.broadcast(_matrix(chosen.column("vec")))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                angles = _angles(_matrix(b.column(1)), shared.value)
-                near = angles.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), *b.columns, pa.array(angles[np.arange(b.num_rows), near])],
-                                                 ["cell", "id", "vec", "angle"])
+        for b in _slices(batches, len(shared.value)):
+            angles = _angles(_matrix(b.column(1)), shared.value)
+            near = angles.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), *b.columns, pa.array(angles[np.arange(b.num_rows), near])],
+                                             ["cell", "id", "vec", "angle"])
 
     kinds = dict(index.dtypes)
     placed = index.mapInArrow(place, f"cell int, id {kinds['id']}, vec {kinds['vec']}, angle double")
@@ -93,26 +102,30 @@ def _calls(queries: DataFrame, cells: Cells, probes: int) -> DataFrame:
     shared = queries.sparkSession.sparkContext.broadcast((cells.pivots, cells.radius, cells.sizes))
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, radius, sizes = shared.value
-        held = np.flatnonzero(sizes > 0)
-        for b in batches:
-            if not b.num_rows or not len(held):
-                continue
-            angles = _angles(_matrix(b.column(1)), pivots[held])
-            order = np.argsort(angles, axis=1, kind="stable")[:, :probes]
-            wanted = np.zeros(angles.shape, bool)
-            np.put_along_axis(wanted, order, True, axis=1)
-            reach = b.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
-            later = ~np.isnan(reach)
-            wanted[later] = ~wanted[later] & (angles[later] - radius[held] - SLACK <= np.arccos(np.clip(reach[later], -1, 1))[:, None])
-            row, cell = np.nonzero(wanted)
-            row = pa.array(row)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(held[cell].astype(np.int32))], ["id", "vec", "cell"])
+        return _called(batches, *shared.value, probes)
 
     kinds = dict(queries.dtypes)
     return queries.filter("vec IS NOT NULL").select("id", "vec", "reach").mapInArrow(call, f"id {kinds['id']}, vec {kinds['vec']}, cell int")
 
 
+def _called(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, radius: np.ndarray, sizes: np.ndarray, probes: int) -> Iterator[pa.RecordBatch]:
+    """The calls of batches (id, vec, reach), `CALLS` at a time: a vector goes to each cell it calls, which may be most of them."""
+    held = np.flatnonzero(sizes > 0)
+    for b in _slices(batches, len(held)) if len(held) else ():
+        angles = _angles(_matrix(b.column(1)), pivots[held])
+        order = np.argsort(angles, axis=1, kind="stable")[:, :probes]
+        wanted = np.zeros(angles.shape, bool)
+        np.put_along_axis(wanted, order, True, axis=1)
+        reach = b.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
+        later = ~np.isnan(reach)
+        wanted[later] = ~wanted[later] & (angles[later] - radius[held] - SLACK <= np.arccos(np.clip(reach[later], -1, 1))[:, None])
+        row, cell = np.nonzero(wanted)
+        for i in range(0, len(row), CALLS):
+            at = pa.array(row[i:i + CALLS])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(held[cell[i:i + CALLS]].astype(np.int32))],
+                                             ["id", "vec", "cell"])
+
+
 def _met(calls: DataFrame, cells: Cells, k: int, block: int) -> DataFrame:
     """Calls and rows of a cell in blocks on both sides; a task keeps the k best per query."""
     spark = calls.sparkSession

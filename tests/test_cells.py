@@ -1,6 +1,7 @@
 """Exact search over cells against comparing all with all."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gleaner.operators import cells as C
@@ -52,3 +53,24 @@ def test_few_rows_null_vectors_and_empty_sides(spark, tmp_path):
     assert C.nearest_exact(rows.limit(0), index, 9).collect() == []
     none = C.write_cells(rows.limit(0), str(tmp_path / "n"))
     assert C.nearest_exact(rows, none, 9).collect() == []
+
+
+def test_calls_are_sent_on_in_small_batches():
+    """Vectors that call every cell: 300 x 400 copies never stand in one batch."""
+    rng = np.random.default_rng(4)
+    pivots = rng.normal(size=(400, 8))
+    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(rng.normal(size=(300, 8)).tolist()), pa.array([-1.0] * 300)], ["id", "vec", "reach"])
+    out = list(C._called(iter([batch]), pivots, np.full(400, 4.0), np.ones(400), 4))
+    assert max(b.num_rows for b in out) <= C.CALLS and sum(b.num_rows for b in out) == 300 * 396
+    assert len({x for b in out for x in zip(b.column(0).to_pylist(), b.column(2).to_pylist())}) == 300 * 396
+    assert [b.num_rows for b in C._slices(iter([batch]), C.ANGLES // 128)] == [128, 128, 44]
+
+
+def test_best_rows_are_given_out_in_small_batches():
+    top = E._TopK(np.eye(5), 2)
+    top.offer(np.array([7, 8], object), np.array([[1.0, 0, 0, 0, 0], [1.0, 0, 0, 0, 0]]))
+    top.offer(np.array([6], object), np.array([[1.0, 0, 0, 0, 1.0]]))
+    out = list(top.batches(np.array([10, 11, 12, 13, 14], object), pa.int64(), pa.int64(), most=2))
+    rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert [b.num_rows for b in out] == [4, 4, 2] and rows[:2] == [(10, 6, 1.0), (10, 7, 1.0)] and rows[-2:] == [(14, 6, 1.0), (14, 7, 0.0)]

@@ -18,10 +18,20 @@ from gleaner.sources import folders, feeds, scans, sinks
 PERMISSIVE = {"mode": "PERMISSIVE"}
 
 
-def landed(lines, purpose: str, one_each: bool = False) -> str:
-    """Folder of text files that hold these rows; one row a file where the format is one document a file."""
+def landed(lines, purpose: str, one_each: bool = False, order: str | None = None) -> str:
+    """Folder of text files that hold these rows; one row a file where the format is one document a file, named in the order of
+    the column `order`, which is not written.
+
+    Many files are written by all cores, whatever the table's own partitions, and put in place by the tasks that wrote them rather
+    than one by one by the driver: nobody reads the folder before all are there.
+    """
     path = work_folder(lines.sparkSession, purpose)
-    (lines.write.option("maxRecordsPerFile", 1) if one_each else lines.write).text(path)
+    if not one_each:
+        lines.write.text(path)
+        return path
+    cores = lines.sparkSession.sparkContext.defaultParallelism
+    dealt = lines.repartition(cores) if order is None else lines.repartitionByRange(cores, order).sortWithinPartitions(order).drop(order)
+    dealt.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
     return path
 
 
@@ -283,9 +293,9 @@ WHERE event_type IN ('view', 'purchase', 'error') GROUP BY user_id""")
 def sc10_files(spark, sf):
     """The same posts as landed page files of 500 in the order of their names, read back; `n` counts a post's places in the pages."""
     posts = feed_pages(spark, sf).select(F.expr("event_id div 500").alias("page"), "event_id", F.explode("items").alias("item"))
-    pages = posts.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("event_id", "item"))).alias("p")).orderBy("page").select(
-        F.to_json(F.struct(F.transform("p", lambda x: x["item"]).alias("items"))))
-    path = landed(pages, "pages", one_each=True)
+    pages = posts.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("event_id", "item"))).alias("p")).select(
+        "page", F.to_json(F.struct(F.transform("p", lambda x: x["item"]).alias("items"))).alias("d"))
+    path = landed(pages, "pages", one_each=True, order="page")
     seen = feeds.feed_page_items(spark, path).filter(video_item(F.col("media"))).groupBy(F.col("media.code").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     return feeds.scan_feed_pages(spark, path).select("id", "handle").join(seen, "id")
 

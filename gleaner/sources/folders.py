@@ -19,6 +19,7 @@ from gleaner.session import work_folder
 from gleaner.streaming.sync import read_or_empty
 
 PART = "part"
+WRITERS = 64     # tasks the folders of a write are dealt to at least, if the session has as many
 
 
 def part_of(key: Column | str, parts: int) -> Column:
@@ -43,7 +44,9 @@ def write_folders(rows: DataFrame, path: str, key: str, parts: int, touched: lis
     staged = work_folder(spark, "folders")
     rows.withColumn(PART, part_of(key, parts)).unionByName(marks).write.parquet(staged)
     back = spark.read.schema(StructType([*rows.schema.fields, StructField(PART, IntegerType())])).parquet(staged)
-    back.repartition(PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
+    # few folders are several tasks each: their rows may be many
+    own = F.pmod(F.hash(key), F.lit(-(-WRITERS // len(touched))))
+    back.repartition(PART, own).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
 
 
 def touched_parts(keys: DataFrame, key: str, parts: int) -> list[int]:

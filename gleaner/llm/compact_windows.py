@@ -5,16 +5,18 @@ token form a compact window, the span of that token's node in the Cartesian tree
 all length-t windows are taken first (runs of equal minima); the tree over these runs, far fewer than tokens, gives each
 run's window: it ends before the next smaller minimum on either side.
 
-A band joins the windows of two hash functions inside a document wherever both hold for some length-t subsequence; its
-key is the pair of minima. Two documents that share a passage of t tokens share the keys of every band there; passages
-at a Jaccard similarity J agree in both minima of a band with probability of about J².
-
-Keys are looked up in one exchange. Before it, each task pairs the documents it holds with the first one of the same key
-and sends only that one on, so a passage that a third of the corpus shares costs a row per batch, not per document; after
-it, sorted runs are read as a stream and paired with their first document. Pairs are then verified on the texts.
-
-The first document of a key may hold its minima by a passage of its own. So every row of a key that no verified passage
-links to an earlier document of that key is then compared with all earlier rows of the key, in tiles of bounded size.
+A row is a run; its key is its minimum under one of `bands` functions. Two documents that repeat t tokens share the keys of
+every function there, passages whose windows of t tokens have a similarity S agree in one function with probability S. Keys
+come from shingles two words wider than those of the similarity that is asked for: fewer texts share them by chance.
+
+Documents that share a passage are linked, and links make classes; the passage of a third of a corpus needs a link a
+document, not all pairs. Nothing that could join two classes is left out:
+
+1. Rows of one key whose stretches of windows are equal are linked by that alone and stand for each other: one goes on.
+   Each task does so with the documents it holds before the one exchange by key, and after it sorted runs are read as a stream.
+2. Where the rest of a key is of several classes, all are compared with one of them, on the texts.
+3. Where it still is, all are compared with all of other classes, in tiles of bounded size. In large groups, rows of which no
+   stretch is long enough in tokens that any other row of the group holds are left out first: they repeat nobody.
 """
 
 from __future__ import annotations
@@ -26,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.graph import components
 from gleaner.llm.minhash import _MIX, _blend, _common, shingle_hashes
 from gleaner.llm.shared import small, written
 
-ROW = "key long, doc long, a int, b int, cdoc long, ca int, cb int"
-PAIR = "doc long, a int, b int, cdoc long, ca int, cb int"
-NAMES = ["key", "doc", "a", "b", "cdoc", "ca", "cb"]
+ROW = "key long, stretch long, doc long, a int, b int, other long"
+NAMES = ["key", "stretch", "doc", "a", "b", "other"]
+WIDER = 2
 
 
 def cartesian_bounds(values: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -61,73 +64,72 @@ def sliding_minimum(x: np.ndarray, t: int) -> np.ndarray:
     return np.minimum(behind[:m], ahead[t - 1:t - 1 + m])
 
 
+def minimum_runs(x: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first length-t window, minimum, end) of each run of equal minima: its windows cover x[start:end], the part of the compact
+    window that subsequences of t tokens can lie in."""
+    m = sliding_minimum(x, t)
+    start = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+    return start, m[start], np.append(start[1:], len(m)) + t - 1
+
+
 def compact_windows(x: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first length-t window of each run of equal minima, minimum, a, b): its compact window is x[a..b].
 
     A value of 0 separates texts: no window crosses it, and runs with minimum 0 mean nothing.
     """
-    m = sliding_minimum(x, t)
-    start = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
-    low = m[start]
+    start, low, _ = minimum_runs(x, t)
     before, after = cartesian_bounds(low.tolist())
-    bound = np.append(start, len(m))
+    bound = np.append(start, len(x) - t + 1)
     return start, low, bound[before + 1], bound[after] + t - 2
 
 
-def joint_windows(tokens: list[np.ndarray], t: int, bands: int) -> tuple[np.ndarray, ...]:
-    """(key, index of text, a, b) with a and b token positions in the text; each key once a text."""
+def window_keys(tokens: list[np.ndarray], t: int, bands: int) -> tuple[np.ndarray, ...]:
+    """(key, stretch, index of text, a, b) of each run of equal minima: its windows of t cover the tokens a to b of the text, end
+    exclusive, `stretch` is a hash of these."""
     sizes = np.array([len(x) for x in tokens])
     begins = np.cumsum(np.concatenate([[1], sizes[:-1] + 1]))
     x = np.zeros(int(sizes.sum()) + len(tokens) + 1, np.uint64)
     for at, part in zip(begins, tokens):
         x[at:at + len(part)] = part
     gap = np.concatenate([[0], begins + sizes])
+    power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(x), _MIX)]))
+    back = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(x), np.uint64(pow(int(_MIX), -1, 1 << 64)))]))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * power[:-1])])
     out = []
     for band in range(bands):
-        pair = []
-        for j in range(2):
-            h = _blend(x * _MIX + np.uint64(2 * band + j + 1)) | np.uint64(1)
-            h[gap] = 0
-            pair.append(compact_windows(h, t))
-        at = np.union1d(pair[0][0], pair[1][0])
-        (_, low0, a0, b0), (_, low1, a1, b1) = ([c[np.searchsorted(p[0], at, side="right") - 1] for c in p] for p in pair)
-        use = (low0 > 0) & (low1 > 0)
-        key = _blend(low0 * _MIX + low1 + np.uint64(band))[use].view(np.int64)
-        a, b, at = np.maximum(a0, a1)[use], np.minimum(b0, b1)[use], at[use]
-        text = np.searchsorted(begins, at, side="right") - 1
-        out.append((key, text, a - begins[text], b - begins[text]))
+        h = _blend(x * _MIX + np.uint64(band + 1)) | np.uint64(1)
+        h[gap] = 0
+        start, low, end = minimum_runs(h, t)
+        use = low > 0
+        start, low, end = start[use], low[use], end[use]
+        stretch = _blend((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
+        text = np.searchsorted(begins, start, side="right") - 1
+        out.append((_blend(low * _MIX + np.uint64(band)).view(np.int64), stretch.view(np.int64), text, start - begins[text], end - begins[text]))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def _hulls(doc, a, b, cdoc, ca, cb) -> list[np.ndarray]:
-    """One row a (doc, cdoc): the smallest regions that hold all of its windows."""
-    order = np.lexsort((cdoc, doc))
-    doc, a, b, cdoc, ca, cb = (c[order] for c in (doc, a, b, cdoc, ca, cb))
-    if not len(doc):
-        return [doc, a, b, cdoc, ca, cb]
-    at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (cdoc[1:] != cdoc[:-1])]))
-    return [doc[at], np.minimum.reduceat(a, at), np.maximum.reduceat(b, at), cdoc[at], np.minimum.reduceat(ca, at), np.maximum.reduceat(cb, at)]
+def _equal_stretches(key, stretch, doc) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows sorted by key and stretch: indexes of the first row of each pair of them, and links (doc, doc of the first) of the others."""
+    first = np.concatenate([[True], (key[1:] != key[:-1]) | (stretch[1:] != stretch[:-1])])
+    at = np.flatnonzero(first)
+    centre = doc[at[np.cumsum(first) - 1]]
+    use = doc != centre
+    links = np.unique(np.stack([doc[use], centre[use]], 1), axis=0)
+    return at, links[:, 0], links[:, 1]
 
 
-def _star(key, doc, a, b) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Rows sorted by key: indexes of the first row of each key; the others paired with their first and with the one before."""
-    first = np.concatenate([[True], key[1:] != key[:-1]])
-    row = np.arange(len(key))
-    centre = np.flatnonzero(first)[np.cumsum(first) - 1]
-    mine = np.concatenate([row[~first], row[~first]])
-    other = np.concatenate([centre[~first], row[~first] - 1])
-    use = doc[mine] != doc[other]
-    mine, other = mine[use], other[use]
-    return np.flatnonzero(first), _hulls(doc[mine], a[mine], b[mine], doc[other], a[other], b[other])
+def _batch(columns: list, names: list[str]) -> pa.RecordBatch:
+    kinds = {"a": pa.int32(), "b": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int64())) for c, n in zip(columns, names)], names)
 
 
-def _batch(columns: list, names: list[str]) -> pa.RecordBatch:
-    kinds = {"key": pa.int64(), "doc": pa.int64(), "cdoc": pa.int64()}
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int32())) for c, n in zip(columns, names)], names)
+def _link_rows(doc: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+    none = [None] * len(doc)
+    return _batch([_blend(doc.astype(np.uint64) * _MIX).view(np.int64), none, doc, none, none, other], NAMES)
 
 
 def window_rows(texts: DataFrame, width: int, t: int, bands: int, tokens_at_once: int = 500_000) -> DataFrame:
-    """Window rows (cdoc null) of each text, and pairs already found among the texts a task holds at once."""
+    """Window rows (other null) of each text, and links already found among the texts a task holds at once."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, held, size = [], [], 0
         for batch in small(batches):
@@ -144,44 +146,45 @@ def window_rows(texts: DataFrame, width: int, t: int, bands: int, tokens_at_once
             yield from emit(ids, held)
 
     def emit(ids: list, held: list) -> Iterator[pa.RecordBatch]:
-        key, text, a, b = joint_windows(held, t, bands)
+        key, stretch, text, a, b = window_keys(held, t, bands)
         doc = np.array(ids, np.int64)[text]
-        order = np.lexsort((a, doc, key))
-        key, doc, a, b = key[order], doc[order], a[order], b[order]
-        at, pairs = _star(key, doc, a, b)
-        none = [None] * len(at)
-        yield _batch([key[at], doc[at], a[at], b[at], none, none, none], NAMES)
-        if len(pairs[0]):
-            yield _batch([_blend(pairs[0].astype(np.uint64) * _MIX).view(np.int64), *pairs], NAMES)
+        order = np.lexsort((a, doc, stretch, key))
+        key, stretch, doc, a, b = key[order], stretch[order], doc[order], a[order], b[order]
+        at, *links = _equal_stretches(key, stretch, doc)
+        yield _batch([key[at], stretch[at], doc[at], a[at], b[at], [None] * len(at)], NAMES)
+        if len(links[0]):
+            yield _link_rows(*links)
 
     return texts.mapInArrow(make, ROW)
 
 
-def pair_windows(rows: DataFrame) -> DataFrame:
-    """(doc, a, b, cdoc, ca, cb) with regions of shared keys, one row a pair of documents."""
+def shared_rows(rows: DataFrame) -> DataFrame:
+    """Links (other not null), and of each key with several different stretches one row a stretch."""
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last, went = None, False
         for batch in batches:
-            ready = batch.filter(batch.column(4).is_valid())
+            ready = batch.filter(batch.column(5).is_valid())
             if ready.num_rows:
-                yield pa.RecordBatch.from_arrays([ready.column(i) for i in range(1, 7)], NAMES[1:])
-            single = batch.filter(batch.column(4).is_null())
+                yield ready
+            single = batch.filter(batch.column(5).is_null())
             if not single.num_rows:
                 continue
-            cols = [single.column(i).to_numpy() for i in range(4)]
-            if last is not None and last[0][0] == cols[0][0]:
+            cols = [single.column(i).to_numpy() for i in range(5)]
+            if last is not None:
                 cols = [np.concatenate([x, y]) for x, y in zip(last, cols)]
-            at, pairs = _star(*cols)
-            last = [c[at[-1]:at[-1] + 1] for c in cols]
-            if len(pairs[0]):
-                yield _batch(pairs, NAMES[1:])
-
-    return _one_a_pair(rows.repartition("key").sortWithinPartitions("key", "doc", "a").mapInArrow(stream, PAIR))
+            at, *links = _equal_stretches(*cols[:3])
+            cols = [c[at] for c in cols]
+            same = cols[0][1:] == cols[0][:-1]
+            near = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            last, went, gone = [c[-1:] for c in cols], went if len(at) == 1 and last is not None else bool(near[-1]), went
+            if gone:
+                near[0] = False
+            if near.any():
+                yield _batch([*(c[near] for c in cols), [None] * int(near.sum())], NAMES)
+            if len(links[0]):
+                yield _link_rows(*links)
 
-
-def _one_a_pair(pairs: DataFrame) -> DataFrame:
-    """The smallest regions that hold all windows of each pair of documents."""
-    return pairs.groupBy("doc", "cdoc").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("ca").alias("ca"), F.max("cb").alias("cb"))
+    return rows.repartition("key").sortWithinPartitions("key", "stretch", "doc", "a").mapInArrow(stream, ROW)
 
 
 def _segments(hit: np.ndarray, t: int, share: int) -> list[tuple[int, int]]:
@@ -257,8 +260,8 @@ def _sizes(part: np.ndarray, other: np.ndarray) -> tuple[int, int]:
     return both, len(part) + len(other) - both
 
 
-def _distinct(x: np.ndarray, t: int) -> np.ndarray:
-    """Number of distinct tokens in every window of t."""
+def _distinct(x: np.ndarray, t: int, hit: np.ndarray | None = None) -> np.ndarray:
+    """Number of distinct tokens, or of those that hit, in every window of t."""
     order = np.argsort(x, kind="stable")
     before = np.full(len(x), -1)
     same = x[order[1:]] == x[order[:-1]]
@@ -266,44 +269,56 @@ def _distinct(x: np.ndarray, t: int) -> np.ndarray:
     # a token is new in the windows that begin behind the last one equal to it
     at = np.arange(len(x))
     low, high = np.maximum(before + 1, at - t + 1), np.minimum(at, len(x) - t)
-    use = low <= high
+    use = low <= high if hit is None else (low <= high) & hit
     edge = np.bincount(low[use], minlength=len(x) + 1) - np.bincount(high[use] + 1, minlength=len(x) + 1)
     return np.cumsum(edge)[:len(x) - t + 1]
 
 
+def _holding(x: np.ndarray, common: np.ndarray, t: int) -> np.ndarray:
+    """1 where a window of t of x holds a token of `common` (sorted), a row a window."""
+    at = np.flatnonzero(np.isin(x, common))
+    column = np.searchsorted(common, x[at])
+    edge = np.zeros((len(x) + 1, len(common)), np.int32)
+    np.add.at(edge, (np.maximum(at - t + 1, 0), column), 1)
+    np.add.at(edge, (at + 1, column), -1)
+    return (edge.cumsum(0)[:len(x) - t + 1] > 0).astype(np.float32)
+
+
 def _equal_windows(x: np.ndarray, y: np.ndarray, hit: np.ndarray, t: int, percent: int, side: int = 1_024) -> tuple[int, int, float] | None:
     """(start in x, start in y, similarity) of length-t windows whose similarity is at least percent, if there are any.
 
-    Equal positions are counted for all pairs of windows, in squares; a token that stands several times in a window only
-    raises the count, and pairs with enough are checked as sets.
+    Common tokens are counted for all pairs of windows, in squares: equal positions, or where windows hold a token several times
+    the distinct ones.
     """
     if min(len(x), len(y)) < t:
         return None
-    def enough(hits: np.ndarray, kinds: np.ndarray) -> list[tuple[int, int]]:
-        total = np.concatenate([[0], np.cumsum(hits)])
-        runs = _runs(100 * (total[t:] - total[:-t]) >= percent * kinds, 1)
+
+    def enough(z: np.ndarray, hits: np.ndarray, kinds: np.ndarray) -> list[tuple[int, int]]:
+        runs = _runs(100 * _distinct(z, t, hits) >= percent * kinds, 1)
         return [(i, min(i + side, e)) for s, e in runs for i in range(s, e, side)]
 
-    mine = enough(hit, kinds_x := _distinct(x, t)) if hit.any() else []
-    theirs = enough(np.isin(y, x), kinds_y := _distinct(y, t)) if mine else []
-    sets_x: dict[int, set] = {}
-    sets_y: dict[int, set] = {}
+    mine = enough(x, hit, kinds_x := _distinct(x, t)) if hit.any() else []
+    theirs = enough(y, np.isin(y, x), kinds_y := _distinct(y, t)) if mine else []
     for i, i_end in mine:
         for j, j_end in theirs:
-            equal = x[i:i_end + t - 1, None] == y[None, j:j_end + t - 1]
-            if equal.any(1).sum() < t * percent // 100 and kinds_x[i:i_end].min() == t:
-                continue
-            total = np.zeros((equal.shape[0] + 1, equal.shape[1] + 1), np.int32)
-            total[1:, 1:] = equal.cumsum(0, dtype=np.int32).cumsum(1, dtype=np.int32)
-            count = total[t:, t:] - total[:-t, t:] - total[t:, :-t] + total[:-t, :-t]
+            one, two = x[i:i_end + t - 1], y[j:j_end + t - 1]
+            if min(kinds_x[i:i_end].min(), kinds_y[j:j_end].min()) < t:
+                common = np.intersect1d(one, two)
+                count = (_holding(one, common, t) @ _holding(two, common, t).T).astype(np.int64)
+            else:
+                equal = one[:, None] == two[None]
+                if equal.any(1).sum() < t * percent // 100:
+                    continue
+                total = np.zeros((equal.shape[0] + 1, equal.shape[1] + 1), np.int32)
+                total[1:, 1:] = equal.cumsum(0, dtype=np.int32).cumsum(1, dtype=np.int32)
+                count = total[t:, t:] - total[:-t, t:] - total[t:, :-t] + total[:-t, :-t]
             # c common ones of m + n make a similarity of c / (m + n - c)
-            for s, u in np.argwhere((100 + percent) * count >= percent * (kinds_x[i:i_end, None] + kinds_y[None, j:j_end])):
-                one, two = (held.get(at) or held.setdefault(at, set(z[at:at + t].tolist())) for z, held, at in (
-                    (x, sets_x, i + int(s)), (y, sets_y, j + int(u))))
-                both = len(one & two)
-                union = len(one) + len(two) - both
-                if 100 * both >= percent * union:
-                    return i + int(s), j + int(u), both / union
+            kinds = kinds_x[i:i_end, None] + kinds_y[None, j:j_end]
+            best = np.argwhere((100 + percent) * count >= percent * kinds)
+            if len(best):
+                s, u = (int(v) for v in best[0])
+                both = int(count[s, u])
+                return i + s, j + u, both / (int(kinds[s, u]) - both)
     return None
 
 
@@ -313,130 +328,237 @@ def _runs(hit: np.ndarray, t: int) -> list[tuple[int, int]]:
     return [(int(s), int(e)) for s, e in zip(edge[::2], edge[1::2]) if e - s >= t]
 
 
-def _verified(pairs: DataFrame, held: DataFrame, width: int, t: int, percent: int) -> DataFrame:
-    """(id, other, s, e, u, v, sim): passages that the regions of the pairs share; of tokens, ends exclusive."""
-    both = (pairs.join(held.select(F.col("id").alias("doc"), F.col("text").alias("left")), "doc")
-            .join(held.select(F.col("id").alias("cdoc"), F.col("text").alias("right")), "cdoc"))
+def _passages(links: DataFrame, held: DataFrame, width: int, t: int, percent: int) -> DataFrame:
+    """(id, other, s, e, u, v, sim): passages that linked documents share; of tokens, ends exclusive."""
+    both = (links.join(held.select(F.col("id").alias("doc"), F.col("text").alias("left")), "doc")
+            .join(held.select(F.col("id").alias("other"), F.col("text").alias("right")), "other"))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             out: list[list] = [[] for _ in range(7)]
-            doc, cdoc, a, b, ca, cb = (batch.column(i).to_pylist() for i in range(6))
-            last, whole = None, None
+            doc, other = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            last, y = None, None
             for i in range(batch.num_rows):
-                # rows arrive by cdoc: its hashes serve until the next one
-                if cdoc[i] != last:
-                    last, whole = cdoc[i], shingle_hashes(batch.column(7)[i].as_py(), width)
-                x = shingle_hashes(batch.column(6)[i].as_py(), width, a[i], b[i])
-                for s, e, u, v, sim in shared_passages(x, whole[ca[i]:cb[i] + 1], t, percent):
-                    row = (doc[i], cdoc[i], a[i] + s, a[i] + e, ca[i] + u, ca[i] + v, sim)
-                    for c, value in zip(out, row):
+                # rows often arrive by other: its hashes serve until the next one
+                if other[i] != last:
+                    last, y = other[i], shingle_hashes(batch.column(3)[i].as_py(), width)
+                for found in shared_passages(shingle_hashes(batch.column(2)[i].as_py(), width), y, t, percent):
+                    for c, value in zip(out, (doc[i], other[i], *found)):
                         c.append(value)
             kinds = [pa.int64()] * 6 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)],
                                              ["id", "other", "s", "e", "u", "v", "sim"])
 
-    return both.select("doc", "cdoc", "a", "b", "ca", "cb", "left", "right").mapInArrow(
-        verify, "id long, other long, s long, e long, u long, v long, sim double")
+    return both.select("doc", "other", "left", "right").mapInArrow(find, "id long, other long, s long, e long, u long, v long, sim double")
 
 
-def key_rows(texts: DataFrame, width: int, t: int, bands: int) -> DataFrame:
-    """(key, doc, a, b): all window rows of each text, none left out for a pair."""
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, 200):
-            hashed = [(i, shingle_hashes(x, width)) for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            hashed = [(i, x) for i, x in hashed if len(x) >= t]
-            if hashed:
-                key, text, a, b = joint_windows([x for _, x in hashed], t, bands)
-                yield _batch([key, np.array([i for i, _ in hashed], np.int64)[text], a, b], NAMES[:4])
+def shares_passage(x: np.ndarray, y: np.ndarray, t: int, percent: int) -> bool:
+    """Whether two windows of t tokens of x and y have the similarity."""
+    return min(len(x), len(y)) >= t and all(_enough(z, np.isin(z, other), t, percent) for z, other in ((x, y), (y, x))) and bool(
+        shared_passages(x, y, t, percent))
 
-    return texts.mapInArrow(make, "key long, doc long, a int, b int")
 
+def _enough(x: np.ndarray, hit: np.ndarray, t: int, percent: int) -> bool:
+    """Whether in some window of t `percent` of the distinct tokens hit, without which no other window has the similarity."""
+    return bool((100 * _distinct(x, t, hit) >= percent * _distinct(x, t)).any())
 
-def _late_links(held: DataFrame, found: DataFrame, width: int, t: int, bands: int, percent: int, tile: int) -> DataFrame:
-    """(doc, a, b, cdoc, ca, cb): for rows that no passage of `found` links to an earlier document of their key, the first
-    earlier document of that key whose window repeats a passage of theirs.
 
-    A passage links two rows if it has at least t tokens in both windows. In keys of two documents these were compared before.
-    """
-    rows = written(key_rows(held, width, t, bands), "passage-rows")
-    keys = rows.select("key", "doc").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("least")).filter("docs > 2")
-    rows = written(rows.join(keys.drop("docs"), "key"), "passage-rows")
-    inside = f"least(b + 1, e) - greatest(a, s) >= {t}"
-    reach = rows.filter("doc > least").join(found.withColumnRenamed("id", "doc"), "doc").filter(inside).select("key", "doc", "a", "other", "u", "v")
-    ends = rows.select("key", F.col("doc").alias("other"), F.col("a").alias("ca"), F.col("b").alias("cb"))
-    linked = reach.join(ends, ["key", "other"]).filter(f"least(cb + 1, v) - greatest(ca, u) >= {t}").select("key", "doc", "a").distinct()
-    late = written(rows.filter("doc > least").join(linked, ["key", "doc", "a"], "left_anti").select("key", "doc", "a"), "passage-late")
-    sizes = rows.join(late.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
-    dealt = rows.join(sizes, "key").join(late.withColumn("late", F.lit(True)), ["key", "doc", "a"], "left").withColumn(
-        "own", F.pmod(F.xxhash64("doc", "a"), F.col("tiles")).cast("int"))
+def _mixed(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, doc, a, b, component): the rows of keys that hold documents of several components of the links."""
+    members = rows.select("key", "doc", "a", "b").join(components(links).withColumnRenamed("id", "doc"), "doc", "left").withColumn(
+        "component", F.coalesce("component", "doc"))
+    members = written(members.select("key", "doc", "a", "b", "component"), "passage-members")
+    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    return written(members.join(mixed, "key", "left_semi"), "passage-mixed")
+
+
+def _centre_pairs(mixed: DataFrame) -> DataFrame:
+    """(doc, a, b, cdoc, ca, cb): each row with the centre of its key, if that is of another component; one row a pair of documents,
+    with the smallest regions that hold all its windows. The centre is of the document whose keys hold the most rows in all."""
+    sizes = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    weight = mixed.select("key", "doc").join(sizes, "key").groupBy("doc").agg(F.sum("n").alias("weight"))
+    centres = mixed.join(weight, "doc").groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), "doc", "a", "b", "component")).alias("c"))
+    both = mixed.join(centres, "key").filter("component <> c.component")
+    later = F.col("doc") > F.col("c.doc")
+    mine, other = F.struct("doc", "a", "b"), F.struct("c.doc", "c.a", "c.b")
+    pairs = both.select(F.when(later, mine).otherwise(other).alias("x"), F.when(later, other).otherwise(mine).alias("y"))
+    return pairs.groupBy(F.col("x.doc").alias("doc"), F.col("y.doc").alias("cdoc")).agg(
+        F.min("x.a").alias("a"), F.max("x.b").alias("b"), F.min("y.a").alias("ca"), F.max("y.b").alias("cb"))
+
+
+def _wanted(texts: DataFrame, ids: DataFrame, broadcast_ids: int) -> DataFrame:
+    """(id, text) of the ids asked for, one row an id; texts are not shuffled for that where no id comes twice."""
+    ids = written(ids.distinct(), "passage-ids")
+    side = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
+    held = texts.join(side, "id", "left_semi")
+    twice = held.select("id").groupBy("id").count().filter("count > 1")
+    return held if twice.isEmpty() else held.dropDuplicates(["id"])
+
+
+def _centre_links(pairs: DataFrame, texts: DataFrame, width: int, t: int, percent: int, broadcast_ids: int) -> DataFrame:
+    """The links (doc, other) among the pairs: their regions share a passage."""
+    held = _wanted(texts, pairs.select(F.explode(F.array("doc", "cdoc")).alias("id")), broadcast_ids)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            parts = [x.encode("utf-8", "surrogatepass").lower().split()[i:j] for x, i, j in zip(*(b.column(c).to_pylist() for c in range(3)))]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3, 7)), pa.array([b" ".join(p) for p in parts], pa.binary())],
+                                             ["doc", "cdoc", "ca", "cb", "left"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            doc, cdoc, left, right, ca, cb = (b.column(i).to_pylist() for i in range(6))
+            out: list[list] = [[], []]
+            last, y = None, None
+            for i in range(b.num_rows):
+                # rows often arrive by cdoc: its hashes serve until the next one
+                if cdoc[i] != last:
+                    last, y = cdoc[i], shingle_hashes(right[i], width)
+                x = shingle_hashes(left[i].decode("utf-8", "surrogatepass"), width)
+                if shares_passage(x, y[ca[i]:max(cb[i] - width + 1, 0)], t, percent):
+                    out[0].append(doc[i])
+                    out[1].append(cdoc[i])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc", "other"])
+
+    left = pairs.join(held.withColumnRenamed("id", "doc"), "doc").select("text", "a", "b", "doc", "cdoc", "ca", "cb").mapInArrow(
+        cut, "doc long, cdoc long, ca int, cb int, left binary")
+    return left.join(held.withColumnRenamed("id", "cdoc"), "cdoc").select("doc", "cdoc", "left", "text", "ca", "cb").mapInArrow(
+        compare, "doc long, other long")
+
+
+def _tile_links(mixed: DataFrame, texts: DataFrame, width: int, t: int, percent: int, tile: int, broadcast_ids: int) -> DataFrame:
+    """Links (doc, other) between rows of one key and different components, from groups of at most 2 · tile rows; of the links of a
+    group only as many as join its components."""
     # a document's windows are as many as its length allows
-    lists = dealt.groupBy("doc").agg(F.collect_list(F.struct("key", "a", "b", "own", "tiles", F.coalesce("late", F.lit(False)).alias("late"))).alias("w"))
+    lists = mixed.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("key", "a", "b", "component")).alias("w"))
+    held = _wanted(texts, mixed.select(F.col("doc").alias("id")), broadcast_ids)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "a", "b", "own", "tiles", "late"]
-        kinds = [pa.int64(), *[pa.int32()] * 4, pa.bool_()]
         for batch in small(batches, 100):
             for doc, text, windows in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                x = shingle_hashes(text, width)
+                x = shingle_hashes(text, width).view(np.int64)
                 for i in range(0, len(windows), 1_000):
                     part = windows[i:i + 1_000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([doc] * len(part), pa.int64()), *[pa.array([w[n] for w in part], k) for n, k in zip(names, kinds)],
-                         pa.array([x[w["a"]:w["b"] + 1].tobytes() for w in part], pa.binary())], ["doc", *names, "tokens"])
-
-    windows = written(held.select(F.col("id").alias("doc"), "text").join(lists, "doc").select("doc", "text", "w").mapInArrow(
-        cut, "doc long, key long, a int, b int, own int, tiles int, late boolean, tokens binary"), "passage-windows")
+                        [pa.array([w["key"] for w in part], pa.int64()), pa.array([doc] * len(part), pa.int64()),
+                         pa.array([w["a"] for w in part], pa.int32()), pa.array([w["component"] for w in part], pa.int64()),
+                         pa.array([x[w["a"]:w["b"] - width + 1] for w in part], pa.list_(pa.int64()))], ["key", "doc", "a", "component", "tokens"])
+
+    rows = written(held.join(lists, "id").select("id", "text", "w").mapInArrow(
+        cut, "key long, doc long, a int, component long, tokens array<long>"), "passage-windows")
+    sizes = written(rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles")), "passage-sizes")
+    large = rows.join(sizes.filter("tiles > 1"), "key")
+    seen = large.select("key", "doc", "a", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("key", "token").agg(
+        F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("key", "token")
+    known = large.select("key", "doc", "a", F.posexplode("tokens").alias("at", "token")).join(seen, ["key", "token"]).groupBy(
+        "key", "doc", "a").agg(F.collect_list("at").alias("known"))
+
+    def repeating(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            use = []
+            for tokens, at in zip(batch.column(4).to_pylist(), batch.column(6).to_pylist()):
+                x, hit = np.array(tokens, np.int64), np.zeros(len(tokens), bool)
+                hit[at] = True
+                use.append(len(x) >= t and _enough(x, hit, t, percent))
+            yield batch.filter(pa.array(use, pa.bool_())).select(["key", "doc", "a", "component"])
+
+    some = large.join(known, ["key", "doc", "a"]).select(*rows.columns, "tiles", "known").mapInArrow(repeating, "key long, doc long, a int, component long")
+    some = written(some, "passage-repeating")
+    few = sizes.filter("tiles = 1").unionAll(some.groupBy("key").agg(
+        F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter(
+        "lo <> hi").select("key", "tiles"))
+    rest = rows.join(sizes.filter("tiles = 1").select("key"), "key", "left_semi").unionAll(
+        rows.join(some.select("key", "doc", "a"), ["key", "doc", "a"], "left_semi").select(*rows.columns))
+    dealt = rest.join(few, "key").withColumn("own", F.pmod(F.xxhash64("doc", "a"), F.col("tiles")).cast("int"))
     # tile pair (lo, hi): each row goes to the pairs its own tile is part of
-    copies = windows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc", "a", "b", "late", "tokens")
+    copies = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc", "component", "tokens")
 
     def compare(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc", "ascending"), ("a", "ascending")])
-        doc, a, b, own = (group.column(c).to_numpy() for c in ("doc", "a", "b", "own"))
-        late = np.array(group.column("late").to_pylist(), bool)
-        tokens = [np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()]
-        sets = [np.unique(x) for x in tokens]
+        doc, comp, own = (group.column(c).to_numpy() for c in ("doc", "component", "own"))
         mixed = group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
-        mine = np.flatnonzero(late)
-        out: list[list] = [[] for _ in range(7)]
-        if len(mine) and len(doc) > 1:
-            both = _common(sets, mine, np.arange(len(doc)))
-            for row, i in enumerate(mine):
-                # any passage has at least as many distinct tokens as the window of t with the fewest
-                for j in np.flatnonzero((100 * both[row] >= percent * _distinct(tokens[i], t).min()) & (doc < doc[i]) & ((own != own[i]) | (not mixed))):
-                    if shared_passages(tokens[i], tokens[j], t, percent):
-                        for c, value in zip(out, (group.column("key")[0].as_py(), doc[i], a[i], b[i], doc[j], a[j], b[j])):
-                            c.append(value)
-                        break
-        return pa.table(_batch(out, NAMES).columns, NAMES)
-
-    first = copies.groupBy("key", "lo", "hi").applyInArrow(compare, ROW).groupBy("key", "doc", "a").agg(
-        F.min(F.struct("cdoc", "ca", "b", "cb")).alias("m")).select("doc", "a", "m.b", "m.cdoc", "m.ca", "m.cb")
-    return _one_a_pair(first)
+        tokens = [np.array(x, np.int64).view(np.uint64) for x in group.column("tokens").to_pylist()]
+        out: list[list] = [[], []]
+        if comp.min() != comp.max() and min(own.tolist()) == group.column("lo")[0].as_py() and max(own.tolist()) == group.column("hi")[0].as_py():
+            both = _common([np.unique(x) for x in tokens], np.arange(len(doc)), np.arange(len(doc)))
+            # any passage has at least as many distinct tokens as the window of t with the fewest
+            least = np.array([_distinct(x, t).min() if len(x) >= t else 1 << 40 for x in tokens])
+            near = (100 * both >= percent * np.maximum(least[:, None], least[None])) & (comp[:, None] != comp[None])
+            if mixed:
+                near &= own[:, None] != own[None]
+            root = {c: c for c in comp.tolist()}
+
+            def find(c: int) -> int:
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            for i, j in np.argwhere(np.triu(near, 1)):
+                x, y = find(int(comp[i])), find(int(comp[j]))
+                if x != y and shares_passage(tokens[i], tokens[j], t, percent):
+                    root[max(x, y)] = min(x, y)
+                    out[0].append(max(int(doc[i]), int(doc[j])))
+                    out[1].append(min(int(doc[i]), int(doc[j])))
+        return pa.table([pa.array(c, pa.int64()) for c in out], ["doc", "other"])
+
+    # groups cost by their squares, not by their bytes: a set number of tasks
+    tasks = int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return copies.repartition(tasks, "key", "lo", "hi").groupBy("key", "lo", "hi").applyInArrow(compare, "doc long, other long")
+
+
+def passage_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, min_words: int = 50,
+                  percent: int = 80, bands: int = 7, broadcast_ids: int = 1_000_000, tile: int = 256) -> DataFrame:
+    """(doc, other): links between documents, doc > other, that share a passage of at least min_words words at a Jaccard similarity
+    of percent / 100 or more of their `width`-word shingles. Any two documents that share one are joined by links, directly or by others.
+
+    Rows of a key that stay of different classes after the comparison with its centre are compared with each other: n such rows
+    that are made of tokens they have in common cost n² comparisons of windows, spread over (n / tile)² tasks.
+    """
+    wide = min(width + WIDER, min_words)
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter(
+        "id is not null and text is not null")
+    shared = written(shared_rows(window_rows(texts, wide, min_words - wide + 1, bands)), "passage-rows")
+    links = shared.filter("other is not null").select(F.greatest("doc", "other").alias("doc"), F.least("doc", "other").alias("other")).distinct()
+    links = written(links, "passage-links")
+    # from here on the ends of regions are counted in words, exclusive
+    rows = shared.filter("other is null").withColumn("b", F.col("b") + wide - 1)
+    t = min_words - width + 1
+    pairs = written(_centre_pairs(_mixed(rows, _ends(links))), "passage-pairs")
+    links = links.unionAll(written(_centre_links(pairs, texts, width, t, percent, broadcast_ids), "passage-links"))
+    rest = _mixed(rows, _ends(links))
+    return links.unionAll(written(_tile_links(rest, texts, width, t, percent, tile, broadcast_ids), "passage-links")).distinct()
+
+
+def _ends(links: DataFrame) -> DataFrame:
+    return links.select(F.col("doc").alias("a"), F.col("other").alias("b"))
+
+
+def passage_classes(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
+    """(id, component_id, n_documents) of every row: the smallest id reachable through shared passages, its own if it shares none,
+    and the number of documents of that class. Parameters and null texts as in `duplicate_passages`; null ids stay alone."""
+    ids = docs.select(F.col(id_col).cast("bigint").alias("id"))
+    found = written(components(_ends(passage_links(docs, id_col=id_col, **how))), "passage-classes")
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    return ids.join(found.join(sizes, "component"), "id", "left").select(
+        F.col("id").alias(id_col), F.coalesce("component", "id").alias("component_id"), F.coalesce("n", F.lit(1)).cast("bigint").alias("n_documents"))
 
 
 def duplicate_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, min_words: int = 50,
-                       percent: int = 80, bands: int = 8, broadcast_ids: int = 1_000_000, tile: int = 256) -> DataFrame:
+                       percent: int = 80, bands: int = 7, broadcast_ids: int = 1_000_000, tile: int = 256) -> DataFrame:
     """(id, other_id, start_word, end_word, other_start, other_end, similarity): passages of at least min_words words that
     another document repeats at a Jaccard similarity of percent / 100 or more of their `width`-word shingles.
 
-    Of the documents that share a passage each is paired with one before it, not all with all; ends are exclusive. A key's rows
-    that are linked with none before them are compared with all before them: n such rows of a key cost n² comparisons of windows,
-    spread over (n / tile)² tasks.
+    Of the documents that share a passage each is paired with those that `passage_links` links it to, not all with all; ends are exclusive.
     Null, empty and shorter texts share nothing; null ids are left out; rows that share an id are one document that
     is not compared with itself; other columns are left out.
     """
-    t = min_words - width + 1
+    how = {"width": width, "min_words": min_words, "percent": percent, "bands": bands, "broadcast_ids": broadcast_ids, "tile": tile}
+    links = written(passage_links(docs, id_col=id_col, text_col=text_col, **how), "passage-links")
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter(
         "id is not null and text is not null")
-    pairs = written(pair_windows(window_rows(texts, width, t, bands)), "passage-pairs")
-    wanted = written(pairs.select(F.explode(F.array("doc", "cdoc")).alias("id")).distinct(), "passage-ids")
-    side = F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted
-    held = written(texts.join(side, "id", "left_semi").dropDuplicates(["id"]), "passage-texts")
-    found = written(_verified(pairs, held, width, t, percent), "passages")
-    late = written(_late_links(held, found, width, t, bands, percent, tile), "passage-pairs")
-    found = found.unionAll(_verified(late, held, width, t, percent)).distinct()
+    held = _wanted(texts, links.select(F.explode(F.array("doc", "other")).alias("id")), broadcast_ids)
+    found = _passages(links, held, width, min_words - width + 1, percent)
     words = width - 1
     return found.select(F.col("id").alias(id_col), F.col("other").alias("other_id"), F.col("s").alias("start_word"), (F.col("e") + words).alias(
         "end_word"), F.col("u").alias("other_start"), (F.col("v") + words).alias("other_end"), F.col("sim").alias("similarity"))

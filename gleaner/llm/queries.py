@@ -125,8 +125,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_compact_windows")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more that documents repeat."""
-    return compact_windows.duplicate_passages(table(spark, sf_dir, "documents"))
+    """Classes of documents that share passages of 50 words or more."""
+    return compact_windows.passage_classes(table(spark, sf_dir, "documents"))
 
 
 @query("op7_language_crf")

@@ -148,6 +148,37 @@ def test_passages_with_one_edit(spark):
     assert {(r.doc_id, r.other_id) for r in got} == {(2 * i + 1, 2 * i) for i in range(300)}
 
 
+def test_passage_classes_equal_brute_force(spark):
+    rng = random.Random(4)
+    first, common = prose(rng, 50).split(), prose(rng, 40)
+    texts = [" ".join(first)]
+    for i in range(20):
+        # two copies with a word changed each are far from each other, both are near the first
+        w = list(first)
+        w[10 + i] = f"changed{i}"
+        texts.append(f"{prose(rng, 5)} {' '.join(w)} {prose(rng, 5)}")
+    texts += [f"{prose(rng, 20)} {common} {prose(rng, 20)}" for _ in range(20)]
+    for i in range(5):
+        own = prose(rng, 12)
+        texts += [f"{prose(rng, 15)} {common} {own} {prose(rng, 15)}" for _ in range(2)]
+    texts += [prose(rng, 100) for _ in range(5)] + ["again and again " * 30, "x again and again " * 20, texts[3].upper(), texts[30], None, "few words"]
+    rng.shuffle(texts)
+    docs = list(enumerate(texts))
+    words = [(t or "").lower().split() for t in texts]
+    sets = [[{tuple(w[p + k:p + k + 5]) for k in range(46)} for p in range(len(w) - 49)] for w in words]
+    kinds = [set().union(*s) for s in sets]
+    component = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(kinds[i] & kinds[j]) >= 1 and any(100 * len(x & y) >= 80 * len(x | y) for x in sets[i] for y in sets[j]):
+                lo, hi = sorted((component[i], component[j]))
+                component = [lo if c == hi else c for c in component]
+    got = compact_windows.passage_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), bands=12, tile=8).collect()
+    assert [(r.doc_id, r.component_id) for r in sorted(got)] == list(enumerate(component))
+    assert all(r.n_documents == component.count(r.component_id) for r in got)
+    assert max(map(component.count, component)) >= 21
+
+
 @pytest.mark.parametrize("hot", [0, 400])
 def test_shards(spark, hot):
     rng = random.Random(9)

@@ -5,9 +5,11 @@ token form a compact window, the span of that token's node in the Cartesian tree
 all length-t windows are taken first (runs of equal minima); the tree over these runs, far fewer than tokens, gives each
 run's window: it ends before the next smaller minimum on either side.
 
-A row is a run; its key is its minimum under one of `bands` functions. Two documents that repeat t tokens share the keys of
-every function there, passages whose windows of t tokens have a similarity S agree in one function with probability S. Keys
-come from shingles two words wider than those of the similarity that is asked for: fewer texts share them by chance.
+A row is a run; its key is its minimum. Two windows of min_words words at the similarity share an unbroken repeat of `longest_run`
+words (25 of 50 at 0.8), unless they hold two words in a row twice. So the keys of one function are minima over wide shingles (13
+words) in all stretches of that length: whatever repeats one shares a key, and few texts share 13 words by chance. Where a window
+does hold two words in a row twice, its minima under `bands` functions are keys as well: passages whose windows of t tokens
+have a similarity S agree in one with probability S; these come from shingles two words wider than those of the similarity.
 
 Documents that share a passage are linked, and links make classes; the passage of a third of a corpus needs a link a
 document, not all pairs. Nothing that could join two classes is left out:
@@ -83,28 +85,86 @@ def compact_windows(x: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.n
     return start, low, bound[before + 1], bound[after] + t - 2
 
 
-def window_keys(tokens: list[np.ndarray], t: int, bands: int) -> tuple[np.ndarray, ...]:
-    """(key, stretch, index of text, a, b) of each run of equal minima: its windows of t cover the tokens a to b of the text, end
-    exclusive, `stretch` is a hash of these."""
-    sizes = np.array([len(x) for x in tokens])
-    begins = np.cumsum(np.concatenate([[1], sizes[:-1] + 1]))
-    x = np.zeros(int(sizes.sum()) + len(tokens) + 1, np.uint64)
-    for at, part in zip(begins, tokens):
-        x[at:at + len(part)] = part
-    gap = np.concatenate([[0], begins + sizes])
-    power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(x), _MIX)]))
-    back = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(x), np.uint64(pow(int(_MIX), -1, 1 << 64)))]))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * power[:-1])])
-    out = []
-    for band in range(bands):
-        h = _blend(x * _MIX + np.uint64(band + 1)) | np.uint64(1)
-        h[gap] = 0
-        start, low, end = minimum_runs(h, t)
-        use = low > 0
-        start, low, end = start[use], low[use], end[use]
-        stretch = _blend((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
-        text = np.searchsorted(begins, start, side="right") - 1
-        out.append((_blend(low * _MIX + np.uint64(band)).view(np.int64), stretch.view(np.int64), text, start - begins[text], end - begins[text]))
+class _Joined:
+    """Texts, as arrays of word hashes, behind each other."""
+
+    def __init__(self, texts: list[np.ndarray]):
+        sizes = np.array([len(x) for x in texts])
+        self.words = np.concatenate(texts)
+        self.begins = np.cumsum(sizes) - sizes
+        self.text = np.repeat(np.arange(len(texts)), sizes)
+        # of every word, where its text begins and ends
+        self.begin, self.end = np.repeat(self.begins, sizes), np.repeat(self.begins + sizes, sizes)
+        n = len(self.words)
+        power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, _MIX)]))
+        self.back = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, np.uint64(pow(int(_MIX), -1, 1 << 64)))]))
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.words * power[:-1])])
+
+    def stretch(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes of the words a to b, end exclusive."""
+        return _blend((self.total[b] - self.total[a]) * self.back[a] + (b - a).astype(np.uint64))
+
+    def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the shingles that begin at each word, and whether they stay in its text."""
+        a = np.arange(len(self.words) - width + 1)
+        return self.stretch(a, a + width), a + width <= self.end[:len(a)]
+
+
+def longest_run(width: int, min_words: int, percent: int) -> int:
+    """Words of the longest unbroken repeat that two windows of min_words words at the similarity have at least, if neither holds
+    two words in a row twice.
+
+    All t shingles of a window differ then; c of them are common, t - c at most are not. Common ones that follow each other in
+    one window do so in the other; between two unbroken repeats at least width - 2 shingles are not common.
+    """
+    t = min_words - width + 1
+    common = -(-2 * t * percent // (100 + percent))
+    runs = 1 + (t - common) // max(width - 2, 1)
+    return -(-common // runs) + width - 1
+
+
+def repeating_parts(held: _Joined, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of the stretches covered by windows of min_words words that hold two words in a row twice."""
+    pair, inside = held.shingles(2)
+    at = np.flatnonzero(inside)
+    at = at[np.argsort(pair[at], kind="stable")]
+    same = pair[at[1:]] == pair[at[:-1]]
+    before, after = at[:-1][same], at[1:][same]
+    low = np.maximum(after - min_words + 2, held.begin[after])
+    high = np.minimum(before, held.end[before] - min_words)
+    low, high = low[low <= high], high[low <= high]
+    edge = np.bincount(low, minlength=len(held.words) + 1) - np.bincount(high + 1, minlength=len(held.words) + 1)
+    runs = np.array(_runs(np.cumsum(edge) > 0, 1), np.int64).reshape(-1, 2)
+    return runs[:, 0], runs[:, 1] + min_words - 1
+
+
+def window_keys(texts: list[np.ndarray], width: int, min_words: int, percent: int, bands: int) -> tuple[np.ndarray, ...]:
+    """(key, stretch, index of text, a, b) of runs of equal minima: the windows of min_words words that meet by the key lie in the
+    words a to b of the text, end exclusive, `stretch` is a hash of these. Texts have min_words words at least."""
+    held = _Joined(texts)
+    run = longest_run(width, min_words, percent)
+    wide = (run + 1) // 2
+    h, inside = held.shingles(wide)
+    start, low, end = minimum_runs(np.where(inside, h | np.uint64(1), np.uint64(0)), run - wide + 1)
+    use = low > 0
+    start, low, end = start[use], low[use], end[use] + wide - 1
+    a, b = np.maximum(start - (min_words - run), held.begin[start]), np.minimum(end + min_words - run, held.end[start])
+    text = held.text[start]
+    out = [(_blend(low * _MIX).view(np.int64), held.stretch(a, b).view(np.int64), text, a - held.begins[text], b - held.begins[text])]
+    begins, ends = repeating_parts(held, min_words)
+    if len(begins):
+        parts = _Joined([held.words[s:e] for s, e in zip(begins, ends)])
+        wide = min(width + WIDER, min_words)
+        shingles, inside = parts.shingles(wide)
+        for band in range(bands):
+            h = np.where(inside, _blend(shingles * _MIX + np.uint64(band + 1)) | np.uint64(1), np.uint64(0))
+            start, low, end = minimum_runs(h, min_words - wide + 1)
+            use = low > 0
+            start, low, end = start[use], low[use], end[use] + wide - 1
+            part = parts.text[start]
+            text = held.text[begins[part]]
+            shift = begins[part] - parts.begins[part] - held.begins[text]
+            out.append((_blend(low * _MIX + np.uint64(band + 1)).view(np.int64), parts.stretch(start, end).view(np.int64), text, start + shift, end + shift))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
@@ -128,25 +188,25 @@ def _link_rows(doc: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
     return _batch([_blend(doc.astype(np.uint64) * _MIX).view(np.int64), none, doc, none, none, other], NAMES)
 
 
-def window_rows(texts: DataFrame, width: int, t: int, bands: int, tokens_at_once: int = 500_000) -> DataFrame:
+def window_rows(texts: DataFrame, width: int, min_words: int, percent: int, bands: int, words_at_once: int = 500_000) -> DataFrame:
     """Window rows (other null) of each text, and links already found among the texts a task holds at once."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, held, size = [], [], 0
         for batch in small(batches):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = shingle_hashes(text, width)
-                if len(x) >= t:
+                x = shingle_hashes(text, 1)
+                if len(x) >= min_words:
                     ids.append(i)
                     held.append(x)
                     size += len(x)
-                if size >= tokens_at_once:
+                if size >= words_at_once:
                     yield from emit(ids, held)
                     ids, held, size = [], [], 0
         if held:
             yield from emit(ids, held)
 
     def emit(ids: list, held: list) -> Iterator[pa.RecordBatch]:
-        key, stretch, text, a, b = window_keys(held, t, bands)
+        key, stretch, text, a, b = window_keys(held, width, min_words, percent, bands)
         doc = np.array(ids, np.int64)[text]
         order = np.lexsort((a, doc, stretch, key))
         key, stretch, doc, a, b = key[order], stretch[order], doc[order], a[order], b[order]
@@ -363,9 +423,31 @@ def _enough(x: np.ndarray, hit: np.ndarray, t: int, percent: int) -> bool:
     return bool((100 * _distinct(x, t, hit) >= percent * _distinct(x, t)).any())
 
 
-def _mixed(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, doc, a, b, component): the rows of keys that hold documents of several components of the links."""
-    members = rows.select("key", "doc", "a", "b").join(components(links).withColumnRenamed("id", "doc"), "doc", "left").withColumn(
+def _in_others(sets: list[np.ndarray], comp: np.ndarray) -> np.ndarray:
+    """Of each set the number of values that a set of another component holds."""
+    sizes = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), sizes)
+    known, at = np.unique(np.concatenate(sets), return_inverse=True)
+    low, high = np.full(len(known), np.iinfo(np.int64).max), np.full(len(known), np.iinfo(np.int64).min)
+    np.minimum.at(low, at, comp[row])
+    np.maximum.at(high, at, comp[row])
+    return np.bincount(row[(low < high)[at]], minlength=len(sets))
+
+
+def _joined_classes(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) of the documents of earlier classes and of the links (doc, other) found between them. Only what the links
+    join is looked at again."""
+    label = found.withColumnRenamed("component", "label")
+    ends = links.join(label.withColumnRenamed("id", "doc"), "doc", "left").select(F.coalesce("label", "doc").alias("a"), "other").join(
+        label.withColumnRenamed("id", "other"), "other", "left").select("a", F.coalesce("label", "other").alias("b"))
+    joined = components(ends)
+    older = label.join(joined.withColumnRenamed("id", "label"), "label", "left").select("id", F.coalesce("component", "label").alias("component"))
+    return written(older.unionAll(joined.join(found.select("id"), "id", "left_anti")), "passage-classes")
+
+
+def _mixed(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, doc, a, b, component): the rows of keys that hold documents of several classes."""
+    members = rows.select("key", "doc", "a", "b").join(found.withColumnRenamed("id", "doc"), "doc", "left").withColumn(
         "component", F.coalesce("component", "doc"))
     members = written(members.select("key", "doc", "a", "b", "component"), "passage-members")
     mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
@@ -447,29 +529,28 @@ def _tile_links(mixed: DataFrame, texts: DataFrame, width: int, t: int, percent:
     rows = written(held.join(lists, "id").select("id", "text", "w").mapInArrow(
         cut, "key long, doc long, a int, component long, tokens array<long>"), "passage-windows")
     sizes = written(rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles")), "passage-sizes")
-    large = rows.join(sizes.filter("tiles > 1"), "key")
-    seen = large.select("key", "doc", "a", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("key", "token").agg(
-        F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("key", "token")
-    known = large.select("key", "doc", "a", F.posexplode("tokens").alias("at", "token")).join(seen, ["key", "token"]).groupBy(
-        "key", "doc", "a").agg(F.collect_list("at").alias("known"))
-
-    def repeating(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            use = []
-            for tokens, at in zip(batch.column(4).to_pylist(), batch.column(6).to_pylist()):
-                x, hit = np.array(tokens, np.int64), np.zeros(len(tokens), bool)
-                hit[at] = True
-                use.append(len(x) >= t and _enough(x, hit, t, percent))
-            yield batch.filter(pa.array(use, pa.bool_())).select(["key", "doc", "a", "component"])
-
-    some = large.join(known, ["key", "doc", "a"]).select(*rows.columns, "tiles", "known").mapInArrow(repeating, "key long, doc long, a int, component long")
-    some = written(some, "passage-repeating")
-    few = sizes.filter("tiles = 1").unionAll(some.groupBy("key").agg(
-        F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter(
-        "lo <> hi").select("key", "tiles"))
-    rest = rows.join(sizes.filter("tiles = 1").select("key"), "key", "left_semi").unionAll(
-        rows.join(some.select("key", "doc", "a"), ["key", "doc", "a"], "left_semi").select(*rows.columns))
-    dealt = rest.join(few, "key").withColumn("own", F.pmod(F.xxhash64("doc", "a"), F.col("tiles")).cast("int"))
+    large = rows.join(sizes.filter("tiles > 1"), "key").withColumn("own", F.pmod(F.xxhash64("doc", "a"), F.col("tiles")).cast("int"))
+    # tokens that two documents of a key hold, for each tile that holds them
+    seen = large.select("key", "own", "doc", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("key", "own", "token").agg(
+        F.min("doc").alias("lo"), F.max("doc").alias("hi")).groupBy("key", "token").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list("own").alias("tiles")).filter("lo < hi").select(
+        F.col("key").alias("of_key"), F.explode("tiles").alias("of_tile"), "token")
+    kept = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("a", pa.int32()), ("component", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+
+    def repeating(part: pa.Table, known: pa.Table) -> pa.Table:
+        # a tile may have no rows, a group no tokens that two documents hold
+        if not part.num_rows or not known.num_rows:
+            return kept.empty_table()
+        tokens = [np.array(x, np.int64) for x in part.column("tokens").to_pylist()]
+        hit = np.split(np.isin(np.concatenate(tokens), known.column("token").to_numpy()), np.cumsum([len(x) for x in tokens])[:-1])
+        use = [len(x) >= t and _enough(x, h, t, percent) for x, h in zip(tokens, hit)]
+        return part.filter(pa.array(use, pa.bool_())).select(kept.names)
+
+    some = written(large.drop("tiles").groupBy("key", "own").cogroup(seen.groupBy("of_key", "of_tile")).applyInArrow(repeating, rows.schema), "passage-repeating")
+    few = some.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"), F.min("component").alias("lo"),
+                                  F.max("component").alias("hi")).filter("lo <> hi").select("key", "tiles")
+    dealt = rows.join(sizes.filter("tiles = 1"), "key").unionAll(some.join(few, "key")).withColumn(
+        "own", F.pmod(F.xxhash64("doc", "a"), F.col("tiles")).cast("int"))
     # tile pair (lo, hi): each row goes to the pairs its own tile is part of
     copies = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc", "component", "tokens")
@@ -480,10 +561,16 @@ def _tile_links(mixed: DataFrame, texts: DataFrame, width: int, t: int, percent:
         tokens = [np.array(x, np.int64).view(np.uint64) for x in group.column("tokens").to_pylist()]
         out: list[list] = [[], []]
         if comp.min() != comp.max() and min(own.tolist()) == group.column("lo")[0].as_py() and max(own.tolist()) == group.column("hi")[0].as_py():
-            both = _common([np.unique(x) for x in tokens], np.arange(len(doc)), np.arange(len(doc)))
             # any passage has at least as many distinct tokens as the window of t with the fewest
             least = np.array([_distinct(x, t).min() if len(x) >= t else 1 << 40 for x in tokens])
-            near = (100 * both >= percent * np.maximum(least[:, None], least[None])) & (comp[:, None] != comp[None])
+            sets = [np.unique(x) for x in tokens]
+            use = np.flatnonzero(100 * _in_others(sets, comp) >= percent * least)
+            if len(use) < 2:
+                return pa.table([pa.array(c, pa.int64()) for c in out], ["doc", "other"])
+            doc, comp, own, tokens, least = doc[use], comp[use], own[use], [tokens[i] for i in use], least[use]
+            both = _common([sets[i] for i in use], np.arange(len(use)), np.arange(len(use)))
+            # c common ones of m + n make a similarity of c / (m + n - c)
+            near = ((100 + percent) * both >= percent * (least[:, None] + least[None])) & (comp[:, None] != comp[None])
             if mixed:
                 near &= own[:, None] != own[None]
             root = {c: c for c in comp.tolist()}
@@ -507,38 +594,41 @@ def _tile_links(mixed: DataFrame, texts: DataFrame, width: int, t: int, percent:
     return copies.repartition(tasks, "key", "lo", "hi").groupBy("key", "lo", "hi").applyInArrow(compare, "doc long, other long")
 
 
-def passage_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, min_words: int = 50,
-                  percent: int = 80, bands: int = 7, broadcast_ids: int = 1_000_000, tile: int = 256) -> DataFrame:
-    """(doc, other): links between documents, doc > other, that share a passage of at least min_words words at a Jaccard similarity
-    of percent / 100 or more of their `width`-word shingles. Any two documents that share one are joined by links, directly or by others.
+def passage_links(docs: DataFrame, **how) -> DataFrame:
+    """(doc, other): the links of `links_and_classes`."""
+    return links_and_classes(docs, **how)[0]
+
+
+def links_and_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, min_words: int = 50,
+                  percent: int = 80, bands: int = 7, broadcast_ids: int = 1_000_000, tile: int = 256) -> tuple[DataFrame, DataFrame]:
+    """Links (doc, other) between documents, doc > other, that share a passage of at least min_words words at a Jaccard similarity
+    of percent / 100 or more of their `width`-word shingles, and the classes (id, component) they make. Any two documents that share
+    a passage are joined by links, directly or by others.
 
     Rows of a key that stay of different classes after the comparison with its centre are compared with each other: n such rows
     that are made of tokens they have in common cost n² comparisons of windows, spread over (n / tile)² tasks.
     """
-    wide = min(width + WIDER, min_words)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter(
         "id is not null and text is not null")
-    shared = written(shared_rows(window_rows(texts, wide, min_words - wide + 1, bands)), "passage-rows")
+    shared = written(shared_rows(window_rows(texts, width, min_words, percent, bands)), "passage-rows")
     links = shared.filter("other is not null").select(F.greatest("doc", "other").alias("doc"), F.least("doc", "other").alias("other")).distinct()
     links = written(links, "passage-links")
-    # from here on the ends of regions are counted in words, exclusive
-    rows = shared.filter("other is null").withColumn("b", F.col("b") + wide - 1)
+    rows = shared.filter("other is null")
     t = min_words - width + 1
-    pairs = written(_centre_pairs(_mixed(rows, _ends(links))), "passage-pairs")
-    links = links.unionAll(written(_centre_links(pairs, texts, width, t, percent, broadcast_ids), "passage-links"))
-    rest = _mixed(rows, _ends(links))
-    return links.unionAll(written(_tile_links(rest, texts, width, t, percent, tile, broadcast_ids), "passage-links")).distinct()
-
-
-def _ends(links: DataFrame) -> DataFrame:
-    return links.select(F.col("doc").alias("a"), F.col("other").alias("b"))
+    found = components(links, "doc", "other")
+    pairs = written(_centre_pairs(_mixed(rows, found)), "passage-pairs")
+    near = written(_centre_links(pairs, texts, width, t, percent, broadcast_ids), "passage-links")
+    found = _joined_classes(found, near)
+    rest = _mixed(rows, found)
+    last = written(_tile_links(rest, texts, width, t, percent, tile, broadcast_ids), "passage-links")
+    return links.unionAll(near).unionAll(last).distinct(), _joined_classes(found, last)
 
 
 def passage_classes(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
     """(id, component_id, n_documents) of every row: the smallest id reachable through shared passages, its own if it shares none,
     and the number of documents of that class. Parameters and null texts as in `duplicate_passages`; null ids stay alone."""
     ids = docs.select(F.col(id_col).cast("bigint").alias("id"))
-    found = written(components(_ends(passage_links(docs, id_col=id_col, **how))), "passage-classes")
+    _, found = links_and_classes(docs, id_col=id_col, **how)
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     return ids.join(found.join(sizes, "component"), "id", "left").select(
         F.col("id").alias(id_col), F.coalesce("component", "id").alias("component_id"), F.coalesce("n", F.lit(1)).cast("bigint").alias("n_documents"))

@@ -81,6 +81,25 @@ def test_compact_windows_equal_their_definition():
             assert x[s:s + 7].min() == v == x[lo:hi + 1].min() and x[lo - 1] < v and x[hi + 1] < v and lo <= s and s + 6 <= hi
 
 
+def test_window_keys_meet_and_are_few():
+    rng = np.random.default_rng(7)
+    line = rng.integers(1, 1 << 60, 12).astype(np.uint64)
+    texts = []
+    for i in range(400):
+        passage = rng.integers(1, 1 << 60, 50).astype(np.uint64)
+        for _ in range(2):
+            own = [rng.integers(1, 1 << 60, int(n)).astype(np.uint64) for n in rng.integers(1, 90, 3)]
+            texts.append(np.concatenate([own[0], line, own[1], passage, own[2]]))
+            passage[i % 50] += np.uint64(1)
+    key, _, text, a, b = compact_windows.window_keys(texts, 5, 50, 80, 7)
+    held = defaultdict(set)
+    for k, i in zip(key.tolist(), text.tolist()):
+        held[k].add(i)
+    # a passage meets its copy with any one word changed, a line of 12 words alone meets nobody
+    assert {frozenset(v) for v in held.values() if len(v) > 1} == {frozenset((2 * i, 2 * i + 1)) for i in range(400)}
+    assert len(key) < 0.2 * sum(map(len, texts)) and (b - a >= 50).all()
+
+
 def test_passages(spark):
     rng = random.Random(5)
     passage, common = prose(rng, 60), prose(rng, 55)

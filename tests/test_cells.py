@@ -74,3 +74,73 @@ def test_best_rows_are_given_out_in_small_batches():
     out = list(top.batches(np.array([10, 11, 12, 13, 14], object), pa.int64(), pa.int64(), most=2))
     rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
     assert [b.num_rows for b in out] == [4, 4, 2] and rows[:2] == [(10, 6, 1.0), (10, 7, 1.0)] and rows[-2:] == [(14, 6, 1.0), (14, 7, 0.0)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def loose(spark, n=3000, dim=24):
+    """Vectors without clusters: every cell may hold a better row."""
+    return vectors(spark, np.random.default_rng(8).normal(size=(n, dim))).repartition(4)
+
+
+def test_no_vector_is_copied_for_the_cells_it_calls(spark, tmp_path):
+    """Without clusters a vector calls nearly every cell; copies of it for each one are what filled the disk."""
+    rows = loose(spark)
+    index = C.write_cells(rows, str(tmp_path / "c"))
+    hits = C.nearest_exact(rows, index, 4)
+    assert "FlatMapCoGroups" not in plan(hits) and "Generate" not in plan(hits)
+    near = hits.filter("query_id % 100 = 0")
+    assert found(near) == found(E.nearest(rows.filter("id % 100 = 0"), rows, 4))
+
+
+def brute(q, rows, ids, k):
+    scores = np.round(q @ rows.T, E.RANK_DECIMALS) + 0.0
+    return [sorted(zip(-s, ids))[:k] for s in scores]
+
+
+def best(top, n):
+    out = {i: [] for i in range(n)}
+    for b in top.batches(np.arange(n), pa.int64(), pa.int64(), most=3):
+        for q, i, s in zip(*b.to_pydict().values()):
+            out[q].append((-s, i))
+    return [sorted(out[i]) for i in range(n)]
+
+
+@pytest.mark.parametrize("spread", [0.0, 1e-8, 1e-3, 1.0])
+def test_scores_that_single_precision_cannot_tell_apart(spread):
+    """Near and exact copies of one vector: the best are chosen by the scores in double precision, then by id."""
+    rng = np.random.default_rng(5)
+    rows = E._unit(rng.normal(size=16) + spread * rng.normal(size=(5000, 16)))
+    rows[::7] = 0.0
+    ids = rng.permutation(5000)
+    q = E._unit(np.concatenate([rows[:20], rng.normal(size=(20, 16)), -rows[1:6]]))
+    top = E._TopK(q, 6)
+    for i in range(0, 5000, 1234):
+        top.offer(ids[i:i + 1234], rows[i:i + 1234])
+    assert best(top, 45) == brute(q, rows, ids.tolist(), 6)
+
+
+def test_a_row_with_nan_hides_no_other():
+    rows = np.eye(3)
+    rows[1] = np.nan
+    top = E._TopK(np.eye(3), 2)
+    top.offer(np.arange(3), rows)
+    assert best(top, 3)[0] == [(-1.0, 0), (0.0, 2)] and best(top, 3)[2] == [(-1.0, 2), (0.0, 0)]
+
+
+def test_of_copies_the_lowest_ids_are_sent():
+    raw = np.repeat(np.array([[1, 2], [3, 4], [5, 6]], np.float32), [5, 2, 1], axis=0)
+    ids = np.array([9, 8, 7, 6, 5, 4, 3, 2])
+    assert ids[E._without_copies(ids, raw, 3)].tolist() == [7, 6, 5, 4, 3, 2]
+    assert E._without_copies(ids, raw, 5).tolist() == list(range(8)) and E._without_copies(ids[:0], raw[:0], 3).tolist() == []
+
+
+def test_a_worker_holds_one_block_at_a_time():
+    class Sent:
+        def __init__(self):
+            self._path, self._value, self.value = "there", 1, (2,)
+
+    block = Sent()
+    assert E._opened(block) == (2,) and not hasattr(block, "_value")

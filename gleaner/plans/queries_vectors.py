@@ -40,7 +40,7 @@ def vx3(spark, sf):
 SELECT a.id AS query_id, b.id AS row_id, row_number() OVER (PARTITION BY a.id ORDER BY {COS} DESC, b.id) AS rank
 FROM q a, u b QUALIFY rank <= 8""")
 def vx3_blocks(spark, sf):
-    """The same search with neither side allowed to be broadcast."""
+    """The same search with no side broadcast whole: the index comes in blocks."""
     return E.nearest(asked_vectors(spark, sf), stage.vectors(spark, sf), 8, most=0).select("query_id", "row_id", "rank")
 
 

@@ -144,3 +144,20 @@ def test_a_worker_holds_one_block_at_a_time():
 
     block = Sent()
     assert E._opened(block) == (2,) and not hasattr(block, "_value")
+
+
+def test_a_large_index_is_not_copied_for_each_block_of_queries(spark):
+    rows = loose(spark, 700, 6)
+    out = "query_id bigint, row_id bigint, score double"
+    met = E._nearest_in_blocks(rows, rows, 5, out, pa.int64(), pa.int64(), block=50 * 6 * 8)
+    assert "FlatMapCoGroups" not in plan(met) and "Generate" not in plan(met)
+    # a task has seen all blocks: k rows a query come out, not k for each block
+    assert met.count() == 5 * 700
+    assert found(E._rank(met, 5)) == found(E.nearest(rows, rows, 5))
+
+
+def test_words_as_ids_and_ids_that_repeat(spark):
+    rows = loose(spark, 300, 6).selectExpr("concat('r', id % 150) AS id", "vec")
+    out = "query_id string, row_id string, score double"
+    met = E._rank(E._nearest_in_blocks(rows, rows, 5, out, pa.string(), pa.string(), block=40 * 6 * 8), 5)
+    assert found(met) == found(E.nearest(rows, rows, 5))

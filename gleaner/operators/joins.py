@@ -128,11 +128,14 @@ def keep_cited(sources: Column, answer: Column, cite: Column) -> Column:
     return F.when(answer.isNotNull() & (F.size(used) > 0), used).otherwise(sources)
 
 
-def index_reuse_split(rows: DataFrame, stored: DataFrame) -> DataFrame:
+def index_reuse_split(rows: DataFrame, stored: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """Index rows with `stored_vec` where record, row and document hash still match, else null.
 
-    Rows of records gone from the pool fall out because `rows` drives the join.
+    Rows of records gone from the pool fall out because `rows` drives the join. Both sides may have columns `also` that follow from
+    the record, by which they are dealt already.
     """
-    old = stored.filter(F.col("doc_hash").isNotNull()).select(
-        "record_id", "row_pos", "doc_hash", F.col("vec").alias("stored_vec"))
-    return rows.join(old, ["record_id", "row_pos", "doc_hash"], "left")
+    keys = [*also, "record_id", "row_pos", "doc_hash"]
+    # what an inner join on them would ask for too, so that Spark sees the same rows in either
+    usable = F.col("doc_hash").isNotNull() & F.col("row_pos").isNotNull() & F.col("vec").isNotNull()
+    old = stored.filter(usable).select(*keys, F.col("vec").alias("stored_vec"))
+    return rows.join(old, keys, "left")

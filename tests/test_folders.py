@@ -1,12 +1,14 @@
 """Tables in folders: what a change rewrites, and that the result is that of rewriting all."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import vectors as E
 from gleaner.operators.sync import upsert
+from gleaner.session import shared_folder
 from gleaner.sources import folders
 
 
@@ -82,3 +84,37 @@ def test_a_folder_may_become_empty(spark, tmp_path, records):
     folders.update_index(records.filter(folders.part_of("id", 3) != 1), embed, path, parts=3)
     left = folders.read_index(spark, path, schema)
     assert left.filter(folders.part_of("record_id", 3) == 1).count() == 0 and left.count() > 0
+
+
+def test_rows_are_not_written_twice(spark, tmp_path, records):
+    """What replaces the folders is no copy of a table written elsewhere first."""
+    kept = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(kept)) if os.path.isdir(kept) else set()
+    path, embed = str(tmp_path / "i"), E.hashing_embedder(16)
+    folders.update_index(records.filter("id < 'R3'"), embed, path, parts=4)
+    folders.update_index(records, embed, path, parts=4)
+    assert not [x for x in (os.listdir(kept) if os.path.isdir(kept) else []) if x not in before and x.startswith("folders")]
+    index = folders.read_index(spark, path, E.build_index(records.limit(0), embed).schema)
+    assert rows(index.drop("reused")) == rows(E.build_index(records, embed).drop("reused"))
+
+
+def test_records_and_stored_rows_are_dealt_once(spark, tmp_path, records, monkeypatch):
+    """Neither the exploded rows with their texts nor the vectors embedded anew are exchanged."""
+    seen, replace = [], folders.replace_folders
+    monkeypatch.setattr(folders, "replace_folders", lambda df, *a: (seen.append(df._jdf.queryExecution().executedPlan().toString()), replace(df, *a)))
+    path, embed = str(tmp_path / "i"), E.hashing_embedder(16)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    try:
+        folders.update_index(records.filter("id < 'R3'"), embed, path, parts=4)
+        folders.update_index(records, embed, path, parts=4)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [re.sub(r"#\d+", "", x) for x in re.findall(r"hashpartitioning\(([^)]*), \d+\)", seen[-1])]
+    assert set(dealt) == {"part, _own"} and "SortMergeJoin" in seen[-1]
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == before
+    # rows that repeat meet all stored rows of their key, as they did
+    twice = records.unionByName(records)
+    folders.update_index(twice, embed, path, parts=4)
+    index = folders.read_index(spark, path, E.build_index(records.limit(0), embed).schema)
+    assert rows(index) == rows(E.build_index(twice, embed, E.build_index(records, embed)))

@@ -151,6 +151,9 @@ def vx2(spark, sf):
                       "doc_hash", "reused")
 
 
+MOST_HELD = 2_000_000    # numbers of records sent to all tasks
+
+
 @query("vx2_update_index", f"""WITH {Q.REC}, {DOC},
 h AS (SELECT id, title0 AS title, lines, summary, substring(sha1(array_to_string(list_concat([document], lines), chr(0))), 1, 16) AS doc_hash FROM doc)
 SELECT id AS record_id, 0 AS row_pos, 'record' AS kind, md5(CASE WHEN coalesce(summary, '') <> '' THEN summary ELSE title END) AS text, doc_hash FROM h
@@ -160,9 +163,11 @@ def vx2_folders(spark, sf):
     r = stage.records(spark, sf)
     embed = E.hashing_embedder(64)
     path = work_folder(spark, "index")
-    had = stage.table(spark, sf, "labels").select(stage.text_of("doc_id").alias("id"))
+    had = stage.table(spark, sf, "labels").select(F.col("doc_id").alias("held"))
+    # counted first; a join of two exchanged sides would write every record with its texts to disk
+    had = F.broadcast(had) if had.limit(MOST_HELD + 1).count() <= MOST_HELD else had
     schema = E.build_index(r.limit(0), embed).schema
-    for wanted in (r.join(had, "id", "left_semi"), r):
+    for wanted in (r.join(had, F.col("id").cast("bigint") == F.col("held"), "left_semi"), r):
         folders.update_index(wanted, embed, path, parts=8)
     out = folders.read_index(spark, path, schema)
     return out.select("record_id", F.col("row_pos").cast("bigint").alias("row_pos"), "kind", F.md5("text").alias("text"), "doc_hash")
